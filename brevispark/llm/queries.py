@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter, warc
+from . import sentencepiece_codec, url_filter, warc
 from .common import table
 
 #: Rules of the URL query, fixed by its contract.
@@ -13,6 +13,20 @@ URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 BLOCKED = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
 
 
+#: The tokenizer of the SentencePiece query; its file is looked up where the tokenizers are installed.
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_MODEL)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model_path()))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED)
 
@@ -65,5 +79,5 @@ SELECT page_id, {urn("concat_ws(chr(0), warc_type, refers_to)")} AS record_id, w
   cast(octet_length(encode(block)) AS bigint) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, true AS digest_ok, source_headers, block FROM c"""
 
 
-QUERIES = {"op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 ORACLE_SQL = {"op9_url_filter": _op9_sql(), "op10_warc": _op10_sql()}
