@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the contracts' word rule, `[^\x20\x09-\x0D]+`: the bytes that bytes.split() splits at.
@@ -88,7 +89,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Parts of a batch whose texts hold about `most` bytes each (always one row at least): bounds memory, not text length."""
     data = batch.column(column)
-    sizes = np.array([0 if v is None else v for v in pa.compute.binary_length(data).to_pylist()], np.int64)
+    sizes = np.array([0 if v is None else v for v in pc.binary_length(data).to_pylist()], np.int64)
     ends, total, start = [], 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > most:
