@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepiece_codec, url_filter, warc
+from . import language_id, sentencepiece_codec, url_filter, warc
 from .common import table
 
 #: Rules of the URL query, fixed by its contract.
@@ -27,6 +28,19 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model_path()))
 
 
+def held_out() -> Column:
+    """The fold that language models never learn from, fixed by the contract."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fold = F.coalesce(held_out(), F.lit(False))
+    model = language_id.train(documents.where(~fold))
+    out = language_id.identify(documents.select("doc_id", "text"), model)
+    return out.select("doc_id", fold.alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED)
 
@@ -65,7 +79,7 @@ def _op10_sql() -> str:
     body = f"regexp_replace({body}, '[ \\t\\r\\n\\f]+', ' ', 'g')"
     body = entities(f"regexp_replace(regexp_replace({body}, {q(warc.BREAKS)}, chr(10), 'g'), {q(warc.TAG)}, '', 'g')")
     body = f"regexp_replace({body}, ' *\\n[ \\n]*', chr(10), 'g')"
-    body = f"regexp_replace(regexp_replace({body}, '^[ \\n]+', ''), '[ \\n]+$', '')"
+    body = f"trim({body}, ' ' || chr(10))"
     title = entities(f"trim(regexp_replace(regexp_extract(html, {q('(?is)<title' + chr(92) + 'b[^>]*>(.*?)</title')}, 1), '[ \\t\\r\\n\\f]+', ' ', 'g'))")
     return f"""
 WITH src AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -79,5 +93,5 @@ SELECT page_id, {urn("concat_ws(chr(0), warc_type, refers_to)")} AS record_id, w
   cast(octet_length(encode(block)) AS bigint) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, true AS digest_ok, source_headers, block FROM c"""
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 ORACLE_SQL = {"op9_url_filter": _op9_sql(), "op10_warc": _op10_sql()}
