@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, sentencepiece_codec, url_filter, warc
+from . import language_id, sentencepiece_codec, topk_search, url_filter, warc
 from .common import table
 
 #: Rules of the URL query, fixed by its contract.
@@ -28,6 +28,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model_path()))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+_OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS bigint) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS integer) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def held_out() -> Column:
     """The fold that language models never learn from, fixed by the contract."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -93,5 +105,5 @@ SELECT page_id, {urn("concat_ws(chr(0), warc_type, refers_to)")} AS record_id, w
   cast(octet_length(encode(block)) AS bigint) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, true AS digest_ok, source_headers, block FROM c"""
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
-ORACLE_SQL = {"op9_url_filter": _op9_sql(), "op10_warc": _op10_sql()}
+QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op3_topk": op3_topk, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+ORACLE_SQL = {"op3_topk": _OP3_SQL, "op9_url_filter": _op9_sql(), "op10_warc": _op10_sql()}
