@@ -85,10 +85,7 @@ def _op10_sql() -> str:
             text = f"replace({text}, {q(name)}, {q(char)})"
         return text
 
-    body = "html"
-    for pattern in warc.HIDDEN:
-        body = f"regexp_replace({body}, {q(pattern)}, ' ', 'g')"
-    body = f"regexp_replace({body}, '[ \\t\\r\\n\\f]+', ' ', 'g')"
+    body = f"regexp_replace(regexp_replace(html, {q(warc.HIDDEN)}, ' ', 'g'), {q(warc.WIDE)}, ' ', 'g')"
     body = entities(f"regexp_replace(regexp_replace({body}, {q(warc.BREAKS)}, chr(10), 'g'), {q(warc.TAG)}, '', 'g')")
     body = f"regexp_replace({body}, ' *\\n[ \\n]*', chr(10), 'g')"
     body = f"trim({body}, ' ' || chr(10))"

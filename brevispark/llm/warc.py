@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 SCHEMA = "record_id string, warc_type string, target_uri string, warc_date string, headers array<struct<name:string,value:string>>, block string"
 #: Parts of a page that hold no text, and tags that end a line.
-HIDDEN = (r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<noscript\b.*?</noscript\s*>", r"(?is)<template\b.*?</template\s*>", r"(?is)<title\b.*?</title\s*>")
+HIDDEN = "(?is)<!--.*?-->" + "".join(rf"|<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "title"))
+#: Runs of white space other than one space.
+WIDE = r"[ \t\r\n\f]*[\t\r\n\f][ \t\r\n\f]*|  +"
 BREAKS = r"(?i)<(?:br|/?p|/?div|/?li|/?ul|/?ol|/?h[1-6]|/?tr|/?table|/?article|/?section|/?nav|/?footer|/?header|/?blockquote|/?pre)\b[^>]*>"
 TAG = r"(?s)</?[a-zA-Z!][^>]*>"
 #: Named character references; the ampersand comes last.
@@ -48,18 +50,14 @@ def entities(text: Column) -> Column:
     out = F.when(F.contains(text, F.lit("&#")), several).otherwise(text)
     for name, char in NAMED:
         out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
     """The visible text of a page: hidden parts and tags go, block tags break lines, spaces are folded, empty lines dropped."""
-    out = html
-    for pattern in HIDDEN:
-        out = F.regexp_replace(out, pattern, " ")
-    out = F.regexp_replace(out, r"[ \t\r\n\f]+", " ")
+    out = F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), WIDE, " ")
     out = entities(F.regexp_replace(F.regexp_replace(out, BREAKS, "\n"), TAG, ""))
-    out = F.regexp_replace(out, r" *\n[ \n]*", "\n")
-    return F.regexp_replace(F.regexp_replace(out, r"^[ \n]+", ""), r"[ \n]+$", "")
+    return F.trim(F.regexp_replace(out, r" *\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def responses(pages: DataFrame, date: str = "2026-01-01T00:00:00Z", url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
