@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, sentencepiece_codec, topk_search, url_filter, warc
+from . import language_id, pii, sentencepiece_codec, topk_search, url_filter, warc
 from .common import table
 
 #: Rules of the URL query, fixed by its contract.
@@ -53,6 +53,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fold.alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED)
 
@@ -102,5 +106,5 @@ SELECT page_id, {urn("concat_ws(chr(0), warc_type, refers_to)")} AS record_id, w
   cast(octet_length(encode(block)) AS bigint) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, true AS digest_ok, source_headers, block FROM c"""
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op3_topk": op3_topk, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op3_topk": op3_topk, "op5_pii": op5_pii, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 ORACLE_SQL = {"op3_topk": _OP3_SQL, "op9_url_filter": _op9_sql(), "op10_warc": _op10_sql()}
