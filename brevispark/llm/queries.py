@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pii, sentencepiece_codec, topk_search, url_filter, warc
+from . import language_id, pii, sentencepiece_codec, substring_dedup, topk_search, url_filter, warc
 from .common import table
 
 #: Rules of the URL query, fixed by its contract.
@@ -14,6 +14,10 @@ URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 BLOCKED = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), k=50))
+
+
 #: The tokenizer of the SentencePiece query; its file is looked up where the tokenizers are installed.
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -106,5 +110,5 @@ SELECT page_id, {urn("concat_ws(chr(0), warc_type, refers_to)")} AS record_id, w
   cast(octet_length(encode(block)) AS bigint) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, true AS digest_ok, source_headers, block FROM c"""
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op3_topk": op3_topk, "op5_pii": op5_pii, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_topk": op3_topk, "op5_pii": op5_pii, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 ORACLE_SQL = {"op3_topk": _OP3_SQL, "op9_url_filter": _op9_sql(), "op10_warc": _op10_sql()}
