@@ -29,7 +29,7 @@ def piece_model_path() -> str:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model_path()))
+    return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model_path(), packed=True))
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

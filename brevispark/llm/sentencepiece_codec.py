@@ -15,20 +15,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .common import pieces as parts_of
-from .common import runs
+from .common import ranges, runs
 
 MARK = "▁"
 SPACE_RUN = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
+#: Bytes of text that a worker encodes at a time.
+CHUNK = 1 << 20
 
 
 class CharacterMap:
@@ -87,7 +89,13 @@ class Codec:
         byte = pb.ModelProto.SentencePiece.BYTE
         self.width = np.array([1 if p.type == byte else len(p.piece.encode()) for p in proto.pieces], np.int32)
         self.unk = self.full.unk_id()
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of segments: their numbers, and ids and widths one after the other."""
+        self.known: dict[str, int] = {}
+        self.pool, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the source byte it stands for."""
@@ -138,49 +146,63 @@ class Codec:
             norm = norm.decode()
             return (SPACE_RUN.findall(norm) if self.cut else [norm] if norm else []), origin
         if not text:
-            return [], np.zeros(1, np.int64)
+            return [], np.zeros(1, np.int32)
         data = np.frombuffer(text.encode(), np.uint8)
-        start = np.where(data & 0xC0 == 0x80, 0, np.arange(len(data)))
-        origin = np.repeat(np.maximum.accumulate(start), np.where(data == 32, 3, 1))
+        n = len(data)
+        start = np.arange(n, dtype=np.int32)
+        if not text.isascii():
+            start[data & 0xC0 == 0x80] = 0
+            np.maximum.accumulate(start, out=start)
+        origin = np.empty(n + 4 + 2 * (spaces := np.count_nonzero(data == 32)), np.int32)
+        origin[:3], origin[-1] = 0, n
+        origin[3:-1] = np.repeat(start, np.where(data == 32, 3, 1)) if spaces else start
         marked = MARK + text.replace(" ", MARK)
         if MARK * 2 in marked or marked[-1] == MARK:
-            return SPACE_RUN.findall(marked), np.concatenate([[0, 0, 0], origin, [len(data)]])
-        return [MARK + w for w in marked[1:].split(MARK)], np.concatenate([[0, 0, 0], origin, [len(data)]])
+            return SPACE_RUN.findall(marked), origin
+        return [MARK + w for w in marked[1:].split(MARK)], origin
 
     def learn(self, words: set[str]) -> None:
-        """Segments the words not yet known, in one call."""
-        if len(self.known) + len(words) > MOST_WORDS:
-            self.known.clear()
+        """Segments words that are not known, in one call."""
         new = list(words)
-        for word, ids in zip(new, self.bare.encode(new, num_threads=1)):
-            ids = np.array(ids, np.uint32)
-            width = self.width[ids]
-            if self.unk in ids:  # an unknown piece is as long as its text
-                width = np.array([1 if self.full.is_byte(int(i)) else len(p.encode()) for i, p in zip(ids, self.bare.encode(word, out_type=str))], np.int32)
-            self.known[word] = ids.tobytes(), width.astype(np.uint32).tobytes()
+        ids = self.bare.encode(new, num_threads=1)
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))
+        sizes = self.width[flat]
+        if (flat == self.unk).any():  # an unknown piece is as long as its text
+            named = chain.from_iterable(self.bare.encode(new, out_type=str, num_threads=1))
+            sizes = np.array([1 if self.full.is_byte(i) else len(p.encode()) for i, p in zip(flat.tolist(), named)], np.int32)
+        self.known.update(zip(new, range(len(self.count), len(self.count) + len(new))))
+        self.start = np.concatenate([self.start, len(self.pool) + runs(count)[:-1]])
+        self.count, self.pool, self.sizes = np.concatenate([self.count, count]), np.concatenate([self.pool, flat]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: Sequence[str], bos: bool, eos: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids, begins and ends of all texts, one after the other, and the offsets of each text in them."""
         cut = [self.segments(t) for t in texts]
-        first, last = ([self.full.bos_id()] if bos else []), ([self.full.eos_id()] if eos else [])
-        known = self.known
-        missing = {w for words, _ in cut for w in words if w not in known}
+        words = list(chain.from_iterable(w for w, _ in cut))
+        missing = set(words).difference(self.known)
+        if len(self.known) + len(missing) > MOST_WORDS:
+            self.forget()
+            missing = set(words)
         if missing:
-            before = len(known)
             self.learn(missing)
-            if len(known) < before + len(missing):  # it was emptied meanwhile
-                self.learn({w for words, _ in cut for w in words if w not in known})
-        ids, begins, ends, counts = [], [], [], []
-        for (words, origin), n in zip(cut, [len(t.encode()) for t in texts]):
-            got = [known[w] for w in words]
-            own = np.frombuffer(b"".join([g[0] for g in got]), np.uint32)
-            at = runs(np.frombuffer(b"".join([g[1] for g in got]), np.uint32))
-            ids += [first, own, last]
-            begins += [[0] * bos, origin[at[:-1]], [n] * eos]
-            ends += [[0] * bos, origin[at[1:]], [n] * eos]
-            counts.append(len(own) + len(first) + len(last))
-        join = lambda x: np.concatenate([np.asarray(v, np.int64) for v in x]).astype(np.int32) if x else np.zeros(0, np.int32)
-        return join(ids), join(begins), join(ends), runs(np.array(counts, np.int64))
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        per_word = self.count[which]
+        at = ranges(self.start[which], per_word)
+        ids, norm = self.pool[at], runs(self.sizes[at])
+        per_text = np.diff(runs(per_word)[runs(np.array([len(w) for w, _ in cut], np.int64))])
+        shift = np.repeat(np.arange(len(cut)), per_text)  # each alignment has one entry more than its text has bytes
+        origin = np.concatenate([o for _, o in cut]) if cut else np.zeros(0, np.int32)
+        begins, ends = origin[norm[:-1] + shift], origin[norm[1:] + shift]
+        out, where = runs(per_text + bos + eos), np.arange(len(ids)) + shift * (bos + eos) + bos
+        made = [np.zeros(out[-1], np.int32) for _ in range(3)]
+        for target, values in zip(made, (ids, begins, ends)):
+            target[where] = values
+        if bos:
+            made[0][out[:-1]] = self.full.bos_id()
+        if eos:
+            made[0][out[1:] - 1] = self.full.eos_id()
+            made[1][out[1:] - 1] = made[2][out[1:] - 1] = [len(t) if t.isascii() else len(t.encode()) for t in texts]
+        return *made, out
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         flat = ids.tolist()
@@ -203,39 +225,36 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(df: DataFrame, model_path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), bos: bool = True, eos: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, model_path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), bos: bool = True, eos: bool = True, packed: bool = False) -> DataFrame:
     """Encodes every text and decodes the ids again.
 
     Returns keep, `ids` array<int>, `begins` and `ends` array<int> (byte offsets in the source, end exclusive; a space mark
-    begins at its space; the begin and end ids have empty spans) and `decoded` string. The model (some 0.5 MB) goes to the
-    workers by value; `model_path` need exist on the driver only.
+    begins at its space; the begin and end ids have empty spans) and `decoded` string. With `packed` the three lists are
+    binary, as little-endian unsigned 32-bit integers, the form of token files. The model (some 0.5 MB) goes to the workers
+    by value; `model_path` need exist on the driver only.
     """
     model = model_bytes(model_path)
-    taken = df.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]), "ids array<int>", "begins array<int>", "ends array<int>", "decoded string"])
+    taken = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
+    kind = "binary" if packed else "array<int>"
+    names = [*taken.columns[:-1], "ids", "begins", "ends", "decoded"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]), f"ids {kind}", f"begins {kind}", f"ends {kind}", "decoded string"])
 
     def run(batches):
         own = codec(model)
         for whole in batches:
-            for batch in parts_of(whole, "_text"):
+            for batch in parts_of(whole, "_text", CHUNK):
                 texts = [t or "" for t in batch.column("_text").to_pylist()]
-                ids, begins, ends, at = own.encode(texts, bos, eos)
-                offsets = pa.array(at.astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (ids, begins, ends)]
-                columns = [*batch.columns[:-1], *lists, pa.array(own.decode(ids, at), pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "ids", "begins", "ends", "decoded"])
-
-    return taken.mapInArrow(run, schema)
-
+                *lists, at = own.encode(texts, bos, eos)
+                if packed:
+                    offsets = pa.array((4 * at).astype(np.int32)).buffers()[1]
+                    lists_ = [pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(v.astype("<u4").tobytes())]) for v in lists]
+                else:
+                    lists_ = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for v in lists]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists_, pa.array(own.decode(lists[0], at), pa.string())], names=names)
 
-@F.arrow_udf(StringType())
-def ids_sha256(ids: pa.Array) -> pa.Array:
-    """Lowercase hex SHA-256 of each list of ids as little-endian unsigned 32-bit integers."""
-    at, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-    return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string())
+    return taken.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names[-4:])
 
 
 def digests(encoded: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
-    hexed: Column = ids_sha256(F.col("ids"))
-    return encoded.select(*keep, F.size("ids").cast("long").alias("n_tokens"), hexed.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """n_tokens, ids_sha256 (of the packed ids) and decoded_sha256 of documents encoded with `packed`."""
+    return encoded.select(*keep, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
