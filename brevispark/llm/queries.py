@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, pii, sentencepiece_codec, substring_dedup, topk_search, url_filter, warc
+from . import decontaminate, jaccard_join, language_id, license_scan, pii, sentencepiece_codec, substring_dedup, topk_search, url_filter, warc
 from .common import table
 
 #: Rules of the URL query, fixed by its contract.
@@ -65,6 +65,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fold.alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -118,5 +122,5 @@ SELECT page_id, {urn("concat_ws(chr(0), warc_type, refers_to)")} AS record_id, w
   cast(octet_length(encode(block)) AS bigint) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, true AS digest_ok, source_headers, block FROM c"""
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_topk": op3_topk, "op5_pii": op5_pii, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_topk": op3_topk, "op4_license_scan": op4_license_scan, "op5_pii": op5_pii, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 ORACLE_SQL = {"op3_topk": _OP3_SQL, "op9_url_filter": _op9_sql(), "op10_warc": _op10_sql()}
