@@ -32,7 +32,7 @@ from .components import components
 from .substring_dedup import ROOTS, word_hashes
 
 #: Sets of a node that are compared at once, and tokens of a tile; neither changes results.
-NODE_SETS = 512
+NODE_SETS = 1024
 TILE_TOKENS = 2_000_000
 
 
@@ -171,28 +171,34 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
             for batch in pieces(whole, "text", 2 << 20):
                 tokens, sizes = shingle_sets(column_bytes(batch.column("text")), width)
                 at, bounds = runs(sizes), chance(sizes, threshold)
-                out: list[tuple] = []
+                row, level, parent, children = [], [], [], []
                 for i, parents in enumerate(batch.column("large").to_pylist()):
                     own = tokens[at[i] : at[i + 1]]
                     front = np.array(parents, np.int64).view(np.uint64)
-                    for level in range(2, depth + 1):
-                        found = [(p, picked(own, p, bounds[i])[1]) for p in front]
-                        out += [(i, level, p, c) for p, kids in found for c in kids]
+                    for number in range(2, depth + 1):
+                        found = [(p, kids) for p in front if len(kids := picked(own, p, bounds[i])[1])]
+                        row += [i] * len(found)
+                        level += [number] * len(found)
+                        parent += [p for p, _ in found]
+                        children += [kids for _, kids in found]
                         front = np.concatenate([kids for _, kids in found]) if found else front[:0]
-                i, level, parent, node = (np.array(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
-                columns = [batch.column("d").to_numpy()[i], batch.column("h").to_numpy()[i], sizes[i].astype(np.int32), level.astype(np.int32), as_long(parent.astype(np.uint64)), as_long(node.astype(np.uint64))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "h", "n", "level", "parent", "node"])
+                lists = pa.ListArray.from_arrays(pa.array(runs(np.array([len(c) for c in children], np.int64)).astype(np.int32)), pa.array(as_long(np.concatenate(children) if children else np.zeros(0, np.uint64))))
+                row = np.array(row, np.int64)
+                columns = [batch.column("d").to_numpy()[row], batch.column("h").to_numpy()[row], sizes[row].astype(np.int32), np.array(level, np.int32), as_long(np.array(parent, np.uint64))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["d", "h", "n", "level", "parent", "children"])
 
     split = large.groupBy("d", "h").agg(F.collect_set("node").alias("large"))
-    below = stored(known.join(split, ["d", "h"]).select("d", "h", "text", "large").mapInArrow(deeper, "d long, h int, n int, level int, parent long, node long").distinct(), "jaccard-below")
+    below = stored(known.join(split, ["d", "h"]).select("d", "h", "text", "large").mapInArrow(deeper, "d long, h int, n int, level int, parent long, children array<bigint>"), "jaccard-below")
     leaves = level1.where(F.col("sets") <= NODE_SETS).select("node", "d", "h", "n", "sets", "tokens")
-    open_ = large.select("node").distinct()
+    open_ = None  # nodes of the level before that are split; at level 1 all that `deeper` was given
     for level in range(2, depth + 1):
-        here = below.where(F.col("level") == level).join(open_.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "d", "h", "n")
+        rows = below.where(F.col("level") == level)
+        rows = rows if open_ is None else rows.join(open_, "parent", "left_semi")
+        here = stored(rows.select("d", "h", "n", F.explode("children").alias("node")).distinct(), "jaccard-level")
         counted = here.groupBy("node").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")
-        here = here.join(counted, "node").select("node", "d", "h", "n", "sets", "tokens")
+        here = stored(here.join(counted, "node").select("node", "d", "h", "n", "sets", "tokens"), "jaccard-nodes")
         leaves = leaves.unionByName(here if level == depth else here.where(F.col("sets") <= NODE_SETS))
-        open_ = here.where(F.col("sets") > NODE_SETS).select("node").distinct()
+        open_ = here.where(F.col("sets") > NODE_SETS).select(F.col("node").alias("parent")).distinct()
 
     leaves = stored(leaves, "jaccard-leaves")
     sign = leaves.groupBy("node").agg(F.count("*").alias("sets"), F.max("tokens").alias("tokens"), F.bit_xor(F.xxhash64("d", "h")).alias("a"), F.bit_xor(F.xxhash64("h", "d", F.lit(1))).alias("b"))
@@ -228,7 +234,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
             yield from links(rows)
 
     def links(rows):
-        rows.sort(key=lambda r: (r[4], r[5]))
+        rows = [r for _, r in sorted({(r[4], r[5]): r for r in rows}.items())]  # repeated rows are one
         mine = [np.frombuffer(r[7], np.uint64) for r in rows]
         left, right = linked_pairs(mine, np.array([r[3] for r in rows]), threshold)
         if not len(left):
