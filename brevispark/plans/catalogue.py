@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import relational, textual
+
+QUERIES: dict = {**relational.CATALOGUE.queries, **textual.CATALOGUE.queries}
+ORACLE_SQL: dict = {**relational.CATALOGUE.sql, **textual.CATALOGUE.sql}
