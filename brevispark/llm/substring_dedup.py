@@ -10,8 +10,8 @@ windows with one minimiser travel together as a super-k-mer, a packed string, to
    one row). A bucket with a single string needs no comparison; for others the strings themselves are fetched.
 3. Buckets are sorted window by window: words become numbers, and ranks of 1, 2, 4, ... words are combined until k, so
    windows are compared exactly. Each window's least document id is the bucket's answer.
-4. Buckets with more than `most` different strings (a passage common to a large part of the corpus) are dealt by window
-   instead: 128-bit window digests are grouped over the whole cluster. No bucket is capped or sampled.
+4. Buckets whose different strings hold more than `most` words (a passage common to a large part of the corpus) are dealt by
+   window instead: 128-bit window digests are grouped over the whole cluster. No bucket is capped or sampled.
 5. Answers go back to all places of a string; documents drop the words covered.
 
 Packed strings with equal 64-bit minimiser and 64-bit digest count as equal.
@@ -126,7 +126,7 @@ def _answers(rows: list[tuple[int, int, int, bytes]], k: int) -> pa.RecordBatch:
 RUNS = "mkey long, pid long, runs array<struct<a:int,b:int,doc:bigint>>"
 
 
-def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 512, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents as (doc_id, text_hash, text), and the word ranges to drop as (doc_id, text_hash, ranges array<struct<a,b>>)."""
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.hash(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -147,11 +147,11 @@ def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 51
     repeated = places.groupBy("mkey").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mkey")
     shared = stored(places.join(repeated, "mkey", "left_semi"), "kmers-shared")
     strings = shared.groupBy("mkey", "pid").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"))
-    buckets = strings.groupBy("mkey").agg(F.count("*").alias("texts"))
-    strings = stored(strings.join(buckets, "mkey").select("mkey", "pid", "first.*", "texts"), "kmer-strings")
+    buckets = strings.groupBy("mkey").agg(F.count("*").alias("texts"), F.sum(F.col("first.place").bitwiseAND(0xFFFF) + (k - 1)).alias("words"))
+    strings = stored(strings.join(buckets, "mkey").select("mkey", "pid", "first.*", "texts", "words"), "kmer-strings")
     alone = strings.where("texts = 1").select("mkey", "pid", F.array(F.struct(F.lit(0).alias("a"), F.col("place").bitwiseAND(0xFFFF).cast("int").alias("b"), F.col("doc_id").alias("doc"))).alias("runs"))
 
-    wanted = strings.where("texts > 1").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("mkey", "pid", "place", "texts")).alias("wanted"))
+    wanted = strings.where("texts > 1").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("mkey", "pid", "place", "words")).alias("wanted"))
     fetch = known.join(wanted, ["doc_id", "text_hash"])
 
     def pack(batches):
@@ -162,11 +162,11 @@ def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 51
                     words = t.split()
                     for w in want:
                         a, n = w["place"] >> 16, w["place"] & 0xFFFF
-                        out.append((w["mkey"], w["pid"], d, w["texts"], b" ".join(words[a : a + n + k - 1])))
+                        out.append((w["mkey"], w["pid"], d, w["words"], b" ".join(words[a : a + n + k - 1])))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(zip(*out) if out else [()] * 5, kinds)], names=["mkey", "pid", "doc_id", "texts", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(zip(*out) if out else [()] * 5, kinds)], names=["mkey", "pid", "doc_id", "words", "packed"])
 
-    packed = stored(fetch.select("doc_id", "text", "wanted").mapInArrow(pack, "mkey long, pid long, doc_id long, texts long, packed binary"), "kmer-packed")
+    packed = stored(fetch.select("doc_id", "text", "wanted").mapInArrow(pack, "mkey long, pid long, doc_id long, words long, packed binary"), "kmer-packed")
 
     def sort(batches):
         rows, held = [], 0
@@ -180,7 +180,7 @@ def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 51
         if rows:
             yield _answers(rows, k)
 
-    small = packed.where(F.col("texts") <= most).repartition("mkey").sortWithinPartitions("mkey").mapInArrow(sort, RUNS)
+    small = packed.where(F.col("words") <= most).repartition("mkey").sortWithinPartitions("mkey").mapInArrow(sort, RUNS)
 
     def explode(batches):
         for batch in batches:
@@ -194,11 +194,11 @@ def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 51
                 columns = [one, two, *(part.column(c).to_numpy()[row] for c in ("mkey", "pid", "doc_id")), (begin - runs(sizes)[row]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "mkey", "pid", "doc_id", "a"])
 
-    large = packed.where(F.col("texts") > most)
+    large = packed.where(F.col("words") > most).repartition("pid")  # few strings may carry many windows: dealt evenly
     windows = large.mapInArrow(explode, "one long, two long, mkey long, pid long, doc_id long, a int")
     least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("hi")).where("doc < hi").select("one", "two", "doc")
     beaten = windows.join(least, ["one", "two"]).where("doc < doc_id").groupBy("mkey", "pid").agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"), "doc")).alias("runs"))
-    whole = strings.where(F.col("texts") > most).select("mkey", "pid", F.array(F.struct(F.lit(0).alias("a"), F.col("place").bitwiseAND(0xFFFF).cast("int").alias("b"), F.col("doc_id").alias("doc"))).alias("runs"))
+    whole = strings.where((F.col("words") > most) & (F.col("texts") > 1)).select("mkey", "pid", F.array(F.struct(F.lit(0).alias("a"), F.col("place").bitwiseAND(0xFFFF).cast("int").alias("b"), F.col("doc_id").alias("doc"))).alias("runs"))
 
     answers = alone.unionByName(small).unionByName(whole).unionByName(beaten)
     start = F.shiftright("place", 16)
@@ -208,7 +208,7 @@ def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 51
     return docs, hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def remove_repeats(documents: DataFrame, k: int = 50, m: int = 6, most: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(documents: DataFrame, k: int = 50, m: int = 6, most: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns a row per document: doc_id, n_words, n_removed, `kept` (the words left, joined by one space) and `removed`
     (the dropped word ranges, merged, as array<struct<a,b>>, end exclusive)."""
     docs, spans = covered_ranges(documents, k, m, most, doc_id, text)
