@@ -10,7 +10,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the contracts' word rule, `[^\x20\x09-\x0D]+`: the bytes that bytes.split() splits at.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -100,3 +101,33 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     for a, b in ends:
         if b > a:
             yield batch.slice(a, b - a)
+
+
+#: Bits of a key filter; a longer key list saturates it, which costs speed but no row.
+MOST_FILTER_BITS = 1 << 22
+
+
+class KeyFilter:
+    """A Bloom filter of keys as a constant of the plan: `may_hold` is true for every key, and false for most other values.
+
+    It only decides which rows need a join at all; the join stays exact. Its size is bounded by MOST_FILTER_BITS."""
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        n = keys.count()
+        self.bits = min(MOST_FILTER_BITS, max(64, 1 << (12 * n - 1).bit_length() if n else 64))
+        at = keys.select(F.explode(F.array(*[self._bit(list(map(F.col, columns)), j) for j in (0, 1, 2)])).alias("at"))
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))
+        rows = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(one).alias("bits")).collect()  # at most bits / 64
+        filled = {r.word: r.bits for r in rows}
+        self.words = ",".join(str(filled.get(i, 0)) for i in range(self.bits // 64))
+
+    def _bit(self, values: list[Column], j: int) -> Column:
+        return F.pmod(F.xxhash64(*values, F.lit(j)), F.lit(self.bits))
+
+    def may_hold(self, *values: Column) -> Column:
+        array = F.split(F.lit(self.words), ",").cast("array<bigint>")
+        out = F.lit(True)
+        for j in (0, 1, 2):
+            at = self._bit(list(values), j)
+            out = out & (F.getbit(F.element_at(array, (F.floor(at / 64) + 1).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
+        return out

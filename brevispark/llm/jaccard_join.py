@@ -7,6 +7,9 @@ common once on average, and meet in the child that this token names. A node with
 one is split again, down to `depth`, where whatever is left is compared in tiles. The whole is repeated with other hashes
 until the chance to miss a pair at the threshold is below 1 - recall; more similar pairs are missed far less often.
 
+Before sets travel to their nodes, sketches do (one permutation, 128 bins, a byte each): a set stays in a node only if sizes
+and sketches leave room for a partner there. A pair at the threshold is cut by its sketch with a chance below 1e-9.
+
 Nodes with the same sets are compared once, and a pair that meets in several nodes is counted in the least of them, so no
 list of pairs is ever made: nodes emit, per set, its number of links and its least linked neighbour's star, and the
 components of the stars are the near-duplicate groups. Within a node, pairs are found through the rarest tokens (a pair at
@@ -27,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, column_bytes, mix, pieces, ranges, runs, stored
+from .common import KeyFilter, as_long, column_bytes, mix, pieces, ranges, runs, stored
 from .components import components
 from .substring_dedup import ROOTS, word_hashes
 
 #: Sets of a node that are compared at once, and tokens of a tile; neither changes results.
 NODE_SETS = 1024
 TILE_TOKENS = 2_000_000
+#: Sketches compared at once, bins of a sketch, and how many standard deviations a pair at the threshold may fall short.
+TILE_SKETCHES = 4096
+BINS = 128
+DEVIATIONS = 6.5
 
 
 def repetitions(recall: float, depth: int) -> int:
@@ -85,8 +92,43 @@ def roots(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * ROOTS[0])
 
 
-def linked_pairs(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of sets (sorted arrays) with Jaccard similarity >= threshold; if sides differ, only pairs across sides."""
+def sketches(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set (ascending tokens) and bin a byte of the least token in it, 0 for an empty bin."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = owner * BINS + (tokens >> np.uint64(57)).astype(np.int64)
+    first = np.ones(len(place), bool)
+    first[1:] = place[1:] != place[:-1]
+    out = np.zeros(len(sizes) * BINS, np.uint8)
+    out[place[first]] = (mix(tokens[first]) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return out.reshape(-1, BINS)
+
+
+def with_partner(n: np.ndarray, sketch: np.ndarray, side: np.ndarray, across: bool, threshold: float, step: int = 48) -> np.ndarray:
+    """Which sets may have a partner by size and sketch; with `across` one of another side."""
+    order = np.argsort(n, kind="stable")
+    n, sketch, side = n[order], sketch[order], side[order]
+    filled = sketch > 0
+    hit = np.zeros(len(n), bool)
+    for a in range(0, len(n), step):
+        b = min(a + step, len(n))
+        end = int(np.searchsorted(n, n[b - 1] / threshold + 1e-9, "right"))
+        x, y = slice(a, b), slice(a, end)
+        either = (filled[x, None] | filled[None, y]).sum(2, dtype=np.int64)
+        equal = ((sketch[x, None] == sketch[None, y]) & filled[x, None]).sum(2, dtype=np.int64)
+        good = equal >= threshold * either - DEVIATIONS * np.sqrt(threshold * (1 - threshold) * either)
+        good &= n[x, None] >= threshold * n[None, y] - 1e-9
+        good &= np.arange(a, b)[:, None] < np.arange(a, end)[None]
+        if across:
+            good &= side[x, None] != side[None, y]
+        hit[x] |= good.any(1)
+        hit[y] |= good.any(0)
+    out = np.zeros(len(n), bool)
+    out[order] = hit
+    return out
+
+
+def linked_pairs(sets: list[np.ndarray], side: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of sets (sorted arrays) with Jaccard similarity >= threshold; with `across` only those of different sides."""
     sizes = np.array([len(s) for s in sets], np.int64)
     token, number, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -98,7 +140,6 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray, threshold: float) ->
     some = np.zeros(len(sets), bool)
     hits = np.bincount(number[seen], minlength=len(token))
     some[owner[seen & (hits[number] > 1)]] = True  # shares a prefix token with another prefix
-    both = side.min() != side.max()
     posting_order = np.argsort(number, kind="stable")
     posting, start = owner[posting_order], runs(df)
     at = runs(sizes)
@@ -108,7 +149,7 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray, threshold: float) ->
         own = own[df[own] > 1]
         shared = np.bincount(posting[ranges(start[own], df[own])], minlength=len(sets))
         shared[: i + 1] = 0
-        if both:
+        if across:
             shared[side == side[i]] = 0
         j = np.flatnonzero(shared)
         j = j[shared[j] >= threshold * (sizes[i] + sizes[j] - shared[j]) - 1e-9]
@@ -155,10 +196,11 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
                 lists = pa.ListArray.from_arrays(pa.array(runs(np.bincount(owners, minlength=len(sizes))).astype(np.int32)), pa.array(as_long(paths[order])))
                 totals = [np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens ^ c), dtype=np.uint64)]) for c in ROOTS]
                 one, two = (as_long(t[at[1:]] - t[at[:-1]]) for t in totals)
-                yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(one), pa.array(two), pa.array(sizes.astype(np.int32)), lists], names=["d", "h", "one", "two", "n", "paths"])
+                drawn = pa.array([row.tobytes() for row in sketches(tokens, sizes)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(one), pa.array(two), pa.array(sizes.astype(np.int32)), lists, drawn], names=["d", "h", "one", "two", "n", "paths", "sketch"])
 
-    sets = stored(known.mapInArrow(first_level, "d long, h int, one long, two long, n int, paths array<bigint>"), "jaccard-sets")
-    classes = sets.where("n > 0").groupBy("one", "two").agg(F.min_by(F.struct("d", "h", "n", "paths"), F.struct("d", "h")).alias("r"), F.count("*").alias("copies"))
+    sets = stored(known.mapInArrow(first_level, "d long, h int, one long, two long, n int, paths array<bigint>, sketch binary"), "jaccard-sets")
+    classes = sets.where("n > 0").groupBy("one", "two").agg(F.min_by(F.struct("d", "h", "n", "paths", "sketch"), F.struct("d", "h")).alias("r"), F.count("*").alias("copies"))
     classes = stored(classes.select("one", "two", "r.*", "copies"), "jaccard-classes")
 
     nodes = classes.select("d", "h", "n", F.explode("paths").alias("node"))
@@ -188,7 +230,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["d", "h", "n", "level", "parent", "children"])
 
     split = large.groupBy("d", "h").agg(F.collect_set("node").alias("large"))
-    below = stored(known.join(split, ["d", "h"]).select("d", "h", "text", "large").mapInArrow(deeper, "d long, h int, n int, level int, parent long, children array<bigint>"), "jaccard-below")
+    split = stored(split, "jaccard-split")
+    below = stored(known.where(KeyFilter(split, "d", "h").may_hold(F.col("d"), F.col("h"))).join(split, ["d", "h"]).select("d", "h", "text", "large").mapInArrow(deeper, "d long, h int, n int, level int, parent long, children array<bigint>"), "jaccard-below")
     leaves = level1.where(F.col("sets") <= NODE_SETS).select("node", "d", "h", "n", "sets", "tokens")
     open_ = None  # nodes of the level before that are split; at level 1 all that `deeper` was given
     for level in range(2, depth + 1):
@@ -201,10 +244,40 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
         open_ = here.where(F.col("sets") > NODE_SETS).select(F.col("node").alias("parent")).distinct()
 
     leaves = stored(leaves, "jaccard-leaves")
-    sign = leaves.groupBy("node").agg(F.count("*").alias("sets"), F.max("tokens").alias("tokens"), F.bit_xor(F.xxhash64("d", "h")).alias("a"), F.bit_xor(F.xxhash64("h", "d", F.lit(1))).alias("b"))
-    once = sign.groupBy("sets", "a", "b").agg(F.min("node").alias("node"), F.max("tokens").alias("tokens")).select("node", F.ceil(F.col("tokens") / TILE_TOKENS).cast("int").alias("tiles"))
-    member = leaves.select("node", "d", "h").join(once, "node").groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("node", "tiles"))).alias("nodes"))
-    member = member.join(classes.select("d", "h", "copies"), ["d", "h"])
+
+    def distinct_nodes(rows: DataFrame) -> DataFrame:
+        """Of the nodes with the same two or more sets the least, with its number of sets and tokens."""
+        sign = rows.groupBy("node").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"), F.bit_xor(F.xxhash64("d", "h")).alias("a"), F.bit_xor(F.xxhash64("h", "d", F.lit(1))).alias("b"))
+        return sign.where("sets > 1").groupBy("sets", "a", "b").agg(F.min("node").alias("node"), F.first("tokens").alias("tokens"))
+
+    def sift(batches):
+        rows, key = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("node", "i", "j", "tile", "d", "h", "n", "sketch"))):
+                if row[:3] != key:
+                    if len(rows) > 1:
+                        yield from sifted(rows)
+                    rows, key = [], row[:3]
+                rows.append(row)
+        if len(rows) > 1:
+            yield from sifted(rows)
+
+    def sifted(rows):
+        n = np.array([r[6] for r in rows], np.int64)
+        sketch = np.frombuffer(b"".join([r[7] for r in rows]), np.uint8).reshape(len(rows), BINS)
+        hit = np.flatnonzero(with_partner(n, sketch, np.array([r[3] for r in rows]), rows[0][1] != rows[0][2], threshold))
+        if len(hit):
+            node, d, h = ([rows[i][c] for i in hit] for c in (0, 4, 5))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(d, pa.int64()), pa.array(h, pa.int32()), pa.array(n[hit].astype(np.int32))], names=["node", "d", "h", "n"])
+
+    drawn = leaves.select("node", "d", "h", "n").join(distinct_nodes(leaves).select("node", F.ceil(F.col("sets") / TILE_SKETCHES).cast("int").alias("tiles")), "node").join(classes.select("d", "h", "sketch"), ["d", "h"])
+    tile = F.pmod(F.xxhash64("d", "h"), F.col("tiles")).cast("int")
+    drawn = drawn.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    drawn = drawn.select("node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "d", "h", "n", "sketch")
+    near = stored(drawn.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(sift, "node long, d long, h int, n int").distinct(), "jaccard-near")
+    once = distinct_nodes(near).select("node", F.ceil(F.col("tokens") / TILE_TOKENS).cast("int").alias("tiles"))
+    member = near.select("node", "d", "h").join(once, "node").groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("node", "tiles"))).alias("nodes"))
+    member = stored(member.join(classes.select("d", "h", "copies"), ["d", "h"]), "jaccard-members")
 
     def spread(batches):
         names = ["node", "i", "j", "tile", "d", "h", "copies", "set", "nodes"]
@@ -236,7 +309,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
     def links(rows):
         rows = [r for _, r in sorted({(r[4], r[5]): r for r in rows}.items())]  # repeated rows are one
         mine = [np.frombuffer(r[7], np.uint64) for r in rows]
-        left, right = linked_pairs(mine, np.array([r[3] for r in rows]), threshold)
+        left, right = linked_pairs(mine, np.array([r[3] for r in rows]), rows[0][1] != rows[0][2], threshold)
         if not len(left):
             return
         nodes, here = [frozenset(np.frombuffer(r[8], np.int64).tolist()) for r in rows], rows[0][0]
@@ -252,7 +325,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
         columns = [d[hit], h[hit], d[star[hit]], h[star[hit]], count[hit], docs[hit].astype(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "h", "to_d", "to_h", "n_links", "n_linked"])
 
-    spread_rows = known.join(member, ["d", "h"]).select("d", "h", "text", "copies", "nodes").mapInArrow(spread, "node long, i int, j int, tile int, d long, h int, copies long, set binary, nodes binary")
+    spread_rows = known.where(KeyFilter(member, "d", "h").may_hold(F.col("d"), F.col("h"))).join(member, ["d", "h"]).select("d", "h", "text", "copies", "nodes").mapInArrow(spread, "node long, i int, j int, tile int, d long, h int, copies long, set binary, nodes binary")
     found = stored(spread_rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(compare, "d long, h int, to_d long, to_h int, n_links long, n_linked long"), "jaccard-links")
 
     grouped = components(found.select(F.struct("d", "h").alias("u"), F.struct(F.col("to_d").alias("d"), F.col("to_h").alias("h")).alias("v")))
