@@ -37,7 +37,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
     """Texts named <variant>/<id>_<rate>.txt, as variant, id, rate, rho and text; one row per file."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)_([0-9.]+)\.txt$", i)
     out = files.select(F.url_decode(part(1)).alias("variant"), F.url_decode(part(2)).alias("id"), part(3).cast("double").alias("rate"), F.col("value").alias("text"))

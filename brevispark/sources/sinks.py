@@ -32,8 +32,9 @@ def rate_label(rate: str) -> Column:
 
 
 def write_text_tree(df: DataFrame, root: str, variant: str = "variant", name: str = "name", text: str = "text") -> None:
-    """Texts by variant and name, partitioned for readers: <root>/variant=<v>/name=<n>/part files."""
-    df.select(F.col(variant).alias("variant"), F.col(name).alias("name"), F.col(text).alias("value")).write.mode("overwrite").option("lineSep", "").partitionBy("variant", "name").text(root)
+    """Texts by variant and name, partitioned for readers: <root>/variant=<v>/name=<n>/part files,
+    each text ended by a line break."""
+    df.select(F.col(variant).alias("variant"), F.col(name).alias("name"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("variant", "name").text(root)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
