@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +88,22 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(at[-1]) + np.repeat(starts - at[:-1], lengths)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def carried(df: DataFrame, keep: Sequence[str], text: str) -> tuple[DataFrame, list[str], str]:
+    """The columns to carry along as k0, k1, ... and the text, among them or after them: names can't clash, and the text travels
+    once. Returns the frame, the new names and the text's."""
+    names = [f"k{i}" for i in range(len(keep))]
+    columns = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
+    if text in keep:
+        return df.select(*columns), names, names[list(keep).index(text)]
+    return df.select(*columns, F.col(f"`{text}`").alias("_text")), names, "_text"
+
+
+def fields_of(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """Field definitions of some columns, for the schema of a function's result."""
+    return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Parts of a batch whose texts hold about `most` bytes each (always one row at least): bounds memory, not text length."""
     data = batch.column(column)
     sizes = np.array([0 if v is None else v for v in pc.binary_length(data).to_pylist()], np.int64)

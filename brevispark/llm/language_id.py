@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, pieces, runs
+from .common import Memo, carried, fields_of, pieces, runs
 
 BITS = 16
 SMOOTHING = 0.1
 ROUNDS = 12
 #: Words without a letter say nothing about a language.
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 
 
 def grams(word: str) -> list[int]:
@@ -153,12 +153,13 @@ def identify(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc
     names, weights = model.names, model.weights
     key = hashlib.sha256(weights.tobytes() + "\0".join(names).encode()).hexdigest()
     shared = documents.sparkSession.sparkContext.broadcast((names, weights))  # 2^16 floats a language
-    taken = documents.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]), "lang_pred string", "score double", "languages array<struct<lang:string,share:double>>"])
+    taken, names_, read = carried(documents, keep, text)
+    schema = ", ".join([*fields_of(taken, names_), "lang_pred string", "score double", "languages array<struct<lang:string,share:double>>"])
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches):
         if key not in _MODELS:
+            _MODELS.clear()  # one model at a time stays in a worker
             own = Languages([], np.zeros((0, 0)))
             own.names, own.weights = shared.value
             own.rows = np.zeros((1024, len(own.names)), np.float32)
@@ -166,8 +167,8 @@ def identify(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc
         own, memo = _MODELS[key]
         k = len(own.names)
         for whole in batches:
-            for batch in pieces(whole, "_text", 2 << 20):
-                texts = batch.column("_text").to_pylist()
+            for batch in pieces(whole, read):
+                texts = batch.column(read).to_pylist()
                 rows, counts = [], []
                 for t in texts:
                     words = t.split() if t and k else []
@@ -186,7 +187,8 @@ def identify(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc
                 pred = [own.names[b] if c else "und" for b, c in zip(best, n)]
                 score = shares.max(1) if k else np.zeros(len(texts))
                 sets = [sorted(((own.names[j], float(s[j])) for j in np.flatnonzero(s > 0)), key=lambda x: (-x[1], x[0])) for s in shares]
-                columns = [*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array([[{"lang": a, "share": b} for a, b in s] for s in sets], kind)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score", "languages"])
+                columns = [*(batch.column(n) for n in names_), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array([[{"lang": a, "share": b} for a, b in s] for s in sets], kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names_, "lang_pred", "score", "languages"])
 
-    return taken.mapInArrow(run, schema)
+    out = taken.mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names_, keep)], "lang_pred", "score", "languages")

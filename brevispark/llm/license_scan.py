@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, pieces, runs
+from .common import Memo, carried, fields_of, pieces
 
 # The notices by which licences are recognised.
 TEMPLATES = {
@@ -74,7 +74,7 @@ def pairs(tokens: list[str]) -> frozenset:
 class Classifier:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float, floor: float):
         self.weights, self.bias, self.temperature, self.floor = weights, bias, temperature, floor
-        self.memo = Memo(word_id, 400_000)
+        self.memo = Memo(word_id, 200_000)
         self.templates = {k: [pairs(words(t)) for t in v] for k, v in TEMPLATES.items()}
 
     def probabilities(self, ids: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
@@ -213,20 +213,20 @@ def scan_licenses(documents: DataFrame, model: Classifier | None = None, agreeme
     """Returns a row per confirmed notice: keep, line (from 0), start and end in code points, family, probability, agreement and
     notice (the line)."""
     shared = documents.sparkSession.sparkContext.broadcast(model or train())  # 2^15 slots a family
-    taken = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]), "line int", "start int", "end int", "family string", "probability double", "agreement double", "notice string"]
+    taken, names, read = carried(documents, keep, text)
+    fields = [*fields_of(taken, names), "line int", "start int", "end int", "family string", "probability double", "agreement double", "notice string"]
 
     def run(batches):
         own = shared.value
         for whole in batches:
-            for batch in pieces(whole, "_text", 2 << 20):
-                texts = batch.column("_text").to_pylist()
+            for batch in pieces(whole, read):
+                texts = batch.column(read).to_pylist()
                 rows = [(i, *x) for i, found in enumerate(scan_texts(texts, own, agreement)) for x in found]
                 if rows:
                     i, line, a, b, family, p, match = zip(*rows)
                     at = pa.array(i)
-                    columns = [*(c.take(at) for c in batch.columns[:-1]), pa.array(line, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(family), pa.array(p), pa.array(match), pa.array([texts[j][x:y] for j, x, y in zip(i, a, b)])]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "line", "start", "end", "family", "probability", "agreement", "notice"])
+                    columns = [*(batch.column(n).take(at) for n in names), pa.array(line, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(family), pa.array(p), pa.array(match), pa.array([texts[j][x:y] for j, x, y in zip(i, a, b)])]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "line", "start", "end", "family", "probability", "agreement", "notice"])
 
     out = taken.mapInArrow(run, ", ".join(fields))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *out.columns[len(keep) :])

@@ -23,8 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried, fields_of, ranges, runs
 from .common import pieces as parts_of
-from .common import ranges, runs
 
 MARK = "▁"
 SPACE_RUN = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
@@ -234,23 +234,23 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", keep: S
     by value; `model_path` need exist on the driver only.
     """
     model = model_bytes(model_path)
-    taken = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
+    taken, carry, read = carried(df, keep, text)
     kind = "binary" if packed else "array<int>"
-    names = [*taken.columns[:-1], "ids", "begins", "ends", "decoded"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]), f"ids {kind}", f"begins {kind}", f"ends {kind}", "decoded string"])
+    names = [*carry, "ids", "begins", "ends", "decoded"]
+    schema = ", ".join([*fields_of(taken, carry), f"ids {kind}", f"begins {kind}", f"ends {kind}", "decoded string"])
 
     def run(batches):
         own = codec(model)
         for whole in batches:
-            for batch in parts_of(whole, "_text", CHUNK):
-                texts = [t or "" for t in batch.column("_text").to_pylist()]
+            for batch in parts_of(whole, read, CHUNK):
+                texts = [t or "" for t in batch.column(read).to_pylist()]
                 *lists, at = own.encode(texts, bos, eos)
                 if packed:
                     offsets = pa.array((4 * at).astype(np.int32)).buffers()[1]
                     lists_ = [pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(v.astype("<u4").tobytes())]) for v in lists]
                 else:
                     lists_ = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for v in lists]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists_, pa.array(own.decode(lists[0], at), pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in carry), *lists_, pa.array(own.decode(lists[0], at), pa.string())], names=names)
 
     return taken.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names[-4:])
 

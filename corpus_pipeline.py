@@ -11,42 +11,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevispark.llm import decontaminate, jaccard_join, language_id, pii, sentencepiece_codec
-from brevispark.llm.common import stored, table
+from brevispark.llm.common import KeyFilter, stored, table
 from brevispark.llm.queries import piece_model_path
 
 #: A document is kept if one language holds this share of its words.
 LEAST_SHARE = 0.5
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """Documents with columns c0, c1, ..., which no result can clash with, their names and that of the text."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, names[docs.columns.index("text")]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter or without a main language. The models learn from the documents' own labels."""
-    found = language_id.identify(docs.select(F.struct("*").alias("row"), F.col("text")), language_id.train(docs), keep=("row",))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    safe, names, text = _renamed(docs)
+    found = language_id.identify(safe, language_id.train(docs), keep=names, text=text)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each near-duplicate group."""
-    found = jaccard_join.near_duplicates(docs)
-    stays = found.where("doc_id IS NOT NULL AND doc_id = class_id AND text_hash <=> class_hash").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
-    stays = stored(stays.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "rows"), "kept")
-    same = lambda d, s: (d["doc_id"] == s["__id"]) & (F.hash(d["text"]) == s["__hash"])
-    one, several = stays.where("rows = 1"), stays.where("rows > 1")
-    kept = docs.join(one, same(docs, one), "left_semi")
-    return kept.unionByName(docs.join(several, same(docs, several), "left_semi").dropDuplicates(["doc_id", "text"])).unionByName(docs.where("doc_id IS NULL"))
+    found = stored(jaccard_join.near_duplicates(docs), "near-duplicates")
+    stays = F.col("class_id").isNull() | ((F.col("doc_id") == F.col("class_id")) & F.col("text_hash").eqNullSafe(F.col("class_hash")))
+    # documents that go, and those that repeat; all others need no join: the filter tells most of them apart
+    marked = found.groupBy("doc_id", "text_hash").agg(F.min(stays).alias("stays"), F.count("*").alias("rows")).where("doc_id IS NOT NULL AND (NOT stays OR rows > 1)")
+    marked = stored(marked.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays"), "marked")
+    key = F.col("doc_id").cast("bigint"), F.hash(F.col("text"))
+    may_go = F.coalesce(KeyFilter(marked, "__id", "__hash").may_hold(*key), F.lit(False))
+    perhaps = docs.where(may_go)
+    same = lambda d, m: (d["doc_id"].cast("bigint") == m["__id"]) & (F.hash(d["text"]) == m["__hash"])
+    kept = docs.where(~may_go).unionByName(perhaps.join(marked, same(perhaps, marked), "left_anti"))
+    repeated = marked.where("stays")
+    return kept.unionByName(perhaps.join(repeated, same(perhaps, repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold half of a benchmark item or more."""
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaks = leaks.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__id"]) & (F.hash(docs["text"]) == leaks["__hash"]), "left_anti")
+    leaks = stored(leaks.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "leaks")
+    key = F.col("doc_id").cast("bigint"), F.hash(F.col("text"))
+    may_go = KeyFilter(leaks, "__id", "__hash").may_hold(*key)
+    perhaps = docs.where(may_go)
+    gone = perhaps["doc_id"].cast("bigint").eqNullSafe(leaks["__id"]) & (F.hash(perhaps["text"]) == leaks["__hash"])
+    return docs.where(~may_go).unionByName(perhaps.join(leaks, gone, "left_anti"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind in place of each span of personal data; n_chars follows the text."""
-    found = pii.find_personal_data(docs.select(F.struct("*").alias("row"), F.col("text")), keep=("row",), redacted=True)
+    safe, names, text = _renamed(docs)
+    found = pii.find_personal_data(safe, keep=names, text=text, redacted=True)
     new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("bigint")}
-    return found.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
+    return found.select(*[new.get(c, F.col(n)).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
