@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, carried, fields_of, pieces, runs
+from .common import carried, fields_of, pieces, ranges, runs
 
 BITS = 16
 SMOOTHING = 0.1
@@ -29,10 +30,15 @@ ROUNDS = 12
 MOST_WORDS = 200_000
 
 
+def trigram(a, b, c):
+    """The slot of three code points, as numbers or arrays of them."""
+    return (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) % 0xFFFFFFFB & (1 << BITS) - 1
+
+
 def grams(word: str) -> list[int]:
-    """Hashed trigrams of a word in lower case between two marks."""
-    w = f"\x02{word.lower()}\x03"
-    return [(ord(a) * 0x9E3779B1 ^ ord(b) * 0x85EBCA6B ^ ord(c) * 0xC2B2AE35) % 0xFFFFFFFB & (1 << BITS) - 1 for a, b, c in zip(w, w[1:], w[2:])]
+    """Slots of the trigrams of a word in lower case between two marks."""
+    codes = [2, *map(ord, word.lower()), 3]
+    return [trigram(a, b, c) for a, b, c in zip(codes, codes[1:], codes[2:])]
 
 
 class Languages:
@@ -42,24 +48,37 @@ class Languages:
         self.names = names
         smooth = counts + SMOOTHING
         self.weights = np.log(smooth / smooth.sum(0)).astype(np.float32) if names else np.zeros((0, 0), np.float32)
-        self.rows, self.ids = np.zeros((1024, len(names)), np.float32), {}
-
-    def row(self, word: str) -> int:
-        """Row of a word's log likelihoods, or -1 for a word without letters."""
-        if not any(map(str.isalpha, word)):
-            return -1
-        n = self.ids["n"] = self.ids.get("n", -1) + 1
-        if n >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = self.weights[grams(word)].sum(0)
-        return n
-
-    def memo(self) -> Memo:
-        out = Memo(self.row, MOST_WORDS)
-        return out
-
-    def reset(self) -> None:
-        self.ids.clear()
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of words: their rows of log likelihoods, -1 for words without letters."""
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, len(self.names)), np.float32)
+
+    def learn(self, words: list[str]) -> None:
+        """Log likelihoods of words that are not known, all at once."""
+        kept = [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+        self.known.update(dict.fromkeys(words, -1))
+        self.known.update(zip(kept, range(len(self.rows), len(self.rows) + len(kept))))
+        if kept:
+            marked = [f"\x02{w.lower()}\x03" for w in kept]
+            sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+            code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            at = ranges(runs(sizes)[:-1], sizes - 2)
+            hashed = trigram(code[at], code[at + 1], code[at + 2])
+            self.rows = np.concatenate([self.rows, np.add.reduceat(self.weights[hashed], runs(sizes - 2)[:-1])])
+
+    def words_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the words of some texts, and how many each text has."""
+        words = [t.split() if t and self.names else [] for t in texts]
+        missing = set(chain.from_iterable(words)).difference(self.known)
+        if len(self.known) + len(missing) > MOST_WORDS:
+            self.forget()
+            missing = set(chain.from_iterable(words))
+        self.learn(list(missing))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])[at >= 0]
+        return at[at >= 0], owner
 
     def infer(self, loglik: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """Shares (documents x languages; 0 outside the chosen set) and the number of words of each document.
@@ -144,7 +163,7 @@ def train(documents: DataFrame, max_docs_per_language: int = 400, text: str = "t
     return Languages(names, counts)
 
 
-_MODELS: dict[str, tuple[Languages, Memo]] = {}
+_MODELS: dict[str, Languages] = {}
 
 
 def identify(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -162,27 +181,15 @@ def identify(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc
             _MODELS.clear()  # one model at a time stays in a worker
             own = Languages([], np.zeros((0, 0)))
             own.names, own.weights = shared.value
-            own.rows = np.zeros((1024, len(own.names)), np.float32)
-            _MODELS[key] = own, own.memo()
-        own, memo = _MODELS[key]
+            own.forget()
+            _MODELS[key] = own
+        own = _MODELS[key]
         k = len(own.names)
         for whole in batches:
             for batch in pieces(whole, read):
                 texts = batch.column(read).to_pylist()
-                rows, counts = [], []
-                for t in texts:
-                    words = t.split() if t and k else []
-                    if len(memo) + len(words) > MOST_WORDS:  # rows found so far are taken out before the memory is emptied
-                        rows = [own.rows[np.array(r, np.int64)] if isinstance(r, list) else r for r in rows]
-                        memo.clear()
-                        own.reset()
-                        memo.most = max(MOST_WORDS, len(words) + 1)
-                    got = [r for r in map(memo.__getitem__, words) if r >= 0]
-                    rows.append(got)
-                    counts.append(len(got))
-                flat = [own.rows[np.array(r, np.int64)] if isinstance(r, list) else r for r in rows]
-                loglik = np.concatenate(flat) if flat else np.zeros((0, k), np.float32)
-                shares, n = own.infer(loglik, np.repeat(np.arange(len(texts)), counts), len(texts))
+                at, owner = own.words_of(texts)
+                shares, n = own.infer(own.rows[at], owner, len(texts))
                 best = shares.argmax(1) if k else np.zeros(len(texts), int)
                 pred = [own.names[b] if c else "und" for b, c in zip(best, n)]
                 score = shares.max(1) if k else np.zeros(len(texts))

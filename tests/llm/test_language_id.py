@@ -32,13 +32,9 @@ def test_mixtures(spark):
 def test_small_memory_changes_nothing(spark, monkeypatch):
     model = op.train(labelled(spark))
     texts = [(i, " ".join(random.Random(i).choices(WORDS["en"] + WORDS["de"], k=40))) for i in range(20)]
-    import pyarrow as pa
-
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     usual = sorted(map(str, op.identify(docs, model).collect()))
     monkeypatch.setattr(op, "MOST_WORDS", 5)
-    own = op.Languages([], __import__("numpy").zeros((0, 0)))
-    assert pa is not None and own.names == []
     again = sorted(map(str, op.identify(docs.repartition(1), model).collect()))
     assert usual == again
 
@@ -56,3 +52,12 @@ def test_empty_tables(spark, no_documents, odd_documents):
     model = op.train(no_documents)
     assert {r.lang_pred for r in op.identify(odd_documents, model).collect()} == {"und"}
     assert op.identify(no_documents, model).count() == 0
+
+
+def test_words_learnt_together_equal_single_ones(spark):
+    model = op.train(labelled(spark))
+    words = ["the", "Straße", "x", "a1-é", "\x02\x03q", "und,", "12"]
+    model.learn(words)
+    for w in words[:-1]:
+        assert abs(model.rows[model.known[w]] - model.weights[op.grams(w)].sum(0)).max() < 1e-4
+    assert model.known["12"] == -1
