@@ -15,19 +15,30 @@ from pyspark.sql import functions as F
 LEVELS = (0.0, 0.25, 0.5, 0.75)
 
 
-def survival(tokens: Column, rho: Column, seed: int | None = None) -> Column:
+def _rank(t: Column, i: Column, seed: int | None) -> Column:
+    """What free words are picked by, least first: length and place in one number, or a hash."""
+    if seed is None:
+        return i.cast("bigint") - F.length(t["form"]) * (1 << 32)
+    return F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), i.cast("string"), t["form"])), i)
+
+
+def pick_order(tokens: Column, seed: int | None = None) -> Column:
+    """The ranks of the free words, ascending: computed once for all levels."""
+    free = F.transform(tokens, lambda t, i: F.when(t["is_word"] & ~t["is_protected"], _rank(t, i, seed)))
+    return F.array_sort(F.filter(free, lambda x: x.isNotNull()))
+
+
+def survival(tokens: Column, rho: Column, order: Column, seed: int | None = None) -> Column:
     """Which tokens a deletion at level rho leaves, as array<boolean>; everything runs within the row."""
-    order = (lambda t, i: F.struct(-F.length(t["form"]), i)) if seed is None else (lambda t, i: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), i.cast("string"), t["form"])), i))
-    free = F.filter(F.transform(tokens, lambda t, i: F.when(t["is_word"] & ~t["is_protected"], order(t, i))), lambda x: x.isNotNull())
-    n_kept = F.ceil((1 - rho) * F.size(free)).cast("int")
-    cut = F.try_element_at(F.array_sort(free), F.when(n_kept > 0, n_kept))
+    n_kept = F.ceil((1 - rho) * F.size(order)).cast("int")
+    cut = F.try_element_at(order, F.when(n_kept > 0, n_kept))
 
     def mask(row: Column) -> Column:
-        lives = lambda t, i: F.when(rho == 0, F.lit(True)).when(~t["is_word"], F.lit(False)).when(t["is_protected"], F.lit(True)).otherwise(F.coalesce(order(t, i) <= row["cut"], F.lit(False)))
-        return F.transform(row["tokens"], lives)
+        return F.transform(row["tokens"], lambda t, i: t["is_word"] & (t["is_protected"] | F.coalesce(_rank(t, i, seed) <= row["cut"], F.lit(False))))
 
     # the cut is a field of a single row's struct, so that it is computed once and not for each token
-    return F.element_at(F.transform(F.array(F.struct(tokens.alias("tokens"), cut.alias("cut"))), mask), 1)
+    found = F.element_at(F.transform(F.array(F.struct(tokens.alias("tokens"), cut.alias("cut"))), mask), 1)
+    return F.when(rho == 0, F.array_repeat(F.lit(True), F.size(tokens))).otherwise(found)
 
 
 def at_levels(df: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
@@ -35,9 +46,14 @@ def at_levels(df: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     return df.withColumn("rho", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
 
 
+def kept_tokens(tokens: Column, mask: Column) -> Column:
+    """The tokens that live, as field t. (A mask must not stand inside a lambda: it would be computed for each token.)"""
+    return F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda z: z["m"])
+
+
 def kept_text(tokens: Column, mask: Column) -> Column:
     """The tokens that live, joined by spaces."""
-    return F.array_join(F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda z: z["m"]), lambda z: z["t"]["form"]), " ")
+    return F.array_join(F.transform(kept_tokens(tokens, mask), lambda z: z["t"]["form"]), " ")
 
 
 def compress_with(df: DataFrame, make: Callable[[], Callable[[str, float], str]], text: str = "text", rate: str = "rate") -> DataFrame:

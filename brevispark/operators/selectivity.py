@@ -16,21 +16,20 @@ ADD_KEPT, ADD_ALL = 0.5, 1.0
 def counts(tokens: Column, mask: Column) -> dict[str, Column]:
     """Words and kept words by origin (n_core, n_red, e_core, e_red), and the same over free words (suffix _free)."""
     both = F.arrays_zip(tokens.alias("t"), mask.alias("m"))
-    size = lambda keep: F.size(F.filter(both, keep))
     out = {}
-    for suffix, free in (("", lambda z: F.lit(True)), ("_free", lambda z: ~z["t"]["is_protected"])):
+    for suffix, free in (("", False), ("_free", True)):
         for name, origin in (("core", CORE), ("red", REDUNDANT)):
-            out[f"n_{name}{suffix}"] = size(_of(origin, free))
-            out[f"e_{name}{suffix}"] = size(_kept(origin, free))
+            out[f"n_{name}{suffix}"] = F.size(F.filter(tokens, _belongs(origin, free)))
+            out[f"e_{name}{suffix}"] = F.size(F.filter(both, _lives(_belongs(origin, free))))
     return out
 
 
-def _of(origin: str, free):
-    return lambda z: z["t"]["is_word"] & (z["t"]["origin"] == origin) & free(z)
+def _belongs(origin: str, free: bool):
+    return lambda t: t["is_word"] & (t["origin"] == origin) & (~t["is_protected"] if free else F.lit(True))
 
 
-def _kept(origin: str, free):
-    return lambda z: z["t"]["is_word"] & (z["t"]["origin"] == origin) & z["m"] & free(z)
+def _lives(belongs):
+    return lambda z: z["m"] & belongs(z["t"])
 
 
 def rates(n_core: Column, n_red: Column, e_core: Column, e_red: Column) -> dict[str, Column]:

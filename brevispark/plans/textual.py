@@ -45,7 +45,8 @@ def labelled(spark, sf_dir):
 
 
 def survived(spark, sf_dir):
-    return C.at_levels(labelled(spark, sf_dir).select("doc_id", "lang", "tokens")).withColumn("mask", C.survival(F.col("tokens"), F.col("rho")))
+    ordered = labelled(spark, sf_dir).select("doc_id", "lang", "tokens").withColumn("order", C.pick_order(F.col("tokens")))
+    return C.at_levels(ordered).withColumn("mask", C.survival(F.col("tokens"), F.col("rho"), F.col("order"))).drop("order")
 
 
 def counted(spark, sf_dir):
@@ -105,7 +106,7 @@ def compress_surrogate(spark, sf_dir):
 def embed_positions(spark, sf_dir):
     """Compressed keys aligned with their origin from the left and the right; SQL has no linear form of it."""
     rows = survived(spark, sf_dir).where("rho = 0.5")
-    kept = F.transform(F.filter(F.arrays_zip(F.col("tokens").alias("t"), F.col("mask").alias("m")), lambda z: z["m"]), lambda z: z["t"]["key"])
+    kept = F.transform(C.kept_tokens(F.col("tokens"), F.col("mask")), lambda z: z["t"]["key"])
     found = A.align(rows, kept, F.transform("tokens", lambda t: t["key"]), ("doc_id",))
     return found.select("doc_id", "is_subsequence", "n_ambiguous", "n_unassigned", "n_left", "n_right")
 

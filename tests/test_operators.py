@@ -40,7 +40,7 @@ def test_rotating_pick(spark):
 def test_compression_and_rates(spark):
     df = spark.createDataFrame([(1, "Q: long longer 42 a,\nsmall words here A"), (2, ""), (3, None)], "doc_id int, text string")
     rows = C.at_levels(df.withColumn("tokens", W.labelled_tokens(W.segments_of_lines(F.col("text")))), (0.0, 0.5))
-    rows = rows.withColumn("mask", C.survival(F.col("tokens"), F.col("rho"))).withColumn("kept", C.kept_text(F.col("tokens"), F.col("mask")))
+    rows = rows.withColumn("mask", C.survival(F.col("tokens"), F.col("rho"), C.pick_order(F.col("tokens")))).withColumn("kept", C.kept_text(F.col("tokens"), F.col("mask")))
     got = {(r.doc_id, r.rho): r for r in rows.withColumns(R.counts(F.col("tokens"), F.col("mask"))).collect()}
     assert got[1, 0.5].kept == "Q longer 42 small words A" and got[1, 0.0].kept == "Q : long longer 42 a , small words here A"
     r = got[1, 0.5]
