@@ -28,9 +28,10 @@ def labelled_tokens(segments: Column) -> Column:
     """Segments as one array of tokens (form, key, is_word, is_digit, is_protected, section, origin, ord). Segments end at white
     space, so no token crosses one and no range join is needed."""
     def of(s: Column) -> Column:
-        return F.transform(T.tokens(s["text"]), lambda form: F.struct(
-            form.alias("form"), T.fold(form).alias("key"), T.is_word(form).alias("is_word"), T.has_digit(form).alias("is_digit"),
-            (T.is_word(form) & T.is_protected(form)).alias("is_protected"), s["section"].alias("section"), s["origin"].alias("origin"), s["ord"].alias("ord"),
+        seen = F.transform(T.tokens(s["text"]), lambda form: F.struct(form.alias("form"), T.is_word(form).alias("w"), T.has_digit(form).alias("d")))  # patterns run once
+        return F.transform(seen, lambda t: F.struct(
+            t["form"].alias("form"), T.fold(t["form"]).alias("key"), t["w"].alias("is_word"), t["d"].alias("is_digit"),
+            (t["w"] & (t["form"].isin(*T.PROTECTED_FORMS) | t["d"])).alias("is_protected"), s["section"].alias("section"), s["origin"].alias("origin"), s["ord"].alias("ord"),
         ))
 
     return F.flatten(F.transform(segments, of))

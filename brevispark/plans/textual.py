@@ -13,7 +13,7 @@ from brevispark.operators import prompts as P
 from brevispark.operators import selectivity as R
 from brevispark.operators import words as W
 
-from .study import Catalogue, r6, rounded, table
+from .study import Catalogue, rounded, spread, table
 
 CATALOGUE = Catalogue()
 
@@ -35,7 +35,7 @@ counts AS (SELECT doc_id, lang, rho, {', '.join(f"{_N(o, f + k)} AS {e}_{n}{s}"
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 def labelled(spark, sf_dir):
