@@ -18,6 +18,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), k=50))
 
 
+_WORDS = r"w AS (SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS ws FROM documents)"
+_OP1_SQL = f"""
+WITH {_WORDS}, starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w), k AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS seq FROM starts),
+firsts AS (SELECT seq, min(doc_id) AS m FROM k GROUP BY 1), hit AS (SELECT doc_id, i FROM k JOIN firsts USING (seq) WHERE m < doc_id), cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w), left_ AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t FROM words ANTI JOIN cov ON words.doc_id = cov.doc_id AND words.p = cov.p GROUP BY 1),
+gone AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY 1)
+SELECT w.doc_id, cast(len(ws) AS bigint) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN left_ USING (doc_id)"""
+
 #: The tokenizer of the SentencePiece query; its file is looked up where the tokenizers are installed.
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -54,7 +62,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5, recall=0.999)
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5, recall=0.999)
+    return found.select("doc_id", "class_id", "set_id", "n_copies", "n_links", "n_linked")
+
+
+_OP7_SQL = f"""
+WITH RECURSIVE {_WORDS},
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE ['', cast(doc_id AS varchar)] END AS k FROM w),
+cls AS (SELECT k, min(doc_id) AS rep, count(*) AS copies, len(k) AS n FROM s GROUP BY k), t AS (SELECT rep, n, copies, unnest(k) AS sh FROM cls WHERE k[1] <> ''),
+e AS (SELECT a.rep AS a, b.rep AS b, any_value(b.copies) AS copies FROM t a JOIN t b ON a.sh = b.sh AND a.rep <> b.rep GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+comp(rep, c) AS (SELECT rep, rep FROM cls UNION SELECT e.b, comp.c FROM comp JOIN e ON e.a = comp.rep), least_ AS (SELECT rep, min(c) AS class_id FROM comp GROUP BY 1),
+l AS (SELECT a AS rep, count(*) AS n_links, cast(sum(copies) AS bigint) AS n_linked FROM e GROUP BY 1)
+SELECT s.doc_id, class_id, cls.rep AS set_id, copies AS n_copies, coalesce(n_links, 0) AS n_links, coalesce(n_linked, 0) AS n_linked FROM s JOIN cls USING (k) JOIN least_ ON least_.rep = cls.rep LEFT JOIN l ON l.rep = cls.rep"""
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,4 +142,4 @@ SELECT page_id, {urn("concat_ws(chr(0), warc_type, refers_to)")} AS record_id, w
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_topk": op3_topk, "op4_license_scan": op4_license_scan, "op5_pii": op5_pii, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
-ORACLE_SQL = {"op3_topk": _OP3_SQL, "op9_url_filter": _op9_sql(), "op10_warc": _op10_sql()}
+ORACLE_SQL = {"op1_substring_dedup": _OP1_SQL, "op7_jaccard_join": _OP7_SQL, "op3_topk": _OP3_SQL, "op9_url_filter": _op9_sql(), "op10_warc": _op10_sql()}
