@@ -1,7 +1,7 @@
 """Text functions as columns: word tokens, counts, case folding, structure marks, phrases, normalisation, error classes.
 
 The character classes are spelled out, so that they mean the same in every engine and equal the Unicode rules of the
-reference: words are letters, numbers and underscores; white space is what Unicode calls so, and the four separators U+001C
+study: words are letters, numbers and underscores; white space is what Unicode calls so, and the four separators U+001C
 to U+001F. Exact case folding and NFKD have no built-in counterpart and are vectorised functions.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, IntegerType
 
-# The token rules of the reference.
+# The token rules of the study.
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_{SPACE}]"
