@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="brevispark-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -36,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and reads them back, so a lost executor loses nothing."""
+    """Cuts the lineage: writes the rows to the shared folder and reads them back, so a lost executor loses nothing. The files stay
+    until the folder is cleared, as the result may be read at any time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -117,6 +119,15 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     for a, b in ends:
         if b > a:
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that a worker no longer uses to the system: workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 #: Bits of a key filter; a longer key list saturates it, which costs speed but no row.
