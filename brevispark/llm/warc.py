@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 SCHEMA = "record_id string, warc_type string, target_uri string, warc_date string, headers array<struct<name:string,value:string>>, block string"
 #: Parts of a page that hold no text, and tags that end a line.
-HIDDEN = "(?is)<!--.*?-->" + "".join(rf"|<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "title"))
+HIDDEN = "(?is)<(?:!--.*?-->" + "".join(rf"|{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "title")) + ")"
 #: Runs of white space other than one space.
 WIDE = r"[ \t\r\n\f]*[\t\r\n\f][ \t\r\n\f]*|  +"
 BREAKS = r"(?i)<(?:br|/?p|/?div|/?li|/?ul|/?ol|/?h[1-6]|/?tr|/?table|/?article|/?section|/?nav|/?footer|/?header|/?blockquote|/?pre)\b[^>]*>"
