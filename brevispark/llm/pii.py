@@ -33,6 +33,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 WORDS = re.compile(r"\S+")
 SPANS = "array<struct<kind:string,start:int,end:int,source:string>>"
+#: Feature sets that a field remembers between batches; a batch adds its own on top.
+MOST_TYPES = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -130,20 +132,22 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves  # weights: (3, features, labels)
-        self.types: dict[tuple[str, ...], int] = {}
-        self.table = np.zeros((3, 256, len(KINDS) + 1))
+        self.most = MOST_TYPES
         self.memo = Memo(self.type_of, 150_000)
-        self.type_of("x")  # number 0: letters
+        self.forget()
         extra = moves - moves[0, 0]
         self.slack = max(0.0, float(extra.max()))
 
+    def forget(self) -> None:
+        """Empties the memory of types and words. Only between batches: numbers of types mean nothing afterwards."""
+        self.types: dict[tuple[str, ...], int] = {}
+        self.table = np.zeros((3, 256, len(KINDS) + 1))
+        self.memo.clear()
+        self.type_of("x")  # number 0: letters
+
     def type_of(self, word: str) -> int:
         seen = features(word)
         if seen not in self.types:
-            if len(self.types) >= 200_000:  # shapes are unbounded in principle; rare ones fall back to what their marks say
-                seen = ("mixed",)
-            if seen in self.types:
-                return self.types[seen]
             n = self.types[seen] = len(self.types)
             if n >= self.table.shape[1]:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
@@ -249,6 +253,8 @@ def train_field(lines: Sequence[Sequence[tuple[str, str]]], rounds: int = 120, r
 
 def crf_spans(texts: Sequence[str], field: Field, taken: Sequence[Sequence[tuple[int, int]]] | None = None) -> list[list[tuple[str, int, int]]]:
     """What the field finds in each text, edges trimmed of punctuation. Words that touch a span in `taken` end a line's sequence."""
+    if len(field.types) >= field.most:
+        field.forget()
     memo, flat, starts, owners = field.memo.__getitem__, [], [], []
     for i, text in enumerate(texts):
         begin = 0

@@ -52,6 +52,24 @@ def test_the_bound_changes_nothing():
     assert op.crf_spans(texts, field) == pruned
 
 
+def test_results_do_not_depend_on_shapes_seen_before():
+    from itertools import product
+
+    texts = ["call (555) 123-4567 now", "mail jo (at) sa (dot) com", "card 4111.1111.1111.1111 ok", "phone: 555.123.4567."]
+    fresh = op.train_field(op.labelled_lines())
+    full, tiny = (op.Field(fresh.names, fresh.weights, fresh.moves) for _ in range(2))
+    want = op.crf_spans(texts, fresh)
+    assert all(want)
+    for marks in product("#$&*=~^<>", repeat=6):  # 531,441 shapes, as of ids and code
+        if len(full.types) >= 200_001:
+            break
+        full.type_of("1" + "".join(marks) + "[")
+    assert op.crf_spans(texts, full) == want
+    assert len(full.types) < 1_000
+    tiny.most = 3
+    assert [op.crf_spans([t], tiny)[0] for t in [*texts, *texts]] == [*want, *want]
+
+
 def test_odd_rows_and_redaction(spark, odd_documents):
     mail = "write to anna.42@mail8.example.com or +1 (988) 555-2485, call (555) 123-4567 now\n42.144.35.254 and 4111 1111 1111 1111"
     df = odd_documents.unionByName(spark.createDataFrame([(99, mail)], "doc_id bigint, text string"), allowMissingColumns=True)
