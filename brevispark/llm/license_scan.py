@@ -4,7 +4,10 @@ Paragraphs are the lines of a text. A multinomial logistic regression over hashe
 from the templates below (whole, cut, embedded and perturbed) and from lines that are no notices, gives each line a licence
 family or `unknown`. Its temperature is set on held-out lines, and a family counts only above a confidence that at most
 `false_rate` of the held-out unknown lines reach. A prediction is confirmed when the line holds a template of the family, or
-lies within one, by shared word pairs; unconfirmed ones stay unknown.
+lies within one, by shared word pairs; unconfirmed ones stay unknown. Longer lines are also judged in overlapping windows, a
+half longer than each template, that cover the line; a window is confirmed when it holds a template. Windows with too few word
+pairs of any template could not be confirmed and are not scored. A line may have notices of several families; of predictions
+that rest on the same words, the one with most pairs of a template counts.
 
 Defined cases: null and empty texts have no paragraphs and no result; lines without a word are skipped. Ties between families
 go to the one listed first. Lines and texts of any length are read whole; repeated rows are scanned one by one; other
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, carried, fields_of, pieces
+from .common import Memo, carried, fields_of, pieces, ranges, runs
 
 # The notices by which licences are recognised.
 TEMPLATES = {
@@ -66,16 +69,17 @@ def slots(ids: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([scatter(ids), scatter(pair + 7)]), np.concatenate([line, line[:-1][with_next]])
 
 
-def pairs(tokens: list[str]) -> frozenset:
-    """Word pairs with both ends marked."""
-    return frozenset(zip(["^", *tokens], [*tokens, "$"])) if tokens else frozenset()
-
-
 class Classifier:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float, floor: float):
         self.weights, self.bias, self.temperature, self.floor = weights, bias, temperature, floor
         self.memo = Memo(word_id, 200_000)
-        self.templates = {k: [pairs(words(t)) for t in v] for k, v in TEMPLATES.items()}
+        self.cores = {k: [frozenset(zip(w, w[1:])) for w in map(words, v)] for k, v in TEMPLATES.items()}
+        sizes = {(len(words(t)), len(c)) for k, v in TEMPLATES.items() for t, c in zip(v, self.cores[k])}
+        self.lengths = {n: min(c for m, c in sizes if m == n) for n, _ in sizes}  # of templates in words, with the fewest pairs
+        self.marked = np.zeros(1 << BITS, bool)  # slots of the templates' word pairs
+        for template in (words(t) for v in TEMPLATES.values() for t in v):
+            ids = np.array([word_id(w) for w in template])
+            self.marked[slots(ids, np.zeros(len(ids), int))[0][len(ids) :]] = True
 
     def probabilities(self, ids: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
         """Of the families, for each of n lines; ids and line: words and their lines, ascending."""
@@ -97,16 +101,42 @@ class Classifier:
             self._used = np.abs(self.weights).max(1) > 0
         return self._used
 
-    def confirmed(self, family: str, line: str) -> float:
-        """How well a line agrees with the best template: the larger share of common word pairs, of the line or the template."""
-        own = pairs(words(line))
-        inner = frozenset(p for p in own if "^" not in p and "$" not in p)
-        best = 0.0
-        for t in self.templates[family]:
-            core = frozenset(p for p in t if "^" not in p and "$" not in p)
-            common = len(inner & core)
-            best = max(best, common / max(1, len(core)), common / max(1, len(inner)) if len(inner) >= 4 else 0.0)
-        return best
+    def confirmed(self, family: str, tokens: list[str], whole: bool = True) -> tuple[float, list[int]]:
+        """How well words agree with the best template: the share of the template's word pairs they hold or, for a whole line, the
+        larger of it and the share of their own pairs; and where the common pairs begin."""
+        own = list(zip(tokens, tokens[1:]))
+        inner = frozenset(own)
+        best, most, core = 0.0, 0, frozenset()
+        for t in self.cores[family]:
+            common = len(inner & t)
+            match = max(common / max(1, len(t)), common / max(1, len(inner)) if whole and len(inner) >= 4 else 0.0)
+            if (match, common) > (best, most):
+                best, most, core = match, common, t
+        return best, [i for i, p in enumerate(own) if p in core]
+
+    def windows(self, ids: np.ndarray, sizes: np.ndarray, agreement: float):
+        """Yields, for the whole lines and each template length, begins, lengths and lines of the windows that hold enough marked
+        pairs to be confirmed; ids: words of lines of the given sizes."""
+        first = runs(sizes)[:-1]
+        slot = slots(ids, np.repeat(np.arange(len(sizes)), sizes))[0][len(ids) :]
+        inside = np.ones(len(ids), bool)
+        inside[first[1:] - 1] = inside[-1] = False  # the last word of a line begins no pair
+        inside[inside] = self.marked[slot]
+        hits = runs(inside)
+        least = lambda pairs: int(np.ceil(agreement * pairs - 1e-9))
+        fewest = min(least(4), *map(least, self.lengths.values()))
+        lines = np.flatnonzero(hits[first + sizes] - hits[first] >= fewest)
+        yield first[lines], sizes[lines], lines
+        for n, core in sorted(self.lengths.items()):
+            width = n + max(2, n // 2)
+            stride = min(width - n, width // 2)
+            long = lines[sizes[lines] > width]
+            count = -(-(sizes[long] - width) // stride) + 1
+            line = np.repeat(long, count)
+            begin = first[line] + stride * ranges(np.zeros(len(long), np.int64), count)
+            length = np.minimum(width, first[line] + sizes[line] - begin)
+            enough = hits[begin + length] - hits[begin] >= least(core)
+            yield begin[enough], length[enough], line[enough]
 
 
 def labelled_lines(seed: int, copies: int) -> list[tuple[str, int]]:
@@ -196,16 +226,34 @@ def scan_texts(texts: Sequence[str | None], model: Classifier, agreement: float
         return out
     sizes = np.array([len(x) for x in ids], np.int64)
     flat = np.fromiter((w for x in ids for w in x), np.int64, int(sizes.sum()))
-    p = model.probabilities(flat, np.repeat(np.arange(len(ids)), sizes), len(ids))
-    best = p.argmax(1)
-    for j in np.flatnonzero((best > 0) & (p.max(1) >= model.floor)):
-        i, number = spots[j]
+    first = runs(sizes)
+    found: dict[int, list] = {}
+    split: dict[int, list[str]] = {}
+    for round_, (begin, length, line) in enumerate(model.windows(flat, sizes, agreement)):
+        if not len(begin):
+            continue
+        p = model.probabilities(flat[ranges(begin, length)], np.repeat(np.arange(len(begin)), length), len(begin))
+        best = p.argmax(1)
+        for j in np.flatnonzero((best > 0) & (p.max(1) >= model.floor)):
+            at = int(line[j])
+            if at not in split:
+                i, number = spots[at]
+                split[at] = words(texts[i].split("\n")[number])
+            a = int(begin[j] - first[at])
+            match, where = model.confirmed(FAMILIES[best[j]], split[at][a : a + int(length[j])], whole=round_ == 0)
+            if match >= agreement:
+                found.setdefault(at, []).append((len(where), match, float(p[j, best[j]]), int(best[j]), {a + x for x in where}))
+    for at in sorted(found):
+        i, number = spots[at]
         lines = texts[i].split("\n")
-        line, family = lines[number], FAMILIES[best[j]]
-        match = model.confirmed(family, line)
-        if match >= agreement:
-            begin = sum(map(len, lines[:number])) + number
-            out[i].append((number, begin, begin + len(line), family, float(p[j, best[j]]), match))
+        start = sum(map(len, lines[:number])) + number
+        taken: dict[int, tuple[set[int], float, float]] = {}
+        for _, match, probability, family, where in sorted(found[at], key=lambda x: (-x[0], -x[1], -x[2], x[3])):
+            if any(2 * len(where & own) > len(where) for other, (own, _, _) in taken.items() if other != family):
+                continue
+            own, *figures = taken.get(family, (set(), probability, match))
+            taken[family] = (own | where, *figures)
+        out[i] += [(number, start, start + len(lines[number]), FAMILIES[f], q, m) for f, (_, q, m) in sorted(taken.items())]
     return out
 
 

@@ -12,6 +12,25 @@ def test_held_out_lines():
     assert right >= 0.85 * len(known)
 
 
+def test_notices_inside_paragraphs():
+    import random
+
+    model, rnd = op.train(), random.Random(3)
+    plain = "the report of the town was read in the hall and a group of people asked for more time to see what the river had done".split()
+    for size in (50, 300, 5000):
+        for family, templates in op.TEMPLATES.items():
+            for template in templates:
+                body = [rnd.choice(plain) for _ in range(size)]
+                at = rnd.randint(0, size)
+                line = " ".join([*body[:at], template, *body[at:]])
+                assert [x[3] for x in op.scan_texts([line], model)[0]] == [family], (size, template)
+    body = [" ".join(rnd.choice(plain) for _ in range(400)) for _ in range(3)]
+    line = f"{body[0]} Released under the MIT License. {body[1]} All rights reserved. {body[2]}"
+    assert [x[:4] for x in op.scan_texts(["first\n" + line], model)[0]] == [(1, 6, 6 + len(line), "mit"), (1, 6, 6 + len(line), "reserved")]
+    assert [x[3] for x in op.scan_texts(["Released under the MIT License. All rights reserved."], model)[0]] == ["mit", "reserved"]
+    assert op.scan_texts([" ".join(body)], model) == [[]]
+
+
 def test_notices_in_documents(spark, odd_documents):
     text = "Some words.\nReleased under the MIT License.\n\nThe driver has a license.\nAll rights reserved."
     df = odd_documents.unionByName(spark.createDataFrame([(99, text)], "doc_id bigint, text string"), allowMissingColumns=True)
