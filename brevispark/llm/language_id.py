@@ -18,10 +18,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, fields_of, pieces, ranges, runs
+from .common import carried, fields_of, pieces, ranges, runs, stored
 
 BITS = 16
 SMOOTHING = 0.1
@@ -134,16 +134,33 @@ class Languages:
 
 
 def train(documents: DataFrame, max_docs_per_language: int = 400, text: str = "text", lang: str = "lang") -> Languages:
-    """Learns from documents with a text and a language: a sample of about `max_docs_per_language` documents of each, taken
-    by a hash of the text, so that the model is bounded and does not depend on the partitioning. Counts are summed by the
-    executors; at most 2^16 trigrams a language come to the driver."""
-    known = documents.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Learns from documents with a text and a language: the first `max_docs_per_language` different texts of each in the order
+    of a hash, once each, so that the model is bounded, depends neither on copies nor on the partitioning, and knows every
+    language that has a letter. Counts are summed by the executors; at most 2^16 trigrams a language come to the driver."""
+    known = documents.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    lettered = F.col("text").rlike(r"\p{L}")
+    distinct = stored(known.where(lettered).select("lang", "h").distinct(), "language-texts")
+    sizes = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
     if not names:
         return Languages([], np.zeros((0, 0)))
-    cut = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, max_docs_per_language / sizes[k]))])
-    sample = known.where((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000) < F.try_element_at(cut, F.col("lang")))
+    # twice as many as needed, and a few more: so few in each language that they can be ordered in one task
+    cut = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, (2 * max_docs_per_language + 100) / sizes[k]))])
+    order = F.pmod("h", F.lit(1 << 40))
+    few = distinct.where(order / F.lit(float(1 << 40)) < F.try_element_at(cut, F.col("lang")))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "h")) <= max_docs_per_language
+    drawn = few.select("lang", "h", first.alias("first")).where("first").select("lang", "h")
+
+    def once(batches):
+        seen = set()
+        for batch in batches:
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist()))
+            new = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+            if new:
+                yield batch.take(pa.array(new))
+
+    copies = known.join(F.broadcast(drawn), ["lang", "h"]).select("text", "lang", "h").mapInArrow(once, "text string, lang string, h long")
+    sample = copies.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -154,13 +171,14 @@ def train(documents: DataFrame, max_docs_per_language: int = 400, text: str = "t
                 own += np.bincount(flat, minlength=1 << BITS) if flat else 0
             for name, own in totals.items():
                 hit = np.flatnonzero(own)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(hit)), "gram": pa.array(hit), "n": pa.array(own[hit])})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(hit), pa.string()), "gram": pa.array(hit), "n": pa.array(own[hit])})
 
     rows = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((1 << BITS, len(names)))
     where = {name: i for i, name in enumerate(names)}
     counts[rows.column("gram").to_numpy(), [where[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
-    return Languages(names, counts)
+    taught = counts.any(0)
+    return Languages([n for n, t in zip(names, taught) if t], counts[:, taught])
 
 
 _MODELS: dict[str, Languages] = {}

@@ -39,6 +39,18 @@ def test_small_memory_changes_nothing(spark, monkeypatch):
     assert usual == again
 
 
+def test_copies_teach_once_and_every_language_is_taught(spark):
+    rows = [(f"und der nicht auch {w} eine sich werden schon", "de") for w in ("hier", "dort")] * 300
+    rows += [(" ".join(WORDS["fr"]), lang) for lang in ["fr"] * 900] + [("the and that with from this " + "x" * i, "en") for i in range(1, 60)] + [("12 34", "zz")] * 5
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for most in (1, 2, 10):
+        model, single = op.train(docs.repartition(7), most), op.train(docs.distinct(), most)
+        assert model.names == single.names == ["de", "en", "fr"]
+        assert (model.weights == single.weights).all()
+    one = docs.where("lang = 'fr'")
+    assert (op.train(one).weights == op.train(one.limit(1)).weights).all()
+
+
 def test_odd_rows(spark, odd_documents):
     model = op.train(odd_documents)
     rows = op.identify(odd_documents, model, keep=tuple(odd_documents.columns)).collect()
