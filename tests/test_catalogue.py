@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import os
 import pathlib
 import shutil
 import subprocess
@@ -49,9 +50,14 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_the_rest_works_without_the_corpus_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_the_rest_works_without_the_corpus_operators(tmp_path, pipeline):
+    """A copy of the whole repository without the two folders, with and without the pipeline's file: all that is left still imports,
+    and every remaining test is collected."""
     root = pathlib.Path(entry.__file__).parent
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
-    shutil.copytree(root / "brevispark", tmp_path / "brevispark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    gone = ["llm", "__pycache__", ".git", ".pytest_cache", *([] if pipeline else ["corpus_pipeline.py"])]
+    copy = shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(*gone))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={"PATH": "/usr/bin:/bin"})
+    env = {"PATH": os.environ["PATH"], "HOME": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests", "-p", "no:cacheprovider"], cwd=copy, check=True, timeout=300, env=env, stdout=subprocess.DEVNULL)
