@@ -6,8 +6,8 @@ the exact likelihood, from the small labelled table that `labelled_lines` builds
 batches. A line is skipped only where a bound proves that "other" throughout is its best labelling.
 
 Defined cases: a null text counts as empty; an empty text has no spans. Spans are code points, end exclusive. Words that a
-pattern has taken end the field's sequence, so spans never overlap and the patterns' stay as they are. Texts and lines of any length are scanned
-whole. Repeated rows are scanned one by one.
+pattern has taken end the field's sequence, so spans never overlap and the patterns' stay as they are. Texts, lines and words of
+any length are read whole. Repeated rows are scanned one by one.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 WORDS = re.compile(r"\S+")
 SPANS = "array<struct<kind:string,start:int,end:int,source:string>>"
-#: Feature sets that a field remembers between batches; a batch adds its own on top.
-MOST_TYPES = 200_000
+#: Types that a field remembers between batches, and words whose type it remembers; neither changes results.
+MOST_TYPES, MOST_WORDS = 200_000, 150_000
 
 
 def luhn(digits: str) -> bool:
@@ -117,8 +117,7 @@ def features(word: str) -> tuple[str, ...]:
     low = core.lower()
     if core.isalpha():
         return ("letters", f"cue={low}") if low in CUES else ("letters",)
-    parts = [f"d{min(len(p), 17)}" if p.isdigit() else "a" if p.isalpha() else p for p in SHAPE.findall(core)] if len(core) < 64 else ["long"]
-    shape = "".join(parts)
+    shape = "".join([f"d{min(len(p), 17)}" if p.isdigit() else "a" if p.isalpha() else p for p in SHAPE.findall(core)])
     digits = sum(map(str.isdigit, core))
     marks = "".join(sorted({c for c in core if not c.isalnum()}))[:6]
     if not digits and not any(c in core for c in "@()[]{}:"):
@@ -128,32 +127,31 @@ def features(word: str) -> tuple[str, ...]:
 
 
 class Field:
-    """Weights of a trained field. Types are distinct feature sets; `cur`, `before`, `after` score a type at offset 0, -1, +1."""
+    """Weights of a trained field. A type is the set of a word's features that carry weight, so there are only as many types as
+    the training table has combinations of features, whatever the texts hold. `table` scores types at offset 0, -1, +1."""
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves  # weights: (3, features, labels)
         self.most = MOST_TYPES
-        self.memo = Memo(self.type_of, 150_000)
+        self.memo = Memo(self.type_of, MOST_WORDS)
         self.forget()
         extra = moves - moves[0, 0]
         self.slack = max(0.0, float(extra.max()))
 
     def forget(self) -> None:
         """Empties the memory of types and words. Only between batches: numbers of types mean nothing afterwards."""
-        self.types: dict[tuple[str, ...], int] = {}
+        self.types: dict[tuple[int, ...], int] = {}
         self.table = np.zeros((3, 256, len(KINDS) + 1))
         self.memo.clear()
-        self.type_of("x")  # number 0: letters
 
     def type_of(self, word: str) -> int:
-        seen = features(word)
-        if seen not in self.types:
-            n = self.types[seen] = len(self.types)
+        ids = tuple(self.names[f] for f in features(word) if f in self.names)
+        if ids not in self.types:
+            n = self.types[ids] = len(self.types)
             if n >= self.table.shape[1]:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
-            ids = [self.names[f] for f in seen if f in self.names]
-            self.table[:, n] = self.weights[:, ids].sum(1)
-        return self.types[seen]
+            self.table[:, n] = self.weights[:, list(ids)].sum(1)
+        return self.types[ids]
 
     def emissions(self, types: np.ndarray) -> np.ndarray:
         """Scores (words x labels) of one or more lines; types hold -1 between lines."""
@@ -200,31 +198,33 @@ class Field:
         return out
 
 
-def train_field(lines: Sequence[Sequence[tuple[str, str]]], rounds: int = 120, rate: float = 0.3, decay: float = 0.002) -> Field:
-    """Maximises the regularised likelihood by adaptive gradient steps over all lines, with forward and backward sums."""
-    labels = ("other", *KINDS)
-    names: dict[str, int] = {}
-    for line in lines:
-        for word, _ in line:
-            for f in features(word):
-                names.setdefault(f, len(names))
-    n, longest, k = len(lines), max(map(len, lines)), len(labels)
-    types: dict[tuple[str, ...], int] = {}
-    grid, gold = np.full((n, longest + 2), -1), np.zeros((n, longest), int)
-    for i, line in enumerate(lines):
-        for t, (word, label) in enumerate(line):
-            grid[i, t + 1] = types.setdefault(features(word), len(types))
-            gold[i, t] = labels.index(label)
-    there = grid[:, 1:-1] >= 0
-    member = np.zeros((len(types), len(names)))
-    for seen, i in types.items():
-        member[i, [names[f] for f in seen]] = 1
-    weights, moves = np.zeros((3, len(names), k)), np.zeros((k, k))
-    square = [np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)]
-    sides = [grid[:, 1:-1], grid[:, :-2], grid[:, 2:]]
-    one = np.eye(k)
-    for _ in range(rounds):
-        table = np.concatenate([member @ weights, np.zeros((3, 1, k))], 1)
+class Likelihood:
+    """The regularised log likelihood of labelled lines and its gradient, by forward and backward sums over all lines at once."""
+
+    def __init__(self, lines: Sequence[Sequence[tuple[str, str]]], decay: float):
+        labels = ("other", *KINDS)
+        self.names: dict[str, int] = {}
+        for line in lines:
+            for word, _ in line:
+                for f in features(word):
+                    self.names.setdefault(f, len(self.names))
+        self.n, self.longest, self.k, self.decay = len(lines), max(map(len, lines)), len(labels), decay
+        types: dict[tuple[str, ...], int] = {}
+        grid, self.gold = np.full((self.n, self.longest + 2), -1), np.zeros((self.n, self.longest), int)
+        for i, line in enumerate(lines):
+            for t, (word, label) in enumerate(line):
+                grid[i, t + 1] = types.setdefault(features(word), len(types))
+                self.gold[i, t] = labels.index(label)
+        self.there = grid[:, 1:-1] >= 0
+        self.member = np.zeros((len(types), len(self.names)))
+        for seen, i in types.items():
+            self.member[i, [self.names[f] for f in seen]] = 1
+        self.sides = [grid[:, 1:-1], grid[:, :-2], grid[:, 2:]]
+
+    def at(self, weights: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value and both gradients at some weights."""
+        n, longest, k, there, sides = self.n, self.longest, self.k, self.there, self.sides
+        table = np.concatenate([self.member @ weights, np.zeros((3, 1, k))], 1)
         score = sum(table[s][sides[s]] for s in range(3))
         fwd, bwd = np.zeros((n, longest, k)), np.zeros((n, longest, k))
         lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
@@ -235,20 +235,31 @@ def train_field(lines: Sequence[Sequence[tuple[str, str]]], rounds: int = 120, r
             bwd[:, t] = np.where(there[:, t + 1, None], lse(moves[None] + (score[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
         z = lse(fwd[:, -1], 1)
         p = np.exp(fwd + bwd - z[:, None, None]) * there[:, :, None]
-        residual = (one[gold] * there[:, :, None]) - p
+        gold = np.eye(k)[self.gold] * there[:, :, None]
+        residual = gold - p
         grad = np.zeros_like(weights)
         for s in range(3):
-            at = np.zeros((len(types) + 1, k))
+            at = np.zeros((len(self.member) + 1, k))
             np.add.at(at, sides[s].ravel(), residual.reshape(-1, k))
-            grad[s] = member.T @ at[:-1]
+            grad[s] = self.member.T @ at[:-1]
         pair = np.exp(fwd[:, :-1, :, None] + moves + (score[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]) * there[:, 1:, None, None]
         seen = np.zeros((k, k))
-        np.add.at(seen, (gold[:, :-1][there[:, 1:]], gold[:, 1:][there[:, 1:]]), 1)
-        steps = [grad - decay * n * weights, seen - pair.sum((0, 1)) - decay * n * moves]
+        np.add.at(seen, (self.gold[:, :-1][there[:, 1:]], self.gold[:, 1:][there[:, 1:]]), 1)
+        value = (gold * score).sum() + (seen * moves).sum() - z.sum() - self.decay * n / 2 * ((weights**2).sum() + (moves**2).sum())
+        return float(value), grad - self.decay * n * weights, seen - pair.sum((0, 1)) - self.decay * n * moves
+
+
+def train_field(lines: Sequence[Sequence[tuple[str, str]]], rounds: int = 120, rate: float = 0.3, decay: float = 0.002) -> Field:
+    """Maximises the regularised likelihood by adaptive gradient steps over all lines."""
+    goal = Likelihood(lines, decay)
+    weights, moves = np.zeros((3, len(goal.names), goal.k)), np.zeros((goal.k, goal.k))
+    square = [np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)]
+    for _ in range(rounds):
+        _, *steps = goal.at(weights, moves)
         for value, step, total in zip((weights, moves), steps, square):
             total += step * step
             value += rate * step / np.sqrt(total)
-    return Field(names, weights, moves)
+    return Field(goal.names, weights, moves)
 
 
 def crf_spans(texts: Sequence[str], field: Field, taken: Sequence[Sequence[tuple[int, int]]] | None = None) -> list[list[tuple[str, int, int]]]:
