@@ -38,11 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back, so a lost executor loses nothing. The files stay
-    until the folder is cleared, as the result may be read at any time."""
+    until they are discarded or the folder is cleared, as the result may be read at any time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables made by `stored` that nothing reads any longer; others are left alone."""
+    for t in tables:
+        path = getattr(t, "stored_at", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,8 +10,17 @@ from .common import table
 
 #: Rules of the URL query, fixed by its contract.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: The block list of the URL query: domain names, each with its subdomains.
-BLOCKED = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
+#: The block list of the URL query: a table of domain names, each with its subdomains, made of these words by rule.
+BLOCKED_FIRST = "ads adult best big buy casino cash cheap click crypto daily deal easy fake fast free gold hot instant lucky mega money online pay poker prize quick rich safe spam super top track vip win x".split()
+BLOCKED_LAST = "bets bonus cards clicks club coins credit dates deals farm games gifts loans market money news offers pills play prizes profit sale shop slots spins store tickets track traffic win x zone".split()
+BLOCKED_ENDS = ("example.com", "example.net", "example.org")
+
+
+def blocked_names(spark: SparkSession) -> DataFrame:
+    """The block list as rows of `key`: first-last.end, for all words and ends."""
+    parts = [F.explode(F.array(*map(F.lit, words))) for words in (BLOCKED_FIRST, BLOCKED_LAST, BLOCKED_ENDS)]
+    rows = spark.range(1).select(parts[0].alias("a")).select("a", parts[1].alias("b")).select("a", "b", parts[2].alias("c"))
+    return rows.select(F.concat("a", F.lit("-"), "b", F.lit("."), "c").alias("key"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,14 +102,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED)
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, blocked_names(spark))
 
 
 def _op9_sql() -> str:
     rules = ", ".join(f"('{v}', '{t}', '{t.partition('/')[0]}', '/{t.partition('/')[2]}')" for v, t in URL_RULES)
-    listed = ", ".join(f"('{d}')" for d in BLOCKED)
+    first, last, ends = (f"(SELECT unnest({list(w)}) AS w)" for w in (BLOCKED_FIRST, BLOCKED_LAST, BLOCKED_ENDS))
     return f"""
-WITH rules(verdict, rule, rhost, rpath) AS (VALUES {rules}), listed(d) AS (VALUES {listed}),
+WITH rules(verdict, rule, rhost, rpath) AS (VALUES {rules}), listed AS (SELECT a.w || '-' || b.w || '.' || c.w AS d FROM {first} a, {last} b, {ends} c),
 parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 m AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM listed WHERE p.host = d OR ends_with(p.host, '.' || d)) THEN 'block' ELSE 'allow' END AS method_verdict,

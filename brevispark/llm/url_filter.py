@@ -3,28 +3,34 @@
 A cascade is a list of bit arrays. Level 0 encodes the listed keys; level 1 encodes those unlisted keys of the universe
 that level 0 lets through; level 2 the listed keys that level 1 lets through; and so on until a level lets no key of the
 other side through. A key of the universe belongs to the list exactly if the first level that lacks it has an odd number.
-Everything runs as DataFrame expressions: the bit arrays are constants of the plan and no row is joined.
+Everything runs as DataFrame expressions: the bit arrays are constants of the plan and no row is joined. A list whose bits
+would outgrow a plan is dealt by key hash into shards with a cascade each; rows are judged by one shard after the other.
 
-Keys are domain names: a host's keys are the host itself and each of its parent domains.
+Keys are domain names. A host's keys are its endings of as many labels as some listed name has: no other ending can be listed.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and has no keys (allowed).
-Repeated rows are judged one by one. An empty table gives an empty result. Other columns of the input are not looked at.
+Repeated rows are judged one by one. An empty table or list gives an empty or all-allowed result. Hosts of any length and
+number of labels are read whole, in memory that grows with the listed names, not with the square of the host. Other columns of
+the input are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Bits of one level that may stand in a plan (4 MB); a longer list is joined instead.
+#: Bits of the first level of one shard (4 MB in the plan); later levels are smaller.
 MOST_BITS = 1 << 25
 MOST_LEVELS = 64
+#: Bits per key of later levels, and the fewest of the first.
+LATER_BITS, FIRST_BITS = 6, 8
 
 
 def host_of(url: Column) -> Column:
@@ -45,11 +51,16 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def keys_of(host: Column) -> Column:
-    """The host and its parent domains, at most 127 by the rules of DNS; no key for an empty host."""
-    labels = F.split(host, r"\.")
-    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.filter(names, lambda k: k != "")
+def n_labels(name: Column) -> Column:
+    return F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
+
+
+def keys_of(host: Column, depths: Sequence[int]) -> Column:
+    """The host's endings of so many labels; none for an empty host."""
+    if not depths:
+        return F.array().cast("array<string>")
+    ending = lambda d: F.when((host != "") & (n_labels(host) >= d), F.call_function("substring_index", host, F.lit("."), -d))
+    return F.filter(F.transform(F.array(*map(F.lit, depths)), ending), lambda k: k.isNotNull() & (k != ""))
 
 
 def _bit(key: Column, level: int, j: int, bits: int) -> Column:
@@ -89,11 +100,14 @@ class Cascade:
         return sum(bits for _, bits, _ in self.levels)
 
 
-def build_cascade(universe: DataFrame, bits_per_key: tuple[int, int] = (12, 3)) -> Cascade | None:
-    """universe: distinct (key, listed boolean). Returns None when a level would pass MOST_BITS.
+def bits_of(n_listed: int, n_unlisted: int) -> int:
+    """Bits per key of the first level: so many that it lets through about as many unlisted keys as there are listed ones."""
+    return max(FIRST_BITS, math.ceil(1.44 * math.log2(max(1.0, n_unlisted / max(1, n_listed)))))
 
-    bits_per_key: of level 0 and of later levels. Each level costs one scan of the universe; only its bits come to the driver.
-    """
+
+def build_cascade(universe: DataFrame, bits_per_key: tuple[int, int] = (12, LATER_BITS)) -> Cascade:
+    """universe: distinct (key, listed boolean). bits_per_key: of level 0 and of later levels. Each level costs two scans of the
+    universe; only its bits come to the driver, as at most bits / 64 rows."""
     cascade = Cascade([])
     for level in range(MOST_LEVELS):
         side = universe.where((F.col("listed") == F.lit(level % 2 == 0)) & cascade.passes(F.col("key")))
@@ -102,16 +116,22 @@ def build_cascade(universe: DataFrame, bits_per_key: tuple[int, int] = (12, 3))
             return cascade
         per_key = bits_per_key[min(level, 1)]
         bits = max(64, -(-n * per_key // 64) * 64)
-        if bits > MOST_BITS:
-            return None
         hashes = max(1, round(0.69 * per_key))
         at = side.select(F.explode(F.array(*[_bit(F.col("key"), level, j, bits) for j in range(hashes)])).alias("at"))
         word = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits"))
-        filled = {r.word: r.bits for r in word.collect()}  # at most MOST_BITS / 64 rows
+        filled = {r.word: r.bits for r in word.collect()}
         cascade.levels.append((",".join(str(filled.get(i, 0)) for i in range(bits // 64)), bits, hashes))
     raise RuntimeError("the cascade did not end: keys of both sides share all hashes")
 
 
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards))
+
+
+def _within_shard(shard: int, shards: int):
+    return lambda key: shard_of(key, shards) == shard
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: DataFrame | Iterable[str], url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """Judges every url. listed: blocked domain names, as rows of a column `key` or as a short list of strings.
 
@@ -119,19 +139,27 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: Data
     host or a parent domain is listed, else allow) and method_verdict (by the cascade alone).
     """
     spark = pages.sparkSession
-    hosts = pages.select(host_of(F.col(url)).alias("host")).distinct()
-    keys = hosts.select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
     if not isinstance(listed, DataFrame):
         listed = spark.createDataFrame([(k,) for k in sorted({*listed})], "key string")
-    marks = listed.select(F.translate("key", UPPER, LOWER).alias("key")).where("key IS NOT NULL").distinct().withColumn("listed", F.lit(True))
+    marks = listed.select(F.translate("key", UPPER, LOWER).alias("key")).where("key IS NOT NULL AND key <> ''").distinct()
+    marks = stored(marks.withColumn("listed", F.lit(True)), "url-list")
+    # names of n different depths hold n * n / 2 labels at least, so there are few; by the rules of DNS at most 127
+    depths = sorted(r.n for r in marks.select(n_labels(F.col("key")).alias("n")).distinct().collect())
+    hosts = pages.select(host_of(F.col(url)).alias("host")).distinct()
+    keys = hosts.select(F.explode(keys_of(F.col("host"), depths)).alias("key")).distinct()
     universe = stored(keys.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "url-keys")
-    judged = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    cascade = build_cascade(universe)
-    if cascade is None:  # the list outgrows a plan's constants: hosts are joined instead
-        blocked = hosts.select("host", F.explode(keys_of(F.col("host"))).alias("key")).join(universe.where("listed"), "key", "left_semi").select("host").distinct().withColumn("hit", F.lit(True))
-        judged = judged.join(blocked, "host", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    else:
-        judged = judged.withColumn("hit", F.exists(keys_of(F.col("host")), cascade.listed))
+    size = universe.agg(F.count_if("listed").alias("listed"), F.count_if(~F.col("listed")).alias("unlisted")).first()
+    per_key = bits_of(size.listed, size.unlisted)
+    shards = max(1, -(-size.listed * per_key // MOST_BITS))
+    judged = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.lit(False).alias("hit"))
+    for shard in range(shards):
+        cascade = build_cascade(universe.where(shard_of(F.col("key"), shards) == shard), (per_key, LATER_BITS))
+        mine = keys_of(F.col("host"), depths) if shards == 1 else F.filter(keys_of(F.col("host"), depths), _within_shard(shard, shards))
+        before, judged = judged, judged.withColumn("hit", F.col("hit") | F.exists(mine, cascade.listed))
+        if shard < shards - 1:
+            judged = stored(judged, "url-judged")
+            discard(before)
+    discard(marks, universe)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), method.alias("method_verdict"))
+    return judged.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), method.alias("method_verdict"))

@@ -26,12 +26,30 @@ def plain(url, listed):
     return host, path, best and best[1], best[0] if best else method
 
 
-@pytest.mark.parametrize("most_bits", [1 << 25, 1])
+@pytest.mark.parametrize("most_bits", [1 << 25, 16])
 def test_equals_plain_rules(spark, monkeypatch, most_bits):
     monkeypatch.setattr(op, "MOST_BITS", most_bits)
-    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id bigint, url string").selectExpr("page_id", "url", "'x' AS host", "1 AS verdict")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in op.filter_urls(pages, URL_RULES, ["bad.net", "absent.org"]).collect()}
-    assert got == {i: plain(u, ["bad.net"]) for i, u in enumerate(URLS)}
+    listed = ["bad.net", "absent.org", "y://z", "a.b.c.d", "com"]
+    urls = [*URLS, "http://1.a.b.c.d/", "http://b.c.d", "http://.com/x", "http://com./x", *URLS]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").selectExpr("page_id", "url", "'x' AS host", "1 AS verdict", "true AS hit", "'k' AS k0")
+    found = op.filter_urls(pages, URL_RULES, listed, keep=("page_id", "k0"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found.collect()}
+    assert got == {i: plain(u, listed) for i, u in enumerate(urls)} and found.columns[:2] == ["page_id", "k0"]
+
+
+def test_a_list_of_thousands_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(op, "MOST_BITS", 1 << 14)  # some five shards
+    listed = spark.range(8000).selectExpr("concat('bad', id, '.example') AS key")
+    pages = spark.range(12000).selectExpr("id AS page_id", "concat('http://w', id % 3, IF(id % 2 = 0, '.bad', '.good'), id, '.example/') AS url")
+    got = op.filter_urls(pages, [], listed)
+    assert got.where("(verdict = 'block') <> (page_id % 2 = 0 AND page_id < 8000)").count() == 0 and got.count() == 12000
+
+
+def test_a_host_of_very_many_labels(spark):
+    host = "a." * 100_000 + "bad.net"
+    pages = spark.createDataFrame([(1, f"http://{host}/x"), (2, f"http://{host}x/"), (3, "http://" + "." * 100_000)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in op.filter_urls(pages, URL_RULES, ["bad.net", "x.y.z"]).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
 
 
 def test_a_cascade_is_exact_over_its_universe(spark):
