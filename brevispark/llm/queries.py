@@ -129,9 +129,15 @@ def _op10_sql() -> str:
     crlf = "chr(13) || chr(10)"
 
     def entities(text: str) -> str:
-        for name, char in warc.NAMED:
-            text = f"replace({text}, {q(name)}, {q(char)})"
-        return text
+        code = "regexp_extract(p, '^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});', 1)"
+        number = f"CASE WHEN {code} = '' THEN 0 WHEN starts_with({code}, 'x') THEN cast('0x' || substr({code}, 2) AS integer) ELSE cast({code} AS integer) END"
+        char = f"CASE WHEN {number} = 38 THEN '&amp;' ELSE chr({number}) END"
+        numbered = f"CASE WHEN {number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343 THEN {char} || substr(p, length({code}) + 2) ELSE '&#' || p END"
+        name = f"regexp_extract(p, '{warc.REFERENCE}', 1)"
+        known = "MAP {" + ", ".join(f"{q(n)}: {q(c)}" for n, c in warc.NAMED.items()) + "}"
+        named = f"coalesce(({known})[{name}] || substr(p, length({name}) + 2), '&' || p)"
+        each = lambda mark, of: f"(SELECT x[1] || array_to_string(list_transform(x[2:], lambda p: {of}), '') FROM (SELECT string_split(t, '{mark}') AS x))"
+        return f"(SELECT replace({each('&', named)}, '&amp;', '&') FROM (SELECT {each('&#', numbered)} AS t FROM (SELECT {text} AS t)))"
 
     body = f"regexp_replace(regexp_replace(html, {q(warc.HIDDEN)}, ' ', 'g'), {q(warc.WIDE)}, ' ', 'g')"
     body = entities(f"regexp_replace(regexp_replace({body}, {q(warc.BREAKS)}, chr(10), 'g'), {q(warc.TAG)}, '', 'g')")

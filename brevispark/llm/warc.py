@@ -1,8 +1,12 @@
 """WARC derivatives: each response record gives a linked metadata record and a plain-text conversion record.
 
-Records are rows: record_id, warc_type, target_uri, warc_date, headers (the other named fields, in order), block. Record
+Records are rows: record_id, warc_type, target_uri, warc_date, headers (the other named fields, in order), block (bytes). Record
 ids of derivatives follow from the source id and the type, so a run that is repeated, or a task that is retried, gives the
-same records. Digests are `sha256:` and lowercase hex of the bytes.
+same records. Digests are `sha256:` and lowercase hex of the bytes, those of a source's payload before any decoding.
+
+Payloads are read as UTF-8, or as ISO-8859-1 where the Content-Type line says so (also for its superset windows-1252); bytes
+that are not valid UTF-8 count as U+FFFD in titles and texts, in no digest. Other encodings and compressed payloads are read as
+they lie. Named character references are those of HTML5 with their semicolon; a reference is decoded once.
 
 Defined cases: a response without an empty line has only HTTP headers and an empty payload. A null block counts as empty, a
 null uri gives a record without that field, a null date likewise. Only rows of type ``response`` are converted; others are
@@ -11,19 +15,27 @@ left out. Repeated rows give repeated derivatives. Texts of any length stay whol
 
 from __future__ import annotations
 
+import gzip
+import html.entities
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-SCHEMA = "record_id string, warc_type string, target_uri string, warc_date string, headers array<struct<name:string,value:string>>, block string"
+SCHEMA = "record_id string, warc_type string, target_uri string, warc_date string, headers array<struct<name:string,value:string>>, block binary"
 #: Parts of a page that hold no text, and tags that end a line.
 HIDDEN = "(?is)<(?:!--.*?-->" + "".join(rf"|{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "title")) + ")"
 #: Runs of white space other than one space.
 WIDE = r"[ \t\r\n\f]*[\t\r\n\f][ \t\r\n\f]*|  +"
 BREAKS = r"(?i)<(?:br|/?p|/?div|/?li|/?ul|/?ol|/?h[1-6]|/?tr|/?table|/?article|/?section|/?nav|/?footer|/?header|/?blockquote|/?pre)\b[^>]*>"
 TAG = r"(?s)</?[a-zA-Z!][^>]*>"
-#: Named character references; the ampersand comes last.
-NAMED = (("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&apos;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+#: Named references by HTML5, without the mark and the semicolon; those for the ampersand give a reference, which goes last.
+NAMED = {n[:-1]: "&amp;" if c == "&" else c for n, c in html.entities.html5.items() if n.endswith(";") and n != "amp;"}
+#: The names met most, which are replaced without a search.
+COMMON = "nbsp copy reg middot hellip ndash mdash laquo raquo euro apos quot lt gt".split()
+REFERENCE = r"^([a-zA-Z][a-zA-Z0-9]*);"
 
 
 def urn(*parts: Column) -> Column:
@@ -32,25 +44,36 @@ def urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def digest(text: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+def digest(data: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(data, 256))
 
 
 def entities(text: Column) -> Column:
-    """Decodes named references and decimal or hexadecimal ones."""
+    """Decodes named references and decimal or hexadecimal ones, each once."""
     def numbered(part: Column) -> Column:
         code = F.regexp_extract(part, r"^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
         number = F.when(F.startswith(code, F.lit("x")), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(F.when(code != "", code)).cast("long")
         good = (code != "") & number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(F.lit(63))), 8, "0")), "UTF-32")
+        char = F.when(char == "&", "&amp;").otherwise(char)
         return F.when(good, F.concat(char, F.substr(part, F.length(code) + 2))).otherwise(F.concat(F.lit("&#"), part))
 
-    parts = F.split(text, "&#")
-    several = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), numbered), ""))
-    out = F.when(F.contains(text, F.lit("&#")), several).otherwise(text)
-    for name, char in NAMED:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    def named(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        known = F.str_to_map(F.lit("\x01".join(f"{n}\x02{c}" for n, c in NAMED.items())), F.lit("\x01"), F.lit("\x02"))  # one constant
+        char = F.when(name != "", F.try_element_at(known, name))
+        return F.when(char.isNotNull(), F.concat(char, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    def each(x: Column, mark: str, of) -> Column:
+        parts = F.split(x, mark)
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), of), ""))
+
+    out = F.when(F.contains(text, F.lit("&#")), each(text, "&#", numbered)).otherwise(text)
+    for name in COMMON:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(NAMED[name]))
+    # what is left but the ampersand's own: few pages have any
+    out = F.when(F.rlike(F.replace(out, F.lit("&amp;"), F.lit("")), F.lit("&[a-zA-Z][a-zA-Z0-9]*;")), each(out, "&", named)).otherwise(out)
+    return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -70,14 +93,20 @@ def responses(pages: DataFrame, date: str = "2026-01-01T00:00:00Z", url: str = "
         urn(F.lit("response"), F.coalesce(F.col(page_id).cast("string"), F.lit("")), F.coalesce(F.col(url), F.lit("")), F.sha2(body, 256)).alias("record_id"),
         F.lit("response").alias("warc_type"), F.col(url).alias("target_uri"), F.lit(date).alias("warc_date"),
         F.array(named("WARC-Payload-Digest", digest(body)), named("Content-Type", F.lit("application/http; msgtype=response"))).alias("headers"),
-        block.alias("block"),
+        block.cast("binary").alias("block"),
     )
 
 
 def _split(block: Column) -> tuple[Column, Column]:
-    """HTTP head and payload of a response block."""
-    at = F.instr(block, CRLF * 2)
-    return F.when(at > 0, F.substr(block, F.lit(1), at - 1)).otherwise(block), F.when(at > 0, F.substr(block, at + 4)).otherwise(F.lit(""))
+    """HTTP head (text) and payload (bytes) of a response block; the search for the empty line goes by bytes."""
+    head = F.substring_index(block.cast("string"), CRLF * 2, 1)
+    return F.make_valid_utf8(head), F.substr(block, F.octet_length(head) + 5)
+
+
+def _text_of(payload: Column, head: Column) -> Column:
+    """A payload as text."""
+    latin = F.rlike(head, F.lit(r"(?im)^content-type:[^\n]*charset=[\"']?(?:iso-8859-1|latin-?1|windows-1252|cp1252)\b"))
+    return F.when(latin, F.decode(payload, "ISO-8859-1")).otherwise(F.make_valid_utf8(payload.cast("string")))
 
 
 def derivatives(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -87,10 +116,11 @@ def derivatives(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     source_digest (of the source's payload as computed), digest_ok (agrees with the source's own field; null without one),
     source_headers (the source's HTTP header lines, unchanged) and block.
     """
-    source = records.where(F.col("warc_type") == "response").withColumn("_block", F.coalesce(F.col("block"), F.lit("")))
+    source = records.where(F.col("warc_type") == "response").withColumn("_block", F.coalesce(F.col("block").cast("binary"), F.lit(b"")))
     head, payload = _split(F.col("_block"))
-    source = source.select(*keep, "record_id", "target_uri", "warc_date", head.alias("_head"), payload.alias("_html"), F.try_element_at(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "warc-payload-digest"), lambda h: h["value"]), F.lit(1)).alias("_said"))
-    source = source.withColumn("_digest", digest(F.col("_html"))).withColumn("_text", plain_text(F.col("_html")))
+    source = source.select(*keep, "record_id", "target_uri", "warc_date", head.alias("_head"), payload.alias("_bytes"), F.try_element_at(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "warc-payload-digest"), lambda h: h["value"]), F.lit(1)).alias("_said"))
+    source = source.withColumn("_digest", digest(F.col("_bytes"))).withColumn("_html", _text_of(F.col("_bytes"), F.col("_head"))).drop("_bytes")
+    source = source.withColumn("_text", plain_text(F.col("_html")))
     title = entities(F.trim(F.regexp_replace(F.regexp_extract("_html", r"(?is)<title\b[^>]*>(.*?)</title", 1), r"[ \t\r\n\f]+", " ")))
     fields = F.concat(
         F.lit("refers-to: "), F.col("record_id"), F.lit(f"{CRLF}payload-digest: "), F.col("_digest"), F.lit(f"{CRLF}title: "), title,
@@ -121,43 +151,88 @@ def serialised(derived: DataFrame) -> DataFrame:
     ).alias("value"))
 
 
+#: A gzip member that holds nothing: it stands between records, where Spark's text writer puts its line separator.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+
+
 def write_warc(derived: DataFrame, path: str) -> None:
-    """One compressed archive file per partition, written by Spark's own committer."""
-    serialised(derived).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
-
-
-def parse_archive(data: bytes):
-    """The records of an archive's bytes as rows of SCHEMA, by Content-Length (bodies may hold anything)."""
-    at = 0
-    while (start := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        lines = data[start:end].decode("utf-8", "replace").split(CRLF)[1:]
+    """Archive files, one per partition, written by Spark's own committer. Each record is a gzip member of its own, as archive
+    readers need it to seek."""
+    def members(batches):
+        for batch in batches:
+            packed = [gzip.compress(v + b"\r\n\r\n", mtime=0) for v in batch.column("value").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+
+    out = serialised(derived).mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
+    out.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+
+
+def inflated(data: bytes, step: int = 1 << 20):
+    """The content of plain or gzip bytes (any number of members) in steps of bounded size."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at, engine = 0, zlib.decompressobj(31)
+    rest = memoryview(data)
+    while at < len(rest):
+        out = engine.decompress(rest[at : at + step], step)
+        at += min(step, len(rest) - at) - len(engine.unconsumed_tail) - len(engine.unused_data)
+        if out:
+            yield out
+        if engine.eof:
+            engine = zlib.decompressobj(31)
+            if bytes(rest[at : at + 2]) != b"\x1f\x8b":  # padding after the last member
+                return
+
+
+def parse_archive(parts):
+    """The records of an archive as rows of SCHEMA, by Content-Length (bodies may hold anything). parts: its bytes in steps; no
+    more than one record and a step is held."""
+    held, parts = bytearray(), iter(parts)
+
+    def more() -> bool:
+        piece = next(parts, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (start := held.find(b"WARC/1.")) < 0:
+            del held[: max(0, len(held) - 6)]
+            if not more():
+                return
+        del held[:start]
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                return
+        lines = bytes(held[:end]).decode("utf-8", "replace").split(CRLF)[1:]
         fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines) if k.strip()]
         low = {k.lower(): v for k, v in fields}
-        n = int(low.get("content-length", "0") or 0)
-        block = data[end + 4 : end + 4 + n].decode("utf-8", "replace")
+        said = low.get("content-length", "0")
+        n = int(said) if said.isascii() and said.isdigit() else 0
+        while len(held) < end + 4 + n and more():
+            pass
         known = {"warc-type", "warc-record-id", "warc-target-uri", "warc-date"}
-        yield low.get("warc-record-id"), low.get("warc-type"), low.get("warc-target-uri"), low.get("warc-date"), [(k, v) for k, v in fields if k.lower() not in known], block
-        at = end + 4 + n
+        yield low.get("warc-record-id"), low.get("warc-type"), low.get("warc-target-uri"), low.get("warc-date"), [{"name": k, "value": v} for k, v in fields if k.lower() not in known], bytes(held[end + 4 : end + 4 + n])
+        del held[: end + 4 + n]
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Archives (plain or gzip) as records; a file is read whole by one task, so archives should stay near 1 GB as is usual."""
-    def parse(batches):
-        import gzip
-
-        import pyarrow as pa
+    """Archives (plain or gzip) as records. A file is read by one task, which holds its compressed bytes (2 GB at most, by Spark's
+    reader; archives are near 1 GB as is usual) and one record at a time, however far it inflates."""
+    names = ("record_id", "warc_type", "target_uri", "warc_date", "headers", "block")
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary())
 
+    def parse(batches):
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = list(parse_archive(data))
-                names = ("record_id", "warc_type", "target_uri", "warc_date", "headers", "block")
-                kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.string())
-                columns = list(zip(*rows)) if rows else [()] * 6
-                columns[4] = tuple([{"name": k, "value": v} for k, v in h] for h in columns[4])
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=list(names))
+            for content in batch.column("content"):
+                rows, held = [], 0
+                for row in parse_archive(inflated(content.as_py())):
+                    rows.append(row)
+                    held += len(row[5])
+                    if held > 1 << 24 or len(rows) >= 1024:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=list(names))
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=list(names))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, SCHEMA)
