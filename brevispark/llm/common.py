@@ -61,17 +61,18 @@ def discard(*tables: DataFrame | None) -> None:
 LEAST_PART, MOST_PARTS = 512, 4096
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, by: Sequence[str]) -> DataFrame:
-    """Inner join on one key, for keys of any heat. right: few rows a key, with `count`, the number of left's rows of that key (a
-    stored table: it is read several times). A key with more rows than one part is dealt by a hash of the columns `by` over several
-    tasks, and right's rows go to each of them. A part holds at least 1/4096 of all rows, so fewer than 4096 keys are dealt: that
-    bounds both the list of them, which is broadcast, and the rows that are repeated."""
+def spread_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], count: str, by: Sequence[str]) -> DataFrame:
+    """Inner join, for keys of any heat. right: few rows a key, with `count`, the number of left's rows of that key (a stored table:
+    it is read several times). A key with more rows than one part is dealt by a hash of the columns `by` over several tasks, and
+    right's rows go to each of them. A part holds at least 1/4096 of all rows, so fewer than 4096 keys are dealt: that bounds both
+    the list of them, which is broadcast, and the rows that are repeated."""
+    keys = [key] if isinstance(key, str) else list(key)
     total = right.agg(F.sum(count)).first()[0] or 0
     part = max(LEAST_PART, -(-total // MOST_PARTS))
     parts = F.greatest(F.lit(1), F.ceil(F.col(count) / part)).cast("int")
-    hot = right.where(F.col(count) > part).groupBy(key).agg(F.max(parts).alias("_parts"))
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))), [key, "_part"]).drop("_part")
+    hot = right.where(F.col(count) > part).groupBy(*keys).agg(F.max(parts).alias("_parts"))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))), [*keys, "_part"]).drop("_part")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, spread_join, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """The least neighbour of each node, with the number of its edges: the hub of a large component is dealt over several tasks."""
+    return stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "components-least")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,8 +25,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return now
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        nearest = _least(both)
+        large = spread_join(both, nearest, "u", "n", ["v"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = stored(large.distinct(), "components-large")
         least = _least(large)
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = stored(small.distinct(), "components")
+        small = spread_join(large, least, "u", "n", ["v"]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        last, now = now, stored(small.distinct(), "components")
+        discard(last, nearest, large, least)
     raise RuntimeError("components did not settle")

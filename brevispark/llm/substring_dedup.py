@@ -5,7 +5,7 @@ document with a smaller id goes. Equal windows have the same minimiser, the leas
 windows with one minimiser travel together as a super-k-mer, a packed string, to the bucket of that minimiser.
 
 1. Documents give their super-k-mers as (minimiser, digest of the packed words, place). Minimisers seen in one document only
-   cannot hold a repeat; the rest stay.
+   cannot hold a repeat; the rest stay. Hot minimisers and strings are dealt over several tasks in every join.
 2. Equal packed strings are one row with their first document (summed before they are shuffled, so thousands of copies are
    one row). A bucket with a single string needs no comparison; for others the strings themselves are fetched.
 3. Buckets are sorted window by window: words become numbers, and ranks of 1, 2, 4, ... words are combined until k, so
@@ -14,7 +14,8 @@ windows with one minimiser travel together as a super-k-mer, a packed string, to
    window instead: 128-bit window digests are grouped over the whole cluster. No bucket is capped or sampled.
 5. Answers go back to all places of a string; documents drop the words covered.
 
-Packed strings with equal 64-bit minimiser and 64-bit digest count as equal.
+Packed strings with equal 64-bit minimiser and equal 128-bit digest (of the words' hashes, in order) count as equal, as do
+windows with equal 128-bit digests in the buckets of step 4; in all others words are compared.
 
 Defined cases: a null text has no words. Rows with null doc_id keep all their words and are no source of repeats. Rows that
 share a doc_id never remove each other's words. Documents shorter than k words keep everything. Other columns are ignored.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, column_bytes, mix, pieces, ranges, runs, stored
+from .common import as_long, column_bytes, discard, mix, pieces, ranges, runs, spread_join, stored
 
 #: Windows of one super-k-mer at most; longer runs (a word repeated for pages) are split, which changes no result.
 LONGEST = 1024
@@ -102,13 +103,13 @@ def window_classes(words: list[bytes], sizes: np.ndarray, k: int) -> tuple[np.nd
     return position, rank
 
 
-def _answers(rows: list[tuple[int, int, int, bytes]], k: int) -> pa.RecordBatch:
-    """Bucket rows (minimiser, digest, first document, packed words): the least document of each window, as runs."""
-    words = [r[3].split() for r in rows]
+def _answers(rows: list[tuple[int, int, int, int, bytes]], k: int) -> pa.RecordBatch:
+    """Bucket rows (minimiser, digest in two halves, first document, packed words): the least document of each window, as runs."""
+    words = [r[4].split() for r in rows]
     sizes = np.array([len(w) for w in words], np.int64)
     position, number = window_classes(list(chain.from_iterable(words)), sizes, k)
     row = np.repeat(np.arange(len(rows)), np.maximum(sizes - k + 1, 0))
-    doc = np.array([r[2] for r in rows], np.int64)[row]
+    doc = np.array([r[3] for r in rows], np.int64)[row]
     least = np.full(int(number.max(initial=-1)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, number, doc)
     least = least[number]
@@ -120,10 +121,12 @@ def _answers(rows: list[tuple[int, int, int, bytes]], k: int) -> pa.RecordBatch:
     kind = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("doc", pa.int64())])
     spans = pa.StructArray.from_arrays([pa.array(offset[first].astype(np.int32)), pa.array((offset[last] + 1).astype(np.int32)), pa.array(least[first])], fields=list(kind))
     lists = pa.ListArray.from_arrays(pa.array(runs(np.bincount(row[first], minlength=len(rows))).astype(np.int32)), spans)
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), lists], names=["mkey", "pid", "runs"])
+    return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), lists], names=[*STRING, "runs"])
 
 
-RUNS = "mkey long, pid long, runs array<struct<a:int,b:int,doc:bigint>>"
+#: What tells packed strings apart: the minimiser and the two halves of their digest.
+STRING = ["mkey", "pid", "pid2"]
+RUNS = "mkey long, pid long, pid2 long, runs array<struct<a:int,b:int,doc:bigint>>"
 
 
 def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -139,19 +142,21 @@ def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 1_
                 h = word_hashes(list(chain.from_iterable(words)))
                 doc, start, n, least = super_kmers(h, sizes, k, m)
                 begin = runs(sizes)[doc] + start
-                pid = span_digests(h, begin, begin + n + k - 1, ROOTS[0])
-                columns = [as_long(least), as_long(pid), batch.column("doc_id").to_numpy()[doc], batch.column("text_hash").to_numpy()[doc], (start << 16) + n]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["mkey", "pid", "doc_id", "text_hash", "place"])
-
-    places = stored(known.mapInArrow(cut, "mkey long, pid long, doc_id long, text_hash int, place long"), "kmers")
-    repeated = places.groupBy("mkey").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mkey")
-    shared = stored(places.join(repeated, "mkey", "left_semi"), "kmers-shared")
-    strings = shared.groupBy("mkey", "pid").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"))
-    buckets = strings.groupBy("mkey").agg(F.count("*").alias("texts"), F.sum(F.col("first.place").bitwiseAND(0xFFFF) + (k - 1)).alias("words"))
-    strings = stored(strings.join(buckets, "mkey").select("mkey", "pid", "first.*", "texts", "words"), "kmer-strings")
-    alone = strings.where("texts = 1").select("mkey", "pid", F.array(F.struct(F.lit(0).alias("a"), F.col("place").bitwiseAND(0xFFFF).cast("int").alias("b"), F.col("doc_id").alias("doc"))).alias("runs"))
-
-    wanted = strings.where("texts > 1").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("mkey", "pid", "place", "words")).alias("wanted"))
+                pid, pid2 = (span_digests(mix(h + r), begin, begin + n + k - 1, r) for r in ROOTS)
+                columns = [as_long(least), as_long(pid), as_long(pid2), batch.column("doc_id").to_numpy()[doc], batch.column("text_hash").to_numpy()[doc], (start << 16) + n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*STRING, "doc_id", "text_hash", "place"])
+
+    places = stored(known.mapInArrow(cut, "mkey long, pid long, pid2 long, doc_id long, text_hash int, place long"), "kmers")
+    repeated = stored(places.groupBy("mkey").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("places")).where("lo < hi").select("mkey", "places"), "kmers-repeated")
+    shared = stored(spread_join(places, repeated, "mkey", "places", ["doc_id", "place"]).drop("places"), "kmers-shared")
+    strings = stored(shared.groupBy(*STRING).agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.count("*").alias("copies")), "kmer-first")
+    buckets = stored(strings.groupBy("mkey").agg(F.count("*").alias("texts"), F.sum(F.col("first.place").bitwiseAND(0xFFFF) + (k - 1)).alias("words")), "kmer-buckets")
+    first, strings = strings, stored(spread_join(strings, buckets, "mkey", "texts", ["pid"]).select(*STRING, "first.*", "copies", "texts", "words"), "kmer-strings")
+    discard(places, repeated, first, buckets)
+    whole = lambda rows: rows.select(*STRING, F.array(F.struct(F.lit(0).alias("a"), F.col("place").bitwiseAND(0xFFFF).cast("int").alias("b"), F.col("doc_id").alias("doc"))).alias("runs"))
+    alone = whole(strings.where("texts = 1"))
+
+    wanted = strings.where("texts > 1").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*STRING, "place", "words")).alias("wanted"))
     fetch = known.join(wanted, ["doc_id", "text_hash"])
 
     def pack(batches):
@@ -162,21 +167,21 @@ def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 1_
                     words = t.split()
                     for w in want:
                         a, n = w["place"] >> 16, w["place"] & 0xFFFF
-                        out.append((w["mkey"], w["pid"], d, w["words"], b" ".join(words[a : a + n + k - 1])))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(zip(*out) if out else [()] * 5, kinds)], names=["mkey", "pid", "doc_id", "words", "packed"])
+                        out.append((*(w[c] for c in STRING), d, w["words"], b" ".join(words[a : a + n + k - 1])))
+                kinds = (*[pa.int64()] * 5, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(zip(*out) if out else [()] * 6, kinds)], names=[*STRING, "doc_id", "words", "packed"])
 
-    packed = stored(fetch.select("doc_id", "text", "wanted").mapInArrow(pack, "mkey long, pid long, doc_id long, words long, packed binary"), "kmer-packed")
+    packed = stored(fetch.select("doc_id", "text", "wanted").mapInArrow(pack, "mkey long, pid long, pid2 long, doc_id long, words long, packed binary"), "kmer-packed")
 
     def sort(batches):
         rows, held = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("mkey", "pid", "doc_id", "packed"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*STRING, "doc_id", "packed"))):
                 if held > WORDS_AT_ONCE and row[0] != rows[-1][0]:  # only whole buckets
                     yield _answers(rows, k)
                     rows, held = [], 0
                 rows.append(row)
-                held += row[3].count(b" ") + 1
+                held += row[4].count(b" ") + 1
         if rows:
             yield _answers(rows, k)
 
@@ -191,28 +196,33 @@ def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 1_
                 n = np.maximum(sizes - k + 1, 0)
                 begin, row = ranges(runs(sizes)[:-1], n), np.repeat(np.arange(len(n)), n)
                 one, two = (as_long(span_digests(word_hashes(flat, seed), begin, begin + k, ROOTS[seed])) for seed in (0, 1))
-                columns = [one, two, *(part.column(c).to_numpy()[row] for c in ("mkey", "pid", "doc_id")), (begin - runs(sizes)[row]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "mkey", "pid", "doc_id", "a"])
+                columns = [one, two, *(part.column(c).to_numpy()[row] for c in (*STRING, "doc_id")), (begin - runs(sizes)[row]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", *STRING, "doc_id", "a"])
 
     large = packed.where(F.col("words") > most).repartition("pid")  # few strings may carry many windows: dealt evenly
-    windows = large.mapInArrow(explode, "one long, two long, mkey long, pid long, doc_id long, a int")
-    least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("hi")).where("doc < hi").select("one", "two", "doc")
-    beaten = windows.join(least, ["one", "two"]).where("doc < doc_id").groupBy("mkey", "pid").agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"), "doc")).alias("runs"))
-    whole = strings.where((F.col("words") > most) & (F.col("texts") > 1)).select("mkey", "pid", F.array(F.struct(F.lit(0).alias("a"), F.col("place").bitwiseAND(0xFFFF).cast("int").alias("b"), F.col("doc_id").alias("doc"))).alias("runs"))
+    windows = large.mapInArrow(explode, "one long, two long, mkey long, pid long, pid2 long, doc_id long, a int")
+    least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("doc < hi").select("one", "two", "doc", "n")
+    least = stored(least, "kmer-windows")
+    beaten = spread_join(windows, least, ["one", "two"], "n", ["pid", "a"]).where("doc < doc_id").groupBy(*STRING).agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"), "doc")).alias("runs"))
 
-    answers = alone.unionByName(small).unionByName(whole).unionByName(beaten)
+    answers = alone.unionByName(small).unionByName(whole(strings.where((F.col("words") > most) & (F.col("texts") > 1)))).unionByName(beaten)
+    answers = stored(answers.join(strings.select(*STRING, "copies"), STRING), "kmer-answers")
     start = F.shiftright("place", 16)
     earlier = F.filter("runs", lambda r: r["doc"] < F.col("doc_id"))
     span = lambda r: F.struct((start + r["a"]).cast("int").alias("a"), (start + r["b"] + (k - 1)).cast("int").alias("b"))
-    hit = shared.join(answers, ["mkey", "pid"]).select("doc_id", "text_hash", F.transform(earlier, span).alias("ranges")).where(F.size("ranges") > 0)
-    return docs, hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    hit = spread_join(shared, answers, STRING, "copies", ["doc_id", "place"]).select("doc_id", "text_hash", F.transform(earlier, span).alias("ranges")).where(F.size("ranges") > 0)
+    spans = stored(hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "kmer-ranges")
+    discard(shared, strings, packed, least, answers)
+    return docs, spans
 
 
 def remove_repeats(documents: DataFrame, k: int = 50, m: int = 6, most: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns a row per document: doc_id, n_words, n_removed, `kept` (the words left, joined by one space) and `removed`
     (the dropped word ranges, merged, as array<struct<a,b>>, end exclusive)."""
     docs, spans = covered_ranges(documents, k, m, most, doc_id, text)
-    joined = docs.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "ranges")
+    known = F.col("doc_id").isNotNull() & F.col("text").isNotNull()  # the others would all meet in one task
+    joined = docs.where(known).join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "ranges")
+    joined = joined.unionByName(docs.where(~known).select("doc_id", "text", F.lit(None).cast(spans.schema["ranges"].dataType).alias("ranges")))
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def drop(batches):

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from brevispark.llm import common
 from brevispark.llm import substring_dedup as op
 
 
@@ -28,8 +29,9 @@ def found(df):
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("most", [1_000_000, 100])
-def test_equals_brute_force(spark, most):
+@pytest.mark.parametrize("most, part", [(1_000_000, 512), (1_000_000, 2), (100, 2)])
+def test_equals_brute_force(spark, monkeypatch, most, part):
+    monkeypatch.setattr(common, "LEAST_PART", part)  # small parts: most keys are dealt over several tasks
     rnd = random.Random(3)
     text = lambda n, v: " ".join(rnd.choice(v) for _ in range(n))
     shared = [text(80, [f"s{i}" for i in range(500)]) for _ in range(3)]
