@@ -13,7 +13,8 @@ and sketches leave room for a partner there. A pair at the threshold is cut by i
 Nodes with the same sets are compared once, and a pair that meets in several nodes is counted in the least of them, so no
 list of pairs is ever made: nodes emit, per set, its number of links and its least linked neighbour's star, and the
 components of the stars are the near-duplicate groups. Within a node, pairs are found through the rarest tokens (a pair at
-the threshold shares one among its first n - t n + 1) and verified by exact counts.
+the threshold shares one among its first n - t n + 1) and verified by exact counts. Hot nodes and hot sets are dealt over
+several tasks in every join.
 
 Defined cases: a text of one to four words is one shingle of all its words. A text that is null or has no word has no set:
 its class is the document alone, without links. Rows with null doc_id have a null class. Rows that share a doc_id are told
@@ -30,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, as_long, column_bytes, mix, pieces, ranges, runs, stored
+from .common import KeyFilter, as_long, column_bytes, discard, mix, pieces, ranges, runs, spread_join, stored
 from .components import components
 from .substring_dedup import ROOTS, word_hashes
 
+#: Chance that a pair exactly at the threshold is met at full depth; a more similar one, or one met earlier, is missed far less.
+RECALL = 0.9999
 #: Sets of a node that are compared at once, and tokens of a tile; neither changes results.
 NODE_SETS = 1024
 TILE_TOKENS = 2_000_000
@@ -172,7 +175,7 @@ def stars(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = least
 
 
-def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, depth: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = RECALL, depth: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns a row per document: doc_id, text_hash, class_id (the least doc_id of its near-duplicate group), class_hash (that
     row's text hash), set_id (the first document with the same shingle set), n_copies (documents with that set), n_links (other
     sets with similarity >= threshold) and n_linked (documents with those sets)."""
@@ -204,9 +207,9 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
     classes = stored(classes.select("one", "two", "r.*", "copies"), "jaccard-classes")
 
     nodes = classes.select("d", "h", "n", F.explode("paths").alias("node"))
-    met = nodes.groupBy("node").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")
-    level1 = stored(nodes.join(met, "node"), "jaccard-nodes")
-    large = level1.where(F.col("sets") > NODE_SETS)
+    met = stored(nodes.groupBy("node").agg(F.count("*").alias("sets")).where("sets > 1"), "jaccard-met")
+    level1 = stored(spread_join(nodes, met, "node", "sets", ["d", "h"]).select("node", "d", "h", "n", "sets"), "jaccard-nodes")
+    large = level1.where(F.col("sets") > NODE_SETS) if depth > 1 else level1.limit(0)
 
     def deeper(batches):
         for whole in batches:
@@ -229,21 +232,23 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
                 columns = [batch.column("d").to_numpy()[row], batch.column("h").to_numpy()[row], sizes[row].astype(np.int32), np.array(level, np.int32), as_long(np.array(parent, np.uint64))]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["d", "h", "n", "level", "parent", "children"])
 
-    split = large.groupBy("d", "h").agg(F.collect_set("node").alias("large"))
-    split = stored(split, "jaccard-split")
+    split = stored(large.groupBy("d", "h").agg(F.collect_set("node").alias("large")), "jaccard-split")
     below = stored(known.where(KeyFilter(split, "d", "h").may_hold(F.col("d"), F.col("h"))).join(split, ["d", "h"]).select("d", "h", "text", "large").mapInArrow(deeper, "d long, h int, n int, level int, parent long, children array<bigint>"), "jaccard-below")
-    leaves = level1.where(F.col("sets") <= NODE_SETS).select("node", "d", "h", "n", "sets", "tokens")
-    open_ = None  # nodes of the level before that are split; at level 1 all that `deeper` was given
+    leaves = level1.where(F.col("sets") <= NODE_SETS) if depth > 1 else level1
+    open_, used = None, [met, level1, split, below]  # open: nodes of the level before that are split; at level 1 all that `deeper` was given
     for level in range(2, depth + 1):
         rows = below.where(F.col("level") == level)
-        rows = rows if open_ is None else rows.join(open_, "parent", "left_semi")
+        if open_ is not None:
+            rows = spread_join(rows, open_, "parent", "sets", ["d", "h"]).drop("sets")
         here = stored(rows.select("d", "h", "n", F.explode("children").alias("node")).distinct(), "jaccard-level")
-        counted = here.groupBy("node").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")
-        here = stored(here.join(counted, "node").select("node", "d", "h", "n", "sets", "tokens"), "jaccard-nodes")
+        counted = stored(here.groupBy("node").agg(F.count("*").alias("sets")).where("sets > 1"), "jaccard-met")
+        first, here = here, stored(spread_join(here, counted, "node", "sets", ["d", "h"]).select("node", "d", "h", "n", "sets"), "jaccard-nodes")
         leaves = leaves.unionByName(here if level == depth else here.where(F.col("sets") <= NODE_SETS))
-        open_ = here.where(F.col("sets") > NODE_SETS).select(F.col("node").alias("parent")).distinct()
+        open_ = stored(here.where(F.col("sets") > NODE_SETS).groupBy(F.col("node").alias("parent")).agg(F.count("*").alias("sets")), "jaccard-open")
+        used += [first, counted, here, open_]
 
     leaves = stored(leaves, "jaccard-leaves")
+    discard(*used)
 
     def distinct_nodes(rows: DataFrame) -> DataFrame:
         """Of the nodes with the same two or more sets the least, with its number of sets and tokens."""
@@ -270,13 +275,14 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
             node, d, h = ([rows[i][c] for i in hit] for c in (0, 4, 5))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(d, pa.int64()), pa.array(h, pa.int32()), pa.array(n[hit].astype(np.int32))], names=["node", "d", "h", "n"])
 
-    drawn = leaves.select("node", "d", "h", "n").join(distinct_nodes(leaves).select("node", F.ceil(F.col("sets") / TILE_SKETCHES).cast("int").alias("tiles")), "node").join(classes.select("d", "h", "sketch"), ["d", "h"])
+    chosen = stored(distinct_nodes(leaves).select("node", "sets", F.ceil(F.col("sets") / TILE_SKETCHES).cast("int").alias("tiles")), "jaccard-chosen")
+    drawn = spread_join(leaves.select("node", "d", "h", "n"), chosen, "node", "sets", ["d", "h"]).drop("sets").join(classes.select("d", "h", "sketch"), ["d", "h"])
     tile = F.pmod(F.xxhash64("d", "h"), F.col("tiles")).cast("int")
     drawn = drawn.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     drawn = drawn.select("node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "d", "h", "n", "sketch")
     near = stored(drawn.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(sift, "node long, d long, h int, n int").distinct(), "jaccard-near")
-    once = distinct_nodes(near).select("node", F.ceil(F.col("tokens") / TILE_TOKENS).cast("int").alias("tiles"))
-    member = near.select("node", "d", "h").join(once, "node").groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("node", "tiles"))).alias("nodes"))
+    once = stored(distinct_nodes(near).select("node", "sets", F.ceil(F.col("tokens") / TILE_TOKENS).cast("int").alias("tiles")), "jaccard-once")
+    member = spread_join(near.select("node", "d", "h"), once, "node", "sets", ["d", "h"]).groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("node", "tiles"))).alias("nodes"))
     member = stored(member.join(classes.select("d", "h", "copies"), ["d", "h"]), "jaccard-members")
 
     def spread(batches):
@@ -327,13 +333,16 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
 
     spread_rows = known.where(KeyFilter(member, "d", "h").may_hold(F.col("d"), F.col("h"))).join(member, ["d", "h"]).select("d", "h", "text", "copies", "nodes").mapInArrow(spread, "node long, i int, j int, tile int, d long, h int, copies long, set binary, nodes binary")
     found = stored(spread_rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(compare, "d long, h int, to_d long, to_h int, n_links long, n_linked long"), "jaccard-links")
+    discard(leaves, chosen, near, once, member)
 
     grouped = components(found.select(F.struct("d", "h").alias("u"), F.struct(F.col("to_d").alias("d"), F.col("to_h").alias("h")).alias("v")))
     grouped = grouped.select(F.col("u.d").alias("d"), F.col("u.h").alias("h"), F.col("v.d").alias("class_id"), F.col("v.h").alias("class_hash"))
     totals = found.groupBy("d", "h").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked").alias("n_linked"))
     facts = classes.select("one", "two", "d", "h", "copies").join(grouped, ["d", "h"], "left").join(totals, ["d", "h"], "left")
     facts = facts.select("one", "two", F.col("d").alias("set_id"), F.coalesce("class_id", "d").alias("class_id"), F.coalesce("class_hash", "h").alias("class_hash"), F.col("copies").alias("n_copies"), "n_links", "n_linked")
-    with_set = sets.where("n > 0").select("d", "h", "one", "two").join(facts, ["one", "two"])
+    facts = stored(facts, "jaccard-facts")
+    discard(classes, found)
+    with_set = spread_join(sets.where("n > 0").select("d", "h", "one", "two"), facts, ["one", "two"], "n_copies", ["d", "h"])
     bare = sets.where("n = 0").select("d", "h").unionByName(docs.where("d IS NULL OR text IS NULL").select("d", "h"))
     none = bare.select("d", "h", F.col("d").alias("set_id"), F.col("d").alias("class_id"), F.col("h").alias("class_hash"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_linked"))
     out = with_set.select(*none.columns).unionByName(none)

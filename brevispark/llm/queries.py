@@ -71,7 +71,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5, recall=0.999)
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
     return found.select("doc_id", "class_id", "set_id", "n_copies", "n_links", "n_linked")
 
 
