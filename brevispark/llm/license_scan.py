@@ -1,22 +1,26 @@
 """Licence scans: a trained classifier of paragraphs, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. A multinomial logistic regression over hashed word unigrams and bigrams, trained here
-from the templates below (whole, cut, embedded and perturbed) and from lines that are no notices, gives each line a licence
-family or `unknown`. Its temperature is set on held-out lines, and a family counts only above a confidence that at most
-`false_rate` of the held-out unknown lines reach. A prediction is confirmed when the line holds a template of the family, or
-lies within one, by shared word pairs; unconfirmed ones stay unknown. Longer lines are also judged in overlapping windows, a
-half longer than each template, that cover the line; a window is confirmed when it holds a template. Windows with too few word
-pairs of any template could not be confirmed and are not scored. A line may have notices of several families; of predictions
-that rest on the same words, the one with most pairs of a template counts.
-
-Defined cases: null and empty texts have no paragraphs and no result; lines without a word are skipped. Ties between families
-go to the one listed first. Lines and texts of any length are read whole; repeated rows are scanned one by one; other
-columns are ignored.
+Paragraphs are runs of lines without a blank one between them; a wrapped notice is read across its lines. A multinomial logistic
+regression over hashed word unigrams and bigrams, trained here from the templates below (whole, cut, embedded and perturbed)
+and from lines that are no notices, gives a stretch of words a licence family or `unknown`. Its temperature and its confidence
+floor are set on texts written by hand (`HELD`), which training never sees: a family counts only above what the unknown ones
+among them reach.
+
+A paragraph is judged as a whole, line by line, and in overlapping windows, a half longer than each template, that cover it. A
+prediction is confirmed when the stretch holds a template of the family or, for whole lines and paragraphs, lies within one, by
+shared word pairs; unconfirmed ones stay unknown. Stretches with too few word pairs of any template could not be confirmed and
+are not scored. Predictions that rest on the same words, or on pieces of one template, are one notice: that with most word
+pairs counts, and grows by those that add to its template.
+
+Defined cases: null and empty texts have no paragraphs and no result; paragraphs without a word are skipped. Ties between
+families go to the one listed first. Lines, paragraphs and texts of any length, with any number of notices, are read whole;
+repeated rows are scanned one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -46,9 +50,30 @@ OTHERS = (
     "Source and binary stars were observed in both forms.", "The conditions of use are explained on the first page.", "Attribution of the painting is uncertain.", "The creative commons of the village is a meadow.", "Apache helicopters were seen over the valley.", "The Mozilla browser opened the page.", "The students of MIT met in the hall.",
     "Distribution of the goods is organised by the town.", "Permission to enter was refused.", "The foundation published its yearly report.", "No warranty claims were made this year.", "Die Lizenz wurde im Mai verlängert.", "Tous les droits de douane ont été payés.", "La licencia de obras fue concedida ayer.",
 )
+# Texts written by hand as such notices are met, and as other texts are, to set temperature and floor on.
+HELD = {
+    "apache": ("Copyright 2019 The Authors. Licensed under the Apache License, Version 2.0; see the file LICENSE.", "This module is released under the Apache License, Version 2.0, a copy of which is enclosed.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at the address below"),
+    "mit": ("This package is licensed under the terms of the MIT license, see COPYING.", "(c) 2016 J. Doe. Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its documentation, to deal in the Software without restriction"),
+    "gpl": ("This is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3, as published by the Free Software Foundation.", "The manual is licensed under the GNU General Public License, version 3.", "This library is free software under the GNU Lesser General Public License"),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Code released under the BSD 3-Clause License by its authors."),
+    "mpl": ("This file is subject to the terms of the Mozilla Public License, v. 2.0. A copy is enclosed.", "Licensed under the Mozilla Public License, version 2.0, as of today."),
+    "cc-nc": ("Photos are licensed under CC BY-NC 4.0.", "This article is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License, see there."),
+    "cc-open": ("Content is licensed under CC BY 4.0.", "This page is licensed under a Creative Commons Attribution 4.0 International License.", "The text is available under the Creative Commons Attribution-ShareAlike License; more terms may apply."),
+    "public-domain": ("This is free and unencumbered software released into the public domain by its author.", "The data are dedicated to the public domain under CC0 1.0 Universal."),
+    "reserved": ("(c) 2001 The Daily News. All rights reserved.", "No part of this publication may be reproduced or sent without the prior written permission of the publisher."),
+    "unknown": (
+        "You need a licence to fish in the river, and it is sold in the village shop.", "The council reserved all rights of way along the shore.", "The software was written in the winter and released in the spring.", "She works at the public library, near the general hospital.", "Both versions of the file are kept in the source folder.",
+        "Permission was granted by the owner of the land, free of charge.", "The terms of the peace were harsh, and few were content with them.", "Apache, a town of the south, has a licence office.", "They met at MIT and later at Berkeley.", "The commons were open to all who kept sheep.", "A copy of the letter is in the museum.", "No part of the bridge was left after the storm.",
+        "Attribution is hard where the painter left no name.", "All members shall be given a copy of the rules.", "In no event was the race to be held on a Sunday.", "The work is in two parts, of which the first is lost.", "La obra fue publicada con permiso del autor.", "Das Werk ist in zwei Teilen erschienen.", "Le permis de conduire est valable dix ans.", "Universal rules do not hold in every domain.",
+        "The warranty of the car ends after three years.", "She was licensed to practise law in 2004.", "Modified versions of the recipe are found along the coast.", "The notice was put up at the door of the church.", "Public interest in the case was low.", "The free press of the city was founded then.",
+    ),
+}
 FAMILIES = ("unknown", *TEMPLATES)
 BITS = 15
-EDGE = ".,;:!?\"'()[]{}*_`<>|"
+EDGE = ".,;:!?\"'()[]{}*_`<>|#/-="
+
+
+WORD = re.compile(r"\S+")
 
 
 def words(line: str) -> list[str]:
@@ -114,29 +139,40 @@ class Classifier:
                 best, most, core = match, common, t
         return best, [i for i, p in enumerate(own) if p in core]
 
-    def windows(self, ids: np.ndarray, sizes: np.ndarray, agreement: float):
-        """Yields, for the whole lines and each template length, begins, lengths and lines of the windows that hold enough marked
-        pairs to be confirmed; ids: words of lines of the given sizes."""
+    def common(self, family: str, tokens: list[str]) -> int:
+        """Word pairs that some words share with one template at most."""
+        own = frozenset(zip(tokens, tokens[1:]))
+        return max(len(own & t) for t in self.cores[family])
+
+    def stretches(self, ids: np.ndarray, sizes: np.ndarray, lines: np.ndarray, agreement: float):
+        """Yields begins, lengths and paragraphs of the stretches that hold enough marked pairs to be confirmed, and whether they are
+        whole: lines, paragraphs of several lines, and the windows of each template length. ids: words of paragraphs of the given
+        sizes; lines: sizes of their lines."""
         first = runs(sizes)[:-1]
-        slot = slots(ids, np.repeat(np.arange(len(sizes)), sizes))[0][len(ids) :]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        slot = slots(ids, owner)[0][len(ids) :]
         inside = np.ones(len(ids), bool)
-        inside[first[1:] - 1] = inside[-1] = False  # the last word of a line begins no pair
+        inside[first[1:] - 1] = inside[-1] = False  # the last word of a paragraph begins no pair
         inside[inside] = self.marked[slot]
         hits = runs(inside)
         least = lambda pairs: int(np.ceil(agreement * pairs - 1e-9))
         fewest = min(least(4), *map(least, self.lengths.values()))
-        lines = np.flatnonzero(hits[first + sizes] - hits[first] >= fewest)
-        yield first[lines], sizes[lines], lines
+        begin, longest = runs(lines)[:-1], 2 * max(self.lengths)  # what is longer can't lie within a template
+        some = np.flatnonzero((hits[begin + lines] - hits[begin] >= fewest) & (lines <= longest))
+        yield begin[some], lines[some], owner[begin[some]], True
+        some = np.flatnonzero(hits[first + sizes] - hits[first] >= fewest)
+        several = some[(np.bincount(owner[begin], minlength=len(sizes))[some] > 1) & (sizes[some] <= longest)]
+        yield first[several], sizes[several], several, True
         for n, core in sorted(self.lengths.items()):
             width = n + max(2, n // 2)
             stride = min(width - n, width // 2)
-            long = lines[sizes[lines] > width]
+            long = some[sizes[some] > width]
             count = -(-(sizes[long] - width) // stride) + 1
-            line = np.repeat(long, count)
-            begin = first[line] + stride * ranges(np.zeros(len(long), np.int64), count)
-            length = np.minimum(width, first[line] + sizes[line] - begin)
+            paragraph = np.repeat(long, count)
+            begin = first[paragraph] + stride * ranges(np.zeros(len(long), np.int64), count)
+            length = np.minimum(width, first[paragraph] + sizes[paragraph] - begin)
             enough = hits[begin + length] - hits[begin] >= least(core)
-            yield begin[enough], length[enough], line[enough]
+            yield begin[enough], length[enough], paragraph[enough], False
 
 
 def labelled_lines(seed: int, copies: int) -> list[tuple[str, int]]:
@@ -178,7 +214,7 @@ def _arrays(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(seed: int = 5, copies: int = 12, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4, false_rate: float = 0.001) -> Classifier:
-    """Gradient steps on the training lines, then temperature and confidence floor from held-out lines; about two seconds."""
+    """Gradient steps on the training lines, then temperature and confidence floor from texts written by hand; about two seconds."""
     lines = labelled_lines(seed, copies)
     ids, owner = _arrays([x for x, _ in lines])
     slot, line = slots(ids, owner)
@@ -198,7 +234,7 @@ def train(seed: int = 5, copies: int = 12, rounds: int = 150, rate: float = 0.5,
         squares, bias_squares = squares + g * g, bias_squares + b * b
         w, bias = w + rate * g / np.sqrt(squares), bias + rate * b / np.sqrt(bias_squares)
     weights[seen] = w
-    held = labelled_lines(seed + 1, max(4, copies // 3))
+    held = [(x, FAMILIES.index(family)) for family, texts in HELD.items() for x in texts]
     ids, owner = _arrays([x for x, _ in held])
     truth = np.array([g for _, g in held])
     best = None
@@ -212,15 +248,53 @@ def train(seed: int = 5, copies: int = 12, rounds: int = 150, rate: float = 0.5,
     return Classifier(weights, bias, best[1], floor)
 
 
+def paragraphs_of(text: str, memo):
+    """Paragraphs with a word: first line number, begin, end (code points), and the word ids of each of its lines."""
+    at, now = 0, None
+    for number, line in enumerate(text.split("\n")):
+        if not line or line.isspace():
+            if now:
+                yield now
+            now = None
+        elif own := [w for w in map(memo, line.split()) if w >= 0]:
+            if now is None:
+                now = [number, at, 0, []]
+            now[2] = at + len(line)
+            now[3].append(own)
+        at += len(line) + 1
+    if now:
+        yield now
+
+
+def notices_of(found: list[tuple], tokens: list[str], model: Classifier) -> list[tuple[int, int, int, float, float]]:
+    """The notices of a paragraph from its confirmed stretches (agreement, probability, family, places of the common pairs): family,
+    first and last word, probability, agreement. Stretches with most pairs of one template come first, of those the shortest."""
+    out: list[list] = []
+    ranked = [(model.common(FAMILIES[f], tokens[w[0] : w[-1] + 2]), m, q, f, w) for m, q, f, w in found]
+    for pairs, match, probability, family, where in sorted(ranked, key=lambda x: (-x[0], x[4][-1] - x[4][0], -x[1], -x[2], x[3], x[4])):
+        a, b = where[0], where[-1] + 1  # the last pair's second word
+        if any(2 * sum(n[1] <= x < n[2] for x in where) > len(where) for n in out if n[0] != family):
+            continue
+        near = [n for n in out if n[0] == family and a <= n[2] + 3 and n[1] <= b + 3]
+        for n in near:
+            lo, hi = min(a, n[1]), max(b, n[2])
+            if (now := model.common(FAMILIES[family], tokens[lo : hi + 1])) > n[5]:  # pieces of one template
+                n[1], n[2], n[5] = lo, hi, now
+                break
+        else:
+            if not any(a < n[2] and n[1] < b for n in near):
+                out.append([family, a, b, probability, match, pairs])
+    return [tuple(n[:5]) for n in sorted(out, key=lambda n: (n[1], n[2], n[0]))]
+
+
 def scan_texts(texts: Sequence[str | None], model: Classifier, agreement: float = 0.6) -> list[list[tuple[int, int, int, str, float, float]]]:
     """For each text its notices: line number, begin and end (code points), family, probability, agreement with a template."""
-    memo, ids, owner, spots = model.memo.__getitem__, [], [], []
+    memo, ids, lines, spots = model.memo.__getitem__, [], [], []
     for i, text in enumerate(texts):
-        for number, line in enumerate(text.split("\n") if text else ()):
-            own = [w for w in map(memo, line.split()) if w >= 0]
-            if own:
-                ids.append(own)
-                spots.append((i, number))
+        for number, begin, end, own in paragraphs_of(text or "", memo):
+            spots.append((i, begin, end))
+            ids.append([w for line in own for w in line])
+            lines += map(len, own)
     out: list[list] = [[] for _ in texts]
     if not spots:
         return out
@@ -228,38 +302,38 @@ def scan_texts(texts: Sequence[str | None], model: Classifier, agreement: float
     flat = np.fromiter((w for x in ids for w in x), np.int64, int(sizes.sum()))
     first = runs(sizes)
     found: dict[int, list] = {}
-    split: dict[int, list[str]] = {}
-    for round_, (begin, length, line) in enumerate(model.windows(flat, sizes, agreement)):
+    split: dict[int, tuple[list[str], list[tuple[int, int]]]] = {}
+    for begin, length, paragraph, whole in model.stretches(flat, sizes, np.array(lines, np.int64), agreement):
         if not len(begin):
             continue
         p = model.probabilities(flat[ranges(begin, length)], np.repeat(np.arange(len(begin)), length), len(begin))
         best = p.argmax(1)
         for j in np.flatnonzero((best > 0) & (p.max(1) >= model.floor)):
-            at = int(line[j])
+            at = int(paragraph[j])
             if at not in split:
-                i, number = spots[at]
-                split[at] = words(texts[i].split("\n")[number])
+                i, x, y = spots[at]
+                spans = [(m.start(), m.end()) for m in WORD.finditer(texts[i][x:y]) if m[0].strip(EDGE)]
+                split[at] = words(texts[i][x:y]), [(x + a, x + b) for a, b in spans]
             a = int(begin[j] - first[at])
-            match, where = model.confirmed(FAMILIES[best[j]], split[at][a : a + int(length[j])], whole=round_ == 0)
+            match, where = model.confirmed(FAMILIES[best[j]], split[at][0][a : a + int(length[j])], whole)
             if match >= agreement:
-                found.setdefault(at, []).append((len(where), match, float(p[j, best[j]]), int(best[j]), {a + x for x in where}))
+                found.setdefault(at, []).append((match, float(p[j, best[j]]), int(best[j]), [a + x for x in where]))
+    last = -1, 0, 0
     for at in sorted(found):
-        i, number = spots[at]
-        lines = texts[i].split("\n")
-        start = sum(map(len, lines[:number])) + number
-        taken: dict[int, tuple[set[int], float, float]] = {}
-        for _, match, probability, family, where in sorted(found[at], key=lambda x: (-x[0], -x[1], -x[2], x[3])):
-            if any(2 * len(where & own) > len(where) for other, (own, _, _) in taken.items() if other != family):
-                continue
-            own, *figures = taken.get(family, (set(), probability, match))
-            taken[family] = (own | where, *figures)
-        out[i] += [(number, start, start + len(lines[number]), FAMILIES[f], q, m) for f, (_, q, m) in sorted(taken.items())]
+        i, x, _ = spots[at]
+        tokens, spans = split[at]
+        for family, a, b, probability, match in notices_of(found[at], tokens, model):
+            start = spans[a][0]
+            known, line = last[1:] if last[0] == i and last[1] <= start else (0, 0)
+            line += texts[i].count("\n", known, start)
+            last = i, start, line
+            out[i].append((line, start, spans[b][1], FAMILIES[family], probability, match))
     return out
 
 
 def scan_licenses(documents: DataFrame, model: Classifier | None = None, agreement: float = 0.6, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Returns a row per confirmed notice: keep, line (from 0), start and end in code points, family, probability, agreement and
-    notice (the line)."""
+    """Returns a row per confirmed notice: keep, line (from 0) where it begins, start and end in code points, family, probability,
+    agreement and notice (the text from the first word that agrees with the template to the last)."""
     shared = documents.sparkSession.sparkContext.broadcast(model or train())  # 2^15 slots a family
     taken, names, read = carried(documents, keep, text)
     fields = [*fields_of(taken, names), "line int", "start int", "end int", "family string", "probability double", "agreement double", "notice string"]
