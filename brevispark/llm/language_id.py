@@ -26,8 +26,8 @@ from .common import carried, fields_of, pieces, ranges, runs, stored
 BITS = 16
 SMOOTHING = 0.1
 ROUNDS = 12
-#: Words without a letter say nothing about a language.
-MOST_WORDS = 200_000
+#: Words, and numbers (one for each word and language), that a worker remembers.
+MOST_WORDS, MOST_NUMBERS = 200_000, 1 << 23
 
 
 def trigram(a, b, c):
@@ -72,7 +72,7 @@ class Languages:
         """Rows of the words of some texts, and how many each text has."""
         words = [t.split() if t and self.names else [] for t in texts]
         missing = set(chain.from_iterable(words)).difference(self.known)
-        if len(self.known) + len(missing) > MOST_WORDS:
+        if len(self.known) + len(missing) > min(MOST_WORDS, MOST_NUMBERS // max(1, len(self.names))):
             self.forget()
             missing = set(chain.from_iterable(words))
         self.learn(list(missing))
@@ -133,14 +133,15 @@ class Languages:
         return share, ll
 
 
-def train(documents: DataFrame, max_docs_per_language: int = 400, text: str = "text", lang: str = "lang") -> Languages:
+def train(documents: DataFrame, max_docs_per_language: int = 400, most_languages: int = 64, text: str = "text", lang: str = "lang") -> Languages:
     """Learns from documents with a text and a language: the first `max_docs_per_language` different texts of each in the order
-    of a hash, once each, so that the model is bounded, depends neither on copies nor on the partitioning, and knows every
-    language that has a letter. Counts are summed by the executors; at most 2^16 trigrams a language come to the driver."""
+    of a hash, once each, so that the model depends neither on copies nor on the partitioning. It learns the `most_languages`
+    languages with most different texts that have a letter (ties to the name that sorts first): a bound of the model, 2^16 numbers a
+    language, that junk in the column cannot break. Counts are summed by the executors."""
     known = documents.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
     lettered = F.col("text").rlike(r"\p{L}")
     distinct = stored(known.where(lettered).select("lang", "h").distinct(), "language-texts")
-    sizes = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     names = sorted(sizes)
     if not names:
         return Languages([], np.zeros((0, 0)))
@@ -204,7 +205,7 @@ def identify(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc
         own = _MODELS[key]
         k = len(own.names)
         for whole in batches:
-            for batch in pieces(whole, read):
+            for batch in pieces(whole, read, (1 << 23) // max(8, k)):  # a number for each word and language is held at a time
                 texts = batch.column(read).to_pylist()
                 at, owner = own.words_of(texts)
                 shares, n = own.infer(own.rows[at], owner, len(texts))

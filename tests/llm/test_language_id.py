@@ -51,6 +51,59 @@ def test_copies_teach_once_and_every_language_is_taught(spark):
     assert (op.train(one).weights == op.train(one.limit(1)).weights).all()
 
 
+def test_junk_labels_cannot_break_the_bound(spark):
+    docs = labelled(spark).unionByName(spark.range(3000).selectExpr("id AS doc_id", "concat('text of label ', id) AS text", "concat('junk', id) AS lang"))
+    model = op.train(docs, most_languages=5)
+    assert model.names == ["de", "en", "fr", "junk0", "junk1"] and model.weights.shape == (1 << op.BITS, 5)
+
+
+def plain(text, model):
+    """Mixture inference by the book, one word and language at a time: shares of the chosen set."""
+    import math
+
+    words = [w for w in text.split() if any(map(str.isalpha, w))]
+    k = len(model.names)
+    logs = [[sum(float(model.weights[g, j]) for g in op.grams(w)) for j in range(k)] for w in words]
+    if not words:
+        return [0.0] * k
+
+    def em(chosen):
+        share = [1 / len(chosen) if j in chosen else 0.0 for j in range(k)]
+        for _ in range(op.ROUNDS):
+            total = [0.0] * k
+            for row in logs:
+                part = [s * math.exp(max(x - max(row), -60)) for s, x in zip(share, row)]
+                total = [t + p / sum(part) for t, p in zip(total, part)]
+            share = [t / len(words) for t in total]
+        return share, sum(math.log(sum(s * math.exp(max(x - max(row), -60)) for s, x in zip(share, row))) for row in logs)
+
+    single = [sum(row[j] - max(row) for row in logs) for j in range(k)]
+    best = max(range(k), key=lambda j: (single[j], -j))
+    full, _ = em(range(k))
+    order = [best, *sorted((j for j in range(k) if j != best), key=lambda j: -full[j])]
+    answer, criterion = [float(j == best) for j in range(k)], -2 * single[best]
+    for size in range(2, k + 1):
+        share, fit = em(order[:size])
+        if (now := -2 * fit + math.log(max(len(words), 2)) * (size - 1)) < criterion:
+            answer, criterion = share, now
+    return answer
+
+
+def test_equals_plain_inference(spark):
+    import numpy as np
+
+    model = op.train(labelled(spark))
+    rnd = random.Random(7)
+    texts = ["", "12 %", "the"]
+    for _ in range(40):
+        langs = rnd.sample(sorted(WORDS), rnd.randint(1, 3))
+        texts.append(" ".join(rnd.choice(WORDS[rnd.choice(langs)]) for _ in range(rnd.randint(1, 50))))
+    at, owner = model.words_of(texts)
+    shares, _ = model.infer(model.rows[at], owner, len(texts))
+    for text, got in zip(texts, shares):
+        assert np.allclose(got, plain(text, model), atol=1e-3), text
+
+
 def test_odd_rows(spark, odd_documents):
     model = op.train(odd_documents)
     rows = op.identify(odd_documents, model, keep=tuple(odd_documents.columns)).collect()
