@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 def embed_left(small: list, big: list) -> list[int] | None:
     """Earliest positions of small as a subsequence of big, or None."""
-    out, rest = [], iter(enumerate(big))
-    for want in small:
-        at = next((i for i, x in rest if x == want), None)
-        if at is None:
-            return None
-        out.append(at)
+    out, at = [], -1
+    try:
+        for want in small:
+            out.append(at := big.index(want, at + 1))
+    except ValueError:
+        return None
     return out
 
 
@@ -32,24 +33,34 @@ def embed_blocks(small: list, big: list) -> list[int]:
     return [j for b in blocks for j in range(b.b, b.b + b.size)]
 
 
-def _align(small: list, big: list) -> dict:
+def _align(small: list, big: list) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Both masks, whether small is a subsequence, and how many of its members have no place."""
     left = embed_left(small, big)
     fits = left is not None
     left = left if fits else embed_blocks(small, big)
-    right = embed_right(small, big) if fits else left
-    masks = []
-    for places in (left, right):
-        mask = [False] * len(big)
-        for i in places:
-            mask[i] = True
-        masks.append(mask)
-    differ = sum(a != b for a, b in zip(*masks))
-    return {"left": masks[0], "right": masks[1], "is_subsequence": int(fits), "n_ambiguous": differ // 2, "n_unassigned": 0 if fits else len(small) - len(left), "n_left": sum(masks[0]), "n_right": sum(masks[1])}
+    masks = np.zeros((2, len(big)), bool)
+    masks[0, left] = True
+    masks[1, embed_right(small, big) if fits else left] = True
+    return masks[0], masks[1], int(fits), 0 if fits else len(small) - len(left)
 
 
 ALIGNED = "left array<boolean>, right array<boolean>, is_subsequence int, n_ambiguous int, n_unassigned int, n_left int, n_right int"
 
 
+def _codes(batch: pa.RecordBatch, *names: str) -> list[list[list[int]]]:
+    """List columns with their members as numbers, equal ones alike; null lists are empty."""
+    columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    flat = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode().indices.fill_null(-1).to_pylist()
+    out, at = [], 0
+    for c in columns:
+        lists = []
+        for n in c.value_lengths().fill_null(0).to_pylist():
+            lists.append(flat[at : at + n])
+            at += n
+        out.append(lists)
+    return out
+
+
 def align(df: DataFrame, small: Column, big: Column, keep: tuple[str, ...]) -> DataFrame:
     """keep, and the survival masks of big under small, resolved to the left and to the right, with how far they differ and how
     many places live. Linear in the texts; block matching only where small is no subsequence. Null sequences count as empty."""
@@ -57,12 +68,14 @@ def align(df: DataFrame, small: Column, big: Column, keep: tuple[str, ...]) -> D
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-2])
 
     def run(batches):
-        masks = pa.list_(pa.bool_())
-        kinds = {"left": masks, "right": masks} | dict.fromkeys(("is_subsequence", "n_ambiguous", "n_unassigned", "n_left", "n_right"), pa.int32())
         for batch in batches:
-            rows = [_align(a or [], b or []) for a, b in zip(batch.column("_small").to_pylist(), batch.column("_big").to_pylist())]
-            made = [pa.array([r[k] for r in rows], t) for k, t in kinds.items()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=[*batch.schema.names[:-2], *kinds])
+            found = [_align(a, b) for a, b in zip(*_codes(batch, "_small", "_big"))]
+            lefts, rights, fits, lost = zip(*found) if found else ((), (), (), ())
+            at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lefts])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(m) if m else np.zeros(0, bool))) for m in (lefts, rights)]
+            counts = [fits, [int((a != b).sum()) // 2 for a, b in zip(lefts, rights)], lost, [int(m.sum()) for m in lefts], [int(m.sum()) for m in rights]]
+            names = [*batch.schema.names[:-2], *(f.split()[0] for f in ALIGNED.split(", "))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *lists, *(pa.array(c, pa.int32()) for c in counts)], names=names)
 
     return taken.mapInArrow(run, f"{fields}, {ALIGNED}")
 

@@ -12,7 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # The token rules of the study.
 WORD = r"[\p{L}\p{N}_]"
@@ -102,6 +102,16 @@ def alias_list(raw: Column) -> Column:
     return F.when(F.startswith(F.trim(raw), F.lit("[")) & parsed.isNotNull(), F.filter(parsed, lambda a: a.isNotNull())).otherwise(one)
 
 
+def least_words(aliases: Column) -> Column:
+    """White-space words of the shortest alias; null for an empty list."""
+    return F.array_min(F.transform(aliases, ws_count))
+
+
+def slice_by(text: Column, start: Column, end: Column) -> Column:
+    """The part of a text between two offsets (code points, end exclusive)."""
+    return F.substr(text, start + 1, F.greatest(end - start, F.lit(0)))
+
+
 def number_or_null(text: Column) -> Column:
     """Digit strings as numbers, anything else as null."""
     return F.when(F.rlike(F.trim(text), F.lit(r"^[0-9]{1,18}$")), F.trim(text).cast("bigint"))
@@ -125,6 +135,12 @@ def normalise(text: pd.Series) -> pd.Series:
     return text.map(_normal, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def normalise_list(texts: pd.Series) -> pd.Series:
+    """`normalise` of each text of a list."""
+    return texts.map(lambda x: [None if t is None else _normal(t) for t in x], na_action="ignore")
+
+
 def _repaired(text: str) -> tuple[str, int]:
     if any(c in text for c in MOJIBAKE_MARKS):
         try:

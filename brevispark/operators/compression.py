@@ -6,12 +6,13 @@ the earlier place. A rate of 1 is the identity. `indifferent` picks by a hash in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .plugins import plugged
+
 LEVELS = (0.0, 0.25, 0.5, 0.75)
 
 
@@ -25,7 +26,7 @@ def _rank(t: Column, i: Column, seed: int | None) -> Column:
 def pick_order(tokens: Column, seed: int | None = None) -> Column:
     """The ranks of the free words, ascending: computed once for all levels."""
     free = F.transform(tokens, lambda t, i: F.when(t["is_word"] & ~t["is_protected"], _rank(t, i, seed)))
-    return F.array_sort(F.filter(free, lambda x: x.isNotNull()))
+    return F.sort_array(F.filter(free, lambda x: x.isNotNull()))
 
 
 def survival(tokens: Column, rho: Column, order: Column, seed: int | None = None) -> Column:
@@ -41,37 +42,87 @@ def survival(tokens: Column, rho: Column, order: Column, seed: int | None = None
     return F.when(rho == 0, F.array_repeat(F.lit(True), F.size(tokens))).otherwise(found)
 
 
-def at_levels(df: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    """Every row once for each level, in column rho."""
-    return df.withColumn("rho", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
+def kept_text(tokens: Column, mask: Column) -> Column:
+    """The tokens that live, joined by spaces. (A mask must not stand inside a lambda: it would be computed for each token.)"""
+    kept = F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda z: z["m"])
+    return F.array_join(F.transform(kept, lambda z: z["t"]["form"]), " ")
 
 
-def kept_tokens(tokens: Column, mask: Column) -> Column:
-    """The tokens that live, as field t. (A mask must not stand inside a lambda: it would be computed for each token.)"""
-    return F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda z: z["m"])
+def lean_tokens(tokens: Column, *fields: str) -> Column:
+    """Tokens with some of their fields, whether they always live, and the rank that a free word is picked by."""
+    rank = lambda t, i: F.when(t["is_word"] & ~t["is_protected"], _rank(t, i, None))
+    return F.transform(tokens, lambda t, i: F.struct(*[t[f].alias(f) for f in fields], (t["is_word"] & t["is_protected"]).alias("always"), rank(t, i).alias("rank")))
 
 
-def kept_text(tokens: Column, mask: Column) -> Column:
-    """The tokens that live, joined by spaces."""
-    return F.array_join(F.transform(kept_tokens(tokens, mask), lambda z: z["t"]["form"]), " ")
+def rank_order(lean: Column) -> Column:
+    return F.sort_array(F.filter(lean["rank"], lambda r: r.isNotNull()))
+
+
+def kept_at_levels(tokens: Column, field: str = "form", levels: tuple[float, ...] = LEVELS) -> Column:
+    """What each level leaves, as array<struct<rho,kept array<string>>>, by one field of the tokens. All levels of a row are made at
+    once from one ranking, so tokens are not copied for each level."""
+    def of(row: Column) -> Column:
+        def level(rho: float) -> Column:
+            lives = lambda t: t["always"] | F.coalesce(t["rank"] <= _cut(row["order"], rho), F.lit(False))
+            return F.struct(F.lit(float(rho)).alias("rho"), (F.filter(row["t"], lives) if rho else row["t"])[field].alias("kept"))
+
+        return F.array(*[level(rho) for rho in levels])
+
+    # one-element arrays bind a value once: ranks, then their order
+    bound = F.transform(F.array(lean_tokens(tokens, field)), lambda t: F.struct(t.alias("t"), rank_order(t).alias("order")))
+    return F.transform(bound, of)[0]
+
+
+def each_level(df: DataFrame, levels: Column) -> DataFrame:
+    """One row for each level, with the fields of its struct. Exploded with nulls, which then go: for a plain explode the optimiser
+    would put a filter on the array below the shuffle that spreads the texts, and make it there once more."""
+    keep = df.columns
+    return df.select(*keep, levels.alias("_levels")).select(*keep, F.explode_outer("_levels").alias("_z")).where("_z IS NOT NULL").select(*keep, "_z.*")
+
+
+def _cut(order: Column, rho: float) -> Column:
+    """The last rank that a level keeps; null if it keeps none."""
+    n = F.ceil((1 - F.lit(float(rho))) * F.size(order)).cast("int")
+    return F.try_element_at(order, F.when(n > 0, n))
+
+
+def counts_at_levels(words: Column, levels: tuple[float, ...] = LEVELS) -> Column:
+    """Words and kept words by origin, of all words and of the free ones, for every level: array<struct<rho,n_core,...>>. words: as
+    of `words.word_marks`. Free words are ranked once; a level only counts a slice of them."""
+    def of(row: Column) -> Column:
+        w, free = row["w"], row["free"]
+        n = {f"{o}{s}": F.size(F.filter(w, _marked(o == "core", s))) for o in ("core", "red") for s in ("", "_free")}
+        bound = F.struct(free.alias("free"), *[x.alias(k) for k, x in n.items()])
+
+        def level(b: Column, rho: float) -> Column:
+            some = F.slice(b["free"], 1, F.ceil((1 - F.lit(float(rho))) * F.size(b["free"])).cast("int"))
+            core = F.size(F.filter(some, lambda r: r.bitwiseAND(1) == 1)) if rho else b["core_free"]
+            red = F.size(some) - core if rho else b["red_free"]
+            kept = {"core_free": core, "red_free": red, "core": b["core"] - b["core_free"] + core, "red": b["red"] - b["red_free"] + red}
+            return F.struct(F.lit(float(rho)).alias("rho"), *[b[k].alias(f"n_{k}") for k in n], *[kept[k].alias(f"e_{k}") for k in n])
+
+        return F.transform(F.array(bound), lambda b: F.array(*[level(b, rho) for rho in levels]))[0]
+
+    # rank and origin in one number: longest first, then place; the last bit tells the core
+    rank = lambda t, i: (i.cast("bigint") - F.length(t["form"]) * (1 << 31)) * 2 + t["is_core"].cast("bigint")
+    ranks = lambda w: F.sort_array(F.filter(F.transform(w, lambda t, i: F.when(~t["is_protected"], rank(t, i))), lambda r: r.isNotNull()))
+    bound = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), ranks(w).alias("free")))
+    return F.transform(bound, of)[0]
+
+
+def _marked(core: bool, suffix: str):
+    return lambda t: (t["is_core"] if core else ~t["is_core"]) & (~t["is_protected"] if suffix else F.lit(True))
+
+
+def at_levels(df: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """Every row once for each level, in column rho."""
+    return df.withColumn("rho", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
 
 
 def compress_with(df: DataFrame, make: Callable[[], Callable[[str, float], str]], text: str = "text", rate: str = "rate") -> DataFrame:
-    """Adds `compressed` by a model: `make` runs once per worker and returns text, rate -> text. A row that fails is null."""
-    schema = f"{df.schema.simpleString()[7:-1]},compressed:string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = make()
-        for batch in batches:
-            out = []
-            for t, r in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index(rate)).to_pylist()):
-                try:
-                    out.append(None if t is None else model(t, r))
-                except Exception:  # noqa: BLE001  one bad row doesn't end a run
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "compressed"])
-
-    return df.mapInArrow(run, schema.replace(":", " "))
+    """Adds `compressed` by a model, and `error`: `make` runs once per worker and returns text, rate -> text. A row that fails has no
+    text and the reason in `error`, so that a broken model can be told from one that leaves nothing."""
+    return plugged(df, make, (text, rate), "compressed string", lambda model, t, r: (model(t, r),))
 
 
 def shape_measures(original: Column, compressed: Column) -> dict[str, Column]:

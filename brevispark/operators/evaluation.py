@@ -108,11 +108,20 @@ def ranking(values: DataFrame) -> DataFrame:
     return means.groupBy("rho").agg(F.array_join(F.transform(sorted_, lambda x: x["variant"]), " > ").alias("ranking"))
 
 
-def survival_strata(r: DataFrame, share: float = 0.5) -> DataFrame:
-    """Accuracy by whether the question's retention reaches `share`, at the highest level."""
-    strata = r.where("repetition = 1 AND rho = 0.75").withColumn("survived", F.when(F.col("r_core") >= share, 1).otherwise(0)).groupBy("variant", "survived").agg(F.sum("correct").alias("k"), F.count("*").alias("n"))
+def question_survival(sections: DataFrame, r: DataFrame, share: float = 0.5, rho: float = 0.75, least: int = 10) -> DataFrame:
+    """What accuracy at the highest level hangs on: whether the core of the test question survived the compression.
+
+    sections: prompt_id, level_no, variant, rho, section, origin, rate. Three tables in one, by `block`: accuracy of all runs by
+    whether the question kept `share` of its words (`stratum`), the share of conditions whose question did, by variant
+    (`survival`), and accuracy among those, by variant (`survivors`; `enough` is 0 below `least` runs). Each with k, n and the
+    share's interval."""
+    tested = sections.where((F.col("section") == "question") & (F.col("origin") == "core") & (F.col("rho") == rho))
+    tested = tested.select("prompt_id", "level_no", "variant", F.when(F.col("rate") >= share, 1).otherwise(0).alias("survived"))
+    scored = tested.join(r.where("repetition = 1").select("prompt_id", "level_no", "correct"), ["prompt_id", "level_no"])
+    cells = lambda df, block, keys, k: df.groupBy(*keys).agg(F.sum(k).alias("k"), F.count("*").alias("n")).select(F.lit(block).alias("block"), *[F.col(c) if c in keys else F.lit(None).cast(t).alias(c) for c, t in (("variant", "string"), ("survived", "int"))], "k", "n")
+    out = cells(scored, "stratum", ["survived"], "correct").unionByName(cells(tested, "survival", ["variant"], "survived")).unionByName(cells(scored.where("survived = 1"), "survivors", ["variant"], "correct"))
     p, lo, hi = S.wilson(F.col("k"), F.col("n"))
-    return strata.select("variant", "survived", "k", "n", p.alias("share"), lo.alias("lo"), hi.alias("hi"))
+    return out.select("block", "variant", "survived", "k", "n", p.alias("share"), lo.alias("lo"), hi.alias("hi"), (F.col("n") >= least).cast("int").alias("enough"))
 
 
 def determinism(inference: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -12,6 +12,30 @@ def open_work(items: DataFrame, levels: list[float], done: DataFrame, key: str)
     return wanted.join(done.select(key, "rho").distinct(), [key, "rho"], "left_anti")
 
 
+def work_list(items: DataFrame, levels: list[float], done: DataFrame, key: str, order: list[str], variants: list[str] | None = None, only: list[float] | None = None, repetition: int | None = None, redo: bool = False, limit: int | None = None) -> DataFrame:
+    """Open conditions (item, level) in order: of some variants and levels, for one repetition (then `done` has a column of that
+    name), all of them again with `redo`, and at most `limit`. Every option that is not given is no condition at all."""
+    wanted = items if variants is None else items.where(F.col("variant").isin(list(variants)))
+    chosen = [x for x in levels if only is None or x in only]
+    if not redo and repetition is not None:
+        done = done.where(F.col("repetition") == repetition)
+    wanted = wanted.withColumn("rho", F.explode(F.array(*[F.lit(float(x)) for x in chosen]))) if chosen else wanted.withColumn("rho", F.lit(0.0)).limit(0)
+    if not redo:
+        wanted = wanted.join(done.select(key, "rho").distinct(), [key, "rho"], "left_anti")
+    out = wanted.orderBy(*order)
+    return out if limit is None else out.limit(limit)
+
+
+def update_columns(stored: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """stored with some columns taken from new, where new has the key; rows of new without a counterpart are left out. new: one row a
+    key. A new null replaces an old value, as in an update."""
+    fresh = new.select(*keys, F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = stored.join(fresh, keys, "left")
+    old = lambda c: F.col(c) if c in stored.columns else F.lit(None)
+    names = [*stored.columns, *(c for c in columns if c not in stored.columns)]
+    return joined.select(*[F.when(F.col("_new"), F.col(f"_{c}")).otherwise(old(c)).alias(c) if c in columns else F.col(c) for c in names])
+
+
 def replace_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of old whose key is not in new, and all of new."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -21,15 +21,28 @@ def terciles(df: DataFrame, category: str, value: str, key: str, name: str = "te
     return df.withColumn(name, F.when(rank <= F.round(n / 3), 1).when(rank <= F.round(2 * n / 3), 2).otherwise(3))
 
 
-def stratified(df: DataFrame, strata: tuple[str, ...], quota: int | Column, key: str, seed: int) -> DataFrame:
-    """`quota` rows of each stratum in hash order. The ranking is pruned before the shuffle, so large strata are cheap."""
+def eligible(df: DataFrame, paraphrases: DataFrame, category: str, count: str = "n_paraphrases", least: int = 4) -> DataFrame:
+    """Rows of the categories that have enough paraphrases, with their number. paraphrases: a row per category."""
+    return df.join(paraphrases.where(F.col(count) >= least).select(category, count), category)
+
+
+def stratified(df: DataFrame, strata: tuple[str, ...], quota: int | Column, key: str, seed: int, strict: bool = False) -> DataFrame:
+    """`quota` rows of each stratum in hash order. The ranking is pruned before the shuffle, so large strata are cheap.
+
+    strict: raises ValueError if a stratum cannot meet its quota, with the strata that cannot (a pass of its own)."""
+    if strict:
+        small = too_small(df, strata, quota).orderBy(*strata).limit(20).collect()
+        if small:
+            raise ValueError("strata too small: " + "; ".join(", ".join(str(r[c]) for c in strata) + f" has {r.n} of {r.quota}" for r in small))
     w = Window.partitionBy(*strata).orderBy(draw_key(seed, key), key)
+    quota = quota if isinstance(quota, Column) else F.lit(quota)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= quota).drop("_rank")
 
 
-def too_small(df: DataFrame, strata: tuple[str, ...], quota: int) -> DataFrame:
+def too_small(df: DataFrame, strata: tuple[str, ...], quota: int | Column) -> DataFrame:
     """Strata that cannot meet their quota."""
-    return df.groupBy(*strata).agg(F.count("*").alias("n")).where(F.col("n") < quota)
+    quota = quota if isinstance(quota, Column) else F.lit(quota)
+    return df.withColumn("_quota", quota).groupBy(*strata).agg(F.count("*").alias("n"), F.max("_quota").alias("quota")).where(F.col("n") < F.col("quota"))
 
 
 def balanced_subsample(sample: DataFrame, category: str, tercile: str, key: str, per_category: int, per_tercile: int, tries: int = 500) -> DataFrame:

@@ -37,18 +37,28 @@ def labelled_tokens(segments: Column) -> Column:
     return F.flatten(F.transform(segments, of))
 
 
+def word_marks(segments: Column) -> Column:
+    """The words alone, in order, with what deletion asks of them: (form, is_protected, is_core)."""
+    def of(s: Column) -> Column:
+        return F.transform(T.words(s["text"]), lambda form: F.struct(form.alias("form"), T.is_protected(form).alias("is_protected"), (s["origin"] == CORE).alias("is_core")))
+
+    return F.flatten(F.transform(segments, of))
+
+
 def word_rows(df: DataFrame, tokens: str = "tokens", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per token: keep, pos, rel_pos (pos / (n - 1), 0 for one token) and the token's fields."""
-    n = F.size(tokens)
-    rows = df.select(*keep, n.alias("_n"), F.posexplode(tokens).alias("pos", "t"))
+    """One row per token: keep, pos, rel_pos (pos / (n - 1), 0 for one token) and the token's fields.
+
+    Rows are exploded with their nulls, which then go: for a plain explode the optimiser would put a filter on the tokens below the
+    shuffle that spreads the texts, and make the tokens there once more."""
+    rows = df.select(*keep, F.col(tokens).alias("_t")).select(*keep, F.size("_t").alias("_n"), F.posexplode_outer("_t").alias("pos", "t")).where("pos IS NOT NULL")
     return rows.select(*keep, "pos", F.when(F.col("_n") > 1, F.col("pos") / (F.col("_n") - 1)).otherwise(F.lit(0.0)).alias("rel_pos"), "t.*")
 
 
 def type_overlap(segments: Column) -> Column:
     """Share of the redundancy's distinct word forms that the core has too; null without redundancy."""
     forms = lambda origin: F.array_distinct(F.flatten(F.transform(F.filter(segments, lambda s: s["origin"] == origin), lambda s: F.transform(T.words(s["text"]), T.fold))))
-    red = forms(REDUNDANT)
-    return F.size(F.array_intersect(red, forms(CORE))) / F.when(F.size(red) > 0, F.size(red))
+    share = lambda red: F.size(F.array_intersect(red, forms(CORE))) / F.when(F.size(red) > 0, F.size(red))
+    return F.transform(F.array(forms(REDUNDANT)), share)[0]  # forms are made once
 
 
 def leakage(segments: Column, answers: Column) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ from brevispark.operators import evaluation as E
 from brevispark.operators import incremental as I
 from brevispark.operators import sampling as M
 
-from .study import CLASSES, STUDY, Catalogue, compressed, conditions, inference, p_sql, paired_sql, prompts, r6, rounded, runs, table, tasks, wilson_sql
+from .study import CLASSES, STUDY, Catalogue, compressed, conditions, inference, p_sql, paired_sql, prompts, r6, rounded, runs, sections, table, tasks, wilson_sql
 
 CATALOGUE = Catalogue()
 PAIRS = [("filler", "semantic"), ("semantic", "instruction"), ("instruction", "demonstration")]
@@ -123,9 +123,39 @@ def variant_ranking(spark, sf_dir):
     return E.ranking(_values(spark, sf_dir))
 
 
-@CATALOGUE.add(f"WITH {STUDY}, c AS (SELECT variant, CASE WHEN r_core >= 0.5 THEN 1 ELSE 0 END AS survived, cast(sum(correct) AS bigint) AS k, count(*) AS n FROM runs WHERE repetition = 1 AND rho = 0.75 GROUP BY 1, 2) SELECT variant, survived, k, n, {wilson_sql()} FROM c")
-def section_survival_strata(spark, sf_dir):
-    return rounded(E.survival_strata(runs(spark, sf_dir)))
+_TESTED = "tested AS (SELECT s.prompt_id, s.level_no, p.variant, CASE WHEN s.rate >= 0.5 THEN 1 ELSE 0 END AS survived FROM sections s JOIN compressed c USING (prompt_id, level_no) JOIN prompts p USING (prompt_id) WHERE s.section = 'question' AND s.origin = 'core' AND c.rho = 0.75)"
+
+
+@CATALOGUE.add(f"""WITH {STUDY}, {_TESTED}, scored AS (SELECT t.*, i.correct FROM tested t JOIN inference i USING (prompt_id, level_no) WHERE i.repetition = 1),
+c AS (SELECT 'stratum' AS block, cast(NULL AS varchar) AS variant, survived, sum(correct) AS k, count(*) AS n FROM scored GROUP BY survived UNION ALL SELECT 'survival', variant, NULL, sum(survived), count(*) FROM tested GROUP BY variant
+  UNION ALL SELECT 'survivors', variant, NULL, sum(correct), count(*) FROM scored WHERE survived = 1 GROUP BY variant)
+SELECT block, variant, survived, cast(k AS bigint) AS k, n, {wilson_sql()}, cast(n >= 10 AS integer) AS enough FROM c""")
+def question_survival(spark, sf_dir):
+    return rounded(E.question_survival(sections(spark, sf_dir), inference(spark, sf_dir)))
+
+
+@CATALOGUE.add(f"""WITH {STUDY}, done AS (SELECT DISTINCT prompt_id, rho FROM compressed JOIN inference USING (prompt_id, level_no) WHERE repetition = 2)
+SELECT p.prompt_id, p.variant, l.rho FROM prompts p CROSS JOIN (VALUES (0.25::double), (0.75::double)) l(rho) LEFT JOIN done d ON d.prompt_id = p.prompt_id AND d.rho = l.rho WHERE d.rho IS NULL AND p.variant IN ('filler', 'semantic') ORDER BY p.prompt_id, p.variant, l.rho LIMIT 500""")
+def filtered_worklist(spark, sf_dir):
+    done = compressed(spark, sf_dir).join(inference(spark, sf_dir), ["prompt_id", "level_no"])
+    items = prompts(spark, sf_dir).select("prompt_id", "variant")
+    found = I.work_list(items, [0.0, 0.25, 0.5, 0.75], done, "prompt_id", ["prompt_id", "variant", "rho"], variants=["filler", "semantic"], only=[0.25, 0.75], repetition=2, limit=500)
+    return found.select("prompt_id", "variant", "rho")
+
+
+@CATALOGUE.add("""WITH new AS (SELECT l_orderkey AS o_orderkey, count(*) AS n_lines, max(l_shipdate) FILTER (WHERE l_returnflag = 'R') AS o_orderdate FROM lineitem WHERE l_discount > 0.05 GROUP BY 1)
+SELECT o.o_orderkey, o.o_orderstatus, CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_orderdate ELSE o.o_orderdate END AS o_orderdate, n.n_lines FROM orders o LEFT JOIN new n USING (o_orderkey)""")
+def update_measures(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_discount > 0.05").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    new = lines.agg(F.count("*").alias("n_lines"), F.max(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))).alias("o_orderdate"))
+    return I.update_columns(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), new, ["o_orderkey"], ["o_orderdate", "n_lines"])
+
+
+@CATALOGUE.add("""WITH c AS (SELECT p_type, count(DISTINCT p_brand) AS n_paraphrases FROM part GROUP BY 1) SELECT p_partkey, p_type, n_paraphrases FROM part JOIN c USING (p_type) WHERE n_paraphrases >= 4""")
+def eligible_categories(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    counts = parts.groupBy("p_type").agg(F.count_distinct("p_brand").alias("n_paraphrases"))
+    return M.eligible(parts.select("p_partkey", "p_type"), counts, "p_type").select("p_partkey", "p_type", "n_paraphrases")
 
 
 @CATALOGUE.add(f"WITH {STUDY} SELECT count(*) AS n, cast(sum(r_red_null) AS bigint) AS n_r_red_null, round(avg(n_red), 6) AS mean_n_red, round(sum(coalesce(compress_s, 0)), 3) AS sum_compress_s FROM conditions WHERE rho > 0")

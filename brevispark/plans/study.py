@@ -40,9 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a table of fewer files than cores over all cores, for work that is heavy by row; larger tables stay as they lie."""
+    """Deals a table of fewer scan partitions than cores over all cores, for work that is heavy by row; larger tables stay as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df  # the scan's own count; no file is listed anew
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -86,6 +86,15 @@ def inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retention of the core of the test question and of the instruction, for each compressed prompt."""
+    rate = lambda add: (F.col("l_partkey") + add) % 11 / 10
+    parts = F.array(F.struct(F.lit("question").alias("section"), rate(0).alias("rate")), F.struct(F.lit("instruction").alias("section"), rate(3).alias("rate")))
+    long = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("prompt_id"), F.col("l_linenumber").alias("level_no"), F.explode(parts).alias("z"))
+    rows = long.select("prompt_id", "level_no", "z.*", F.lit("core").alias("origin"))
+    return rows.join(compressed(spark, sf_dir).select("prompt_id", "level_no", "rho"), ["prompt_id", "level_no"]).join(prompts(spark, sf_dir).select("prompt_id", "variant"), "prompt_id")
+
+
 def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.conditions(compressed(spark, sf_dir), prompts(spark, sf_dir), tasks(spark, sf_dir))
 
@@ -108,6 +117,8 @@ comp1 AS (SELECT *, rho + l_tax - cast(0.04 AS double) AS rho_real, cast(floor(n
 comp2 AS (SELECT *, cast(e_core AS double) / nullif(n_core, 0) AS r_core, cast(e_red AS double) / nullif(n_red, 0) AS r_red, CASE WHEN n_core > 0 AND n_red > 0 THEN ((e_core + 0.5::double) / (n_core + 1)) / ((e_red + 0.5::double) / (n_red + 1)) END AS s_free,
   CASE WHEN n_core > 0 AND n_red > 0 THEN (e_core + 0.5::double) / (n_core + 1) END AS r_core_free, CASE WHEN n_core > 0 AND n_red > 0 THEN (e_red + 0.5::double) / (n_red + 1) END AS r_red_free FROM comp1),
 compressed AS (SELECT *, r_core / nullif(r_red, 0) AS s, ln(nullif(r_core / nullif(r_red, 0), 0)) AS ln_s, CASE WHEN n_red > 0 AND r_red = 0 THEN 1 ELSE 0 END AS r_red_null, ln(s_free) AS ln_s_free FROM comp2),
+sections AS (SELECT l_orderkey AS prompt_id, l_linenumber AS level_no, 'question' AS section, 'core' AS origin, (l_partkey % 11) / 10.0::double AS rate FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, 'instruction', 'core', ((l_partkey + 3) % 11) / 10.0::double FROM lineitem),
 inference AS (SELECT l_orderkey AS prompt_id, l_linenumber AS level_no, cast(l_suppkey % 2 + 1 AS integer) AS repetition, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS correct, l_quantity AS n_input,
   l_extendedprice / 10000 AS total_s, CASE l_returnflag {_ERRORS} END AS error_class FROM lineitem),
 conditions AS (SELECT * EXCLUDE (l_tax) FROM compressed JOIN prompts USING (prompt_id) JOIN tasks USING (task_id)),

@@ -9,7 +9,9 @@ from brevispark.functions import arrays as A
 from brevispark.functions import stats as S
 from brevispark.functions import text as T
 from brevispark.operators import compression as C
+from brevispark.operators import plugins as G
 from brevispark.operators import prompts as P
+from brevispark.operators import scoring as Q
 from brevispark.operators import selectivity as R
 from brevispark.operators import words as W
 
@@ -38,19 +40,31 @@ def documents(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
-def labelled(spark, sf_dir):
-    """Documents with their segments and tokens; texts without a token have none."""
-    docs = documents(spark, sf_dir).withColumn("segments", W.segments_of_lines(F.col("text")))
-    return docs.withColumn("tokens", W.labelled_tokens(F.col("segments")))
+def segmented(spark, sf_dir):
+    return documents(spark, sf_dir).withColumn("segments", W.segments_of_lines(F.col("text")))
 
 
-def survived(spark, sf_dir):
-    ordered = labelled(spark, sf_dir).select("doc_id", "lang", "tokens").withColumn("order", C.pick_order(F.col("tokens")))
-    return C.at_levels(ordered).withColumn("mask", C.survival(F.col("tokens"), F.col("rho"), F.col("order"))).drop("order")
+def labelled(spark, sf_dir):
+    """Documents that have a token, with their labelled tokens. Whether they have one is asked of the text: a filter on the tokens
+    would be made below the shuffle that spreads the texts, in as few tasks as the table has files."""
+    some = F.rlike("text", F.lit(T.TOKEN))
+    return segmented(spark, sf_dir).where(some).select("doc_id", "lang", W.labelled_tokens(F.col("segments")).alias("tokens"))
 
 
 def counted(spark, sf_dir):
-    return survived(spark, sf_dir).withColumns(R.counts(F.col("tokens"), F.col("mask"))).where(F.size("tokens") > 0).drop("tokens", "mask")
+    """Words and kept words by origin, a row for each document with a token and each level."""
+    words = segmented(spark, sf_dir).where(F.rlike("text", F.lit(T.TOKEN))).select("doc_id", "lang", W.word_marks(F.col("segments")).alias("words"))
+    return C.each_level(words.select("doc_id", "lang", C.counts_at_levels(F.col("words")).alias("c")), F.col("c")).drop("c")
+
+
+def token_rows(spark, sf_dir, *fields):
+    """A row per token with some fields, whether it is a word, and what levels above 0 it survives (lives: array<boolean>)."""
+    levels = [x for x in C.LEVELS if x]
+    docs = labelled(spark, sf_dir).select("doc_id", C.lean_tokens(F.col("tokens"), *fields, "is_word").alias("t"))
+    docs = docs.withColumn("o", C.rank_order(F.col("t"))).select("doc_id", "t", F.array(*[C._cut(F.col("o"), x) for x in levels]).alias("cuts"))
+    rows = docs.select("doc_id", "cuts", F.explode_outer("t").alias("t")).where("t IS NOT NULL")
+    lives = F.transform("cuts", lambda cut: F.col("t.always") | F.coalesce(F.col("t.rank") <= cut, F.lit(False)))
+    return rows.select("doc_id", *[f"t.{f}" for f in (*fields, "is_word")], F.col("t.always").alias("always"), lives.alias("lives")), levels
 
 
 @CATALOGUE.add(f"WITH {TOKS} SELECT doc_id, pos, form, {FOLD.format('form')} AS key, is_word, is_digit, is_protected, section, origin FROM toks")
@@ -78,7 +92,7 @@ def structure_counts(spark, sf_dir):
 @CATALOGUE.add(f"""WITH {TOKS}, f AS (SELECT doc_id, list_distinct(list({FOLD.format('form')}) FILTER (WHERE origin = 'core')) AS c, list_distinct(list({FOLD.format('form')}) FILTER (WHERE origin = 'redundant')) AS r FROM toks WHERE is_word GROUP BY 1)
 SELECT d.doc_id, round(len(list_intersect(f.r, coalesce(f.c, []))) / nullif(len(f.r), 0)::double, 6) AS overlap FROM documents d LEFT JOIN f USING (doc_id)""")
 def lexical_overlap(spark, sf_dir):
-    return rounded(labelled(spark, sf_dir).select("doc_id", W.type_overlap(F.col("segments")).alias("overlap")))
+    return rounded(segmented(spark, sf_dir).select("doc_id", W.type_overlap(F.col("segments")).alias("overlap")))
 
 
 _FLAT = lambda x: f"trim(regexp_replace({FOLD.format(x)}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
@@ -91,24 +105,24 @@ SELECT d.doc_id, CASE WHEN h.o IS NULL THEN 0 ELSE 1 END AS leaks, CASE WHEN h.o
 def phrase_leakage(spark, sf_dir):
     answers = F.array(F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
     flag, section = W.leakage(F.col("segments"), answers)
-    return labelled(spark, sf_dir).select("doc_id", flag.alias("leaks"), section.alias("section"))
+    return segmented(spark, sf_dir).select("doc_id", flag.alias("leaks"), section.alias("section"))
 
 
 @CATALOGUE.add(f"""WITH {KEPT}, m AS (SELECT doc_id, rho, cast(count(*) AS integer) AS n_tokens, cast(count(*) FILTER (WHERE lives) AS integer) AS n_kept, sha256(coalesce(string_agg(form, ' ' ORDER BY pos) FILTER (WHERE lives), '')) AS sha FROM kept GROUP BY 1, 2)
 SELECT doc_id, rho, n_tokens, n_kept, sha AS text_sha256 FROM m""")
 def compress_surrogate(spark, sf_dir):
-    rows = survived(spark, sf_dir).where(F.size("tokens") > 0)
-    text = C.kept_text(F.col("tokens"), F.col("mask"))
-    return rows.select("doc_id", "rho", F.size("tokens").alias("n_tokens"), F.size(F.filter("mask", lambda m: m)).alias("n_kept"), F.sha2(text, 256).alias("text_sha256"))
+    rows = labelled(spark, sf_dir).select("doc_id", F.size("tokens").alias("n_tokens"), C.kept_at_levels(F.col("tokens")).alias("k"))
+    made = F.transform("k", lambda z: F.struct(z["rho"].alias("rho"), F.size(z["kept"]).alias("n_kept"), F.sha2(F.array_join(z["kept"], " "), 256).alias("text_sha256")))
+    return C.each_level(rows.select("doc_id", "n_tokens", made.alias("made")), F.col("made")).drop("made")
 
 
 @CATALOGUE.add()
 def embed_positions(spark, sf_dir):
-    """Compressed keys aligned with their origin from the left and the right; SQL has no linear form of it."""
-    rows = survived(spark, sf_dir).where("rho = 0.5")
-    kept = F.transform(C.kept_tokens(F.col("tokens"), F.col("mask")), lambda z: z["t"]["key"])
-    found = A.align(rows, kept, F.transform("tokens", lambda t: t["key"]), ("doc_id",))
-    return found.select("doc_id", "is_subsequence", "n_ambiguous", "n_unassigned", "n_left", "n_right")
+    """Compressed keys aligned with their origin from the left and the right, for each level above 0; SQL has no linear form of it."""
+    rows = labelled(spark, sf_dir).select("doc_id", "tokens", C.kept_at_levels(F.col("tokens"), "key", tuple(x for x in C.LEVELS if x)).alias("k"))
+    rows = C.each_level(rows.select("doc_id", F.col("tokens.key").alias("keys"), "k"), F.col("k"))
+    found = A.align(rows, F.col("kept"), F.col("keys"), ("doc_id", "rho"))
+    return found.select("doc_id", "rho", "is_subsequence", "n_ambiguous", "n_unassigned", "n_left", "n_right")
 
 
 _RATES = "cast(e_core AS double) / nullif(n_core, 0) AS r_core, cast(e_red AS double) / nullif(n_red, 0) AS r_red"
@@ -134,8 +148,8 @@ def free_index(spark, sf_dir):
 
 @CATALOGUE.add(f"WITH {KEPT} SELECT doc_id, rho, section, origin, count(*) AS n_words, cast(count(*) FILTER (WHERE lives) AS bigint) AS n_kept, round(count(*) FILTER (WHERE lives) / count(*)::double, 6) AS rate FROM kept WHERE is_word AND rho > 0 GROUP BY 1, 2, 3, 4")
 def section_retention(spark, sf_dir):
-    rows = survived(spark, sf_dir).where("rho > 0").select("doc_id", "rho", F.explode(F.arrays_zip(F.col("tokens").alias("t"), F.col("mask").alias("m"))).alias("z"))
-    return rounded(R.section_retention(rows.select("doc_id", "rho", "z.t.section", "z.t.origin", "z.t.is_word", F.col("z.m").alias("kept")), ("doc_id", "rho")))
+    rows, levels = token_rows(spark, sf_dir, "section", "origin")
+    return rounded(R.section_retention(rows, ("doc_id",), levels))
 
 
 @CATALOGUE.add(f"""WITH {COUNTS}, m AS (SELECT *, n_core - n_core_free AS pc, n_red - n_red_free AS pr, n_core_free AS fc, n_red_free AS fr, e_core + e_red AS k FROM counts WHERE rho > 0 AND n_core_free > 0 AND n_red_free > 0),
@@ -145,24 +159,28 @@ def null_model(spark, sf_dir):
     rows = counted(spark, sf_dir).where("rho > 0")
     c = lambda n: F.col(n)
     protected = lambda n: c(f"n_{n}") - c(f"n_{n}_free")
-    rows = rows.withColumns(R.expected(c("e_core") + c("e_red"), (protected("core"), c("n_core_free")), (protected("red"), c("n_red_free")))).where("p_survive IS NOT NULL")
-    return rounded(rows.groupBy("lang", "rho").agg(F.count("*").alias("n"), S.geometric_mean(F.col("ln_s_expected")).alias("geo_s_expected"), S.geometric_mean(F.col("ln_s_free_expected")).alias("geo_s_free_expected")))
+    rows = rows.withColumns(R.expected(c("e_core") + c("e_red"), (protected("core"), c("n_core_free")), (protected("red"), c("n_red_free"))))
+    # a filter on p_survive would be made below the shuffle that spreads the texts; counts skip its nulls
+    return rounded(rows.groupBy("lang", "rho").agg(F.count("p_survive").alias("n"), S.geometric_mean(F.col("ln_s_expected")).alias("geo_s_expected"), S.geometric_mean(F.col("ln_s_free_expected")).alias("geo_s_free_expected")).where("n > 0"))
 
 
 @CATALOGUE.add(f"""WITH {KEPT}, k AS (SELECT *, {FOLD.format('form')} AS key FROM kept WHERE is_word AND rho > 0), twice AS (SELECT doc_id, rho, key FROM k GROUP BY 1, 2, 3 HAVING count(DISTINCT origin) = 2),
 o AS (SELECT k.* FROM k ANTI JOIN twice b ON k.doc_id = b.doc_id AND k.rho = b.rho AND k.key = b.key), c AS (SELECT doc_id, rho, count(*) FILTER (WHERE origin = 'core') AS nc, count(*) FILTER (WHERE origin = 'redundant') AS nr, count(*) FILTER (WHERE origin = 'core' AND lives) AS ec, count(*) FILTER (WHERE origin = 'redundant' AND lives) AS er FROM o WHERE NOT is_protected GROUP BY 1, 2)
 SELECT rho, count(*) AS n, round(exp(avg(ln(((ec + 0.5::double) / (nc + 1)) / ((er + 0.5::double) / (nr + 1))))), 6) AS geo_s_free FROM c WHERE nc > 0 AND nr > 0 GROUP BY 1""")
 def overlap_free_selectivity(spark, sf_dir):
-    """The free index over words whose form stands in one origin only."""
-    rows = survived(spark, sf_dir).where("rho > 0")
-    keys = lambda origin: F.array_distinct(F.transform(F.filter("tokens", lambda t: t["is_word"] & (t["origin"] == origin)), lambda t: t["key"]))
-    rows = rows.withColumn("both", F.array_intersect(keys(W.CORE), keys(W.REDUNDANT)))
-    long = rows.select("doc_id", "rho", "both", F.explode(F.arrays_zip(F.col("tokens").alias("t"), F.col("mask").alias("m"))).alias("z"))
-    long = long.where(F.col("z.t.is_word") & ~F.col("z.t.is_protected") & ~F.array_contains("both", F.col("z.t.key")))
-    count = lambda origin, kept=False: F.count_if((F.col("z.t.origin") == origin) & (F.col("z.m") if kept else F.lit(True)))
-    cells = long.groupBy("doc_id", "rho").agg(count(W.CORE).alias("nc"), count(W.REDUNDANT).alias("nr"), count(W.CORE, True).alias("ec"), count(W.REDUNDANT, True).alias("er"))
-    cells = cells.withColumns(R.free_index(*[F.col(c) for c in ("nc", "nr", "ec", "er")])).where("s_free IS NOT NULL")
-    return rounded(cells.groupBy("rho").agg(F.count("*").alias("n"), S.geometric_mean(F.col("ln_s_free")).alias("geo_s_free")))
+    """The free index over words whose form stands in one origin only. Words of a key are counted together, so that a key's origins
+    are known without a list of keys to search for each word."""
+    rows, levels = token_rows(spark, sf_dir, "key", "origin")
+    rows = rows.where("is_word")
+    cells = [F.count_if(~F.col("always")).alias("n"), *[F.count_if(~F.col("always") & F.col("lives")[i]).alias(f"e{i}") for i in range(len(levels))]]
+    keys = rows.groupBy("doc_id", "key").agg(F.min("origin").alias("origin"), F.max("origin").alias("other"), *cells).where("origin = other")
+    total = lambda c, origin: F.sum(F.when(F.col("origin") == origin, F.col(c)).otherwise(0))
+    names = ["n", *[f"e{i}" for i in range(len(levels))]]
+    docs = keys.groupBy("doc_id").agg(*[total(c, o).alias(f"{c}_{o}") for c in names for o in (W.CORE, W.REDUNDANT)])
+    each = F.array(*[F.struct(F.lit(x).alias("rho"), *[F.col(f"{a}_{o}").alias(b) for a, o, b in (("n", W.CORE, "nc"), ("n", W.REDUNDANT, "nr"), (f"e{i}", W.CORE, "ec"), (f"e{i}", W.REDUNDANT, "er"))]) for i, x in enumerate(levels)])
+    long = docs.select("doc_id", F.explode(each).alias("z")).select("doc_id", "z.*")
+    long = long.withColumns(R.free_index(*[F.col(c) for c in ("nc", "nr", "ec", "er")])).where("s_free IS NOT NULL")
+    return rounded(long.groupBy("rho").agg(F.count("*").alias("n"), S.geometric_mean(F.col("ln_s_free")).alias("geo_s_free")))
 
 
 @CATALOGUE.add(f"""WITH o AS (SELECT conv_id, turn, text AS output, {_FLAT('text')} AS norm, role = 'user' AS cut FROM conversations), n AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS w FROM o)
@@ -184,10 +202,63 @@ def repair_encoding(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.repair_encoding("text").alias("r")).select("doc_id", F.sha2("r.text", 256).alias("text_sha256"), F.col("r.repaired").alias("repaired"))
 
 
-@CATALOGUE.add("SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k, cast(1 AS integer) AS n_aliases FROM events")
+# Alias lists of every kind that is met: JSON lists (with a null, or empty), JSON scalars, other texts, nothing.
+_ALIASES = """a AS (SELECT conv_id, turn, text, role, string_split(text, ' ')[2:4] AS w FROM conversations), r AS (SELECT *, CASE turn % 6 WHEN 0 THEN to_json([array_to_string(w, ' '), 'no such words', NULL])::varchar WHEN 1 THEN to_json(array_to_string(w[1:1], ' '))::varchar WHEN 2 THEN coalesce(w[2], '') WHEN 3 THEN '[]' WHEN 4 THEN NULL ELSE to_json(['x y z', w[1], array_to_string(w, ' ')])::varchar END AS raw FROM a),
+l AS (SELECT *, CASE turn % 6 WHEN 0 THEN [array_to_string(w, ' '), 'no such words'] WHEN 1 THEN CASE WHEN array_to_string(w[1:1], ' ') = '' THEN [raw] ELSE [array_to_string(w[1:1], ' ')] END WHEN 2 THEN CASE WHEN coalesce(w[2], '') = '' THEN [] ELSE [w[2]] END WHEN 3 THEN [] WHEN 4 THEN [] ELSE list_filter(['x y z', w[1], array_to_string(w, ' ')], lambda x: x IS NOT NULL) END AS aliases FROM r)"""
+
+
+def _aliases(spark, sf_dir):
+    w = F.slice(F.split("text", " "), 2, 3)
+    joined, first = F.array_join(w, " "), F.array_join(F.slice(w, 1, 1), " ")
+    quoted = lambda *x: F.to_json(F.array(*x))
+    kind = F.col("turn") % 6
+    raw = F.when(kind == 0, quoted(joined, F.lit("no such words"), F.lit(None).cast("string"))).when(kind == 1, F.regexp_replace(quoted(first), r"^\[(.*)\]$", "$1")).when(kind == 2, F.coalesce(F.try_element_at(w, F.lit(2)), F.lit("")))
+    raw = raw.when(kind == 3, "[]").when(kind == 5, quoted(F.lit("x y z"), F.try_element_at(w, F.lit(1)), joined))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", "role", raw.alias("raw")).withColumn("aliases", T.alias_list(F.col("raw")))
+
+
+@CATALOGUE.add(f"WITH {_ALIASES} SELECT conv_id, turn, cast(len(aliases) AS integer) AS n_aliases, array_to_string(aliases, '|') AS aliases, cast(list_min(list_transform(aliases, lambda x: len(regexp_extract_all(x, '[^{T.SPACE}]+')))) AS integer) AS least_words FROM l")
 def alias_json(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.size(T.alias_list(F.col("props"))).alias("n_aliases"))
+    return _aliases(spark, sf_dir).select("conv_id", "turn", F.size("aliases").alias("n_aliases"), F.array_join("aliases", "|").alias("aliases"), T.least_words(F.col("aliases")).alias("least_words"))
+
+
+_REFUSED = f"regexp_matches(coalesce(output, ''), '{T.REFUSAL.replace(chr(39), chr(39) * 2)}')"
+_SCORED = f"""o AS (SELECT conv_id, turn, text AS output, {_FLAT('text')} AS norm, role = 'user' AS cut, aliases FROM l), h AS (SELECT *, list_filter(aliases, lambda x: {_FLAT('x')} <> '' AND contains(' ' || norm || ' ', ' ' || {_FLAT('x')} || ' ')) AS hits, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS w FROM o)
+SELECT conv_id, turn, norm AS output_normal, cast(len(hits) > 0 AS integer) AS correct, hits[1] AS matched_alias, CASE WHEN len(hits) > 0 THEN NULL WHEN norm = '' THEN 'empty_or_cut' WHEN cut AND w <= 1 THEN 'empty_or_cut' WHEN {_REFUSED} THEN 'refusal' WHEN w > 6 THEN 'format' ELSE 'wrong_entity' END AS error_class FROM h"""
+
+
+@CATALOGUE.add(f"WITH {_ALIASES}, {_SCORED}")
+def score_outputs(spark, sf_dir):
+    """Stored answers scored anew against their alias lists."""
+    rows = _aliases(spark, sf_dir)
+    stored = rows.select("conv_id", "turn", F.struct("conv_id", "turn").alias("task"), F.col("text").alias("output"), (F.col("role") == "user").alias("is_cut"), F.lit(1).alias("correct"))
+    return Q.rescore(stored, rows.select(F.struct("conv_id", "turn").alias("task"), "aliases"), "task").select("conv_id", "turn", "output_normal", "correct", "matched_alias", "error_class")
+
+
+@CATALOGUE.add("SELECT doc_id, cast(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]')) AS bigint) AS n_tokens FROM documents")
+def model_tokens(spark, sf_dir):
+    """Token counts by a plug-in; here a plain expression stands in for a model's tokenizer."""
+    def make():
+        import re
+
+        pattern = re.compile("[A-Za-z]+|[0-9]")
+        return lambda text: len(pattern.findall(text))
+
+    return G.count_tokens_with(documents(spark, sf_dir).select("doc_id", "text"), make).select("doc_id", "n_tokens")
+
+
+@CATALOGUE.add("SELECT conv_id, turn, trim(CASE WHEN turn % 3 = 0 THEN reverse(text[1:40]) ELSE text[1:40] END, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS output, cast(length(text) AS integer) AS n_input, cast(least(length(text), 40) AS integer) AS n_output, cast(length(text) >= 40 AS integer) AS is_cut FROM conversations WHERE role <> 'system'")
+def generate_answers(spark, sf_dir):
+    """Answers by a plug-in; here one that repeats forty characters, at times from the back, stands in for a language model."""
+    def make():
+        def model(prompt, most):
+            back, _, text = prompt.partition("|")
+            return {"output": text[:most][::-1] if back == "0" else text[:most], "n_input": len(text), "n_output": min(len(text), most)}
+
+        return model
+
+    rows = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn", F.concat((F.col("turn") % 3).cast("string"), F.lit("|"), "text").alias("prompt"))
+    return G.generate_with(rows, make, most_tokens=40).select("conv_id", "turn", "output", "n_input", "n_output", "is_cut")
 
 
 _POOL = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in P.FILLER_POOL) + "]"
@@ -263,17 +334,47 @@ def prompt_build(spark, sf_dir):
     return _prompts(spark, sf_dir).select("conv_id", "variant", F.length(text).cast("bigint").alias("n_chars"), T.ws_count(text).alias("n_ws"), F.sha2(text, 256).alias("prompt_sha256"))
 
 
-@CATALOGUE.add()
+def _segments_sql() -> str:
+    """Segments of the same prompts, part by part, with running sums of their lengths as offsets."""
+    q = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    part = lambda label, origin, section, text, sep=P.BLOCK: f"{{'label': {q(label)}, 'origin': '{origin}', 'section': '{section}', 'sep': {q(sep)}, 'text': {text}}}"
+    pair = lambda i, name, origin: [part(f"{name}_question", origin, "demonstration", f"{q(P.QUESTION)} || t[{i}].text"), part(f"{name}_answer", origin, "demonstration", f"{q(P.ANSWER)} || t[{i}].role", P.LINE)]
+    again = lambda i: f"{q(P.QUESTION)} || lower(t[{i}].text)"
+    start, question = [part("instruction", "core", "instruction", q(P.INSTRUCTION), "")], [part("question", "core", "question", f"{q(P.QUESTION)} || t[1].text")]
+    cue, one, two, u = [part("cue", "core", "question", q(P.CUE), P.LINE)], pair(2, "demonstration_1", "core"), pair(3, "demonstration_2", "core"), UNITS
+    more = lambda label, i, sep: part(label, "redundant", "instruction", q(P.INSTRUCTION_POOL[i]), sep)
+    fillers = [part(f"filler_{i}", "redundant", "filler", q(P.FILLER_POOL[i]), " " if n else P.BLOCK) for n, i in enumerate(u["filler"])]
+    parts = {
+        "basis": [*start, *one, *two, *question, *cue], "filler": [*start, *fillers, *one, *two, *question, *cue], "demonstration": [*start, *one, *two, *pair(4, "extra_1", "redundant"), *question, *cue],
+        "semantic": [*start, *one, two[0], part("paraphrase_demonstration_2", "redundant", "demonstration", again(3), P.LINE), two[1], *question, part("paraphrase_question", "redundant", "question", again(1), P.LINE), *cue],
+        "instruction": [*start, more("instruction_before", u["instruction"][0], P.LINE), *one, *two, more("instruction_after", u["instruction"][1], P.BLOCK), *question, *cue],
+    }
+    union = " UNION ALL ".join(f"SELECT conv_id, '{v}' AS variant, [{', '.join(x)}] AS s FROM c WHERE len(t) >= 4" for v, x in parts.items())
+    return f"""WITH c AS (SELECT conv_id, list({{'turn': turn, 'text': text, 'role': role}} ORDER BY turn) AS t FROM conversations GROUP BY 1), p AS ({union}), e AS (SELECT conv_id, variant, unnest(s) AS z, unnest(range(len(s))) AS ord FROM p),
+    o AS (SELECT conv_id, variant, cast(ord AS integer) AS ord, z, cast(sum(length(z.sep) + length(z.text)) OVER (PARTITION BY conv_id, variant ORDER BY ord) AS integer) AS "end" FROM e)
+    SELECT conv_id, variant, ord, z.label AS label, z.origin AS origin, z.section AS section, cast("end" - length(z.text) AS integer) AS start, "end", cast(len(regexp_extract_all(z.text, '[^{T.SPACE}]+')) AS integer) AS n_ws, sha256(z.text) AS text_sha256 FROM o"""
+
+
+@CATALOGUE.add(_segments_sql())
 def prompt_segments(spark, sf_dir):
-    """Segments of the prompts with their offsets."""
-    rows = _prompts(spark, sf_dir).select("conv_id", "variant", F.posexplode(F.arrays_zip(F.col("segments").alias("s"), P.offsets(F.col("segments")).alias("o"))).alias("ord", "z"))
-    return rows.select("conv_id", "variant", "ord", "z.s.label", "z.s.origin", "z.s.section", "z.o.start", "z.o.end", T.ws_count(F.col("z.s.text")).alias("n_ws"))
+    """Segments of the prompts with their offsets, and the text that those cut out of the whole prompt."""
+    rows = _prompts(spark, sf_dir).withColumn("prompt", P.prompt_text(F.col("segments")))
+    rows = rows.select("conv_id", "variant", "prompt", F.posexplode(F.arrays_zip(F.col("segments").alias("s"), P.offsets(F.col("segments")).alias("o"))).alias("ord", "z"))
+    text = T.slice_by(F.col("prompt"), F.col("z.o.start"), F.col("z.o.end"))
+    return rows.select("conv_id", "variant", "ord", "z.s.label", "z.s.origin", "z.s.section", "z.o.start", "z.o.end", T.ws_count(F.col("z.s.text")).alias("n_ws"), F.sha2(text, 256).alias("text_sha256"))
+
+
+@CATALOGUE.add(f"SELECT conv_id, variant, cast(count(*) FILTER (WHERE ends_with(label, '_answer')) AS integer) AS n_demos, cast(count(*) FILTER (WHERE starts_with(label, 'paraphrase_')) AS integer) AS n_paraphrases FROM ({_segments_sql()}) GROUP BY 1, 2")
+def prompt_demos(spark, sf_dir):
+    """Demonstrations and paraphrases of each prompt, told by their labels."""
+    named = lambda test, text: F.size(F.filter("segments", lambda s: test(s["label"], F.lit(text))))
+    return _prompts(spark, sf_dir).select("conv_id", "variant", named(F.endswith, "_answer").alias("n_demos"), named(F.startswith, "paraphrase_").alias("n_paraphrases"))
 
 
 @CATALOGUE.add(f"""WITH {KEPT}, k AS (SELECT doc_id, rho, string_agg(form, ' ' ORDER BY pos) FILTER (WHERE lives) AS t FROM kept GROUP BY 1, 2), o AS (SELECT doc_id, string_agg(form, ' ' ORDER BY pos) AS t FROM toks GROUP BY 1)
 SELECT doc_id, rho, round(1 - len(regexp_extract_all(coalesce(k.t, ''), '[^ ]+')) / len(regexp_extract_all(o.t, '[^ ]+'))::double, 6) AS rho_real FROM k JOIN o USING (doc_id)""")
 def realised_rates(spark, sf_dir):
-    rows = survived(spark, sf_dir).where(F.size("tokens") > 0)
-    original = F.array_join(F.transform("tokens", lambda t: t["form"]), " ")
-    m = C.shape_measures(original, C.kept_text(F.col("tokens"), F.col("mask")))
-    return rounded(rows.select("doc_id", "rho", m["rho_real"].alias("rho_real")))
+    rows = labelled(spark, sf_dir).select("doc_id", T.ws_count(F.array_join("tokens.form", " ")).alias("n"), C.kept_at_levels(F.col("tokens")).alias("k"))
+    made = F.transform("k", lambda z: F.struct(z["rho"].alias("rho"), T.ws_count(F.array_join(z["kept"], " ")).alias("m")))
+    long = C.each_level(rows.select("doc_id", "n", made.alias("made")), F.col("made"))
+    return rounded(long.select("doc_id", "rho", (1 - S.ratio(F.col("m"), F.col("n"))).alias("rho_real")))

@@ -46,6 +46,15 @@ def test_query(spark, duck, name):
     assert rows == sorted(tuple(plain(r[i]) for i in order) for r in rel.fetchall())
 
 
+@pytest.mark.parametrize("name", ["tokenize_words", "word_positions", "compress_surrogate", "selectivity_index", "free_index", "null_model", "section_retention", "overlap_free_selectivity", "realised_rates", "embed_positions", "lexical_overlap"])
+def test_texts_are_tokenised_once_and_after_they_are_spread(spark, name):
+    """What stands below the shuffle that deals the texts runs in as few tasks as the table has files."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Repartition")
+    passes = {"lexical_overlap": 2, "realised_rates": 3}.get(name, 1)  # over both origins apart; with the words of both texts counted
+    assert below and "regexp_extract_all" not in below and above.count("regexp_extract_all") == passes
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
