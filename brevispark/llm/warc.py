@@ -48,6 +48,11 @@ def digest(data: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(data, 256))
 
 
+def _once(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f mentions it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def entities(text: Column) -> Column:
     """Decodes named references and decimal or hexadecimal ones, each once."""
     def numbered(part: Column) -> Column:
@@ -68,12 +73,20 @@ def entities(text: Column) -> Column:
         parts = F.split(x, mark)
         return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), of), ""))
 
-    out = F.when(F.contains(text, F.lit("&#")), each(text, "&#", numbered)).otherwise(text)
-    for name in COMMON:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(NAMED[name]))
-    # what is left but the ampersand's own: few pages have any
-    out = F.when(F.rlike(F.replace(out, F.lit("&amp;"), F.lit("")), F.lit("&[a-zA-Z][a-zA-Z0-9]*;")), each(out, "&", named)).otherwise(out)
-    return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    def common(x: Column) -> Column:
+        for name in COMMON:
+            x = F.replace(x, F.lit(f"&{name};"), F.lit(NAMED[name]))
+        return x
+
+    def decoded(x: Column) -> Column:
+        out = _once(common(F.when(F.contains(x, F.lit("&#")), each(x, "&#", numbered)).otherwise(x)), rare)
+        return F.when(F.contains(x, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(x)
+
+    def rare(x: Column) -> Column:
+        """What is left but the ampersand's own: few pages have any."""
+        return F.when(F.rlike(F.replace(x, F.lit("&amp;"), F.lit("")), F.lit("&[a-zA-Z][a-zA-Z0-9]*;")), each(x, "&", named)).otherwise(x)
+
+    return _once(text, decoded)
 
 
 def plain_text(html: Column) -> Column:
