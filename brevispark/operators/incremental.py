@@ -58,5 +58,10 @@ def changed(new: DataFrame, old: DataFrame, key: str, text: str) -> DataFrame:
     return mark(new).join(mark(old), [key, "sha256"], "left_anti")
 
 
+def changed_rows(new: DataFrame, old: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """Rows of new that old lacks, or has with another mark (a content hash): only those need a write."""
+    return new.join(old.select(*keys, mark), [*keys, mark], "left_anti")
+
+
 def top_per_group(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)

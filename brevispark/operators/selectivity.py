@@ -47,13 +47,17 @@ def free_index(n_core: Column, n_red: Column, e_core: Column, e_red: Column) ->
     return {"r_core_free": F.when(there, r_core), "r_red_free": F.when(there, r_red), "s_free": s, "ln_s_free": F.ln(s)}
 
 
-def section_retention(rows: DataFrame, keys: tuple[str, ...], levels: list[float]) -> DataFrame:
-    """rows: a row per token with section, origin, is_word and lives (one flag for each level). Words, kept words and rate by section,
-    origin and level: tokens are grouped once, and only the groups are multiplied by the levels."""
-    kept = [F.count_if(F.col("lives")[i]).alias(f"_{i}") for i in range(len(levels))]
-    words = rows.where("is_word").groupBy(*keys, "section", "origin").agg(F.count("*").alias("n_words"), *kept)
-    each = F.array(*[F.struct(F.lit(float(x)).alias("rho"), F.col(f"_{i}").alias("n_kept")) for i, x in enumerate(levels)])
-    long = words.select(*keys, "section", "origin", "n_words", F.explode(each).alias("z")).select(*keys, "section", "origin", "n_words", "z.*")
+def section_retention(rows: DataFrame, keys: tuple[str, ...], levels: list[float] | None = None) -> DataFrame:
+    """Words, kept words and rate by section and origin. rows: a row per token with section, origin, is_word and lives: a flag or, with
+    `levels`, one flag for each; then tokens are grouped once, and only the groups are multiplied by the levels."""
+    flags = [F.col("lives")] if levels is None else [F.col("lives")[i] for i in range(len(levels))]
+    words = rows.where("is_word").groupBy(*keys, "section", "origin").agg(F.count("*").alias("n_words"), *[F.count_if(f).alias(f"_{i}") for i, f in enumerate(flags)])
+    own = [*keys, "section", "origin", "n_words"]
+    if levels is None:
+        long = words.withColumnRenamed("_0", "n_kept")
+    else:
+        each = F.array(*[F.struct(F.lit(float(x)).alias("rho"), F.col(f"_{i}").alias("n_kept")) for i, x in enumerate(levels)])
+        long = words.select(*own, F.explode(each).alias("z")).select(*own, "z.*")
     return long.withColumn("rate", F.col("n_kept") / F.col("n_words"))
 
 

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Tab-separated rows with a header, all strings unless a schema is given."""
-    reader = spark.read.option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').option("multiLine", True)
+def read_tsv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Tab-separated rows with a header, all strings unless a schema is given. multi_line: for line breaks inside quotes; each file is
+    then read by one task, otherwise large files are split."""
+    reader = spark.read.option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """Comma-separated rows with a header; raises if a required column is missing."""
-    df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = (), multi_line: bool = False) -> DataFrame:
+    """Comma-separated rows with a header; raises if a required column is missing. multi_line: as above."""
+    df = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
@@ -36,9 +37,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Texts named <variant>/<id>_<rate>.txt, as variant, id, rate, rho and text; one row per file."""
+    """Texts named <variant>/<id>_<rate>.txt, as variant, id, rate, rho and text; one row per file. Trees of `sinks.write_text_tree`
+    (<variant=...>/<name=id_rate>/part file, with a line break after the text) read the same."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     path = F.col("_metadata.file_path")
-    part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)_([0-9.]+)\.txt$", i)
-    out = files.select(F.url_decode(part(1)).alias("variant"), F.url_decode(part(2)).alias("id"), part(3).cast("double").alias("rate"), F.col("value").alias("text"))
+    part = lambda i: F.regexp_extract(path, r"(?:variant=)?([^/=]+)/(?:name=)?([^/]+)_([0-9.]+)(?:\.txt|/part-[^/]+)$", i)
+    text = F.when(F.rlike(path, F.lit(r"/name=[^/]+/part-[^/]+$")), F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
+    out = files.select(F.url_decode(part(1)).alias("variant"), F.url_decode(part(2)).alias("id"), part(3).cast("double").alias("rate"), text.alias("text"))
     return out.select("variant", "id", "rate", (1 - F.col("rate")).alias("rho"), "text")

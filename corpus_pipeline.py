@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevispark.llm import decontaminate, jaccard_join, language_id, pii, sentencepiece_codec
-from brevispark.llm.common import KeyFilter, stored, table
+from brevispark.llm.common import KeyFilter, discard, stored, table
 from brevispark.llm.queries import piece_model_path
 
 #: A document is kept if one language holds this share of its words.
@@ -87,5 +87,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # the source table stays
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ def test_delimited_and_id_files(spark, tmp_path):
     (tmp_path / "a.tsv").write_text('id\tname\n1\t"x ""y"""\n2\t\n')
     assert [tuple(r) for r in files.read_tsv(spark, str(tmp_path / "a.tsv")).collect()] == [("1", 'x "y"'), ("2", None)]
     (tmp_path / "b.csv").write_text('id,paraphrase\n1,"two\nlines"\n')
-    df = files.read_csv(spark, str(tmp_path / "b.csv"), ("id", "paraphrase"))
+    df = files.read_csv(spark, str(tmp_path / "b.csv"), ("id", "paraphrase"), multi_line=True)
     assert df.first().paraphrase == "two\nlines"
     with pytest.raises(ValueError, match="template_id"):
         files.read_csv(spark, str(tmp_path / "b.csv"), ("template_id",))

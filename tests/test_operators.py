@@ -1,10 +1,13 @@
+import pytest
 from pyspark.sql import functions as F
 
+from brevispark.functions import text as T
 from brevispark.operators import compression as C
 from brevispark.operators import incremental as I
 from brevispark.operators import prompts as P
 from brevispark.operators import sampling as M
 from brevispark.operators import selectivity as R
+from brevispark.operators import scoring as Q
 from brevispark.operators import words as W
 
 
@@ -63,7 +66,60 @@ def test_a_failing_model_leaves_null(spark):
         return lambda text, rate: text[: int(len(text) * rate)] if text != "bad" else 1 / 0
 
     df = spark.createDataFrame([("abcd", 0.5), ("bad", 0.5), (None, 0.5)], "text string, rate double")
-    assert [r.compressed for r in C.compress_with(df, make).collect()] == ["ab", None, None]
+    assert [(r.compressed, r.error) for r in C.compress_with(df, make).collect()] == [("ab", None), (None, "ZeroDivisionError: division by zero"), (None, None)]
+
+
+def test_levels_at_once_equal_single_ones(spark):
+    texts = ["Q: long longer 42 a,\nsmall words here A", "", "one", ".,;", "b aa b aa\nccc 7 b\naa", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("segments", W.segments_of_lines(F.col("text"))).withColumn("tokens", W.labelled_tokens(F.col("segments")))
+    rows = C.at_levels(df.withColumn("order", C.pick_order(F.col("tokens"))), (0.0, 0.25, 0.5, 0.75)).withColumn("mask", C.survival(F.col("tokens"), F.col("rho"), F.col("order")))
+    names = [f"{e}_{o}{s}" for e in "ne" for o in ("core", "red") for s in ("", "_free")]
+    want = {(r.i, r.rho): (r.kept, *[r[n] for n in names]) for r in rows.withColumns(R.counts(F.col("tokens"), F.col("mask"))).withColumn("kept", C.kept_text(F.col("tokens"), F.col("mask"))).where("text IS NOT NULL").collect()}
+    once = df.select("i", "text", C.kept_at_levels(F.col("tokens")).alias("k"), C.counts_at_levels(W.word_marks(F.col("segments"))).alias("c")).where("text IS NOT NULL")
+    got = {(r.i, k.rho): (" ".join(k.kept), *[c[n] for n in names]) for r in once.collect() for k, c in zip(r.k, r.c)}
+    assert got == want
+
+
+def test_scores(spark):
+    rows = [("It is Paris.", ["Lyon", "Paris", "paris"], 1, "Paris", None), ("Parisian", ["Paris"], 0, None, "wrong_entity"), (None, ["x"], 0, None, "empty_or_cut"), ("x", None, 0, None, "wrong_entity"), ("x", ["", "."], 0, None, "wrong_entity"), ("The Détiège", ["detiege"], 1, "detiege", None)]
+    df = spark.createDataFrame([(i, o, a, 9) for i, (o, a, *_) in enumerate(rows)], "i int, output string, aliases array<string>, correct int")
+    got = {r.i: (r.correct, r.matched_alias, r.error_class) for r in Q.score(df, "output", "aliases", F.lit(False), T.normalise).collect()}
+    assert got == {i: tuple(r[2:]) for i, r in enumerate(rows)}
+    plain = {r.i: r.correct for r in Q.score(df, "output", "aliases", F.lit(False)).collect()}
+    assert [plain[i] for i in range(6)] == [1, 0, 0, 0, 0, 0]  # the built-in form keeps accents
+
+
+def test_eligibility_and_strict_quotas(spark):
+    df = spark.createDataFrame([(i, "a" if i < 9 else "b") for i in range(12)], "id int, c string")
+    counts = spark.createDataFrame([("a", 5), ("b", 3)], "c string, n_paraphrases int")
+    assert {r.c for r in M.eligible(df, counts, "c").collect()} == {"a"}
+    assert M.stratified(df, ("c",), 3, "id", 1, strict=True).count() == 6
+    with pytest.raises(ValueError, match="b has 3 of 4"):
+        M.stratified(df, ("c",), 4, "id", 1, strict=True)
+
+
+def test_updates_and_work_lists(spark):
+    stored = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, t string, m double")
+    new = spark.createDataFrame([(1, None, 5), (9, 9.0, 9)], "k int, m double, x int")
+    assert sorted(map(tuple, I.update_columns(stored, new, ["k"], ["m", "x"]).collect())) == [(1, "a", None, 5), (2, "b", 2.0, None)]
+    items = spark.createDataFrame([(1, "u"), (2, "v"), (3, "u")], "k int, variant string")
+    done = spark.createDataFrame([(1, 0.5, 1), (3, 0.5, 2)], "k int, rho double, repetition int")
+    found = lambda **kw: [(r.k, r.rho) for r in I.work_list(items, [0.0, 0.5], done, "k", ["k", "rho"], **kw).collect()]
+    assert found() == [(1, 0.0), (2, 0.0), (2, 0.5), (3, 0.0)]
+    assert found(variants=["u"], only=[0.5], repetition=1) == [(3, 0.5)] and found(variants=["u"], only=[0.5], redo=True) == [(1, 0.5), (3, 0.5)]
+    assert found(limit=2) == [(1, 0.0), (2, 0.0)] and found(only=[]) == [] and found(variants=[]) == []
+
+
+def test_nulls_come_first_in_order(spark, tmp_path):
+    from brevispark.sources import sinks
+
+    sinks.write_csv(spark.createDataFrame([("b", 1), (None, 2), ("a", 3)], "k string, v int"), str(tmp_path / "o"), ("k",), single=True)
+    assert next((tmp_path / "o").glob("part*")).read_text() == "k,v\n,2\na,3\nb,1\n"
+
+
+def test_slices_and_least_words(spark):
+    row = spark.range(1).select(T.slice_by(F.lit("añb c"), F.lit(1), F.lit(3)).alias("s"), T.least_words(F.array(F.lit("one two"), F.lit("x"))).alias("n"), T.least_words(F.array().cast("array<string>")).alias("none")).first()
+    assert tuple(row) == ("ñb", 1, None)
 
 
 def test_prompts(spark):
