@@ -8,17 +8,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brevispark.session import durable
+
+#: Categories of a pool at most: each task is paired with all of them.
+MOST_CATEGORIES = 10_000
+
 
 def draw_key(seed: int | Column, *keys: str | Column) -> Column:
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))
     return F.md5(F.concat_ws("|", seed.cast("string"), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
 
 
+def ranked(df: DataFrame, category: str, *order: Column | str) -> DataFrame:
+    """Adds _rank (from 1, by `order`) and _n (rows) within each category, however few categories there are or however large one is.
+
+    Rows are dealt by ranges of (category, order), so a category lies in some neighbouring partitions; ranks within a partition are
+    moved by what the ones before it hold. The list of these is as long as partitions and categories together."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    names = [f"_o{i}" for i in range(len(keys))]
+    dealt = df.withColumns(dict(zip(names, keys))).repartitionByRange(category, *names)
+    dealt = durable(dealt.withColumn("_p", F.spark_partition_id()))  # the ranges are drawn by sampling: they must not be drawn anew
+    parts = dealt.groupBy("_p", category).agg(F.count("*").alias("_m"))
+    whole = Window.partitionBy(category)
+    before = parts.withColumn("_before", F.sum("_m").over(whole.orderBy("_p")) - F.col("_m")).withColumn("_n", F.sum("_m").over(whole))
+    before = before.select("_p", F.col(category).alias("_c"), "_before", "_n")
+    own = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_p", category).orderBy(*names)))
+    joined = own.join(F.broadcast(before), (own["_p"] == before["_p"]) & own[category].eqNullSafe(before["_c"])).drop(before["_p"])
+    return joined.withColumn("_rank", F.col("_rank") + F.col("_before")).select(*df.columns, "_rank", "_n")
+
+
 def terciles(df: DataFrame, category: str, value: str, key: str, name: str = "tercile") -> DataFrame:
     """Thirds of each category by rank of (value, key), cut at round(n / 3) and round(2 n / 3)."""
-    w = Window.partitionBy(category)
-    n, rank = F.count("*").over(w), F.row_number().over(w.orderBy(value, key))
-    return df.withColumn(name, F.when(rank <= F.round(n / 3), 1).when(rank <= F.round(2 * n / 3), 2).otherwise(3))
+    rank, n = F.col("_rank"), F.col("_n")
+    return ranked(df, category, value, key).withColumn(name, F.when(rank <= F.round(n / 3), 1).when(rank <= F.round(2 * n / 3), 2).otherwise(3)).drop("_rank", "_n")
 
 
 def eligible(df: DataFrame, paraphrases: DataFrame, category: str, count: str = "n_paraphrases", least: int = 4) -> DataFrame:
@@ -61,19 +83,19 @@ def assign_foreign(tasks: DataFrame, pool: DataFrame, task: str, category: str,
     """For each task `slots` different categories other than its own, in hash order, and one item of the pool from each; the
     first `base` slots have the role base, the others demonstration.
 
-    Categories are few. Items are ranked once per category by hash, and a task takes the one at its own hash's place, so the
+    Categories are few (checked). Items are ranked once per category by hash, and a task takes the one at its own hash's place, so the
     pool is never multiplied by the tasks."""
-    ranked = pool.select(F.col(category).alias("demo_category"), F.col(item).alias("demo_item"))
-    w = Window.partitionBy("demo_category")
-    ranked = ranked.withColumn("place", F.row_number().over(w.orderBy(draw_key(seed, "demo_item"), "demo_item")) - 1).withColumn("n", F.count("*").over(w))
-    sizes = ranked.groupBy("demo_category").agg(F.max("n").alias("n"))
+    items = ranked(pool.select(F.col(category).alias("demo_category"), F.col(item).alias("demo_item")), "demo_category", draw_key(seed, "demo_item"), "demo_item")
+    sizes = items.groupBy("demo_category").agg(F.max("_n").alias("n"))
+    if (n := sizes.count()) > MOST_CATEGORIES:
+        raise ValueError(f"a pool of {n} categories: at most {MOST_CATEGORIES} are paired with every task")
     pairs = tasks.select(F.col(task), F.col(category)).join(F.broadcast(sizes), F.col(category) != F.col("demo_category"))
     order = Window.partitionBy(task).orderBy(draw_key(seed, task, "demo_category"), "demo_category")
     pairs = pairs.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= slots)
     number = F.conv(F.substring(draw_key(seed, task, "slot"), 1, 8), 16, 10).cast("bigint")
     pairs = pairs.withColumn("place", F.pmod(number, F.col("n")).cast("int")).drop("n")
     role = F.when(F.col("slot") <= base, "base").otherwise("demonstration")
-    return pairs.join(ranked.drop("n"), ["demo_category", "place"]).select(task, "slot", role.alias("role"), "demo_category", "demo_item")
+    return pairs.join(items.select("demo_category", "demo_item", (F.col("_rank") - 1).alias("place")), ["demo_category", "place"]).select(task, "slot", role.alias("role"), "demo_category", "demo_item")
 
 
 def rotating_pick(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:

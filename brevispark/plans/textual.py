@@ -116,9 +116,16 @@ def compress_surrogate(spark, sf_dir):
     return C.each_level(rows.select("doc_id", "n_tokens", made.alias("made")), F.col("made")).drop("made")
 
 
-@CATALOGUE.add()
+# The twin finds one place after the other in lists of hashed keys; a list of one number is what its fold can carry along.
+_PLACES = lambda small, big: f"list_reduce(list_transform({small}, lambda x: [x]), lambda a, x: a || [a[-1] + list_position({big}[a[-1] + 1:], x[1])], [0::bigint])[2:]"
+
+
+@CATALOGUE.add(f"""WITH {KEPT}, coded AS (SELECT *, cast(hash({FOLD.format('form')}) >> 1 AS bigint) AS c FROM kept WHERE rho > 0),
+l AS (SELECT doc_id, rho, list(c ORDER BY pos) AS big, coalesce(list(c ORDER BY pos) FILTER (WHERE lives), []) AS small FROM coded GROUP BY 1, 2),
+e AS (SELECT doc_id, rho, len(big) AS n, len(small) AS m, {_PLACES('small', 'big')} AS ls, {_PLACES('list_reverse(small)', 'list_reverse(big)')} AS rs FROM l)
+SELECT doc_id, rho, cast(len(list_filter(ls, lambda p: p IS NULL)) = 0 AS integer) AS is_subsequence, cast(m - len(list_intersect(ls, list_transform(rs, lambda p: n + 1 - p))) AS integer) AS n_ambiguous, cast(0 AS integer) AS n_unassigned, cast(m AS integer) AS n_left, cast(m AS integer) AS n_right FROM e""")
 def embed_positions(spark, sf_dir):
-    """Compressed keys aligned with their origin from the left and the right, for each level above 0; SQL has no linear form of it."""
+    """Compressed keys aligned with their origin from the left and the right, for each level above 0."""
     rows = labelled(spark, sf_dir).select("doc_id", "tokens", C.kept_at_levels(F.col("tokens"), "key", tuple(x for x in C.LEVELS if x)).alias("k"))
     rows = C.each_level(rows.select("doc_id", F.col("tokens.key").alias("keys"), "k"), F.col("k"))
     found = A.align(rows, F.col("kept"), F.col("keys"), ("doc_id", "rho"))

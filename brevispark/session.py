@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "brevispark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -16,3 +19,18 @@ def session(app: str = "brevispark", master: str | None = None, shuffle_partitio
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Rows that stay as they are when they are read again: a checkpoint in the shared folder (spark.checkpoint.dir). Only a local
+    session without the setting gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not (sc.master + "[").startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            found = tempfile.mkdtemp(prefix="brevispark-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        sc.setCheckpointDir(found)
+    return df.checkpoint()

@@ -17,6 +17,17 @@ def test_terciles_are_no_ntile(spark):
     assert [r.tercile for r in got] == [1, 2, 2, 3, 1, 1, 2, 3, 3]
 
 
+def test_ranks_over_partitions_equal_plain_ones(spark):
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"c{i % 7}", (i * 7919) % 101, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "c string, v int, k int")
+    groups = {}
+    for c, v, k in sorted(rows, key=lambda r: (r[1], r[2])):
+        groups.setdefault(c, []).append(k)
+    want = {k: (i + 1, len(g)) for g in groups.values() for i, k in enumerate(g)}
+    assert {r.k: (r._rank, r._n) for r in M.ranked(df, "c", "v", "k").collect()} == want
+    assert M.ranked(df.limit(0), "c", "v", "k").count() == 0
+
+
 def test_samples_meet_their_design(spark):
     tasks = spark.range(600).select("id", (F.col("id") % 5).alias("c"), F.hash("id").alias("v"))
     sample = M.stratified(M.terciles(tasks, "c", "v", "id"), ("c", "tercile"), 6, "id", 42).cache()
