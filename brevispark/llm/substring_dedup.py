@@ -10,12 +10,13 @@ windows with one minimiser travel together as a super-k-mer, a packed string, to
    one row). A bucket with a single string needs no comparison; for others the strings themselves are fetched.
 3. Buckets are sorted window by window: words become numbers, and ranks of 1, 2, 4, ... words are combined until k, so
    windows are compared exactly. Each window's least document id is the bucket's answer.
-4. Buckets whose different strings hold more than `most` words (a passage common to a large part of the corpus) are dealt by
-   window instead: 128-bit window digests are grouped over the whole cluster. No bucket is capped or sampled.
+4. Buckets whose different strings hold more than `most` words (a passage common to a large part of the corpus) do not fit one
+   task: their windows, as words, are sorted and counted over the whole cluster instead. Windows are compared exactly in both
+   cases, and no bucket is capped or sampled.
 5. Answers go back to all places of a string; documents drop the words covered.
 
-Packed strings with equal 64-bit minimiser and equal 128-bit digest (of the words' hashes, in order) count as equal, as do
-windows with equal 128-bit digests in the buckets of step 4; in all others words are compared.
+Packed strings with equal 64-bit minimiser and equal 128-bit digest (of the words' hashes, in order) count as equal; windows are
+compared word by word.
 
 Defined cases: a null text has no words. Rows with null doc_id keep all their words and are no source of repeats. Rows that
 share a doc_id never remove each other's words. Documents shorter than k words keep everything. Other columns are ignored.
@@ -189,21 +190,19 @@ def covered_ranges(documents: DataFrame, k: int = 50, m: int = 6, most: int = 1_
 
     def explode(batches):
         for batch in batches:
-            for part in pieces(batch, "packed", 1 << 20):
+            for part in pieces(batch, "packed", 1 << 16):  # a window is some fifty times a word
                 words = [p.split() for p in part.column("packed").to_pylist()]
-                sizes = np.array([len(w) for w in words], np.int64)
-                flat = list(chain.from_iterable(words))
-                n = np.maximum(sizes - k + 1, 0)
-                begin, row = ranges(runs(sizes)[:-1], n), np.repeat(np.arange(len(n)), n)
-                one, two = (as_long(span_digests(word_hashes(flat, seed), begin, begin + k, ROOTS[seed])) for seed in (0, 1))
-                columns = [one, two, *(part.column(c).to_numpy()[row] for c in (*STRING, "doc_id")), (begin - runs(sizes)[row]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", *STRING, "doc_id", "a"])
+                n = np.maximum(np.array([len(w) for w in words], np.int64) - k + 1, 0)
+                row = np.repeat(np.arange(len(n)), n)
+                windows = [b" ".join(w[i : i + k]) for w, m in zip(words, n.tolist()) for i in range(m)]
+                columns = [pa.array(windows, pa.binary()), *(pa.array(part.column(c).to_numpy()[row]) for c in (*STRING, "doc_id")), pa.array(ranges(np.zeros(len(n), np.int64), n).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["window", *STRING, "doc_id", "a"])
 
     large = packed.where(F.col("words") > most).repartition("pid")  # few strings may carry many windows: dealt evenly
-    windows = large.mapInArrow(explode, "one long, two long, mkey long, pid long, pid2 long, doc_id long, a int")
-    least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("doc < hi").select("one", "two", "doc", "n")
+    windows = large.mapInArrow(explode, "window binary, mkey long, pid long, pid2 long, doc_id long, a int")
+    least = windows.groupBy("window").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("doc < hi").select("window", "doc", "n")
     least = stored(least, "kmer-windows")
-    beaten = spread_join(windows, least, ["one", "two"], "n", ["pid", "a"]).where("doc < doc_id").groupBy(*STRING).agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"), "doc")).alias("runs"))
+    beaten = spread_join(windows, least, "window", "n", ["pid", "a"]).where("doc < doc_id").groupBy(*STRING).agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"), "doc")).alias("runs"))
 
     answers = alone.unionByName(small).unionByName(whole(strings.where((F.col("words") > most) & (F.col("texts") > 1)))).unionByName(beaten)
     answers = stored(answers.join(strings.select(*STRING, "copies"), STRING), "kmer-answers")
