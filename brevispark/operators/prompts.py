@@ -157,14 +157,17 @@ def best_units(sizes: Column, n_base: Column) -> Column:
 def calibrate(bases: DataFrame, variant: str, lengths: list[int], base: str = "n_base") -> DataFrame:
     """The best choice of pool units for each base length: the four nearest to the target by summed length, then the least by
     (distance of the ratio, number of units, units). The choice depends on the base length alone, so it is made once for
-    each distinct length and joined back."""
-    spark = bases.sparkSession
+    each distinct length, by a sort within the row, and joined back."""
     sizes = F.array(*map(F.lit, lengths))
-    all_ = spark.range(1).select(F.explode(candidates(variant, len(lengths))).alias("units"))
-    all_ = all_.select("units", F.aggregate("units", F.lit(0), lambda a, u: a + F.element_at(sizes, u + 1)).alias("added"))
-    pairs = bases.select(base).where(F.col(base) > 0).distinct().join(F.broadcast(all_), F.lit(True))  # at most 1470 choices
-    near = Window.partitionBy(base).orderBy(F.abs(F.col("added") - TARGET * F.col(base)), F.size("units"), "units")
-    few = pairs.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= CHECKED)
-    exact = Window.partitionBy(base).orderBy(F.abs(F.col("added") / F.col(base) - TARGET), F.size("units"), "units")
-    best = few.withColumn("_rank", F.row_number().over(exact)).where("_rank = 1").select(base, "units", "added", (F.col("added") / F.col(base)).alias("ratio"))
+    total = lambda units: F.aggregate(units, F.lit(0), lambda a, u: a + F.element_at(sizes, u + 1))
+    spark = bases.sparkSession
+    # choices of one summed length differ in number and units only: four of each length are enough
+    all_ = spark.range(1).select(F.explode(candidates(variant, len(lengths))).alias("units")).withColumn("added", total(F.col("units")))
+    alike = Window.partitionBy("added").orderBy(F.size("units"), "units")
+    few = all_.withColumn("_rank", F.row_number().over(alike)).where(F.col("_rank") <= CHECKED)
+    one = few.agg(F.collect_list(F.struct("added", "units")).alias("_all"))  # one row, of at most 1470 choices
+    rows = bases.select(base).where(F.col(base) > 0).distinct().join(F.broadcast(one), F.lit(True))
+    near = F.sort_array(F.transform("_all", lambda c: F.struct(F.abs(c["added"] - TARGET * F.col(base)).alias("off"), F.size(c["units"]).alias("n"), c["units"].alias("units"), c["added"].alias("added"))))
+    exact = F.transform(F.slice(near, 1, CHECKED), lambda c: F.struct(F.abs(c["added"] / F.col(base) - TARGET).alias("off"), c["n"].alias("n"), c["units"].alias("units"), c["added"].alias("added")))
+    best = rows.select(base, F.array_min(exact).alias("b")).select(base, "b.units", "b.added", (F.col("b.added") / F.col(base)).alias("ratio"))
     return bases.join(best, base)

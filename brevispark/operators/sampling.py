@@ -70,8 +70,7 @@ def too_small(df: DataFrame, strata: tuple[str, ...], quota: int | Column) -> Da
 def balanced_subsample(sample: DataFrame, category: str, tercile: str, key: str, per_category: int, per_tercile: int, tries: int = 500) -> DataFrame:
     """A sub-sample with a quota per category that also fills each tercile equally: all candidate seeds are drawn at once as
     sets, and the least seed whose draw is balanced wins. Empty if none is. `sample` is a drawn sample, hence small."""
-    seeds = sample.sparkSession.range(tries).withColumnRenamed("id", "seed")
-    drawn = sample.select(category, tercile, key).join(seeds, F.lit(True))
+    drawn = sample.select(category, tercile, key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tries - 1).cast("bigint"))).alias("seed"))
     w = Window.partitionBy("seed", category).orderBy(draw_key(F.col("seed"), key), key)
     drawn = drawn.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_category)
     good = drawn.groupBy("seed").agg(*[F.count_if(F.col(tercile) == t).alias(f"t{t}") for t in (1, 2, 3)])
