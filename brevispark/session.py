@@ -21,16 +21,21 @@ def session(app: str = "brevispark", master: str | None = None, shuffle_partitio
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Rows that stay as they are when they are read again: a checkpoint in the shared folder (spark.checkpoint.dir). Only a local
-    session without the setting gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def scratch(spark: SparkSession) -> str:
+    """The folder that all machines see (spark.checkpoint.dir). Only a local session without the setting gets a temporary one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
             if not (sc.master + "[").startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="brevispark-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Rows that stay as they are when they are read again: a checkpoint in the scratch folder."""
+    scratch(df.sparkSession)
     return df.checkpoint()

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 def write_csv(df: DataFrame, path: str, order: tuple[str, ...] = (), single: bool = False) -> None:
     """CSV with a header; null is an empty field. `single`: one file, for results that are small by nature."""
     out = df.orderBy(*order) if order else df
-    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", "\"").option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("lineSep", "\n").csv(path)
+    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("escape", "\"").option("lineSep", "\n").csv(path)
 
 
 def write_ids(df: DataFrame, column: str, path: str) -> None:
