@@ -107,6 +107,14 @@ def column_bytes(column: pa.Array) -> list:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def column_texts(column: pa.Array) -> list[str | None]:
+    """The values of a string column; bytes that are no UTF-8 count as U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if b is None else b.decode("utf-8", "replace") for b in column_bytes(column)]
+
+
 def runs(lengths: np.ndarray) -> np.ndarray:
     """Offsets (one more than lengths) of consecutive runs."""
     out = np.zeros(len(lengths) + 1, np.int64)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, as_long, discard, mix, pieces, ranges, runs, spread_join, stored
+from .common import KeyFilter, as_long, column_texts, discard, mix, pieces, ranges, runs, spread_join, stored
 
 TOKEN = re.compile(r"\w+")
 ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -198,7 +198,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.hash(F.col(text)).alias("text_hash"), F.col(text).alias("text")).where("text IS NOT NULL").withColumn("dk", F.xxhash64("doc_id", "text"))
     kind = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash int, item_id long, n_tokens long, n_covered long, coverage double, tiles array<struct<item_start:int,doc_start:int,length:int>>"
-    items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("item")).where("item IS NOT NULL").groupBy("item_id", "item").agg(F.count("*").alias("copies"))
+    items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.make_valid_utf8(F.col(item_text)).alias("item")).where("item IS NOT NULL").groupBy("item_id", "item").agg(F.count("*").alias("copies"))
     items = stored(items.withColumn("ik", F.xxhash64("item_id", "item")), "leak-items")
 
     def item_seeds(batches):
@@ -224,7 +224,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.
         known = shared.value
         for whole in batches:
             for batch in pieces(whole, "text"):
-                words = [tokens(t) for t in batch.column("text").to_pylist()]
+                words = [tokens(t) for t in column_texts(batch.column("text"))]
                 counts = np.array([len(w) for w in words], np.int64)
                 h, at, key = token_hashes(list(chain.from_iterable(words))), runs(counts), batch.column("dk").to_numpy()
                 for size in sizes:
@@ -265,7 +265,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.
         for whole in batches:
             for batch in pieces(whole, "text"):
                 row, item, total, covered, tiles = [], [], [], [], []
-                for i, (t, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("items").to_pylist())):
+                for i, (t, wanted) in enumerate(zip(column_texts(batch.column("text")), batch.column("items").to_pylist())):
                     doc = Document(t)
                     for x in wanted:
                         own = tokens(x["item"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, fields_of, pieces, ranges, runs, stored
+from .common import carried, column_texts, fields_of, pieces, ranges, runs, stored
 
 BITS = 16
 SMOOTHING = 0.1
@@ -166,7 +166,7 @@ def train(documents: DataFrame, max_docs_per_language: int = 400, most_languages
     def count(batches):
         for batch in batches:
             totals: dict[str, np.ndarray] = {}
-            for t, name in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+            for t, name in zip(column_texts(batch.column("text")), batch.column("lang").to_pylist()):
                 own = totals.setdefault(name, np.zeros(1 << BITS, np.int64))
                 flat = [g for w in t.split() if any(map(str.isalpha, w)) for g in grams(w)]
                 own += np.bincount(flat, minlength=1 << BITS) if flat else 0
@@ -206,7 +206,7 @@ def identify(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc
         k = len(own.names)
         for whole in batches:
             for batch in pieces(whole, read, (1 << 23) // max(8, k)):  # a number for each word and language is held at a time
-                texts = batch.column(read).to_pylist()
+                texts = column_texts(batch.column(read))
                 at, owner = own.words_of(texts)
                 shares, n = own.infer(own.rows[at], owner, len(texts))
                 best = shares.argmax(1) if k else np.zeros(len(texts), int)

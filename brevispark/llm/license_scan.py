@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, carried, fields_of, pieces, ranges, runs
+from .common import Memo, carried, column_texts, fields_of, pieces, ranges, runs
 
 # The notices by which licences are recognised.
 TEMPLATES = {
@@ -342,7 +342,7 @@ def scan_licenses(documents: DataFrame, model: Classifier | None = None, agreeme
         own = shared.value
         for whole in batches:
             for batch in pieces(whole, read):
-                texts = batch.column(read).to_pylist()
+                texts = column_texts(batch.column(read))
                 rows = [(i, *x) for i, found in enumerate(scan_texts(texts, own, agreement)) for x in found]
                 if rows:
                     i, line, a, b, family, p, match = zip(*rows)

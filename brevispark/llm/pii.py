@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, carried, fields_of, pieces
+from .common import Memo, carried, column_texts, fields_of, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -341,7 +341,7 @@ def find_personal_data(documents: DataFrame, keep: Sequence[str] = ("doc_id",),
         field = shared.value
         for whole in batches:
             for batch in pieces(whole, read):
-                raw = batch.column(read).to_pylist()
+                raw = column_texts(batch.column(read))
                 found = find_in([t or "" for t in raw], field)
                 columns = [*(batch.column(n) for n in names), pa.array([[{"kind": k, "start": a, "end": b, "source": s} for k, a, b, s in x] for x in found], kind)]
                 if redacted:
