@@ -143,7 +143,7 @@ def fields_of(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 18):
     """Parts of a batch whose texts hold about `most` bytes each (always one row at least): bounds memory, not text length."""
     data = batch.column(column)
     sizes = np.array([0 if v is None else v for v in pc.binary_length(data).to_pylist()], np.int64)
@@ -168,6 +168,19 @@ def give_back() -> None:
         trim(0)
 
 
+_HELD: dict = {}
+
+
+def held(key: str, make=dict):
+    """What a worker remembers for one operator: made once, and kept until another operator comes to the same worker (they live as
+    long as their executor, and must not hold the memory of all that ever ran in them)."""
+    if key not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 #: Bits of a key filter; a longer key list saturates it, which costs speed but no row.
 MOST_FILTER_BITS = 1 << 22
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, as_long, column_texts, discard, mix, pieces, ranges, runs, spread_join, stored
+from .common import KeyFilter, as_long, column_texts, discard, held, mix, pieces, ranges, runs, spread_join, stored
 
 TOKEN = re.compile(r"\w+")
 ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -204,7 +204,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.
     def item_seeds(batches):
         for batch in batches:
             ik, size, seed = [], [], []
-            for k, t in zip(batch.column("ik").to_pylist(), batch.column("item").to_pylist()):
+            for k, t in zip(batch.column("ik").to_pylist(), column_texts(batch.column("item"))):
                 if own := tokens(t):
                     found = np.unique(grams(token_hashes(own), n := min(least, len(own))))
                     ik.append(np.full(len(found), k))
@@ -222,6 +222,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.
 
     def scan(batches):
         known = shared.value
+        held("decontaminate")  # frees what other operators have left
         for whole in batches:
             for batch in pieces(whole, "text"):
                 words = [tokens(t) for t in column_texts(batch.column("text"))]
@@ -243,7 +244,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.
     def keep(batches):
         for batch in batches:
             ik, seed, df = [], [], []
-            for k, t, seen in zip(batch.column("ik").to_pylist(), batch.column("item").to_pylist(), batch.column("seen").to_pylist()):
+            for k, t, seen in zip(batch.column("ik").to_pylist(), column_texts(batch.column("item")), batch.column("seen").to_pylist()):
                 own, known = tokens(t), {x["seed"]: x["df"] for x in seen}
                 size = min(least, len(own))
                 for s in kept_seeds(as_long(grams(token_hashes(own), size)), size, len(own), known, threshold):
@@ -262,6 +263,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.
     discard(items, seeds, hits, frequency, kept, pairs, asked)
 
     def judge(batches):
+        held("decontaminate")
         for whole in batches:
             for batch in pieces(whole, "text"):
                 row, item, total, covered, tiles = [], [], [], [], []

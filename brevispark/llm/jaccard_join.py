@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, as_long, column_bytes, discard, mix, pieces, ranges, runs, spread_join, stored
+from .common import KeyFilter, as_long, column_bytes, discard, give_back, held, mix, pieces, ranges, runs, spread_join, stored
 from .components import components
 from .substring_dedup import ROOTS, word_hashes
 
@@ -184,6 +184,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
     n_runs = repetitions(recall, depth)
 
     def first_level(batches):
+        held("jaccard")
         for whole in batches:
             for batch in pieces(whole, "text"):
                 tokens, sizes = shingle_sets(column_bytes(batch.column("text")), width)
@@ -212,6 +213,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
     large = level1.where(F.col("sets") > NODE_SETS) if depth > 1 else level1.limit(0)
 
     def deeper(batches):
+        held("jaccard")
         for whole in batches:
             for batch in pieces(whole, "text"):
                 tokens, sizes = shingle_sets(column_bytes(batch.column("text")), width)
@@ -256,6 +258,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
         return sign.where("sets > 1").groupBy("sets", "a", "b").agg(F.min("node").alias("node"), F.first("tokens").alias("tokens"))
 
     def sift(batches):
+        held("jaccard")
         rows, key = [], None
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("node", "i", "j", "tile", "d", "h", "n", "sketch"))):
@@ -266,6 +269,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
                 rows.append(row)
         if len(rows) > 1:
             yield from sifted(rows)
+        del rows
+        give_back()
 
     def sifted(rows):
         n = np.array([r[6] for r in rows], np.int64)
@@ -286,6 +291,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
     member = stored(member.join(classes.select("d", "h", "copies"), ["d", "h"]), "jaccard-members")
 
     def spread(batches):
+        held("jaccard")
         names = ["node", "i", "j", "tile", "d", "h", "copies", "set", "nodes"]
         for whole in batches:
             for batch in pieces(whole, "text"):
@@ -301,6 +307,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out[a : a + 256]), kinds)], names=names)
 
     def compare(batches):
+        held("jaccard")
         rows, key = [], None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -311,6 +318,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, width: int = 5
                 rows.append(row)
         if len(rows) > 1:
             yield from links(rows)
+        del rows
+        give_back()
 
     def links(rows):
         rows = [r for _, r in sorted({(r[4], r[5]): r for r in rows}.items())]  # repeated rows are one

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, column_texts, fields_of, pieces, ranges, runs, stored
+from .common import carried, column_texts, fields_of, held, pieces, ranges, runs, stored
 
 BITS = 16
 SMOOTHING = 0.1
 ROUNDS = 12
 #: Words, and numbers (one for each word and language), that a worker remembers.
-MOST_WORDS, MOST_NUMBERS = 200_000, 1 << 23
+MOST_WORDS, MOST_NUMBERS = 100_000, 1 << 22
 
 
 def trigram(a, b, c):
@@ -182,9 +182,6 @@ def train(documents: DataFrame, max_docs_per_language: int = 400, most_languages
     return Languages([n for n, t in zip(names, taught) if t], counts[:, taught])
 
 
-_MODELS: dict[str, Languages] = {}
-
-
 def identify(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """Returns keep, lang_pred, score (its share of the words), and `languages`: the chosen set as array<struct<lang,share>>,
     largest share first."""
@@ -195,17 +192,17 @@ def identify(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc
     schema = ", ".join([*fields_of(taken, names_), "lang_pred string", "score double", "languages array<struct<lang:string,share:double>>"])
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
+    def fresh() -> Languages:
+        own = Languages([], np.zeros((0, 0)))
+        own.names, own.weights = shared.value
+        own.forget()
+        return own
+
     def run(batches):
-        if key not in _MODELS:
-            _MODELS.clear()  # one model at a time stays in a worker
-            own = Languages([], np.zeros((0, 0)))
-            own.names, own.weights = shared.value
-            own.forget()
-            _MODELS[key] = own
-        own = _MODELS[key]
+        own = held(f"languages-{key}", fresh)
         k = len(own.names)
         for whole in batches:
-            for batch in pieces(whole, read, (1 << 23) // max(8, k)):  # a number for each word and language is held at a time
+            for batch in pieces(whole, read, (1 << 21) // max(8, k)):  # a number for each word and language is held at a time
                 texts = column_texts(batch.column(read))
                 at, owner = own.words_of(texts)
                 shares, n = own.infer(own.rows[at], owner, len(texts))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, carried, column_texts, fields_of, pieces, ranges, runs
+from .common import Memo, carried, column_texts, fields_of, held, pieces, ranges, runs
 
 # The notices by which licences are recognised.
 TEMPLATES = {
@@ -340,6 +340,7 @@ def scan_licenses(documents: DataFrame, model: Classifier | None = None, agreeme
 
     def run(batches):
         own = shared.value
+        held("licenses")  # frees what other operators have left
         for whole in batches:
             for batch in pieces(whole, read):
                 texts = column_texts(batch.column(read))

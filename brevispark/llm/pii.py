@@ -12,6 +12,7 @@ any length are read whole. Repeated rows are scanned one by one.
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections.abc import Sequence
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, carried, column_texts, fields_of, pieces
+from .common import Memo, carried, column_texts, fields_of, held, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,7 +35,7 @@ DIGITS = re.compile(r"[0-9]")
 WORDS = re.compile(r"\S+")
 SPANS = "array<struct<kind:string,start:int,end:int,source:string>>"
 #: Types that a field remembers between batches, and words whose type it remembers; neither changes results.
-MOST_TYPES, MOST_WORDS = 200_000, 150_000
+MOST_TYPES, MOST_WORDS = 200_000, 75_000
 
 
 def luhn(digits: str) -> bool:
@@ -331,14 +332,16 @@ def redact(text: str, spans: Sequence[tuple[str, int, int, str]]) -> str:
 def find_personal_data(documents: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", redacted: bool = False) -> DataFrame:
     """Returns keep and `spans` (kind, start, end, source), by kind and start; with `redacted`, also the text with the kinds
     in place of the spans (null stays null). The field is trained on the driver, in about a second."""
-    shared = documents.sparkSession.sparkContext.broadcast(train_field(labelled_lines()))
+    trained = train_field(labelled_lines())
+    key = "pii-" + hashlib.sha256(trained.weights.tobytes() + trained.moves.tobytes()).hexdigest()
+    shared = documents.sparkSession.sparkContext.broadcast((trained.names, trained.weights, trained.moves))
     taken, names, read = carried(documents, keep, text)
     kinds = ["spans " + SPANS, *(["redacted string"] if redacted else [])]
     schema = ", ".join([*fields_of(taken, names), *kinds])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("source", pa.string())]))
 
     def run(batches):
-        field = shared.value
+        field = held(key, lambda: Field(*shared.value))
         for whole in batches:
             for batch in pieces(whole, read):
                 raw = column_texts(batch.column(read))

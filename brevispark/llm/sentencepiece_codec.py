@@ -24,14 +24,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, column_bytes, fields_of, ranges, runs
+from .common import carried, column_bytes, fields_of, held, ranges, runs
 from .common import pieces as parts_of
 
 MARK = "▁"
 SPACE_RUN = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 #: Bytes of text that a worker encodes at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 class CharacterMap:
@@ -314,15 +314,9 @@ class Codec:
         return self.full.decode([flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], num_threads=1) if len(at) > 1 else []
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(model: bytes) -> Codec:
     """One codec per worker and model."""
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _CODECS:
-        _CODECS[key] = Codec(model)
-    return _CODECS[key]
+    return held("sentencepiece-" + hashlib.sha256(model).hexdigest(), lambda: Codec(model))
 
 
 def valid(texts: Sequence[bytes | None]) -> list[bytes]:
