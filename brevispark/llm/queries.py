@@ -1,11 +1,11 @@
-"""The registered queries of the corpus operators: op1_ ... op10_, each over its whole table, and their SQL twins."""
+"""The registered queries of the corpus operators: op1_ ... op13_, each over its whole table, and their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, license_scan, pii, sentencepiece_codec, substring_dedup, topk_search, url_filter, warc
+from . import decontaminate, jaccard_join, language_id, license_scan, packing, pii, sentencepiece_codec, substring_dedup, topk_search, url_filter, vector_codes, warc, whitening
 from .common import table
 
 #: Rules of the URL query, fixed by its contract.
@@ -156,5 +156,47 @@ SELECT page_id, {urn("concat_ws(chr(0), warc_type, refers_to)")} AS record_id, w
   cast(octet_length(encode(block)) AS bigint) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, true AS digest_ok, source_headers, block FROM c"""
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_topk": op3_topk, "op4_license_scan": op4_license_scan, "op5_pii": op5_pii, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
-ORACLE_SQL = {"op1_substring_dedup": _OP1_SQL, "op7_jaccard_join": _OP7_SQL, "op3_topk": _OP3_SQL, "op9_url_filter": _op9_sql(), "op10_warc": _op10_sql()}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    assigned = lambda r: f"""a{r} AS (SELECT rid, p, min({{'d': cast(n + m - 2 * list_inner_product(v, w) AS bigint), 'e': e}}) AS best FROM
+  (SELECT rid, p, v, list_inner_product(v, v) AS n FROM parts) JOIN (SELECT p, e, w, list_inner_product(w, w) AS m FROM b{r}) USING (p) GROUP BY 1, 2)"""
+    moved = lambda r: f"""m{r} AS (SELECT p, e, list(x ORDER BY j) AS w FROM (SELECT p, a{r}.best.e AS e, j, floor(sum(v[j]) / count(*)) AS x FROM a{r} JOIN parts USING (rid, p), (SELECT unnest(range(1, 1000)) AS j) WHERE j <= len(v) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{r + 1} AS (SELECT p, e, coalesce(m{r}.w, b{r}.w) AS w FROM b{r} LEFT JOIN m{r} USING (p, e))"""
+    steps = ",\n".join(f"{assigned(r)},\n{moved(r)}" for r in range(rounds))
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x AS double))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+rows_ AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rid FROM kept),
+parts AS (SELECT rid, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS v FROM rows_, (SELECT unnest(range(4)) AS p)),
+b0 AS (SELECT p, rid - 1 AS e, v AS w FROM parts WHERE rid <= 256),
+{steps},
+{assigned(rounds)},
+coded AS (SELECT rid, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, cast(sum(best.d) AS bigint) AS error FROM a{rounds} GROUP BY 1),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(w, lambda x: cast(x AS bigint)), ','), ',' ORDER BY p, e)) AS h FROM b{rounds})
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, h AS codebooks_sha256 FROM rows_ JOIN coded USING (rid), books"""
+
+
+#: The tokenizer of the packing query, and what ends a document, fixed by its contract.
+BYTE_TOKENIZER, END = "byte_bpe_50k.json", 2
+
+
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(BYTE_TOKENIZER), encoding="utf-8") as f:
+        return f.read()
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_tokenizer(), capacity=1024, end=END)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32, scale=64)
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_topk": op3_topk, "op4_license_scan": op4_license_scan, "op5_pii": op5_pii, "op6_decontaminate": op6_decontaminate, "op7_jaccard_join": op7_jaccard_join, "op8_language_id": op8_language_id, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc, "op11_vector_codes": op11_vector_codes, "op12_packing": op12_packing, "op13_whitening": op13_whitening}
+ORACLE_SQL = {"op1_substring_dedup": _OP1_SQL, "op7_jaccard_join": _OP7_SQL, "op3_topk": _OP3_SQL, "op9_url_filter": _op9_sql(), "op10_warc": _op10_sql(), "op11_vector_codes": _op11_sql()}
