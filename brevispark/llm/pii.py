@@ -133,11 +133,15 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves  # weights: (3, features, labels)
-        self.most = MOST_TYPES
         self.memo = Memo(self.type_of, MOST_WORDS)
         self.forget()
         extra = moves - moves[0, 0]
         self.slack = max(0.0, float(extra.max()))
+        # what two moves can gain at most by a word that is not "other", instead of one that is, between any neighbours
+        one = (moves - moves[:, :1]).max(), (moves - moves[:1]).max()
+        both = (moves[:, :, None] + moves[None] - (moves[:, 0][:, None] + moves[0])[:, None, :]).max()
+        self.most = MOST_TYPES
+        self.pull = max(0.0, float(both), *map(float, one)) + 1e-9
 
     def forget(self) -> None:
         """Empties the memory of types and words. Only between batches: numbers of types mean nothing afterwards."""
@@ -161,35 +165,46 @@ class Field:
         out[:-1] += np.where(types[1:, None] >= 0, self.table[2][types[1:]], 0)
         return out
 
-    def suspects(self, types: np.ndarray) -> np.ndarray:
-        """True for words where a label other than "other" could pay; elsewhere the bound rules it out."""
+    def _gain(self, types: np.ndarray) -> np.ndarray:
+        """What the best label other than "other" gains at most, at each word, before moves."""
         n = len(self.types)
         gain = (self.table[:, :n, 1:] - self.table[:, :n, :1]).max(2)
         gain = np.concatenate([gain, np.zeros((3, 1))], 1)  # type -1
         bound = gain[0][types]
         bound[1:] += gain[1][types[:-1]]
         bound[:-1] += gain[2][types[1:]]
-        return (bound + 2 * self.slack > 0) & (types >= 0)
+        return bound
+
+    def suspects(self, types: np.ndarray) -> np.ndarray:
+        """True for words where a label other than "other" could pay, if all around are "other"; elsewhere the bound rules it out."""
+        return (self._gain(types) + 2 * self.slack > 0) & (types >= 0)
+
+    def settled(self, types: np.ndarray) -> np.ndarray:
+        """True for words that are "other" whatever their neighbours are: sequences can be decoded apart on either side of them."""
+        return (self._gain(types) + self.pull < 0) & (types >= 0)
 
     def viterbi(self, lines: list[np.ndarray]) -> list[np.ndarray]:
-        """Best labels of each line; lines of like length are decoded together."""
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(lines)
-        order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
+        """Best labels of each line of types."""
+        return self.decode([self.emissions(np.concatenate([[-1], x, [-1]]))[1:-1] for x in lines])
+
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of sequences, given their words' scores; those of like length are decoded together."""
+        out: list[np.ndarray] = [np.zeros(0, int)] * len(scores)
+        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
         while order:
-            longest = len(lines[order[-1]])
-            take = [i for i in order[-max(1, 200_000 // max(1, longest)) :] if 2 * len(lines[i]) >= longest]
+            longest = len(scores[order[-1]])
+            take = [i for i in order[-max(1, 200_000 // max(1, longest)) :] if 2 * len(scores[i]) >= longest]
             del order[-len(take) :]
-            lengths = np.array([len(lines[i]) for i in take])
-            types = np.full((len(take), longest + 2), -1)
+            lengths = np.array([len(scores[i]) for i in take])
+            score = np.zeros((len(take), longest, len(KINDS) + 1))
             for row, i in enumerate(take):
-                types[row, 1 : len(lines[i]) + 1] = lines[i]
-            score = self.emissions(types.ravel()).reshape(len(take), longest + 2, -1)[:, 1:-1]
+                score[row, : len(scores[i])] = scores[i]
             state, back = score[:, 0].copy(), np.zeros((longest, len(take), score.shape[2]), np.int8)
             for t in range(1, longest):
                 step = state[:, :, None] + self.moves
                 back[t] = step.argmax(1)
                 state = np.where((t < lengths)[:, None], step.max(1) + score[:, t], state)
-            label = np.zeros((len(take), longest), int)
+            label = np.zeros((len(take), longest), np.int8)
             best = state.argmax(1)
             for t in range(longest - 1, -1, -1):
                 label[:, t] = best
@@ -263,48 +278,77 @@ def train_field(lines: Sequence[Sequence[tuple[str, str]]], rounds: int = 120, r
     return Field(goal.names, weights, moves)
 
 
+def merged(spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+    return edges[::2], edges[1::2]
+
+
 def crf_spans(texts: Sequence[str], field: Field, taken: Sequence[Sequence[tuple[int, int]]] | None = None) -> list[list[tuple[str, int, int]]]:
-    """What the field finds in each text, edges trimmed of punctuation. Words that touch a span in `taken` end a line's sequence."""
+    """What the field finds in each text, edges trimmed of punctuation. Words that touch a span in `taken` end a line's sequence. The
+    work grows in proportion to the texts, however many spans or words a line has."""
     if len(field.types) >= field.most:
         field.forget()
     memo, flat, starts, owners = field.memo.__getitem__, [], [], []
     for i, text in enumerate(texts):
-        begin = 0
-        for number, line in enumerate(text.split("\n")):
+        begin, spans, k = 0, merged(taken[i]) if taken else [], 0
+        for line in text.split("\n"):
+            end = begin + len(line)
             if words := line.split():
                 starts.append(len(flat))
-                owners.append((i, number, begin))
-                if taken and taken[i]:
-                    flat += [-1 if any(begin + m.start() < y and x < begin + m.end() for x, y in taken[i]) else memo(m[0]) for m in WORDS.finditer(line)]
+                owners.append((i, begin, end))
+                while k < len(spans) and spans[k][1] <= begin:
+                    k += 1
+                if k < len(spans) and spans[k][0] < end:
+                    for m in WORDS.finditer(text, begin, end):
+                        while k < len(spans) and spans[k][1] <= m.start():
+                            k += 1
+                        flat.append(-1 if k < len(spans) and spans[k][0] < m.end() else memo(m[0]))
                 else:
                     flat += map(memo, words)
                 flat.append(-1)
-            begin += len(line) + 1
+            begin = end + 1
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not flat:
         return out
     types, starts = np.array(flat), np.array(starts)
-    word = types >= 0
-    first = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
-    last = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1
+    word, settled = types >= 0, field.settled(types)
+    first, last = runs_of(word & ~settled)
     hits = np.concatenate([[0], np.cumsum(field.suspects(types))])
     hot = np.flatnonzero(hits[last] > hits[first])
-    for j, found in zip(hot, field.viterbi([types[first[j] : last[j]] for j in hot])):
+    if not len(hot):
+        return out
+    first, last = first[hot], last[hot]
+    first = first - ((first > 0) & settled[first - 1])  # the settled neighbours are part of a sequence: moves to them count
+    last = last + settled[np.minimum(last, len(settled) - 1)]
+    score, line, words = field.emissions(types), -1, []
+    for a, found in zip(first, field.decode([score[a:b] for a, b in zip(first, last)])):
         if not found.any():
             continue
-        at = int(np.searchsorted(starts, first[j], "right")) - 1
-        i, number, begin = owners[at]
-        line = texts[i][begin:].split("\n", 1)[0]
-        words = [(m.start(), m.end()) for m in WORDS.finditer(line)][first[j] - starts[at] :]
+        at = int(np.searchsorted(starts, a, "right")) - 1
+        i, begin, end = owners[at]
+        if at != line:
+            line, words = at, [(m.start(), m.end()) for m in WORDS.finditer(texts[i], begin, end)]
         edges = np.flatnonzero(np.diff(found, prepend=-1))
-        for a, b in zip(edges, [*edges[1:], len(found)]):
-            if found[a]:
-                lo, hi = words[a][0], words[b - 1][1]
-                piece = line[lo:hi]
+        for x, y in zip(edges, [*edges[1:], len(found)]):
+            if found[x]:
+                lo, hi = words[a - starts[at] + x][0], words[a - starts[at] + y - 1][1]
+                piece = texts[i][lo:hi]
                 lo += len(piece) - len(piece.lstrip(EDGE))
                 hi -= len(piece) - len(piece.rstrip(EDGE))
                 if lo < hi:
-                    out[i].append((KINDS[found[a] - 1], begin + lo, begin + hi))
+                    out[i].append((KINDS[found[x] - 1], lo, hi))
     return out
 
 

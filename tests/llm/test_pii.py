@@ -50,6 +50,23 @@ def test_the_bound_changes_nothing():
     pruned = op.crf_spans(texts, field)
     field.suspects = lambda types: np.ones(len(types), bool)
     assert op.crf_spans(texts, field) == pruned
+    field.settled = lambda types: np.zeros(len(types), bool)
+    assert op.crf_spans(texts, field) == pruned
+
+
+def test_work_grows_in_proportion_to_a_text():
+    import time
+
+    field = op.train_field(op.labelled_lines())
+    for unit in ("call (555) 123-4567 or mail a@b.com ", "bob@example.com ", "+1 555 123 4567 "):
+        for text in (unit * 2000, (unit.strip() + "\n") * 2000):
+            took = []
+            for n in (1, 8):
+                start = time.process_time()
+                found = op.find_in([text * n], field)[0]
+                took.append(time.process_time() - start)
+                assert len(found) >= 2000 * n
+            assert took[1] < 24 * took[0] + 0.5  # eight times the text; a quadratic one would take 64 times as long
 
 
 def test_results_do_not_depend_on_shapes_seen_before():
