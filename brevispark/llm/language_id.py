@@ -21,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, column_texts, fields_of, held, pieces, ranges, runs, stored
+from .common import carried, column_texts, fields_of, held, pieces, ranges, runs, spread_join, stored
 
 BITS = 16
 SMOOTHING = 0.1
 ROUNDS = 12
 #: Words, and numbers (one for each word and language), that a worker remembers.
 MOST_WORDS, MOST_NUMBERS = 100_000, 1 << 22
+#: Keys of the teaching sample that are broadcast at most (16 bytes and a name each).
+MOST_BROADCAST = 1 << 18
+#: Languages up to which likelihoods are a dense table (2^16 numbers each).
+MOST_DENSE = 64
 
 
 def trigram(a, b, c):
@@ -41,13 +45,46 @@ def grams(word: str) -> list[int]:
     return [trigram(a, b, c) for a, b, c in zip(codes, codes[1:], codes[2:])]
 
 
+class Weights:
+    """Log likelihoods of hashed trigrams under each language. For few languages they are a dense table; for many (of which most have
+    never seen most trigrams) the value of an unseen trigram of each language, and what seen ones have above it, by trigram."""
+
+    def __init__(self, gram: np.ndarray, lang: np.ndarray, n: np.ndarray, k: int):
+        total = np.bincount(lang, n, minlength=k) + SMOOTHING * (1 << BITS)
+        self.k, self.unseen = k, np.log(SMOOTHING / total) if k else np.zeros(0)
+        order = np.argsort(gram, kind="stable")
+        self.lang, above = lang[order], (np.log((n + SMOOTHING) / total[lang]) - self.unseen[lang])[order]
+        self.at = np.searchsorted(gram[order], np.arange((1 << BITS) + 1))
+        self.above, self.dense = above, None
+        if 0 < k <= MOST_DENSE:
+            table = np.tile(self.unseen, (1 << BITS, 1))
+            table[gram[order], self.lang] += above
+            self.dense = table.astype(np.float32)
+
+    def __getitem__(self, grams) -> np.ndarray:
+        """Rows of trigrams."""
+        return self.of(np.asarray(grams), np.arange(len(grams) + 1))
+
+    def of(self, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sums over the trigrams of each word; word i has those from starts[i] to starts[i + 1]."""
+        if self.dense is not None:
+            return np.add.reduceat(self.dense[grams], starts[:-1])
+        sizes = np.diff(starts)
+        out = sizes[:, None] * self.unseen
+        seen = self.at[grams + 1] - self.at[grams]
+        at = ranges(self.at[grams], seen)
+        np.add.at(out, (np.repeat(np.repeat(np.arange(len(sizes)), sizes), seen), self.lang[at]), self.above[at])
+        return out.astype(np.float32)
+
+    def digest(self) -> str:
+        return hashlib.sha256(b"".join(x.tobytes() for x in (self.lang, self.above, self.at, self.unseen))).hexdigest()
+
+
 class Languages:
     """names in order; weights: log likelihood of each hashed trigram under each language."""
 
-    def __init__(self, names: list[str], counts: np.ndarray):
-        self.names = names
-        smooth = counts + SMOOTHING
-        self.weights = np.log(smooth / smooth.sum(0)).astype(np.float32) if names else np.zeros((0, 0), np.float32)
+    def __init__(self, names: list[str], weights: Weights):
+        self.names, self.weights = names, weights
         self.forget()
 
     def forget(self) -> None:
@@ -65,8 +102,8 @@ class Languages:
             sizes = np.fromiter(map(len, marked), np.int64, len(marked))
             code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             at = ranges(runs(sizes)[:-1], sizes - 2)
-            hashed = trigram(code[at], code[at + 1], code[at + 2])
-            self.rows = np.concatenate([self.rows, np.add.reduceat(self.weights[hashed], runs(sizes - 2)[:-1])])
+            hashed = trigram(code[at], code[at + 1], code[at + 2]).astype(np.int64)
+            self.rows = np.concatenate([self.rows, self.weights.of(hashed, runs(sizes - 2))])
 
     def words_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the words of some texts, and how many each text has."""
@@ -133,22 +170,20 @@ class Languages:
         return share, ll
 
 
-def train(documents: DataFrame, max_docs_per_language: int = 400, most_languages: int = 64, text: str = "text", lang: str = "lang") -> Languages:
+def train(documents: DataFrame, max_docs_per_language: int = 400, text: str = "text", lang: str = "lang") -> Languages:
     """Learns from documents with a text and a language: the first `max_docs_per_language` different texts of each in the order
-    of a hash, once each, so that the model depends neither on copies nor on the partitioning. It learns the `most_languages`
-    languages with most different texts that have a letter (ties to the name that sorts first): a bound of the model, 2^16 numbers a
-    language, that junk in the column cannot break. Counts are summed by the executors."""
+    of a hash, once each, so that the model depends neither on copies nor on the partitioning. Every language is learnt that has a text
+    with a letter. Counts are summed by the executors; the model holds the trigrams that the sample of each language has."""
     known = documents.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
     lettered = F.col("text").rlike(r"\p{L}")
     distinct = stored(known.where(lettered).select("lang", "h").distinct(), "language-texts")
-    sizes = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
-    names = sorted(sizes)
+    sizes = stored(distinct.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
+    names = sorted(r.lang for r in sizes.select("lang").collect())  # a name for each language of the model
     if not names:
-        return Languages([], np.zeros((0, 0)))
+        return Languages([], Weights(*(np.zeros(0, np.int64) for _ in range(3)), 0))
     # twice as many as needed, and a few more: so few in each language that they can be ordered in one task
-    cut = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, (2 * max_docs_per_language + 100) / sizes[k]))])
     order = F.pmod("h", F.lit(1 << 40))
-    few = distinct.where(order / F.lit(float(1 << 40)) < F.try_element_at(cut, F.col("lang")))
+    few = spread_join(distinct, sizes, "lang", "n", ["h"]).where(order / F.lit(float(1 << 40)) < F.lit(2.0 * max_docs_per_language + 100) / F.col("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "h")) <= max_docs_per_language
     drawn = few.select("lang", "h", first.alias("first")).where("first").select("lang", "h")
 
@@ -160,7 +195,9 @@ def train(documents: DataFrame, max_docs_per_language: int = 400, most_languages
             if new:
                 yield batch.take(pa.array(new))
 
-    copies = known.join(F.broadcast(drawn), ["lang", "h"]).select("text", "lang", "h").mapInArrow(once, "text string, lang string, h long")
+    # rows of the sample: by a broadcast of its keys where they are few enough, else by a join with one row a key
+    drawn = F.broadcast(drawn) if len(names) * max_docs_per_language <= MOST_BROADCAST else drawn
+    copies = known.join(drawn, ["lang", "h"]).select("text", "lang", "h").mapInArrow(once, "text string, lang string, h long")
     sample = copies.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count(batches):
@@ -175,31 +212,23 @@ def train(documents: DataFrame, max_docs_per_language: int = 400, most_languages
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(hit), pa.string()), "gram": pa.array(hit), "n": pa.array(own[hit])})
 
     rows = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((1 << BITS, len(names)))
     where = {name: i for i, name in enumerate(names)}
-    counts[rows.column("gram").to_numpy(), [where[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
-    taught = counts.any(0)
-    return Languages([n for n, t in zip(names, taught) if t], counts[:, taught])
+    gram, lang_, n = rows.column("gram").to_numpy(), np.array([where[x] for x in rows.column("lang").to_pylist()], np.int64), rows.column("n").to_numpy()
+    taught = np.unique(lang_)  # the others have no word with a letter among the first texts
+    return Languages([names[i] for i in taught], Weights(gram, np.searchsorted(taught, lang_), n, len(taught)))
 
 
 def identify(documents: DataFrame, model: Languages, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """Returns keep, lang_pred, score (its share of the words), and `languages`: the chosen set as array<struct<lang,share>>,
     largest share first."""
-    names, weights = model.names, model.weights
-    key = hashlib.sha256(weights.tobytes() + "\0".join(names).encode()).hexdigest()
-    shared = documents.sparkSession.sparkContext.broadcast((names, weights))  # 2^16 floats a language
+    key = hashlib.sha256(model.weights.digest().encode() + "\0".join(model.names).encode()).hexdigest()
+    shared = documents.sparkSession.sparkContext.broadcast((model.names, model.weights))  # what the sample holds; dense at 2^16 floats a language
     taken, names_, read = carried(documents, keep, text)
     schema = ", ".join([*fields_of(taken, names_), "lang_pred string", "score double", "languages array<struct<lang:string,share:double>>"])
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
-    def fresh() -> Languages:
-        own = Languages([], np.zeros((0, 0)))
-        own.names, own.weights = shared.value
-        own.forget()
-        return own
-
     def run(batches):
-        own = held(f"languages-{key}", fresh)
+        own = held(f"languages-{key}", lambda: Languages(*shared.value))
         k = len(own.names)
         for whole in batches:
             for batch in pieces(whole, read, (1 << 21) // max(8, k)):  # a number for each word and language is held at a time
