@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,68 @@ def embed_right(small: list, big: list) -> list[int] | None:
     return None if found is None else [len(big) - 1 - i for i in reversed(found)]
 
 
-def embed_blocks(small: list, big: list) -> list[int]:
-    """Positions by matching blocks, for texts that are no subsequence."""
-    blocks = difflib.SequenceMatcher(None, small, big, autojunk=False).get_matching_blocks()
-    return [j for b in blocks for j in range(b.b, b.b + b.size)]
+class Automaton:
+    """The suffix automaton of a sequence: all its runs of members, each with the place where it first ends."""
+
+    def __init__(self, sequence: Sequence[int]):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.size, self.first = [-1], [0], [-1]
+        last = 0
+        for at, x in enumerate(sequence):
+            now = self._state({}, -1, self.size[last] + 1, at)
+            p = last
+            while p >= 0 and x not in self.next[p]:
+                self.next[p][x] = now
+                p = self.link[p]
+            if p < 0:
+                self.link[now] = 0
+            else:
+                q = self.next[p][x]
+                if self.size[p] + 1 == self.size[q]:
+                    self.link[now] = q
+                else:
+                    clone = self._state(dict(self.next[q]), self.link[q], self.size[p] + 1, self.first[q])
+                    while p >= 0 and self.next[p].get(x) == q:
+                        self.next[p][x] = clone
+                        p = self.link[p]
+                    self.link[q] = self.link[now] = clone
+            last = now
+
+    def _state(self, following: dict[int, int], link: int, size: int, first: int) -> int:
+        self.next.append(following)
+        self.link.append(link)
+        self.size.append(size)
+        self.first.append(first)
+        return len(self.size) - 1
+
+    def longest(self, sequence: Sequence[int]) -> tuple[int, int, int]:
+        """Start in the sequence, start here and length of the longest run that both have; the earliest of equal ones."""
+        best, state, n = (0, 0, 0), 0, 0
+        for at, x in enumerate(sequence):
+            while state and x not in self.next[state]:
+                state = self.link[state]
+                n = self.size[state]
+            if x in self.next[state]:
+                state = self.next[state][x]
+                n += 1
+                if n > best[2]:
+                    best = (at - n + 1, self.first[state] - n + 1, n)
+        return best
+
+
+def embed_blocks(small: Sequence[int], big: Sequence[int]) -> list[int]:
+    """Places of small's members in big by matching blocks, for sequences that are no subsequence: the longest common run, then the same
+    on either side of it. Members without a place are left out."""
+    out, todo = [], [(0, len(small), 0, len(big))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a >= b or c >= d:
+            continue
+        i, j, n = Automaton(big[c:d]).longest(small[a:b])
+        if n:
+            out.extend(range(c + j, c + j + n))
+            todo += [(a, a + i, c, c + j), (a + i + n, b, c + j + n, d)]
+    return sorted(out)
 
 
 def _align(small: list, big: list) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -91,6 +149,26 @@ def embed_left_fold(small: Column, big: Column) -> Column:
     return F.aggregate(big, start, step)["hit"]
 
 
+def with_starts(df: DataFrame, own: Column, gaps: Column, name: str) -> DataFrame:
+    """Adds where each member of a list begins (from 0), from the members' lengths and what lies in front of each: running sums, for all
+    lists of a batch at once. Null lists are empty; the two lists of a row are of one length."""
+    made = df.select("*", own.cast("array<bigint>").alias("_own"), gaps.cast("array<bigint>").alias("_gaps"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches):
+        for batch in batches:
+            own, gaps = batch.columns[-2:]
+            n = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            size, gap = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (own, gaps))
+            ends = np.cumsum(n)
+            total = np.concatenate([[0], np.cumsum(size + gap)])
+            start = total[1:] - size - np.repeat(total[ends - n], n)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(start))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], names=[*batch.schema.names[:-2], name])
+
+    return made.mapInArrow(run, f"{fields}, `{name}` array<bigint>")
+
+
 def subsets(n: int, most: int) -> Column:
     """All subsets of 0 .. n-1 with one to `most` members, each ascending, as array<array<int>>; for small n only."""
     units = lambda mask: F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit(mask, i) == 1)

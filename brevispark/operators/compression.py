@@ -6,6 +6,7 @@ the earlier place. A rate of 1 is the identity. `indifferent` picks by a hash in
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -120,9 +121,15 @@ def at_levels(df: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
 
 
 def compress_with(df: DataFrame, make: Callable[[], Callable[[str, float], str]], text: str = "text", rate: str = "rate") -> DataFrame:
-    """Adds `compressed` by a model, and `error`: `make` runs once per worker and returns text, rate -> text. A row that fails has no
-    text and the reason in `error`, so that a broken model can be told from one that leaves nothing."""
-    return plugged(df, make, (text, rate), "compressed string", lambda model, t, r: (model(t, r),))
+    """Adds `compressed` by a model, the seconds that its call took, `compress_s`, and `error`: `make` runs once per worker and returns
+    text, rate -> text. A row that fails has no text and the reason in `error`, so that a broken model can be told from one that leaves
+    nothing."""
+    def call(model, t, r):
+        start = time.perf_counter()
+        found = model(t, r)
+        return found, time.perf_counter() - start
+
+    return plugged(df, make, (text, rate), "compressed string, compress_s double", call)
 
 
 def shape_measures(original: Column, compressed: Column) -> dict[str, Column]:

@@ -13,8 +13,9 @@ def open_work(items: DataFrame, levels: list[float], done: DataFrame, key: str)
 
 
 def work_list(items: DataFrame, levels: list[float], done: DataFrame, key: str, order: list[str], variants: list[str] | None = None, only: list[float] | None = None, repetition: int | None = None, redo: bool = False, limit: int | None = None) -> DataFrame:
-    """Open conditions (item, level) in order: of some variants and levels, for one repetition (then `done` has a column of that
-    name), all of them again with `redo`, and at most `limit`. Every option that is not given is no condition at all."""
+    """Open conditions (item, level): of some variants and levels, for one repetition (then `done` has a column of that
+    name), all of them again with `redo`, and the first `limit` in `order` (without a limit nothing is sorted). Every option that is not
+    given is no condition at all."""
     wanted = items if variants is None else items.where(F.col("variant").isin(list(variants)))
     chosen = [x for x in levels if only is None or x in only]
     if not redo and repetition is not None:
@@ -22,8 +23,7 @@ def work_list(items: DataFrame, levels: list[float], done: DataFrame, key: str,
     wanted = wanted.withColumn("rho", F.explode(F.array(*[F.lit(float(x)) for x in chosen]))) if chosen else wanted.withColumn("rho", F.lit(0.0)).limit(0)
     if not redo:
         wanted = wanted.join(done.select(key, "rho").distinct(), [key, "rho"], "left_anti")
-    out = wanted.orderBy(*order)
-    return out if limit is None else out.limit(limit)
+    return wanted if limit is None else wanted.orderBy(*order).limit(limit)
 
 
 def update_columns(stored: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -142,18 +142,6 @@ def n_candidates(variant: str, n_units: int) -> int:
     return sum(math.comb(n_units, r) for r in range(1, (MOST_FILLERS if variant == "filler" else n_units) + 1))
 
 
-def best_units(sizes: Column, n_base: Column) -> Column:
-    """Units of a row's own (paraphrases, further demonstrations) whose summed length comes nearest to the target, then fewest: every
-    subset of them is tried. A row has at most ten (a task's own question and demonstrations); units without words stay out."""
-    goal = TARGET * n_base
-    few = F.slice(sizes, 1, 10)
-    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(few)) - 1)
-    member = lambda m: F.filter(F.sequence(F.lit(0), F.greatest(F.size(few) - 1, F.lit(0))), lambda i: (F.getbit(m.cast("bigint"), i) == 1) & (F.coalesce(F.try_element_at(few, i + 1), F.lit(0)) > 0))
-    total = lambda m: F.aggregate(member(m), F.lit(0), lambda a, i: a + F.element_at(few, i + 1))
-    ranked = F.transform(masks, lambda m: F.struct(F.abs(total(m) - goal).alias("off"), F.bit_count(m).alias("n"), m.alias("mask")))
-    return F.when(F.size(few) > 0, F.transform(F.array(F.array_min(ranked)["mask"]), member)[0]).otherwise(F.array().cast("array<int>"))
-
-
 def calibrate(bases: DataFrame, variant: str, lengths: list[int], base: str = "n_base") -> DataFrame:
     """The best choice of pool units for each base length: the four nearest to the target by summed length, then the least by
     (distance of the ratio, number of units, units). The choice depends on the base length alone, so it is made once for

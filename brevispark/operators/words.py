@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brevispark.functions import arrays as A
 from brevispark.functions import text as T
 
 CORE, REDUNDANT = "core", "redundant"
@@ -54,6 +55,21 @@ def word_rows(df: DataFrame, tokens: str = "tokens", keep: tuple[str, ...] = ("d
     return rows.select(*keep, "pos", F.when(F.col("_n") > 1, F.col("pos") / (F.col("_n") - 1)).otherwise(F.lit(0.0)).alias("rel_pos"), "t.*")
 
 
+def token_offsets(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """A row per token of a whole text: keep, pos, start (code points from 0) and form."""
+    own = df.select(*keep, T.tokens(F.col(text)).alias("_forms"), F.transform(F.split(text, T.TOKEN, -1), F.length).alias("_between"))
+    gaps = F.slice("_between", 1, F.size("_forms"))  # one more than tokens: the last one is behind all of them
+    rows = A.with_starts(own, F.transform("_forms", F.length), gaps, "_starts")
+    return rows.select(*keep, F.posexplode_outer(F.arrays_zip("_forms", "_starts")).alias("pos", "_z")).where("pos IS NOT NULL").select(*keep, "pos", F.col("_z._starts").alias("start"), F.col("_z._forms").alias("form"))
+
+
+def line_offsets(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """A row per line of a text: keep, ord, start and end (code points; the line break is not part of it)."""
+    own = df.select(*keep, F.transform(F.split(text, "\n"), F.length).alias("_n"))
+    rows = A.with_starts(own, F.col("_n"), F.transform("_n", lambda x, i: F.when(i == 0, 0).otherwise(1)), "_starts")
+    return rows.select(*keep, F.posexplode(F.arrays_zip("_n", "_starts")).alias("ord", "_z")).select(*keep, "ord", F.col("_z._starts").alias("start"), (F.col("_z._starts") + F.col("_z._n")).alias("end"))
+
+
 def type_overlap(segments: Column) -> Column:
     """Share of the redundancy's distinct word forms that the core has too; null without redundancy."""
     forms = lambda origin: F.array_distinct(F.flatten(F.transform(F.filter(segments, lambda s: s["origin"] == origin), lambda s: F.transform(T.words(s["text"]), T.fold))))
@@ -63,9 +79,16 @@ def type_overlap(segments: Column) -> Column:
 
 def leakage(segments: Column, answers: Column) -> tuple[Column, Column]:
     """Whether an answer stands outside the question, as whole words, and the first section where; texts are compared flat."""
-    others = F.filter(segments, lambda s: s["section"] != "question")
-    hits = F.filter(others, lambda s: F.exists(answers, lambda a: T.contains_phrase(T.flat(s["text"]), T.flat(a))))
-    return (F.size(hits) > 0).cast("int"), F.try_element_at(F.transform(hits, lambda s: s["section"]), F.lit(1))
+    flat = lambda texts: F.transform(texts, T.flat)
+    return leaks_in(segments, flat(F.transform(segments, lambda s: s["text"])), flat(answers))
+
+
+def leaks_in(segments: Column, forms: Column, sought: Column) -> tuple[Column, Column]:
+    """The same with normal forms that were made before: of the segments' texts, and of the answers (neither an expression with a Python
+    function in it, which can't stand inside a lambda)."""
+    pairs = F.arrays_zip(F.transform(segments, lambda s: s["section"]).alias("section"), forms.alias("form"))
+    hits = F.filter(pairs, lambda p: (p["section"] != "question") & F.exists(sought, lambda a: T.contains_phrase(p["form"], a)))
+    return (F.size(hits) > 0).cast("int"), F.try_element_at(F.transform(hits, lambda p: p["section"]), F.lit(1))
 
 
 def origin_counts(segments: Column) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import files, relational, textual
+from . import files, incremental, relational, textual
 
-QUERIES: dict = {**relational.CATALOGUE.queries, **textual.CATALOGUE.queries, **files.CATALOGUE.queries}
-ORACLE_SQL: dict = {**relational.CATALOGUE.sql, **textual.CATALOGUE.sql, **files.CATALOGUE.sql}
+QUERIES: dict = {**relational.CATALOGUE.queries, **textual.CATALOGUE.queries, **files.CATALOGUE.queries, **incremental.CATALOGUE.queries}
+ORACLE_SQL: dict = {**relational.CATALOGUE.sql, **textual.CATALOGUE.sql, **files.CATALOGUE.sql, **incremental.CATALOGUE.sql}

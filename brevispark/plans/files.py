@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from brevispark.session import scratch
-from brevispark.sources import files, sinks
+from brevispark.sources import files, records, sinks
+from brevispark.sources.named_texts import write_named_texts
 
 from .study import Catalogue, table
 
@@ -27,16 +28,25 @@ def tsv_scan(spark, sf_dir):
     return files.read_tsv(spark, at, "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string")
 
 
-@CATALOGUE.add("SELECT conv_id, turn, role, replace(replace(substr(text, 1, 200), chr(13), ' '), chr(10), ' ') || ', \"quoted\"' AS text FROM conversations")
+@CATALOGUE.add("SELECT conv_id, turn, role, replace(replace(text, chr(13), ' '), chr(10), ' ') || ', \"quoted\"' AS text FROM conversations")
 def csv_scan(spark, sf_dir):
     """Rows of comma-separated files with commas and quotes in them, read with required columns."""
     at = _place(spark, "csv")
-    text = F.concat(F.translate(F.substr("text", F.lit(1), F.lit(200)), "\r\n", "  "), F.lit(', "quoted"'))
+    text = F.concat(F.translate("text", "\r\n", "  "), F.lit(', "quoted"'))
     sinks.write_csv(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text")), at, ("conv_id", "turn"))
     rows = files.read_csv(spark, at, ("conv_id", "turn", "role", "text"))
     return rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
 
 
+@CATALOGUE.add("SELECT conv_id, turn, role, length(text) AS n_chars, sha256(text) AS text_sha256 FROM conversations")
+def quoted_records(spark, sf_dir):
+    """Whole texts with their line breaks and quotes, written as comma-separated files and read again by many tasks a file."""
+    at = _place(spark, "records")
+    sinks.write_csv(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), at)
+    rows = records.read_records(spark, at, "conv_id bigint, turn bigint, role string, text string")
+    return rows.select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @CATALOGUE.add("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def id_list_semijoin(spark, sf_dir):
     """Rows whose key stands in a list of ids, one a line."""
@@ -56,6 +66,18 @@ def text_tree(spark, sf_dir):
     return files.read_text_tree(spark, at)
 
 
+@CATALOGUE.add("SELECT source AS variant, cast(doc_id AS varchar) AS id, (1 + doc_id % 3) / 4.0::double AS rate, 1 - (1 + doc_id % 3) / 4.0::double AS rho, sha256(text) AS text_sha256 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'turns', cast(conv_id AS varchar), 0.5::double, 0.5::double, sha256(text) FROM conversations WHERE turn = 0")
+def named_texts(spark, sf_dir):
+    """A file for each text, <variant>/<id>_<rate>.txt, and the texts read back from them."""
+    at = _place(spark, "named")
+    name = lambda key: F.concat_ws("_", F.col(key).cast("string"), sinks.rate_label("rate"))
+    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").withColumn("rate", (1 + F.col("doc_id") % 3) / 4)
+    turns = table(spark, sf_dir, "conversations").where("turn = 0").withColumn("rate", F.lit(0.5))
+    write_named_texts(docs.select(F.col("source").alias("variant"), name("doc_id").alias("name"), "text"), at)
+    write_named_texts(turns.select(F.lit("turns").alias("variant"), name("conv_id").alias("name"), "text"), at)
+    return files.read_text_tree(spark, at).select("variant", "id", "rate", "rho", F.sha2("text", 256).alias("text_sha256"))
+
+
 @CATALOGUE.add("SELECT count(*) AS n, cast(sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) AS bigint) AS n_large, min(p_type) AS first_type FROM part")
 def manifest_scan(spark, sf_dir):
     """A manifest of a draw, as one JSON object."""

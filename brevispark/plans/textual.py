@@ -9,6 +9,7 @@ from brevispark.functions import arrays as A
 from brevispark.functions import stats as S
 from brevispark.functions import text as T
 from brevispark.operators import compression as C
+from brevispark.operators import incremental as I
 from brevispark.operators import plugins as G
 from brevispark.operators import prompts as P
 from brevispark.operators import scoring as Q
@@ -273,12 +274,21 @@ _SUBSETS = f"""masks AS (SELECT unnest(range(1, {1 << len(P.FILLER_POOL)})) AS m
 pool AS (SELECT list_transform({_POOL}, lambda s: len(regexp_extract_all(s, '{T.TOKEN}'))) AS n), cands AS (SELECT units, list_sum(list_transform(units, lambda u: pool.n[u + 1])) AS added FROM subs, pool)"""
 
 
-@CATALOGUE.add(f"WITH {_SUBSETS} SELECT cast(len(units) AS integer) AS n_units, cast(added AS integer) AS added, count(*) AS n FROM cands GROUP BY 1, 2")
+_BAND = f"abs(added / n_base::double - cast({P.TARGET} AS double)) <= cast({P.BAND} AS double)"
+
+
+@CATALOGUE.add(f"""WITH {_SUBSETS}, g AS (SELECT len(units) AS n_units, added, count(*) AS n FROM cands GROUP BY 1, 2), b AS (SELECT cast(len(regexp_extract_all(text, '{T.TOKEN}')) AS integer) AS n_base FROM documents)
+SELECT cast(n_units AS integer) AS n_units, cast(added AS integer) AS added, n, count(n_base) AS n_documents FROM g LEFT JOIN b ON n_base > 0 AND {_BAND} GROUP BY 1, 2, 3""")
 def subset_candidates(spark, sf_dir):
+    """Choices of fillers by number and length, and for how many documents a prompt with them would lie in the band."""
     sizes = _filler_sizes(spark)
     all_ = spark.range(1).select(F.explode(P.candidates("filler", len(sizes))).alias("units"))
     added = F.aggregate("units", F.lit(0), lambda a, u: a + F.element_at(F.array(*map(F.lit, sizes)), u + 1))
-    return all_.groupBy(F.size("units").alias("n_units"), added.alias("added")).agg(F.count("*").alias("n"))
+    groups = all_.groupBy(F.size("units").alias("n_units"), added.alias("added")).agg(F.count("*").alias("n"))
+    lengths = documents(spark, sf_dir).groupBy(F.size(T.tokens(F.col("text"))).alias("n_base")).agg(F.count("*").alias("m"))
+    inside = (F.col("n_base") > 0) & (F.abs(F.col("added") / F.col("n_base") - P.TARGET) <= P.BAND)
+    hits = lengths.join(F.broadcast(groups), inside).groupBy("n_units", "added").agg(F.sum("m").alias("m"))  # at most 1470 groups
+    return groups.join(hits, ["n_units", "added"], "left").select("n_units", "added", "n", F.coalesce("m", F.lit(0)).cast("bigint").alias("n_documents"))
 
 
 def _filler_sizes(spark) -> list[int]:
@@ -302,7 +312,8 @@ UNITS = {"basis": [], "filler": [0, 4, 9], "semantic": [0, 2], "instruction": [2
 def _materials(spark, sf_dir):
     """Conversations as tasks: the first turn is the question, the next two are demonstrations, the fourth an extra one."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "text", "role")))
-    conv = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    first = I.top_per_group(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], 4)  # cut before they are collected
+    conv = first.groupBy("conv_id").agg(turns.alias("t"))
     demo = lambda x: F.struct(x["text"].alias("question"), x["role"].alias("answer"), F.lower(x["text"]).alias("paraphrase"))
     pick = lambda a, n: F.transform(F.slice("t", a, n), demo)
     return conv.where(F.size("t") >= 4).select("conv_id", F.col("t")[0]["text"].alias("question"), F.lower(F.col("t")[0]["text"]).alias("paraphrase"), pick(2, 2).alias("demos"), pick(4, 1).alias("extra"))

@@ -14,6 +14,7 @@ def session(app: str = "brevispark", master: str | None = None, shuffle_partitio
     """A session with the settings the operators are tested under; anything already set by the cluster wins."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
     builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.ui.showConsoleProgress", "false")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with the tables that read them
     if master:
         builder = builder.master(master).config("spark.driver.memory", os.environ.get("BREVI_DRIVER_MEMORY", "8g")).config("spark.ui.enabled", "false")
     if shuffle_partitions:

@@ -38,10 +38,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
     """Texts named <variant>/<id>_<rate>.txt, as variant, id, rate, rho and text; one row per file. Trees of `sinks.write_text_tree`
-    (<variant=...>/<name=id_rate>/part file, with a line break after the text) read the same."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    path = F.col("_metadata.file_path")
-    part = lambda i: F.regexp_extract(path, r"(?:variant=)?([^/=]+)/(?:name=)?([^/]+)_([0-9.]+)(?:\.txt|/part-[^/]+)$", i)
-    text = F.when(F.rlike(path, F.lit(r"/name=[^/]+/part-[^/]+$")), F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
-    out = files.select(F.url_decode(part(1)).alias("variant"), F.url_decode(part(2)).alias("id"), part(3).cast("double").alias("rate"), text.alias("text"))
+    (<variant=...>/<name=id_rate>/part file, with a line break after the text) read the same. An empty file has no row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
+    name = lambda c: F.replace(F.replace(F.regexp_replace(F.regexp_replace(c, "^%2E", "."), "^%5F", "_"), F.lit("%2F"), F.lit("/")), F.lit("%25"), F.lit("%"))
+    part = lambda i: F.regexp_extract("path", r"(?:variant=)?([^/=]+)/(?:name=)?([^/]+)_([0-9.]+)(?:\.txt|/part-[^/]+)$", i)
+    value = F.decode("content", "UTF-8")
+    text = F.when(F.rlike("path", F.lit(r"/name=[^/]+/part-[^/]+$")), F.regexp_replace(value, r"\n\z", "")).otherwise(value)
+    out = files.select(name(part(1)).alias("variant"), name(part(2)).alias("id"), part(3).cast("double").alias("rate"), text.alias("text"))
     return out.select("variant", "id", "rate", (1 - F.col("rate")).alias("rho"), "text")

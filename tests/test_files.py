@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brevispark.sources import files, sinks
+from brevispark.sources import files, records, sinks
+from brevispark.sources.named_texts import write_named_texts
 from brevispark.streaming.incremental import process_new
 
 
@@ -54,3 +55,59 @@ def test_new_files_are_taken_once(spark, tmp_path):
     process_new(*args)
     process_new(*args)
     assert sorted(r.w for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4, 20, 22]
+
+
+ODD = [(1, 'plain', "x"), (2, 'two\nlines, and a comma', None), (3, 'a "quoted" word\n\n"', "y"), (4, "", "z"), (5, "ends with break\n", "w"), (6, "\n", "v"), (7, "é\n" * 40, "u")]
+
+
+@pytest.mark.parametrize("size", ["40b", "64b", "1000b", "10m"])
+def test_records_with_line_breaks_are_read_by_many_tasks(spark, tmp_path, size):
+    import csv
+    import random
+
+    rnd = random.Random(size)
+    rows = [(i, *rnd.choice(ODD)[1:]) for i in range(300)]
+    for name, part in (("a", rows[:250]), ("b", rows[250:]), ("c", [])):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n" if name == "a" else "\r\n")
+            out.writerow(["id", "text", "more"])
+            out.writerows(part)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = records.read_records(spark, str(tmp_path), "id int, text string, more string")
+        if size != "10m":
+            assert records.records(spark, str(tmp_path)).select("block").distinct().count() > 5
+        plain = files.read_csv(spark, str(tmp_path / "a.csv"), multi_line=True).selectExpr("cast(id as int) id", "text", "more")
+        mine = sorted((r.id, r.text, r.more) for r in got.collect())
+        assert [r[:1] + tuple(x or "" for x in r[1:]) for r in mine] == [(i, t, m or "") for i, t, m in rows]
+        assert [r for r in mine if r[0] < 250] == sorted((r.id, r.text, r.more) for r in plain.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_named_texts(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    rows = [("basis", f"{i}_0.5", f"text {i}\nof two lines") for i in range(40)] + [("a/b", "7_0.25", ""), ("a/b", "ä_1", "é\n")]
+    df = spark.createDataFrame(rows, "variant string, name string, text string").repartition(5)
+    write_named_texts(df, root)
+    found = {str(p.relative_to(root)): p.read_bytes().decode() for p in (tmp_path / "tree").rglob("*") if p.is_file()}
+    assert found == {f"{v.replace('/', '%2F')}/{n}.txt": t for v, n, t in rows}  # and nothing else
+    back = files.read_text_tree(spark, root)
+    assert sorted((r.variant, r.id, r.rate, r.text) for r in back.collect()) == sorted((v, n.split("_")[0], float(n.split("_")[1]), t) for v, n, t in rows if t)  # Spark's readers skip empty files
+    write_named_texts(spark.createDataFrame([("basis", "1_0.5", "new")], "variant string, name string, text string"), root)
+    assert (tmp_path / "tree" / "basis" / "1_0.5.txt").read_text() == "new" and len(list((tmp_path / "tree" / "basis").iterdir())) == 40
+    write_named_texts(spark.createDataFrame([("c", "1_1", "last")], "variant string, name string, text string"), root, overwrite=True)
+    assert [str(p.relative_to(root)) for p in (tmp_path / "tree").rglob("*") if p.is_file()] == ["c/1_1.txt"]
+
+
+def test_named_texts_leave_nothing_when_they_fail(spark, tmp_path):
+    root = tmp_path / "tree"
+    with pytest.raises(Exception, match="a variant, a name and a text"):
+        write_named_texts(spark.createDataFrame([("a", f"{i}", None if i == 30 else "x") for i in range(40)], "variant string, name string, text string").repartition(4), str(root))
+    assert not [p for p in root.rglob("*") if p.is_file()]
+    with pytest.raises(Exception, match="one name|are named"):
+        write_named_texts(spark.createDataFrame([("a", "same", "x"), ("a", "same", "y")], "variant string, name string, text string").repartition(2), str(root))
+    assert not [p for p in root.rglob("*") if p.is_file()]

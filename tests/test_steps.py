@@ -82,7 +82,8 @@ def test_measures_and_scores(store):
 
 def test_export(store, spark, tmp_path):
     done = steps.export(store, str(tmp_path), words=True, texts=True)
-    assert done == [*steps.EXPORTS, "words", "texts"]
+    assert {*steps.EXPORTS, "accuracy", "contrasts", "null_model", "sensitivity_raw_contrasts", "efficiency", "errors"} < {*done} and done[-2:] == ["words", "texts"]
+    assert files.read_csv(spark, str(tmp_path / "calibration"), ("variant", "share_leakage")).count() == 4
     tree = files.read_text_tree(spark, str(tmp_path / "texts" / "compressed"))
     want = store.read("compressed").where("rho > 0").join(store.read("prompts").select("prompt_id", "task_id", "variant"), "prompt_id").select("variant", F.col("task_id").alias("id"), "rho", F.col("compressed").alias("text"))
     assert sorted(map(tuple, tree.select("variant", "id", "rho", "text").collect())) == sorted(map(tuple, want.collect()))
@@ -90,6 +91,120 @@ def test_export(store, spark, tmp_path):
     assert head.count() == store.read("words").where("is_word").count()
 
 
+def _flaky(bad):
+    def make():
+        def model(text, rate):
+            if bad in text:
+                raise RuntimeError("no answer")
+            return text[: int(len(text) * rate)]
+
+        return model
+
+    return make
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    (tmp_path / "tasks.tsv").write_text(TASKS)
+    demos = ["task_id\tslot\trole\tdemo_id\tdemo_question\tdemo_answer"]
+    demos += [f"{t}\t{i + 1}\t{'base' if i < 2 else 'demonstration'}\td{i}\tWho wrote book number {i}?\t{'The blue' if t == 2 and i == 1 else 'Author'} {i}" for t in (1, 2, 3) for i in range(2 if t == 3 else 4)]
+    (tmp_path / "demos.tsv").write_text("\n".join(demos) + "\n")
+    out = steps.Store(spark, str(tmp_path / "store"))
+    steps.init(out, str(tmp_path / "tasks.tsv"), str(tmp_path / "demos.tsv"))
+    return out
+
+
+def test_true_values(small):
+    assert steps.build(small) == 11  # no paraphrases at all, no further demonstrations for task 3
+    assert sorted((r.task_id, r.variant) for r in small.read("unbuilt").collect()) == sorted([*((t, "semantic") for t in "123"), ("3", "demonstration")])
+    leaks = {r.prompt_id: (r.leakage, r.leakage_section) for r in small.read("prompts").collect()}
+    assert leaks["2/basis"] == (1, "demonstration") and leaks["1/basis"] == (0, None) and leaks["2/filler"] == (1, "demonstration")
+    steps.compress(small, levels=[0.0, 0.5], model=_flaky("Pele"))
+    rows = small.read("compressed").collect()
+    assert len(rows) == 11 + 8 and all((r.compress_s is not None and r.compress_s >= 0) == (r.rho > 0) for r in rows)
+    assert {(r.step, r.prompt_id, r.rho, r.error) for r in small.read("errors").collect()} == {("compress", f"3/{v}", 0.5, "RuntimeError: no answer") for v in ("basis", "filler", "instruction")}
+    steps.measure(small)
+    steps.infer(small, model, all_tasks=True)
+    for r in steps.runs(small).collect():
+        assert r.pipeline_s == r.total_s + (r.compress_s or 0)
+    share = {r.variant: r.share_leakage for r in steps.evaluate(small)["calibration"].collect()}
+    assert share == {"filler": pytest.approx(1 / 3), "instruction": pytest.approx(1 / 3), "demonstration": pytest.approx(1 / 2)}
+    steps.compress(small, levels=[0.0, 0.5], model=_flaky("nothing has this"))
+    assert small.read("errors").where("step = 'compress'").count() == 0 and small.read("compressed").count() == 22
+    assert steps.trial(small, _flaky("nothing has this"), levels=[0.5]).where("alike = 1 AND n_errors = 0").count() == 4
+
+
+def test_what_depends_on_a_changed_prompt_goes(small):
+    steps.build(small)
+    steps.compress(small, levels=[0.0, 0.5])
+    steps.measure(small)
+    steps.infer(small, model, all_tasks=True)
+    tables = ("compressed", "measures", "sections", "words", "inference")
+    before = {t: small.read(t).where("prompt_id NOT LIKE '1/%'").count() for t in tables}
+    small.write("tasks", small.read("tasks").withColumn("question", F.when(F.col("task_id") == "1", F.lit("Which town rules France?")).otherwise(F.col("question"))))
+    assert steps.build(small) == 11
+    for t in tables:
+        assert small.read(t).where("prompt_id LIKE '1/%'").count() == 0 and small.read(t).count() == before[t] > 0, t
+    assert steps.compress(small, levels=[0.0, 0.5]) == 22 and small.read("compressed").where("prompt_id = '1/basis' AND rho = 0 AND compressed LIKE '%Which town%'").count() == 1
+    measured = small.read("measures").collect()
+    steps.measure(small)
+    assert small.read("measures").count() == 22 and {tuple(r) for r in measured} <= {tuple(r) for r in small.read("measures").collect()}
+    steps.compress(small, levels=[0.0, 0.5], redo=True, model=_flaky("nothing has this"))
+    assert small.read("inference").where("rho = 0.5").count() == 0 and small.read("inference").where("rho = 0").count() == 7  # texts of level 0 are the same
+
+
+def test_a_run_that_dies_keeps_its_slices(small, spark, monkeypatch, tmp_path):
+    from brevispark.operators import slices
+
+    steps.build(small)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def make(folder=str(calls)):
+        def model(text, rate):
+            import hashlib
+            import pathlib
+
+            name = hashlib.sha256(f"{text}|{rate}".encode()).hexdigest()
+            path = pathlib.Path(folder) / name
+            path.write_text(path.read_text() + "x" if path.exists() else "x")
+            return text[: int(len(text) * rate)]
+
+        return model
+
+    done, plain = [], slices.Ledger.work
+
+    def dying(self, run, number):
+        if len(done) == 3:
+            raise KeyboardInterrupt
+        done.append(number)
+        return plain(self, run, number)
+
+    monkeypatch.setattr(slices.Ledger, "work", dying)
+    with pytest.raises(KeyboardInterrupt):
+        steps.compress(small, model=make, commit_every=4)
+    assert not small.has("compressed")
+    first = len(list(calls.iterdir()))
+    assert 0 < first < 33
+    monkeypatch.setattr(slices.Ledger, "work", plain)
+    assert steps.compress(small, model=make, commit_every=4) == 44
+    assert len(list(calls.iterdir())) == 33 and all(p.read_text() == "x" for p in calls.iterdir())  # no call was made twice
+    whole = steps.Store(spark, str(tmp_path / "other"))
+    whole.write("prompts", small.read("prompts"))
+    steps.compress(whole, model=make)
+    same = lambda s: sorted((r.prompt_id, r.rho, r.compressed) for r in s.read("compressed").collect())
+    assert same(small) == same(whole)
+
+
+def test_a_version_counts_when_it_is_whole(spark, tmp_path):
+    store = steps.Store(spark, str(tmp_path))
+    for n in (3, 4, 5):
+        assert store.write("t", spark.range(n)) == n
+    (tmp_path / "t" / "v9").mkdir()  # a writer that died
+    assert store.read("t").count() == 5 and store.write("t", store.read("t").limit(2)) == 2
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v10", "v3"]
+
+
 def test_commands(store, capsys):
     steps.main(["--store", store.root, "compress", "--levels", "0", "0.5", "--variants", "basis"])
     assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"compress": 60}
