@@ -3,10 +3,10 @@
 Paragraphs are runs of lines without a blank one between them; a wrapped notice is read across its lines. A multinomial logistic
 regression over hashed word unigrams and bigrams, trained here from the templates below (whole, cut, embedded and perturbed)
 and from lines that are no notices, gives a stretch of words a licence family or `unknown`. Its temperature and its confidence
-floor are set on texts written by hand (`HELD`), which training never sees: a family counts only above what the unknown ones
-among them reach.
+floor are set on texts written by hand (`HELD`), which training never sees: a family counts only above one half, and above what those
+unknown ones among them reach that a template would confirm.
 
-A paragraph is judged as a whole, line by line, and in overlapping windows, a half longer than each template, that cover it. A
+A paragraph is judged as a whole, line by line, and in overlapping windows, a half (eight words at most) longer than each template. A
 prediction is confirmed when the stretch holds a template of the family or, for whole lines and paragraphs, lies within one, by
 shared word pairs; unconfirmed ones stay unknown. Stretches with too few word pairs of any template could not be confirmed and
 are not scored. Predictions that rest on the same words, or on pieces of one template, are one notice: that with most word
@@ -43,8 +43,27 @@ TEMPLATES = {
     "public-domain": ("This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0 Universal."),
     "reserved": ("All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."),
 }
+# Further paragraphs of the licences' own texts.
+MORE = {
+    "apache": ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "See the License for the specific language governing permissions and limitations under the License."),
+    "mit": ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "gpl": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "You should have received a copy of the GNU General Public License along with this program.", "You should have received a copy of the GNU Affero General Public License along with this program.", "under the terms of the GNU Affero General Public License", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    "bsd": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    "mpl": ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    "eupl": ("Licensed under the EUPL, Version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL.", "You may not use this work except in compliance with the Licence.", "European Union Public Licence"),
+    "public-domain": ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+}
+# Names of licences, and how a short notice uses one.
+NAMES = {
+    "apache": ("Apache 2.0", "Apache-2.0", "Apache v2"), "mit": ("MIT", "Expat"), "gpl": ("GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "GPL-3.0-only", "GNU GPL", "GNU GPL v3", "LGPL", "LGPLv3", "LGPL-2.1", "GNU LGPL", "AGPL", "AGPLv3", "AGPL-3.0", "GNU AGPL v3"),
+    "bsd": ("BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD 2-Clause", "BSD 3-Clause", "New BSD"), "mpl": ("MPL", "MPL 2.0", "MPL-2.0", "MPLv2"), "isc": ("ISC",), "eupl": ("EUPL", "EUPL-1.2", "EUPL v1.2"), "cc-open": ("CC-BY-4.0", "CC-BY-SA-4.0"), "cc-nc": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"), "public-domain": ("CC0-1.0", "Unlicense"),
+}
+SHORT = ("SPDX-License-Identifier: {}", "{} licensed", "licensed under {}", "licensed under the {}", "available under the {} license", "licensed under the {} license", "distributed under the {} license")
+TEMPLATES = {k: (*TEMPLATES.get(k, ()), *MORE.get(k, ()), *(form.format(name) for name in NAMES.get(k, ()) for form in SHORT)) for k in dict.fromkeys((*TEMPLATES, *MORE))}
 # Lines that look a little like notices and are none.
 OTHERS = (
+    "Students of MIT and licensed drivers were asked.", "The GPL of the club was a popular game.", "Under the new licence the shop may sell beer.", "The software is provided by the school.", "He was licensed under the old law.", "The paper is available under the counter.", "Goods are distributed under the bridge.", "In no event was the train late.", "Taxis are licensed under the rules of the city.", "The pilot was licensed under the act of 1902.", "He is licensed under the name of his firm.", "The warranty of goods is a matter of law.", "Without a warranty of any kind of help they left.", "The hall was available under the terms of the gift.", "Milk is distributed under the care of the town.", "The inn was licensed for the sale of wine.",
     "The driver showed a valid license at the border and went on.", "A license to teach is required in most states.", "Version 2.0 of the report is under review.", "The terms of the agreement were published in May.", "Please see the file for further information.", "This work is based on earlier results of the group.",
     "The software was released in the spring of last year.", "The public was free to use the domain of the castle.", "All members reserved their seats early.", "The copy of the letter was granted to the museum without charge.", "He was licensed as a pilot in 1931.", "General public interest in the work is low.", "Rights and duties of the parties are listed below.",
     "Source and binary stars were observed in both forms.", "The conditions of use are explained on the first page.", "Attribution of the painting is uncertain.", "The creative commons of the village is a meadow.", "Apache helicopters were seen over the valley.", "The Mozilla browser opened the page.", "The students of MIT met in the hall.",
@@ -61,7 +80,10 @@ HELD = {
     "cc-open": ("Content is licensed under CC BY 4.0.", "This page is licensed under a Creative Commons Attribution 4.0 International License.", "The text is available under the Creative Commons Attribution-ShareAlike License; more terms may apply."),
     "public-domain": ("This is free and unencumbered software released into the public domain by its author.", "The data are dedicated to the public domain under CC0 1.0 Universal."),
     "reserved": ("(c) 2001 The Daily News. All rights reserved.", "No part of this publication may be reproduced or sent without the prior written permission of the publisher."),
+    "isc": ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the notice appears in all copies.", "This tool is ISC licensed."),
+    "eupl": ("Licensed under the EUPL, Version 1.2 only.", "SPDX-License-Identifier: EUPL-1.2"),
     "unknown": (
+        "Licensed under the counter, they said, and laughed.", "The MIT building was available under the old contract.", "Distributed under the trees, the seats were soon taken.", "The BSD of the school met on Monday.", "The new licensed shop sells wine.", "The software is provided by the teacher, with a book.", "Without any warranty of success she began to write.",
         "You need a licence to fish in the river, and it is sold in the village shop.", "The council reserved all rights of way along the shore.", "The software was written in the winter and released in the spring.", "She works at the public library, near the general hospital.", "Both versions of the file are kept in the source folder.",
         "Permission was granted by the owner of the land, free of charge.", "The terms of the peace were harsh, and few were content with them.", "Apache, a town of the south, has a licence office.", "They met at MIT and later at Berkeley.", "The commons were open to all who kept sheep.", "A copy of the letter is in the museum.", "No part of the bridge was left after the storm.",
         "Attribution is hard where the painter left no name.", "All members shall be given a copy of the rules.", "In no event was the race to be held on a Sunday.", "The work is in two parts, of which the first is lost.", "La obra fue publicada con permiso del autor.", "Das Werk ist in zwei Teilen erschienen.", "Le permis de conduire est valable dix ans.", "Universal rules do not hold in every domain.",
@@ -70,6 +92,8 @@ HELD = {
 }
 FAMILIES = ("unknown", *TEMPLATES)
 BITS = 15
+#: A template with fewer word pairs has to be there as a whole.
+LEAST_PAIRS = 5
 EDGE = ".,;:!?\"'()[]{}*_`<>|#/-="
 
 
@@ -98,13 +122,15 @@ class Classifier:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float, floor: float):
         self.weights, self.bias, self.temperature, self.floor = weights, bias, temperature, floor
         self.memo = Memo(word_id, 200_000)
-        self.cores = {k: [frozenset(zip(w, w[1:])) for w in map(words, v)] for k, v in TEMPLATES.items()}
-        sizes = {(len(words(t)), len(c)) for k, v in TEMPLATES.items() for t, c in zip(v, self.cores[k])}
+        self.cores = {k: [(len(w), frozenset(zip(w, w[1:]))) for w in map(words, v)] for k, v in TEMPLATES.items()}
+        sizes = {(n, len(t)) for v in self.cores.values() for n, t in v}
         self.lengths = {n: min(c for m, c in sizes if m == n) for n, _ in sizes}  # of templates in words, with the fewest pairs
-        self.marked = np.zeros(1 << BITS, bool)  # slots of the templates' word pairs
+        # slots of the templates' word pairs: a bit for each length of templates that have the pair
+        self.marked = np.zeros(1 << BITS, np.uint64)
+        self.bit = {n: np.uint64(1 << min(i, 62)) for i, n in enumerate(sorted(self.lengths))}
         for template in (words(t) for v in TEMPLATES.values() for t in v):
             ids = np.array([word_id(w) for w in template])
-            self.marked[slots(ids, np.zeros(len(ids), int))[0][len(ids) :]] = True
+            self.marked[slots(ids, np.zeros(len(ids), int))[0][len(ids) :]] |= self.bit[len(template)]
 
     def probabilities(self, ids: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
         """Of the families, for each of n lines; ids and line: words and their lines, ascending."""
@@ -126,15 +152,22 @@ class Classifier:
             self._used = np.abs(self.weights).max(1) > 0
         return self._used
 
-    def confirmed(self, family: str, tokens: list[str], whole: bool = True) -> tuple[float, list[int]]:
-        """How well words agree with the best template: the share of the template's word pairs they hold or, for a whole line, the
-        larger of it and the share of their own pairs; and where the common pairs begin."""
+    def confirmed(self, family: str, tokens: list[str], length: int | None = None) -> tuple[float, list[int]]:
+        """How well words agree with the best template of a length, and where the common pairs begin: the share of the template's word
+        pairs that they hold. Without a length (whole lines and paragraphs) all templates count, and also the share of the words' own
+        pairs that lie within one."""
         own = list(zip(tokens, tokens[1:]))
         inner = frozenset(own)
         best, most, core = 0.0, 0, frozenset()
-        for t in self.cores[family]:
+        for n, t in self.cores[family]:
+            if length is not None and n != length:
+                continue
             common = len(inner & t)
-            match = max(common / max(1, len(t)), common / max(1, len(inner)) if whole and len(inner) >= 4 else 0.0)
+            match = common / max(1, len(t))
+            if len(t) < LEAST_PAIRS:
+                match = float(common == len(t) > 0)  # of a short form, every word counts
+            elif length is None and len(own) >= 4:
+                match = max(match, sum(p in t for p in own) / len(own))
             if (match, common) > (best, most):
                 best, most, core = match, common, t
         return best, [i for i, p in enumerate(own) if p in core]
@@ -142,37 +175,46 @@ class Classifier:
     def common(self, family: str, tokens: list[str]) -> int:
         """Word pairs that some words share with one template at most."""
         own = frozenset(zip(tokens, tokens[1:]))
-        return max(len(own & t) for t in self.cores[family])
+        return max(len(own & t) for _, t in self.cores[family])
 
     def stretches(self, ids: np.ndarray, sizes: np.ndarray, lines: np.ndarray, agreement: float):
-        """Yields begins, lengths and paragraphs of the stretches that hold enough marked pairs to be confirmed, and whether they are
-        whole: lines, paragraphs of several lines, and the windows of each template length. ids: words of paragraphs of the given
-        sizes; lines: sizes of their lines."""
+        """Yields begins, lengths and paragraphs of the stretches that hold enough marked pairs to be confirmed, and the length of the
+        templates that they are for: windows of each template length, and None for lines and paragraphs of several lines. ids: words of
+        paragraphs of the given sizes; lines: sizes of their lines."""
         first = runs(sizes)[:-1]
         owner = np.repeat(np.arange(len(sizes)), sizes)
         slot = slots(ids, owner)[0][len(ids) :]
         inside = np.ones(len(ids), bool)
         inside[first[1:] - 1] = inside[-1] = False  # the last word of a paragraph begins no pair
-        inside[inside] = self.marked[slot]
-        hits = runs(inside)
-        least = lambda pairs: int(np.ceil(agreement * pairs - 1e-9))
-        fewest = min(least(4), *map(least, self.lengths.values()))
+        marks = np.zeros(len(ids), np.uint64)
+        marks[inside] = self.marked[slot]
+        hits = np.flatnonzero(marks)  # few, so what follows looks at these alone
+        least = lambda pairs: pairs if pairs < LEAST_PAIRS else int(np.ceil(agreement * pairs - 1e-9))
+
+        def enough(starts: np.ndarray, lengths: np.ndarray, n: int | None) -> np.ndarray:
+            """Which stretches hold enough pairs for templates of a length, or (None) could lie within a template."""
+            own = hits if n is None else hits[(marks[hits] & self.bit[n]) > 0]
+            count = np.searchsorted(own, starts + lengths) - np.searchsorted(own, starts)
+            return count >= (np.maximum(3, agreement * (lengths - 1) - 1e-9) if n is None else least(self.lengths[n]))
+
         begin, longest = runs(lines)[:-1], 2 * max(self.lengths)  # what is longer can't lie within a template
-        some = np.flatnonzero((hits[begin + lines] - hits[begin] >= fewest) & (lines <= longest))
-        yield begin[some], lines[some], owner[begin[some]], True
-        some = np.flatnonzero(hits[first + sizes] - hits[first] >= fewest)
-        several = some[(np.bincount(owner[begin], minlength=len(sizes))[some] > 1) & (sizes[some] <= longest)]
-        yield first[several], sizes[several], several, True
-        for n, core in sorted(self.lengths.items()):
-            width = n + max(2, n // 2)
+        fits = {n: enough(first, sizes, n) for n in self.lengths}
+        whole = np.logical_or.reduce([enough(begin, lines, n) for n in (None, *self.lengths)])
+        some = np.flatnonzero(whole & (lines <= longest))
+        yield begin[some], lines[some], owner[begin[some]], None
+        several = np.bincount(owner[begin], minlength=len(sizes)) > 1
+        several = np.flatnonzero(several & (sizes <= longest) & np.logical_or.reduce([enough(first, sizes, None), *fits.values()]))
+        yield first[several], sizes[several], several, None
+        for n in sorted(self.lengths):
+            width = n + max(2, min(n // 2, 8))
             stride = min(width - n, width // 2)
-            long = some[sizes[some] > width]
+            long = np.flatnonzero(fits[n] & (sizes > width))
             count = -(-(sizes[long] - width) // stride) + 1
             paragraph = np.repeat(long, count)
             begin = first[paragraph] + stride * ranges(np.zeros(len(long), np.int64), count)
             length = np.minimum(width, first[paragraph] + sizes[paragraph] - begin)
-            enough = hits[begin + length] - hits[begin] >= least(core)
-            yield begin[enough], length[enough], paragraph[enough], False
+            good = enough(begin, length, n)
+            yield begin[good], length[good], paragraph[good], n
 
 
 def labelled_lines(seed: int, copies: int) -> list[tuple[str, int]]:
@@ -184,7 +226,7 @@ def labelled_lines(seed: int, copies: int) -> list[tuple[str, int]]:
     out = []
     for _ in range(copies):
         for number, family in enumerate(FAMILIES[1:], 1):
-            for template in TEMPLATES[family]:
+            for template in [*TEMPLATES[family]] * max(1, 24 // len(TEMPLATES[family])):  # families of few templates count as much
                 tokens = template.split()
                 kind = rnd.random()
                 if kind < 0.3 and len(tokens) > 7:
@@ -192,8 +234,9 @@ def labelled_lines(seed: int, copies: int) -> list[tuple[str, int]]:
                 elif kind < 0.5 and len(tokens) > 14:
                     a = rnd.randrange(0, len(tokens) - 9)
                     tokens = tokens[a : a + rnd.randint(9, 14)]
-                elif kind < 0.7:
-                    tokens = [*invent(rnd.randint(0, 4)), *tokens, *invent(rnd.randint(0, 4))]
+                elif kind < 0.8:
+                    more = max(4, len(tokens) // 2)  # as much as a window holds beside a template
+                    tokens = [*invent(rnd.randint(0, more)), *tokens, *invent(rnd.randint(0, more))]
                 out.append((" ".join(tokens), number))
         for line in OTHERS:
             tokens = line.split()
@@ -213,7 +256,7 @@ def _arrays(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ids, np.int64), np.array(owner, np.int64)
 
 
-def train(seed: int = 5, copies: int = 12, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4, false_rate: float = 0.001) -> Classifier:
+def train(seed: int = 5, copies: int = 12, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4, agreement: float = 0.6) -> Classifier:
     """Gradient steps on the training lines, then temperature and confidence floor from texts written by hand; about two seconds."""
     lines = labelled_lines(seed, copies)
     ids, owner = _arrays([x for x, _ in lines])
@@ -243,9 +286,11 @@ def train(seed: int = 5, copies: int = 12, rounds: int = 150, rate: float = 0.5,
         loss = -np.log(p[np.arange(len(held)), truth] + 1e-12).mean()
         if best is None or loss < best[0]:
             best = loss, t, p
-    top = np.sort(best[2][truth == 0, 1:].max(1))
-    floor = max(0.5, float(top[min(len(top) - 1, int(len(top) * (1 - false_rate)))]))
-    return Classifier(weights, bias, best[1], floor)
+    # what unknown ones reach that a template would confirm; no others can become a notice
+    model, p = Classifier(weights, bias, best[1], 0), best[2]
+    reached = [p[i, c] for i in np.flatnonzero(truth == 0) for c in range(1, len(FAMILIES)) if model.confirmed(FAMILIES[c], words(held[i][0]))[0] >= agreement]
+    model.floor = max(0.5, float(max(reached, default=0.0)))
+    return model
 
 
 def paragraphs_of(text: str, memo):
@@ -268,22 +313,39 @@ def paragraphs_of(text: str, memo):
 
 def notices_of(found: list[tuple], tokens: list[str], model: Classifier) -> list[tuple[int, int, int, float, float]]:
     """The notices of a paragraph from its confirmed stretches (agreement, probability, family, places of the common pairs): family,
-    first and last word, probability, agreement. Stretches with most pairs of one template come first, of those the shortest."""
+    first and last word, probability, agreement. Stretches with most pairs of one template come first, of those the shortest.
+
+    Notices are looked up by where they stand, so that the work grows in proportion to them."""
     out: list[list] = []
+    at: dict[int, list[int]] = {}
+    step = 64
+
+    def around(a: int, b: int) -> list[list]:
+        """Notices that touch some words or stand close by, in the order in which they were found."""
+        return [out[i] for i in sorted({i for k in range((a - 4) // step, (b + 4) // step + 1) for i in at.get(k, ())})]
+
+    def place(i: int, a: int, b: int) -> None:
+        for k in range(a // step, b // step + 1):
+            if i not in at.setdefault(k, []):
+                at[k].append(i)
+
     ranked = [(model.common(FAMILIES[f], tokens[w[0] : w[-1] + 2]), m, q, f, w) for m, q, f, w in found]
     for pairs, match, probability, family, where in sorted(ranked, key=lambda x: (-x[0], x[4][-1] - x[4][0], -x[1], -x[2], x[3], x[4])):
         a, b = where[0], where[-1] + 1  # the last pair's second word
-        if any(2 * sum(n[1] <= x < n[2] for x in where) > len(where) for n in out if n[0] != family):
+        close = around(a, b)
+        if any(2 * sum(n[1] <= x < n[2] for x in where) > len(where) for n in close if n[0] != family):
             continue
-        near = [n for n in out if n[0] == family and a <= n[2] + 3 and n[1] <= b + 3]
+        near = [n for n in close if n[0] == family and a <= n[2] + 3 and n[1] <= b + 3]
         for n in near:
             lo, hi = min(a, n[1]), max(b, n[2])
             if (now := model.common(FAMILIES[family], tokens[lo : hi + 1])) > n[5]:  # pieces of one template
                 n[1], n[2], n[5] = lo, hi, now
+                place(n[6], lo, hi)
                 break
         else:
             if not any(a < n[2] and n[1] < b for n in near):
-                out.append([family, a, b, probability, match, pairs])
+                out.append([family, a, b, probability, match, pairs, len(out)])
+                place(len(out) - 1, a, b)
     return [tuple(n[:5]) for n in sorted(out, key=lambda n: (n[1], n[2], n[0]))]
 
 
@@ -303,7 +365,7 @@ def scan_texts(texts: Sequence[str | None], model: Classifier, agreement: float
     first = runs(sizes)
     found: dict[int, list] = {}
     split: dict[int, tuple[list[str], list[tuple[int, int]]]] = {}
-    for begin, length, paragraph, whole in model.stretches(flat, sizes, np.array(lines, np.int64), agreement):
+    for begin, length, paragraph, size in model.stretches(flat, sizes, np.array(lines, np.int64), agreement):
         if not len(begin):
             continue
         p = model.probabilities(flat[ranges(begin, length)], np.repeat(np.arange(len(begin)), length), len(begin))
@@ -315,7 +377,7 @@ def scan_texts(texts: Sequence[str | None], model: Classifier, agreement: float
                 spans = [(m.start(), m.end()) for m in WORD.finditer(texts[i][x:y]) if m[0].strip(EDGE)]
                 split[at] = words(texts[i][x:y]), [(x + a, x + b) for a, b in spans]
             a = int(begin[j] - first[at])
-            match, where = model.confirmed(FAMILIES[best[j]], split[at][0][a : a + int(length[j])], whole)
+            match, where = model.confirmed(FAMILIES[best[j]], split[at][0][a : a + int(length[j])], size)
             if match >= agreement:
                 found.setdefault(at, []).append((match, float(p[j, best[j]]), int(best[j]), [a + x for x in where]))
     last = -1, 0, 0

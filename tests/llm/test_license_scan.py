@@ -80,12 +80,43 @@ def test_scores_equal_a_plain_scorer():
         assert max(abs(g - math.exp(v - max(z)) / total) for g, v in zip(got, z)) < 1e-9
 
 
+#: Short forms and paragraphs as they are met in files, and texts that only talk of such things; written apart from the templates.
+MET = [
+    ("# SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "gpl"), ("/* SPDX-License-Identifier: BSD-3-Clause */", "bsd"), ("# SPDX-License-Identifier: Apache-2.0", "apache"), ("This project is MIT licensed.", "mit"), ("Licensed under GPLv3", "gpl"), ("The server is distributed under the GNU AGPL v3 license.", "gpl"),
+    ("The code is available under the Apache 2.0 license.", "apache"), ("All code here is licensed under the BSD license unless noted.", "bsd"), ("(c) 2014 M. Muster, ISC licensed", "isc"), ("This library is licensed under the LGPLv3, see COPYING.LESSER", "gpl"), ("Plugins are available under the MPL 2.0 license", "mpl"),
+    ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE", "mit"),
+    (" * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "gpl"), ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS\n\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT\nLIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR", "bsd"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "isc"), ("Licensed under the EUPL, Version 1.2 or – as soon they will be approved by\nthe European Commission - subsequent versions of the EUPL (the \"Licence\");", "eupl"), ("You should have received a copy of the GNU Affero General Public License\nalong with this program.  If not, see the address below.", "gpl"),
+]
+TALK = ["MIT and Apache are names that most people know.", "The club is licensed for music until midnight.", "She studied at MIT, which licensed the patent in 1999.", "A GPL car needs gas.", "The BSD group of the hospital met under the old rules.", "Software is licensed, not sold, he said.", "The bridge is distributed under the load of trucks.", "Under the terms of the lease, the garden is free to use.", "The public domain was fenced.", "The kind of warranty that is implied by law differs.", "No license was needed, nor any fee.", "In the hope that it will be useful, she left a map.", "The authors were liable for the damages of the war.", "Copies are available under the counter of the shop."]
+
+
+def test_forms_that_are_met():
+    model = op.train()
+    got = [[x[3] for x in op.scan_texts([text], model)[0]] for text, _ in MET]
+    inside = [[x[3] for x in op.scan_texts([f"Our town has a river and a mill.\nMany came to see it. {text}\nThe rest is told below, in another place."], model)[0]] for text, _ in MET]
+    for found in (got, inside):
+        assert sum(family in f for f, (_, family) in zip(found, MET)) >= len(MET) - 1, [(t, f) for (t, k), f in zip(MET, found) if k not in f]
+    assert sum(bool(op.scan_texts([t], model)[0]) for t in TALK) == 0
+
+
+def test_notices_of_one_paragraph_are_found_in_proportion():
+    import time
+
+    model, took = op.train(), []
+    for n in (1_000, 8_000):
+        began = time.process_time()
+        assert len(op.scan_texts([" ".join(["Some words of no importance stand here. All rights reserved."] * n)], model)[0]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 def test_the_prefilter_loses_nothing():
     """Stretches that are not scored could not be confirmed: with every line, paragraph and window scored the notices are the same."""
     import numpy as np
 
     model, every = op.train(), op.train()
-    every.marked = np.ones_like(every.marked)
+    every.marked = np.full_like(every.marked, np.uint64(2**64 - 1))
     texts = [t for t, _ in REAL] + ["\n".join(x for x, _ in op.labelled_lines(11, 1)[i : i + 9]) for i in range(0, 60, 9)]
     assert op.scan_texts(texts, model) == op.scan_texts(texts, every)
 
