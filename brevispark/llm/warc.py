@@ -9,7 +9,8 @@ that are not valid UTF-8 count as U+FFFD in titles and texts, in no digest. Othe
 they lie. Named character references are those of HTML5 with their semicolon; a reference is decoded once.
 
 Defined cases: a response without an empty line has only HTTP headers and an empty payload. A null block counts as empty, a
-null uri gives a record without that field, a null date likewise. Only rows of type ``response`` are converted; others are
+null uri gives a record without that field, a null date likewise. A response without a record id gets one from its uri, date and block,
+so that its derivatives refer to it. Only rows of type ``response`` are converted; others are
 left out. Repeated rows give repeated derivatives. Texts of any length stay whole.
 """
 
@@ -129,7 +130,9 @@ def derivatives(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     source_digest (of the source's payload as computed), digest_ok (agrees with the source's own field; null without one),
     source_headers (the source's HTTP header lines, unchanged) and block.
     """
-    source = records.where(F.col("warc_type") == "response").withColumn("_block", F.coalesce(F.col("block").cast("binary"), F.lit(b"")))
+    source = records.where(F.col("warc_type") == "response")
+    own = urn(F.lit("response"), F.coalesce("target_uri", F.lit("")), F.coalesce("warc_date", F.lit("")), digest(F.coalesce(F.col("block").cast("binary"), F.lit(b""))))
+    source = source.withColumn("record_id", F.coalesce("record_id", own)).withColumn("_block", F.coalesce(F.col("block").cast("binary"), F.lit(b"")))
     head, payload = _split(F.col("_block"))
     source = source.select(*keep, "record_id", "target_uri", "warc_date", head.alias("_head"), payload.alias("_bytes"), F.try_element_at(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "warc-payload-digest"), lambda h: h["value"]), F.lit(1)).alias("_said"))
     source = source.withColumn("_digest", digest(F.col("_bytes"))).withColumn("_html", _text_of(F.col("_bytes"), F.col("_head"))).drop("_bytes")
