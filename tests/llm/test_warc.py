@@ -88,5 +88,5 @@ def test_odd_records(spark):
     own = [r for r in got if r.refers_to not in ("<a>", "<c>")]
     assert len(own) == 2 and len({r.refers_to for r in own}) == 1 and own[0].refers_to.startswith("<urn:uuid:") and all(r.block is not None and r.content_length is not None for r in own) and len({r.record_id for r in own}) == 2
     more = op.derivatives(spark.createDataFrame([(None, "response", "u", "d", [], b"H: 1\r\n\r\n<p>y"), (None, "response", None, None, [], None)], op.SCHEMA)).collect()
-    assert len({r.refers_to for r in [*own, *more]}) == 3 and len({r.record_id for r in [*own, *more]}) == 6 and all(own[0].refers_to in r.block for r in own if r.warc_type == "metadata"
+    assert len({r.refers_to for r in [*own, *more]}) == 3 and len({r.record_id for r in [*own, *more]}) == 6 and all(own[0].refers_to in r.block for r in own if r.warc_type == "metadata")
     assert op.derivatives(spark.createDataFrame([], op.SCHEMA)).count() == 0
