@@ -91,5 +91,5 @@ def test_empty_table_goes_through_every_stage(spark, no_documents):
     assert docs.count() == 0
 
 
-def test_ten_operators_are_registered():
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+def test_all_operators_are_registered():
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
