@@ -96,9 +96,11 @@ def error_class(output: Column, normalised: Column, cut_off: Column) -> Column:
 
 def alias_list(raw: Column) -> Column:
     """A JSON list as strings; a JSON scalar or a text that is no JSON is a list of one, null and empty an empty list."""
-    parsed = F.from_json(raw, "array<string>", {"mode": "PERMISSIVE"})
-    scalar = F.regexp_extract(F.trim(raw), r'^"(.*)"$', 1)
-    one = F.when(F.coalesce(raw, F.lit("")) == "", F.array().cast("array<string>")).when(scalar != "", F.array(scalar)).otherwise(F.array(raw))
+    read = lambda x: F.from_json(x, "array<string>", {"mode": "PERMISSIVE"})
+    parsed, trimmed = read(raw), F.trim(raw)
+    quoted = F.rlike(F.regexp_replace(trimmed, r"(?s)\\.", ""), F.lit(r'\A"[^"]*"\z')) & (F.length(trimmed) > 2)  # one JSON string, not empty
+    scalar = F.try_element_at(read(F.when(quoted, F.concat(F.lit("["), trimmed, F.lit("]")))), F.lit(1))
+    one = F.when(F.coalesce(raw, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(F.coalesce(scalar, raw)))
     return F.when(F.startswith(F.trim(raw), F.lit("[")) & parsed.isNotNull(), F.filter(parsed, lambda a: a.isNotNull())).otherwise(one)
 
 

@@ -40,6 +40,13 @@ def test_encoding_repair_and_aliases(spark):
     assert one(spark, a=T.number_or_null(F.lit(" 42 ")), b=T.number_or_null(F.lit("4x"))) == (42, None)
 
 
+def test_an_alias_that_is_a_json_string_is_read_as_json(spark):
+    """Its escapes stand for what they mean; quotes that belong to no JSON string stay as they are."""
+    raw = [(r'"de.\nMention"', ["de.\nMention"]), (r'"a \"b\" \u00e9 \\"', ['a "b" é \\']), ('" x "', [" x "]), ('""', ['""']), ('"a", "b"', ['"a", "b"']), (r'"a\"', [r'"a\"']), (r'"\q"', [r'"\q"']), ('"a\u2028b"', ["a\u2028b"])]
+    df = spark.createDataFrame(raw, "raw string, want array<string>")
+    assert [r.a for r in df.select(T.alias_list(F.col("raw")).alias("a")).collect()] == [w for _, w in raw]
+
+
 def test_phrases(spark):
     row = one(spark, a=T.contains_phrase(F.lit("new york city"), F.lit("york")), b=T.contains_phrase(F.lit("new yorker"), F.lit("york")), c=T.contains_phrase(F.lit("x"), F.lit("")))
     assert tuple(row) == (True, False, False)
