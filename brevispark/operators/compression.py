@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brevispark.functions import text as T
+
 from .plugins import plugged
 
 LEVELS = (0.0, 0.25, 0.5, 0.75)
@@ -74,6 +76,30 @@ def kept_at_levels(tokens: Column, field: str = "form", levels: tuple[float, ...
     return F.transform(bound, of)[0]
 
 
+#: The mark of a protected word, below that of any free one.
+ALWAYS = -(1 << 62)
+
+
+def marks(forms: Column) -> Column:
+    """What deletion asks of the tokens of a text, one number each: the rank of a free word, ALWAYS for a protected one, null for no word."""
+    return F.transform(forms, lambda form, i: F.when(T.is_word(form), F.when(T.is_protected(form), ALWAYS).otherwise(i.cast("bigint") - F.length(form) * (1 << 32))))
+
+
+def kept_by_marks(members: Column, marks: Column, levels: tuple[float, ...]) -> Column:
+    """As `kept_at_levels`, of any list as long as the marks: the same words live, without the labels that deletion does not ask for."""
+    some = [rho for rho in levels if rho]
+
+    def of(row: Column) -> Column:
+        lives = lambda i: lambda z: z["m"] <= row["cuts"][i]
+        kept = lambda rho: F.filter(row["z"], lives(some.index(rho))) if rho else row["z"]
+        return F.array(*[F.struct(F.lit(float(rho)).alias("rho"), kept(rho)["x"].alias("kept")) for rho in levels])
+
+    # one-element arrays bind a value once: the order, then what it is cut to at each level
+    order = F.array(F.sort_array(F.filter(marks, lambda m: m > ALWAYS)))
+    cuts = F.transform(order, lambda o: F.array(*[F.coalesce(_cut(o, rho), F.lit(ALWAYS)) for rho in some]))[0]
+    return F.transform(F.array(F.struct(F.arrays_zip(members.alias("x"), marks.alias("m")).alias("z"), cuts.alias("cuts"))), of)[0]
+
+
 def each_level(df: DataFrame, levels: Column) -> DataFrame:
     """One row for each level, with the fields of its struct. Exploded with nulls, which then go: for a plain explode the optimiser
     would put a filter on the array below the shuffle that spreads the texts, and make it there once more."""
@@ -134,7 +160,6 @@ def compress_with(df: DataFrame, make: Callable[[], Callable[[str, float], str]]
 
 def shape_measures(original: Column, compressed: Column) -> dict[str, Column]:
     """Rates and structure of a compressed text against its original."""
-    from brevispark.functions import text as T
     from brevispark.functions.stats import ratio
 
     n0, n1 = T.ws_count(original), T.ws_count(compressed)

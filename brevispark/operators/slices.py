@@ -32,7 +32,10 @@ class Ledger:
         run = uuid.uuid4().hex
         n = max(1, -(-work.count() // max(1, rows_per_slice)))
         dealt = work.withColumn("_slice", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int"))
-        dealt.repartition("_slice").write.partitionBy("_slice").parquet(f"{self.root}/{run}/plan")
+        # a slice's rows go to as many tasks as can work on it at once, in some hundred rows each; one task would write, and read, the whole slice
+        parts = max(1, min(self.spark.sparkContext.defaultParallelism, rows_per_slice // 256))
+        part = F.pmod(F.xxhash64(*key, F.lit(n)), F.lit(parts))
+        dealt.repartition(F.col("_slice"), part).write.partitionBy("_slice").parquet(f"{self.root}/{run}/plan")
         return run
 
     def slices(self, run: str) -> list[int]:

@@ -62,9 +62,8 @@ def sliced_compression(spark, sf_dir):
             if limit is not None and len(calls) >= limit:
                 raise _Killed
             calls.append(1)
-            rows = rows.withColumn("tokens", W.labelled_tokens(W.segments_of_lines(F.col("text"))))
-            lives = C.survival(F.col("tokens"), F.lit(0.5), C.pick_order(F.col("tokens")))
-            return rows.select("doc_id", C.kept_text(F.col("tokens"), lives).alias("kept"))
+            rows = spread(rows).select("doc_id", T.tokens(F.col("text")).alias("forms")).select("doc_id", "forms", C.marks(F.col("forms")).alias("marks"))
+            return rows.select("doc_id", F.array_join(C.kept_by_marks(F.col("forms"), F.col("marks"), (0.5,))[0]["kept"], " ").alias("kept"))
 
         calls: list = []
         return run

@@ -203,3 +203,28 @@ def test_edited_texts_are_aligned(spark):
     rows = spark.createDataFrame([(1, list("abcxyz"), list("ab-cxyz")), (2, list("xyab"), list("abxy")), (3, [], ["a"]), (4, None, None)], "k int, s array<string>, b array<string>")
     got = {r.k: (r.is_subsequence, r.n_unassigned, r.n_left) for r in A.align(rows, F.col("s"), F.col("b"), ("k",)).collect()}
     assert got == {1: (1, 0, 6), 2: (0, 2, 2), 3: (1, 0, 0), 4: (1, 0, 0)}
+
+
+def test_a_slice_is_dealt_over_the_cores(spark, tmp_path):
+    """One file a slice is one task's work, whatever the machines."""
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    run = ledger.begin(spark.range(4000).withColumn("text", F.lit("a b")), ["id"], 2000)
+    assert len(ledger.slices(run)) == 2 and all(len(list((tmp_path / "ledger" / run / "plan" / f"_slice={s}").glob("*.parquet"))) > 0 for s in ledger.slices(run))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with slices of many megabytes
+    try:
+        run = ledger.begin(spark.range(4000).withColumn("text", F.lit("a b")), ["id"], 2000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(len(list((tmp_path / "ledger" / run / "plan" / f"_slice={s}").glob("*.parquet"))) > 1 for s in ledger.slices(run))
+    assert sum(ledger.work(run, s).count() for s in ledger.slices(run)) == 4000
+
+
+def test_marks_keep_the_words_that_labels_keep(spark):
+    from brevispark.functions import text as T
+    from brevispark.operators import compression as C
+    from brevispark.operators import words as W
+
+    df = spark.createDataFrame([("Q: who, 7 men?\nA b ccc dd ccc",), ("",), (". ,",), ("Q 1",), ("one",), (None,)], "text string")
+    forms = T.tokens(F.col("text"))
+    rows = df.select(C.kept_by_marks(forms, C.marks(forms), C.LEVELS).alias("a"), C.kept_at_levels(W.labelled_tokens(W.segments_of_lines(F.col("text")))).alias("b")).collect()
+    assert all([tuple(x) for x in r.a] == [tuple(x) for x in r.b] for r in rows)
