@@ -169,6 +169,37 @@ def with_starts(df: DataFrame, own: Column, gaps: Column, name: str) -> DataFram
     return made.mapInArrow(run, f"{fields}, `{name}` array<bigint>")
 
 
+def with_runs(df: DataFrame, points: tuple[Column, Column], intervals: tuple[Column, Column], name: str) -> DataFrame:
+    """Adds which of a row's points lie in each of its intervals, as array<struct<first int,n int>> (first: place of the first one, from 0).
+    Points and intervals are each given by lengths and what lies in front of each, as in `with_starts`, so that they ascend and those of
+    an interval are a run. All rows of a batch are searched at once; nothing is shuffled. Null lists are empty."""
+    lists = [*points, *intervals]
+    made = df.select("*", *[c.cast("array<bigint>").alias(f"_list{i}") for i, c in enumerate(lists)])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def places(own, gaps):
+        """Number of members, starts and ends of all rows' lists."""
+        n = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size, gap = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (own, gaps))
+        total = np.concatenate([[0], np.cumsum(size + gap)])
+        start = total[1:] - size - np.repeat(total[np.cumsum(n) - n], n)
+        return n, start, start + size
+
+    def run(batches):
+        for batch in batches:
+            n, at, _ = places(*batch.columns[-4:-2])
+            m, start, end = places(*batch.columns[-2:])
+            apart = max(at.max(initial=0), end.max(initial=0)) + 1  # rows one behind the other on one line
+            line = at + np.repeat(np.arange(len(n)) * apart, n)
+            shift = np.repeat(np.arange(len(m)) * apart, m)
+            first, last = np.searchsorted(line, start + shift), np.searchsorted(line, end + shift)
+            found = pa.StructArray.from_arrays([pa.array((first - np.repeat(np.cumsum(n) - n, m)).astype(np.int32)), pa.array((last - first).astype(np.int32))], names=["first", "n"])
+            runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m)]).astype(np.int32)), found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], runs], names=[*batch.schema.names[:-4], name])
+
+    return made.mapInArrow(run, f"{fields}, `{name}` array<struct<first:int,n:int>>")
+
+
 def subsets(n: int, most: int) -> Column:
     """All subsets of 0 .. n-1 with one to `most` members, each ascending, as array<array<int>>; for small n only."""
     units = lambda mask: F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit(mask, i) == 1)

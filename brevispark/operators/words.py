@@ -70,6 +70,18 @@ def line_offsets(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     return rows.select(*keep, F.posexplode(F.arrays_zip("_n", "_starts")).alias("ord", "_z")).select(*keep, "ord", F.col("_z._starts").alias("start"), (F.col("_z._starts") + F.col("_z._n")).alias("end"))
 
 
+def tokens_by_line(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """A row per line that has a token: keep, ord and its tokens' forms. Tokens are those of the whole text, and told to lines by their
+    places alone; a line's are a run of the text's, so that nothing but the row is needed."""
+    whole = df.select(*keep, T.tokens(F.col(text)).alias("_forms"), F.transform(F.split(text, T.TOKEN, -1), F.length).alias("_between"), F.transform(F.split(text, "\n"), F.length).alias("_lines"))
+    points = F.transform("_forms", F.length), F.slice("_between", 1, F.size("_forms"))  # one more than tokens: the last one is behind all of them
+    lines = F.col("_lines"), F.transform("_lines", lambda x, i: F.when(i == 0, 0).otherwise(1))
+    lean = whole.select(*keep, "_forms", *[c.alias(f"_c{i}") for i, c in enumerate((*points, *lines))])
+    rows = A.with_runs(lean, (F.col("_c0"), F.col("_c1")), (F.col("_c2"), F.col("_c3")), "_runs").select(*keep, "_forms", "_runs")
+    made = F.filter(F.transform("_runs", lambda r, i: F.struct(i.alias("ord"), F.slice(F.col("_forms"), r["first"] + 1, r["n"]).alias("forms"))), lambda z: F.size(z["forms"]) > 0)
+    return rows.select(*keep, F.explode_outer(made).alias("_z")).where("_z IS NOT NULL").select(*keep, "_z.*")  # a plain explode makes its list twice
+
+
 def type_overlap(segments: Column) -> Column:
     """Share of the redundancy's distinct word forms that the core has too; null without redundancy."""
     forms = lambda origin: F.array_distinct(F.flatten(F.transform(F.filter(segments, lambda s: s["origin"] == origin), lambda s: F.transform(T.words(s["text"]), T.fold))))

@@ -111,9 +111,8 @@ def built_choice(spark, sf_dir):
 def tokens_in_lines(spark, sf_dir):
     """Tokens of whole texts, told to lines by their places alone."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    tokens = W.token_offsets(docs, "text", ("doc_id",)).select("doc_id", F.col("start").alias("at"), "form")
-    found = J.points_in_intervals(tokens, W.line_offsets(docs, "text", ("doc_id",)), ["doc_id"], "at", "start", "end")
-    return found.groupBy("doc_id", "ord").agg(F.count("*").alias("n_tokens"), F.sum(F.length("form")).cast("bigint").alias("n_chars"), F.min("form").alias("least_form"), F.max("form").alias("last_form"))
+    n_chars = F.aggregate("forms", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    return W.tokens_by_line(docs, "text", ("doc_id",)).select("doc_id", "ord", F.size("forms").cast("bigint").alias("n_tokens"), n_chars.alias("n_chars"), F.array_min("forms").alias("least_form"), F.array_max("forms").alias("last_form"))
 
 
 @CATALOGUE.add(f"""WITH {TOKS}, w AS (SELECT item_id, string_split({_FLAT('text')}, ' ') AS w FROM benchmark), p AS (SELECT item_id, 0 AS alias, array_to_string(w[1:3], ' ') AS x FROM w UNION ALL SELECT item_id, 1, array_to_string(w[5:6], ' ') FROM w UNION ALL SELECT item_id, 2, w[2] FROM w),

@@ -228,3 +228,13 @@ def test_marks_keep_the_words_that_labels_keep(spark):
     forms = T.tokens(F.col("text"))
     rows = df.select(C.kept_by_marks(forms, C.marks(forms), C.LEVELS).alias("a"), C.kept_at_levels(W.labelled_tokens(W.segments_of_lines(F.col("text")))).alias("b")).collect()
     assert all([tuple(x) for x in r.a] == [tuple(x) for x in r.b] for r in rows)
+
+
+def test_tokens_of_lines_need_no_shuffle_and_equal_the_join(spark):
+    df = spark.createDataFrame([(1, "a b\n\n c, d"), (2, ""), (3, None), (4, "\nx"), (5, "one"), (6, " \n . y\n")], "k int, text string").coalesce(1)
+    rows = W.tokens_by_line(df, "text", ("k",))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    tokens = W.token_offsets(df, "text", ("k",)).withColumnRenamed("start", "at")
+    joined = J.points_in_intervals(tokens, W.line_offsets(df, "text", ("k",)), ["k"], "at", "start", "end")
+    want = joined.groupBy("k", "ord").agg(F.array_sort(F.collect_list(F.struct("at", "form")))["form"].alias("forms"))
+    assert sorted(map(tuple, rows.collect())) == sorted((r.k, r.ord, r.forms) for r in want.collect())
