@@ -54,6 +54,18 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def protected_count(text: Column) -> Column:
+    """How many words of a text are protected. Every match is a whole word, and has a first group if it is protected."""
+    plain = r"[\p{L}\p{N}_&&[^\p{Nd}]]"
+    found = F.regexp_extract_all(text, F.lit(rf"((?:{'|'.join(PROTECTED_FORMS)})(?!{WORD})|{plain}*+\p{{Nd}}{WORD}*+)|{WORD}++"), F.lit(1))
+    return F.size(F.array_remove(found, ""))
+
+
+def fold_each(tokens: Column) -> Column:
+    """`fold` of each token, at once: none holds a line end, and a line end parts words for any rule of lower case."""
+    return F.when(F.size(tokens) > 0, F.split(fold(F.array_join(tokens, "\n")), "\n")).otherwise(tokens)
+
+
 def ws_count(text: Column) -> Column:
     """Number of words between white space."""
     return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))

@@ -47,6 +47,15 @@ def test_an_alias_that_is_a_json_string_is_read_as_json(spark):
     assert [r.a for r in df.select(T.alias_list(F.col("raw")).alias("a")).collect()] == [w for _, w in raw]
 
 
+def test_protected_words_are_counted_and_keys_made_at_once(spark):
+    """As one word after the other, beyond the basic plane too; a long word without a digit takes no time that grows as its square."""
+    texts = ["Q: A1 AQ Q_ Q a1b 12 x² \U0001d400Q \U0001d400\U0001d7ce \U0001f600Q Aé", "", "ΟΔΟΣ.x Σ İx Straße", ". ,", "y" * 300000 + " 7"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    kept = F.size(F.filter(T.words(F.col("t")), T.is_protected))
+    rows = df.select(T.protected_count(F.col("t")).alias("n"), kept.alias("m"), T.fold_each(T.tokens(F.col("t"))).alias("k"), F.transform(T.tokens(F.col("t")), T.fold).alias("l")).collect()
+    assert [(r.n, r.k) for r in rows] == [(r.m, r.l) for r in rows] and rows[0].n > 3
+
+
 def test_phrases(spark):
     row = one(spark, a=T.contains_phrase(F.lit("new york city"), F.lit("york")), b=T.contains_phrase(F.lit("new yorker"), F.lit("york")), c=T.contains_phrase(F.lit("x"), F.lit("")))
     assert tuple(row) == (True, False, False)
