@@ -108,7 +108,7 @@ ALIGNED = "left array<boolean>, right array<boolean>, is_subsequence int, n_ambi
 def _codes(batch: pa.RecordBatch, *names: str) -> list[list[list[int]]]:
     """List columns with their members as numbers, equal ones alike; null lists are empty."""
     columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-    flat = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode().indices.fill_null(-1).to_pylist()
+    flat = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()
     out, at = [], 0
     for c in columns:
         lists = []
