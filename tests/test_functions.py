@@ -105,3 +105,11 @@ def test_embedding(spark):
 def test_subsets(spark):
     row = one(spark, s=A.subsets(5, 2), p=A.ordered_pairs(3), all=F.size(A.subsets(14, 4)))
     assert len(row.s) == 15 and [0, 4] in row.s and len(row.p) == 6 and [2, 0] in row.p and row.all == 1470
+
+
+def test_an_alias_with_an_escape_is_found_in_an_answer(spark):
+    from brevispark.operators import scoring as Q
+
+    df = spark.createDataFrame([("he said de.\nMention", r'"de.\nMention"')], "output string, raw string").withColumn("aliases", T.alias_list(F.col("raw")))
+    row = Q.score(df, "output", "aliases", F.lit(False)).first()
+    assert (row.correct, row.matched_alias, row.error_class) == (1, "de.\nMention", None)
