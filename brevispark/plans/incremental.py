@@ -22,7 +22,7 @@ from brevispark.session import durable, scratch
 
 from .relational import _SAMPLE, _TERCILES, PAIRS, _sample
 from .study import STUDY, Catalogue, conditions, paired_sql, r6, rounded, spread, table
-from .textual import _FLAT, KEPT, TOKS, labelled
+from .textual import _FLAT, KEPT, TOKS, keyed
 
 CATALOGUE = Catalogue()
 
@@ -167,7 +167,7 @@ def balanced_totals(spark, sf_dir):
 def block_alignment(spark, sf_dir):
     """Edited texts against their origins: half of the words, some of them replaced and two neighbours in five swapped, so that they are
     no subsequence and are aligned by matching blocks."""
-    rows = labelled(spark, sf_dir).select("doc_id", F.col("tokens.key").alias("keys"), C.kept_at_levels(F.col("tokens"), "key", (0.5,))[0]["kept"].alias("k"))
+    rows = keyed(spark, sf_dir).select("doc_id", "keys", C.kept_by_marks(F.col("keys"), F.col("marks"), (0.5,))[0]["kept"].alias("k"))
     swapped = lambda x, i: F.coalesce(F.try_element_at("k", F.when(i % 5 == 1, i + 2).when(i % 5 == 2, i).otherwise(i + 1).cast("int")), x)
     edited = F.transform(F.transform("k", swapped), lambda x, i: F.when(i % 7 == 3, F.concat(x, F.lit("*"))).otherwise(x))
     return A.align(rows.select("doc_id", "keys", edited.alias("small")), F.col("small"), F.col("keys"), ("doc_id",)).select("doc_id", "is_subsequence", "n_unassigned", "n_left")
