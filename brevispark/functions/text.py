@@ -22,6 +22,9 @@ DIGIT_CHARS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"
 PROTECTED_FORMS = ("Q", "A")
 MARKS = ("Q:", "A:")
 REFUSAL = r"(?i)\b(i (do not|don't) know|cannot|can't|unable|no information|not (sure|specified|provided|enough)|sorry|as an ai)\b"
+# The same for Java, whose word boundaries heed letters beyond ASCII and whose (?i) does not: here, as in SQL, it is the other way round.
+_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+_REFUSED = REFUSAL.replace("(?i)", "(?iu)").replace(r"\b", _EDGE)
 MOST_WORDS_OF_AN_ANSWER = 6
 MOJIBAKE_MARKS = "√¬Ãâ"
 ARTICLES = r"\b(a|an|the)\b"
@@ -50,8 +53,10 @@ def is_protected(form: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Case folding for the languages at hand; `casefold` is the exact one."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Case folding for the languages at hand, letter by letter; `casefold` is the exact one. Java's lower case depends on what stands
+    beside a Σ and makes two characters of an İ, so these are replaced before."""
+    single = F.replace(F.replace(text, F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i"))
+    return F.replace(F.lower(single), F.lit("ß"), F.lit("ss"))
 
 
 def protected_count(text: Column) -> Column:
@@ -100,7 +105,7 @@ def error_class(output: Column, normalised: Column, cut_off: Column) -> Column:
     return (
         F.when(F.coalesce(normalised, F.lit("")) == "", "empty_or_cut")
         .when(cut_off & (n <= 1), "empty_or_cut")
-        .when(F.rlike(F.coalesce(output, F.lit("")), F.lit(REFUSAL)), "refusal")
+        .when(F.rlike(F.coalesce(output, F.lit("")), F.lit(_REFUSED)), "refusal")
         .when(n > MOST_WORDS_OF_AN_ANSWER, "format")
         .otherwise("wrong_entity")
     )

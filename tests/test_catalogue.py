@@ -79,3 +79,15 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path, pipeline):
 def test_prompts_read_their_material_once(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and "Union" not in plan
+
+
+def test_odd_answers_are_scored_as_in_sql(spark, tmp_path):
+    """Places that are null or stand twice, null texts, words that look like JSON, letters of uncommon lower case or beside a refusal."""
+    texts = [f"he {w} {w} more" for w in ("[1]", '"yes"', '["a","b"]', "[1]x", "a b", "ΟΔΟΣ", "İstanbul", "éunable", "cannoté", "not ſure")] + ["same place", "same place", "", None]
+    rows = [(i, t, "user" if i % 2 else "assistant", text) for i, text in enumerate(texts) for t in (0, 1, 2, 5, None)] + [(0, 0, "user", "another text"), (None, 1, None, "one two three"), (0, 0, "user", texts[0])]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["score_outputs"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["score_outputs"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, want))
