@@ -130,13 +130,48 @@ def counts_at_levels(words: Column, levels: tuple[float, ...] = LEVELS) -> Colum
 
         return F.transform(F.array(bound), lambda b: F.array(*[level(b, rho) for rho in levels]))[0]
 
-    # rank and origin in one number: longest first, then place; the last bit tells the core
-    rank = lambda t, i: (i.cast("bigint") - F.length(t["form"]) * (1 << 31)) * 2 + t["is_core"].cast("bigint")
-    ranks = lambda w: F.sort_array(F.filter(F.transform(w, lambda t, i: F.when(~t["is_protected"], rank(t, i))), lambda r: r.isNotNull()))
+    ranks = lambda w: F.sort_array(F.filter(F.transform(w, lambda t, i: F.when(~t["is_protected"], _rank_and_origin(t, i))), lambda r: r.isNotNull()))
     bound = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), ranks(w).alias("free")))
     return F.transform(bound, of)[0]
 
 
+def _rank_and_origin(t: Column, i: Column) -> Column:
+    """Rank and origin in one number: longest first, then place; the last bit tells the core."""
+    return (i.cast("bigint") - F.length(t["form"]) * (1 << 31)) * 2 + t["is_core"].cast("bigint")
+
+
+def unmixed_at_levels(words: Column, levels: tuple[float, ...]) -> Column:
+    """Free words and kept ones by origin over the words whose folded form stands in one origin only, for every level above 0:
+    array<struct<rho,n_core,n_red,e_core,e_red>>. words: as of `words.word_marks`. Sorted within their row, the words of a form are a
+    run, the redundancy's before the core's, so that its first and its last word tell its origins; nothing is shuffled."""
+    def in_order(row: Column) -> Column:
+        return F.sort_array(F.transform(row["w"], lambda t, i: F.struct(row["keys"][i].alias("key"), t["is_core"].alias("core"), F.when(~t["is_protected"], _rank_and_origin(t, i)).alias("rank"))))
+
+    def with_starts(s: Column) -> Column:
+        first = F.transform(s, lambda t, i: F.when((i == 0) | (t["key"] != F.get(s, i - 1)["key"]), i))
+        return F.struct(s["core"].alias("core"), s["rank"].alias("rank"), F.concat(F.filter(first, lambda i: i.isNotNull()), F.array(F.size(s))).alias("starts"))
+
+    def unmixed(r: Column) -> Column:
+        runs = F.transform(F.slice(r["starts"], 1, F.size(r["starts"]) - 1), lambda a, j: F.struct(a.alias("a"), r["starts"][j + 1].alias("b")))
+        pure = F.filter(runs, lambda z: r["core"][z["a"]] == r["core"][z["b"] - 1])
+        ranks = F.flatten(F.transform(pure, lambda z: F.slice(r["rank"], z["a"] + 1, z["b"] - z["a"])))
+        return F.struct(F.filter(ranks, lambda x: x.isNotNull()).alias("ranks"), F.sort_array(F.filter(r["rank"], lambda x: x.isNotNull())).alias("free"))
+
+    def parted(b: Column) -> Column:
+        own = lambda bit: F.filter(b["ranks"], lambda x: x.bitwiseAND(1) == bit)
+        return F.struct(own(1).alias("core"), own(0).alias("red"), F.array(*[_cut(b["free"], rho) for rho in levels]).alias("cuts"))
+
+    def counted(b: Column) -> Column:
+        kept = lambda o, i: F.size(F.filter(b[o], lambda x: x <= b["cuts"][i]))
+        return F.array(*[F.struct(F.lit(float(rho)).alias("rho"), *[F.size(b[o]).alias(f"n_{o}") for o in ("core", "red")], *[kept(o, i).alias(f"e_{o}") for o in ("core", "red")]) for i, rho in enumerate(levels)])
+
+    # one-element arrays bind a value once
+    found = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), T.fold_each(w["form"]).alias("keys")))
+    for step in (in_order, with_starts, unmixed, parted, counted):
+        found = F.transform(found, step)
+    return found[0]
+
+
 def _marked(core: bool, suffix: str):
     return lambda t: (t["is_core"] if core else ~t["is_core"]) & (~t["is_protected"] if suffix else F.lit(True))
 

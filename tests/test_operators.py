@@ -169,3 +169,28 @@ def test_incremental(spark):
     assert sorted(r.t for r in I.cascade(old, new, ["k"]).collect()) == ["a", "b"]
     assert sorted(r.t for r in I.upsert(old, ["k"], ["rho"]).collect()) == ["b", "c"]
     assert [r.k for r in I.changed(new, old.where("rho = 0"), "k", "t").collect()] == [1]
+
+
+def test_words_of_one_origin_are_counted_within_their_row(spark):
+    """Against plain counting; the query shuffles no words."""
+    import math
+    import random
+
+    import __spark_entry__ as entry
+
+    rnd, levels = random.Random(3), (0.25, 0.5, 0.75)
+    forms = ["Q", "q", "A", "a", "ab", "Ab", "AB", "abc", "x1", "X1", "straße", "STRASSE", "é", "É", "longer"]
+    docs = [[]] + [[(f, f in ("Q", "A") or "1" in f, rnd.random() < 0.5) for f in (rnd.choice(forms[: rnd.randrange(1, len(forms) + 1)]) for _ in range(rnd.randrange(1, 25)))] for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, words array<struct<form:string,is_protected:boolean,is_core:boolean>>")
+    got = {r.i: [tuple(z) for z in r.c] for r in df.select("i", C.unmixed_at_levels(F.col("words"), levels).alias("c")).collect()}
+    for i, doc in enumerate(docs):
+        key = lambda w: w[0].lower().replace("ß", "ss")
+        free = sorted((-len(w[0]), place) for place, w in enumerate(doc) if not w[1])
+        pure = [p for _, p in free if len({x[2] for x in doc if key(x) == key(doc[p])}) == 1]
+        for rho, found in zip(levels, got[i]):
+            lives = {p for _, p in free[: math.ceil((1 - rho) * len(free))]}
+            n = [sum(doc[p][2] == core for p in pure) for core in (True, False)]
+            e = [sum(doc[p][2] == core for p in pure if p in lives) for core in (True, False)]
+            assert found == (rho, *n, *e)
+    plan = entry.queries()["overlap_free_selectivity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Aggregate [rho" in plan
