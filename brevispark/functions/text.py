@@ -8,9 +8,10 @@ to U+001F. Exact case folding and NFKD have no built-in counterpart and are vect
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -136,28 +137,64 @@ def number_or_null(text: Column) -> Column:
     return F.when(F.rlike(F.trim(text), F.lit(r"^[0-9]{1,18}$")), F.trim(text).cast("bigint"))
 
 
-@F.pandas_udf(StringType())
-def casefold(text: pd.Series) -> pd.Series:
+# Bytes of a batch that are Python objects at one time.
+PIECE = 1 << 20
+
+
+def _pieces(values: pa.Array | pa.RecordBatch) -> Iterator:
+    """Parts of a batch of at most PIECE bytes, always one row at least."""
+    if len(values) > 1 and values.nbytes > PIECE:
+        half = len(values) // 2
+        yield from _pieces(values.slice(0, half))
+        yield from _pieces(values.slice(half))
+    elif len(values):
+        yield values
+
+
+def _each(values: pa.Array, make: Callable, kind: pa.DataType) -> pa.Array:
+    """make of each value. A batch has as many rows whatever their length, so a worker holds it as Arrow does, and as objects by pieces."""
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([make(x) for x in piece.to_pylist()], kind) for piece in _pieces(values))])
+
+
+def with_forms(df: DataFrame, text: str, forms: dict[str, Callable[[str], str]]) -> DataFrame:
+    """df with forms of a text (a plain function each; null for null) in the text's place. Other than the columns below, which are
+    returned by whole batches, forms go back by pieces, so that a worker holds none but those of a piece."""
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = StructType([*kept, *(StructField(name, StringType()) for name in forms)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch):
+                own = [piece.column(f.name) for f in kept]
+                made = [pa.array([None if t is None else make(t) for t in piece.column(text).to_pylist()], pa.string()) for make in forms.values()]
+                yield pa.RecordBatch.from_arrays([*own, *made], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+@F.arrow_udf(StringType())
+def casefold(text: pa.Array) -> pa.Array:
     """Exact Unicode case folding."""
-    return text.map(str.casefold, na_action="ignore")
+    return _each(text, lambda t: None if t is None else t.casefold(), text.type)
 
 
-def _normal(text: str) -> str:
+def normal_form(text: str) -> str:
+    """For comparing answers: compatibility forms, no accents, folded, no punctuation, no English articles, single spaces."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
     kept = "".join(c if c.isalnum() or c == "_" else " " for c in plain)
     return " ".join(w for w in kept.split() if w not in ("a", "an", "the"))
 
 
-@F.pandas_udf(StringType())
-def normalise(text: pd.Series) -> pd.Series:
-    """For comparing answers: compatibility forms, no accents, folded, no punctuation, no English articles, single spaces."""
-    return text.map(_normal, na_action="ignore")
+@F.arrow_udf(StringType())
+def normalise(text: pa.Array) -> pa.Array:
+    """`normal_form` of each text."""
+    return _each(text, lambda t: None if t is None else normal_form(t), text.type)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def normalise_list(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(StringType()))
+def normalise_list(texts: pa.Array) -> pa.Array:
     """`normalise` of each text of a list."""
-    return texts.map(lambda x: [None if t is None else _normal(t) for t in x], na_action="ignore")
+    return _each(texts, lambda x: None if x is None else [None if t is None else normal_form(t) for t in x], texts.type)
 
 
 def _repaired(text: str) -> tuple[str, int]:
@@ -170,8 +207,7 @@ def _repaired(text: str) -> tuple[str, int]:
     return text, 0
 
 
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("repaired", IntegerType())]))
-def repair_encoding(text: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("repaired", IntegerType())]))
+def repair_encoding(text: pa.Array) -> pa.Array:
     """Undoes UTF-8 that was read as MacRoman, where a tell-tale character is present; else the text as it is."""
-    rows = [(None, 0) if t is None else _repaired(t) for t in text]
-    return pd.DataFrame(rows, columns=["text", "repaired"])
+    return _each(text, lambda t: (None, 0) if t is None else _repaired(t), pa.struct([("text", text.type), ("repaired", pa.int32())]))

@@ -113,3 +113,18 @@ def test_an_alias_with_an_escape_is_found_in_an_answer(spark):
     df = spark.createDataFrame([("he said de.\nMention", r'"de.\nMention"')], "output string, raw string").withColumn("aliases", T.alias_list(F.col("raw")))
     row = Q.score(df, "output", "aliases", F.lit(False)).first()
     assert (row.correct, row.matched_alias, row.error_class) == (1, "de.\nMention", None)
+
+
+def test_forms_of_long_texts_are_made_by_pieces(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": [None, "x" * 100, "y" * (3 * T.PIECE), *["é" * 50_000] * 50, None]})
+    parts = list(T._pieces(batch))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch]) and all(len(p) == 1 or p.nbytes <= T.PIECE for p in parts) and not list(T._pieces(batch.slice(0, 0)))
+    texts = [None, "", "The ÉCOLE, a ﬁne Straße!", "Ä b " * 40_000, *["x the Y"] * 30, "A " * 600_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    want = [(None, None) if t is None else (T.normal_form(t), t.casefold()) for t in texts]
+    forms = T.with_forms(df, "t", {"n": T.normal_form, "f": str.casefold})
+    assert forms.columns == ["i", "n", "f"] and [(r.n, r.f) for r in forms.orderBy("i").collect()] == want
+    rows = df.select("i", T.normalise("t").alias("n"), T.casefold("t").alias("f"), T.normalise_list(F.array("t", F.lit(None).cast("string"))).alias("l"), T.repair_encoding("t").alias("r")).orderBy("i").collect()
+    assert [(r.n, r.f) for r in rows] == want and [r.l for r in rows] == [[n, None] for n, _ in want] and [tuple(r.r) for r in rows] == [(t, 0) for t in texts]
