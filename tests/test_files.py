@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brevispark.sources import files, records, sinks
-from brevispark.sources.named_texts import write_named_texts
+from brevispark.sources.named_texts import read_named_texts, write_named_texts
 from brevispark.streaming.incremental import process_new
 
 
@@ -111,3 +111,30 @@ def test_named_texts_leave_nothing_when_they_fail(spark, tmp_path):
     with pytest.raises(Exception, match="one name|are named"):
         write_named_texts(spark.createDataFrame([("a", "same", "x"), ("a", "same", "y")], "variant string, name string, text string").repartition(2), str(root))
     assert not [p for p in root.rglob("*") if p.is_file()]
+
+
+def test_named_texts_are_read_back_many_files_a_task(spark, tmp_path):
+    root, kind = str(tmp_path / "tree"), "variant string, name string, text string"
+    rows = [("basis", f"{i}_0.5", f"text {i}\n") for i in range(400)] + [("a/b", "7_0.25", ""), ("_c", ".d%2F_1", "é"), ("%5F", "%25", "x"), (".", "e/f", "\r\n\0")]
+    write_named_texts(spark.createDataFrame(rows, kind).repartition(3), root)
+    (tmp_path / "tree" / "_temporary" / "run").mkdir(parents=True)
+    (tmp_path / "tree" / "_temporary" / "run" / "1_1.txt").write_text("of a run that is on its way")
+    back = read_named_texts(spark, root)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)  # empty texts too
+    assert back.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    write_named_texts(spark.createDataFrame([], kind), str(tmp_path / "none"))
+    assert not read_named_texts(spark, str(tmp_path / "none")).count()
+
+
+def test_named_texts_query_keeps_empty_texts(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(i, "en", "web", "" if i % 4 else f"text {i}") for i in range(12)], "doc_id bigint, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, "user", "" if i % 3 else "turn") for i in range(9)], "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["named_texts"]).fetchall()
+    assert sorted(tuple(r) for r in entry.queries()["named_texts"](spark, str(tmp_path)).collect()) == sorted(want)
