@@ -23,9 +23,19 @@ DIGIT_CHARS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"
 PROTECTED_FORMS = ("Q", "A")
 MARKS = ("Q:", "A:")
 REFUSAL = r"(?i)\b(i (do not|don't) know|cannot|can't|unable|no information|not (sure|specified|provided|enough)|sorry|as an ai)\b"
-# The same for Java, whose word boundaries heed letters beyond ASCII and whose (?i) does not: here, as in SQL, it is the other way round.
+# The same for Java, whose word boundaries heed letters beyond ASCII: here, as in SQL, they don't. SQL ignores case by Unicode's simple
+# folding, where ſ is an s and the Kelvin sign a k, but neither İ nor ı is an i; Java either knows no ſ or takes both for an i.
 _EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-_REFUSED = REFUSAL.replace("(?i)", "(?iu)").replace(r"\b", _EDGE)
+_REFUSED = REFUSAL.replace("s", "[sſ]").replace("k", "[k\u212a]").replace(r"\b", _EDGE)
+# Letters and numbers of Unicode 14 and 15, which SQL knows and Java 17 takes for unassigned.
+_LATER = (
+    "870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7d0-a7d1 a7d3 a7d5-a7d9 a7f2-a7f4 10570-1057a 1057c-1058a "
+    "1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc 10780-10785 10787-107b0 107b2-107ba 10f70-10f81 11071-11072 11075 1123f-11240 "
+    "11740-11746 11ab0-11abf 11f02 11f04-11f10 11f12-11f33 11f50-11f59 12f90-12ff0 1342f 13441-13446 16a70-16abe 16ac0-16ac9 1aff0-1aff3 1aff5-1affb "
+    "1affd-1affe 1b11f-1b122 1b132 1b155 1d2c0-1d2d3 1df00-1df1e 1df25-1df2a 1e030-1e06d 1e290-1e2ad 1e4d0-1e4eb 1e4f0-1e4f9 1e7e0-1e7e6 1e7e8-1e7eb "
+    "1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 31350-323af"
+)
+_GAP = r"[^\p{L}\p{N}_[\p{Cn}&&[" + "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in _LATER.split()) + "]]]+"
 MOST_WORDS_OF_AN_ANSWER = 6
 MOJIBAKE_MARKS = "√¬Ãâ"
 ARTICLES = r"\b(a|an|the)\b"
@@ -90,8 +100,9 @@ def line_breaks(text: Column) -> Column:
 
 
 def flat(text: Column) -> Column:
-    """Lower case, punctuation to spaces, spaces folded: the built-in part of `normalise`."""
-    return F.trim(F.regexp_replace(fold(text), rf"[^\p{{L}}\p{{N}}_]+", " "))
+    """Punctuation to spaces, lower case, spaces folded: the built-in part of `normalise`. Punctuation goes first, as the lower case of a
+    letter too new for SQL may be an old letter."""
+    return F.trim(fold(F.regexp_replace(text, _GAP, " ")))
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:
@@ -114,7 +125,7 @@ def error_class(output: Column, normalised: Column, cut_off: Column) -> Column:
 
 def alias_list(raw: Column) -> Column:
     """A JSON list as strings; a JSON scalar or a text that is no JSON is a list of one, null and empty an empty list."""
-    read = lambda x: F.from_json(x, "array<string>", {"mode": "PERMISSIVE"})
+    read = lambda x: F.from_json(x, "array<string>", {"mode": "PERMISSIVE", "maxStringLen": str(2**31 - 1)})
     parsed, trimmed = read(raw), F.trim(raw)
     quoted = F.rlike(F.regexp_replace(trimmed, r"(?s)\\.", ""), F.lit(r'\A"[^"]*"\z')) & (F.length(trimmed) > 2)  # one JSON string, not empty
     scalar = F.try_element_at(read(F.when(quoted, F.concat(F.lit("["), trimmed, F.lit("]")))), F.lit(1))

@@ -91,3 +91,17 @@ def test_odd_answers_are_scored_as_in_sql(spark, tmp_path):
     want = con.execute(entry.oracle_sql()["score_outputs"]).fetchall()
     got = [tuple(r) for r in entry.queries()["score_outputs"](spark, str(tmp_path)).collect()]
     assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_letters_of_later_unicode_are_scored_as_in_sql(spark, tmp_path):
+    """Letters and digits that Java 17 takes for unassigned, capitals that are too new for SQL, an İ or ı where a refusal has an i."""
+    letters = ["ࡰ", "ࣈ", "Ꟁ", "ꟲ", "\U00010570", "\U00011f50", "\U0001e4f0", "\U000323af", "Ɤ", "Ƛ", "Ᲊ", "\U00010d50", "\U0001fae0"]
+    texts = [f"he a{x}b {x} {x} more{x}" for x in letters] + ["no ınformation", "oh İ don't know", "as an aı", "Not ſure", "I don't Know"]
+    rows = [(i, t, "user" if i % 2 else "assistant", text) for i, text in enumerate(texts) for t in (0, 1, 2, 3, 5)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("score_outputs", "error_class"):
+        want = con.execute(entry.oracle_sql()[name]).fetchall()
+        got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+        assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, want))

@@ -47,6 +47,12 @@ def test_an_alias_that_is_a_json_string_is_read_as_json(spark):
     assert [r.a for r in df.select(T.alias_list(F.col("raw")).alias("a")).collect()] == [w for _, w in raw]
 
 
+def test_an_alias_may_be_of_any_length(spark):
+    """Longer too than the 20 million characters that a JSON string may have unless more are asked for."""
+    long = F.concat(F.lit('["'), F.repeat(F.lit("b"), F.lit(20_000_001)), F.lit('", "x"]'))
+    assert one(spark, n=F.transform(T.alias_list(long), F.length)).n == [20_000_001, 1]
+
+
 def test_protected_words_are_counted_and_keys_made_at_once(spark):
     """As one word after the other, beyond the basic plane too; a long word without a digit takes no time that grows as its square."""
     texts = ["Q: A1 AQ Q_ Q a1b 12 x² \U0001d400Q \U0001d400\U0001d7ce \U0001f600Q Aé", "", "ΟΔΟΣ.x Σ İx Straße", ". ,", "y" * 300000 + " 7"]
