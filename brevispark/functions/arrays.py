@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,30 +78,134 @@ class Automaton:
         return best
 
 
+#: Runs of up to so many members are found for all rows at once, level by level; longer ones by an automaton.
+LONGEST_LEVEL = 32
+#: Members of both lists that are aligned at once.
+PIECE = 1 << 17
+
+
 def embed_blocks(small: Sequence[int], big: Sequence[int]) -> list[int]:
-    """Places of small's members in big by matching blocks, for sequences that are no subsequence: the longest common run, then the same
-    on either side of it. Members without a place are left out."""
-    out, todo = [], [(0, len(small), 0, len(big))]
+    """Places of small's members in big by matching blocks, for sequences that are no subsequence: the longest common run (the earliest of
+    equal ones in small, then in big), then the same on either side of it. Members without a place are left out."""
+    return np.flatnonzero(embed_blocks_each([small], [big])).tolist()
+
+
+def embed_blocks_each(smalls: Sequence[Sequence[int]], bigs: Sequence[Sequence[int]], longest: int = LONGEST_LEVEL) -> np.ndarray:
+    """The same for many rows at once: a mask of the bigs' members, one row behind the other. Members are numbers from -1.
+
+    Levels go from long runs to short ones. At a level, what is left of a row has no longer common run, so its runs of this length are
+    taken from left to right, each at the first place behind the one before; what lies between them is left to the next level. A member
+    of small is looked up once a level at most, whatever the number of blocks."""
+    levels, rows = _levels(smalls, bigs, longest)
+    at_small, at_big = _starts(smalls), _starts(bigs)
+    left = [[(a, b, c, d)] for a, b, c, d in zip(at_small[:-1].tolist(), at_small[1:].tolist(), at_big[:-1].tolist(), at_big[1:].tolist())]
+    blocks: list[tuple[int, int]] = []
+    for row in rows:
+        left[row] = _long_blocks(smalls[row], bigs[row], left[row][0], longest, blocks)
+    for size in range(len(levels), 0, -1):
+        at, *found = levels.pop()
+        row, first = np.unique(np.searchsorted(at_small, at, "right") - 1, return_index=True)
+        lists = [x.tolist() for x in (at, *found)]
+        for k, start, end in zip(row.tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+            left[k] = _blocks_of_size(size, left[k], *lists, start, end, blocks)
+    mask = np.zeros(at_big[-1], bool)
+    if blocks:
+        start, n = np.array(blocks).T
+        mask[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())] = True
+    return mask
+
+
+def _starts(lists: Sequence[Sequence]) -> np.ndarray:
+    """Where each list begins if they stand one behind the other, and where the last one ends."""
+    return np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+
+
+def _levels(smalls: Sequence[Sequence[int]], bigs: Sequence[Sequence[int]], longest: int) -> tuple[list[tuple[np.ndarray, ...]], list[int]]:
+    """For runs of 1, 2, .. members: where small has one that its big has too, ascending, and from where to where in a list of places in big
+    it stands there, ascending too; and the rows that have longer common runs than the last level's."""
+    n = np.array([len(x) for x in (*smalls, *bigs)], np.int64)
+    many = int(n[: len(smalls)].sum())  # first all smalls, then all bigs
+    row = np.repeat(np.tile(np.arange(len(smalls)), 2), n)
+    room = np.repeat(np.cumsum(n), n) - np.arange(len(row))  # members up to the end of the own list
+    key = np.fromiter(chain.from_iterable((*smalls, *bigs)), np.int64, len(row)) + 1
+    key += row * (key.max(initial=0) + 1)
+    at, run = np.arange(len(row)), np.full(len(row) + 1, -1)
+    levels: list[tuple[np.ndarray, ...]] = []
+    while True:
+        which = np.unique(key, return_inverse=True)[1]
+        cut = int(np.searchsorted(at, many))
+        here, there = (np.bincount(x, minlength=which.max(initial=-1) + 1) for x in (which[:cut], which[cut:]))
+        common = ((here > 0) & (there > 0))[which]
+        at, which = at[common], which[common]
+        cut = int(np.searchsorted(at, many))
+        if not cut or len(levels) == longest:
+            return levels, np.unique(row[at[:cut]]).tolist()
+        to = np.cumsum(np.where(here > 0, there, 0))
+        places = at[cut:][np.argsort(which[cut:], kind="stable")] - many
+        levels.append(tuple(x.astype(np.int32) for x in (at[:cut], (to - there)[which[:cut]], to[which[:cut]], places)))
+        run[:] = -1
+        run[at] = which
+        at = at[room[at] > len(levels)]
+        at = at[run[at + 1] >= 0]
+        key = run[at] * (which.max(initial=0) + 1) + run[at + 1]  # two runs that overlap make the longer one
+
+
+def _blocks_of_size(size: int, left: list, at: list, low: list, high: list, places: list, k: int, end: int, blocks: list) -> list:
+    """Takes the runs of a size from what is left of a row, of which at[k:end] are candidates; returns what is left then."""
+    out = []
+    for a, b, c, d in left:
+        while k < end and (i := at[k]) + size <= b:
+            if i >= a:
+                found = bisect_left(places, c, low[k], high[k])
+                if found < high[k] and (j := places[found]) + size <= d:
+                    blocks.append((j, size))
+                    if i > a and j > c:
+                        out.append((a, i, c, j))
+                    a, c = i + size, j + size
+            k += 1
+        if a < b and c < d:
+            out.append((a, b, c, d))
+    return out
+
+
+def _long_blocks(small: Sequence[int], big: Sequence[int], whole: tuple[int, int, int, int], longest: int, blocks: list) -> list:
+    """The same for all runs of more than so many members: an automaton of what is left finds one."""
+    out, todo, from_small, from_big = [], [whole], whole[0], whole[2]
     while todo:
         a, b, c, d = todo.pop()
-        if a >= b or c >= d:
-            continue
-        i, j, n = Automaton(big[c:d]).longest(small[a:b])
-        if n:
-            out.extend(range(c + j, c + j + n))
+        i, j, n = Automaton(big[c - from_big : d - from_big]).longest(small[a - from_small : b - from_small]) if min(b - a, d - c) > longest else (0, 0, 0)
+        if n > longest:
+            blocks.append((c + j, n))
             todo += [(a, a + i, c, c + j), (a + i + n, b, c + j + n, d)]
+        elif a < b and c < d:
+            out.append((a, b, c, d))
     return sorted(out)
 
 
-def _align(small: list, big: list) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Both masks, whether small is a subsequence, and how many of its members have no place."""
-    left = embed_left(small, big)
-    fits = left is not None
-    left = left if fits else embed_blocks(small, big)
-    masks = np.zeros((2, len(big)), bool)
-    masks[0, left] = True
-    masks[1, embed_right(small, big) if fits else left] = True
-    return masks[0], masks[1], int(fits), 0 if fits else len(small) - len(left)
+def _align(smalls: list[list], bigs: list[list]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Both masks, the rows one behind the other, and by row: whether small is a subsequence, how many places differ, how many of its
+    members have no place, and how many places live in either mask."""
+    start = _starts(bigs)
+    found = [embed_left(a, b) for a, b in zip(smalls, bigs)]
+    fits = np.array([x is not None for x in found], bool)
+    masks = np.zeros((2, start[-1]), bool)
+    odd = np.flatnonzero(~fits)
+    masks[:, np.repeat(~fits, np.diff(start))] = embed_blocks_each([smalls[k] for k in odd], [bigs[k] for k in odd])
+    for k in np.flatnonzero(fits):
+        own = masks[:, start[k] : start[k + 1]]
+        own[0, found[k]] = True
+        own[1, embed_right(smalls[k], bigs[k])] = True
+    left, right, apart = (np.diff(np.concatenate([[0], np.cumsum(m)])[start]) for m in (*masks, masks[0] != masks[1]))
+    return masks, [fits, apart // 2, np.where(fits, 0, np.diff(_starts(smalls)) - left), left, right]
+
+
+def _pieces(batch: pa.RecordBatch, *names: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, so many at once that these columns' lists have not many more members than PIECE, whatever a row's length."""
+    n = sum(batch.column(batch.schema.get_field_index(x)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in names)
+    piece = np.cumsum(n) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(n)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
 
 
 ALIGNED = "left array<boolean>, right array<boolean>, is_subsequence int, n_ambiguous int, n_unassigned int, n_left int, n_right int"
@@ -121,19 +227,19 @@ def _codes(batch: pa.RecordBatch, *names: str) -> list[list[list[int]]]:
 
 def align(df: DataFrame, small: Column, big: Column, keep: tuple[str, ...]) -> DataFrame:
     """keep, and the survival masks of big under small, resolved to the left and to the right, with how far they differ and how
-    many places live. Linear in the texts; block matching only where small is no subsequence. Null sequences count as empty."""
+    many places live. Linear in the texts; block matching, of many rows at once, only where small is no subsequence. Null sequences
+    count as empty."""
     taken = df.select(*keep, small.alias("_small"), big.alias("_big"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-2])
 
     def run(batches):
-        for batch in batches:
-            found = [_align(a, b) for a, b in zip(*_codes(batch, "_small", "_big"))]
-            lefts, rights, fits, lost = zip(*found) if found else ((), (), (), ())
-            at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lefts])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(m) if m else np.zeros(0, bool))) for m in (lefts, rights)]
-            counts = [fits, [int((a != b).sum()) // 2 for a, b in zip(lefts, rights)], lost, [int(m.sum()) for m in lefts], [int(m.sum()) for m in rights]]
-            names = [*batch.schema.names[:-2], *(f.split()[0] for f in ALIGNED.split(", "))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *lists, *(pa.array(c, pa.int32()) for c in counts)], names=names)
+        for piece in (p for batch in batches for p in _pieces(batch, "_small", "_big")):
+            smalls, bigs = _codes(piece, "_small", "_big")
+            masks, counts = _align(smalls, bigs)
+            at = pa.array(_starts(bigs).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(m)) for m in masks]
+            names = [*piece.schema.names[:-2], *(f.split()[0] for f in ALIGNED.split(", "))]
+            yield pa.RecordBatch.from_arrays([*piece.columns[:-2], *lists, *(pa.array(c.astype(np.int32)) for c in counts)], names=names)
 
     return taken.mapInArrow(run, f"{fields}, {ALIGNED}")
 

@@ -4,6 +4,7 @@ import difflib
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -199,6 +200,36 @@ def test_blocks_equal_the_plain_matcher(small, big):
     assert A.embed_blocks(small, big) == [j for x in plain for j in range(x.b, x.b + x.size)]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(-1, 2), max_size=40), st.lists(st.integers(-1, 2), max_size=40)), max_size=4), st.integers(0, 5))
+def test_blocks_of_many_rows_equal_the_plain_matcher(rows, longest):
+    plain = [difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for a, b in rows]
+    want = [any(x.b <= j < x.b + x.size for x in found) for found, (_, b) in zip(plain, rows) for j in range(len(b))]
+    assert A.embed_blocks_each([a for a, _ in rows], [b for _, b in rows], longest).tolist() == want
+
+
+def test_blocks_cost_as_much_as_the_text_not_as_it_times_the_blocks(monkeypatch):
+    """Automata were made for every block, of many times the text's members (here 23 times)."""
+    big = [i * i % 101 for i in range(3000)]
+    small = [x if i % 7 else -1 for i, x in enumerate(big) if i % 5 < 3]
+    read, plain = [], A.Automaton
+    monkeypatch.setattr(A, "Automaton", lambda part: read.append(len(part)) or plain(part))
+    plain_blocks = difflib.SequenceMatcher(None, small, big, autojunk=False).get_matching_blocks()
+    assert A.embed_blocks(small, big) == [j for x in plain_blocks for j in range(x.b, x.b + x.size)] and sum(read) <= len(big)
+
+
+def test_pieces_keep_rows_and_their_order(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"s": [["a"], None, [], ["a", "b"], ["c"]], "b": [["a", "a"], ["b"], [], ["b", "a"], None]})
+    whole = [A._align([s], [b]) for s, b in zip(*A._codes(batch, "s", "b"))]
+    monkeypatch.setattr(A, "PIECE", 2)
+    pieces = list(A._pieces(batch, "s", "b"))
+    assert len(pieces) > 1 and pa.Table.from_batches(pieces).to_pylist() == batch.to_pylist()
+    got = [A._align(*A._codes(p, "s", "b")) for p in pieces]
+    for k in range(2):
+        assert [x for masks, _ in got for x in masks[k].tolist()] == [x for masks, _ in whole for x in masks[k].tolist()]
+    assert [x for _, counts in got for x in zip(*counts)] == [x for _, counts in whole for x in zip(*counts)]
+
+
 def test_edited_texts_are_aligned(spark):
     rows = spark.createDataFrame([(1, list("abcxyz"), list("ab-cxyz")), (2, list("xyab"), list("abxy")), (3, [], ["a"]), (4, None, None)], "k int, s array<string>, b array<string>")
     got = {r.k: (r.is_subsequence, r.n_unassigned, r.n_left) for r in A.align(rows, F.col("s"), F.col("b"), ("k",)).collect()}
