@@ -29,56 +29,7 @@ def embed_right(small: list, big: list) -> list[int] | None:
     return None if found is None else [len(big) - 1 - i for i in reversed(found)]
 
 
-class Automaton:
-    """The suffix automaton of a sequence: all its runs of members, each with the place where it first ends."""
-
-    def __init__(self, sequence: Sequence[int]):
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.size, self.first = [-1], [0], [-1]
-        last = 0
-        for at, x in enumerate(sequence):
-            now = self._state({}, -1, self.size[last] + 1, at)
-            p = last
-            while p >= 0 and x not in self.next[p]:
-                self.next[p][x] = now
-                p = self.link[p]
-            if p < 0:
-                self.link[now] = 0
-            else:
-                q = self.next[p][x]
-                if self.size[p] + 1 == self.size[q]:
-                    self.link[now] = q
-                else:
-                    clone = self._state(dict(self.next[q]), self.link[q], self.size[p] + 1, self.first[q])
-                    while p >= 0 and self.next[p].get(x) == q:
-                        self.next[p][x] = clone
-                        p = self.link[p]
-                    self.link[q] = self.link[now] = clone
-            last = now
-
-    def _state(self, following: dict[int, int], link: int, size: int, first: int) -> int:
-        self.next.append(following)
-        self.link.append(link)
-        self.size.append(size)
-        self.first.append(first)
-        return len(self.size) - 1
-
-    def longest(self, sequence: Sequence[int]) -> tuple[int, int, int]:
-        """Start in the sequence, start here and length of the longest run that both have; the earliest of equal ones."""
-        best, state, n = (0, 0, 0), 0, 0
-        for at, x in enumerate(sequence):
-            while state and x not in self.next[state]:
-                state = self.link[state]
-                n = self.size[state]
-            if x in self.next[state]:
-                state = self.next[state][x]
-                n += 1
-                if n > best[2]:
-                    best = (at - n + 1, self.first[state] - n + 1, n)
-        return best
-
-
-#: Runs of up to so many members are found for all rows at once, level by level; longer ones by an automaton.
+#: Runs of up to so many members are found for all rows at once, level by level; longer ones in what is left of a row.
 LONGEST_LEVEL = 32
 #: Members of both lists that are aligned at once.
 PIECE = 1 << 17
@@ -132,17 +83,10 @@ def _levels(smalls: Sequence[Sequence[int]], bigs: Sequence[Sequence[int]], long
     at, run = np.arange(len(row)), np.full(len(row) + 1, -1)
     levels: list[tuple[np.ndarray, ...]] = []
     while True:
-        which = np.unique(key, return_inverse=True)[1]
-        cut = int(np.searchsorted(at, many))
-        here, there = (np.bincount(x, minlength=which.max(initial=-1) + 1) for x in (which[:cut], which[cut:]))
-        common = ((here > 0) & (there > 0))[which]
-        at, which = at[common], which[common]
-        cut = int(np.searchsorted(at, many))
-        if not cut or len(levels) == longest:
-            return levels, np.unique(row[at[:cut]]).tolist()
-        to = np.cumsum(np.where(here > 0, there, 0))
-        places = at[cut:][np.argsort(which[cut:], kind="stable")] - many
-        levels.append(tuple(x.astype(np.int32) for x in (at[:cut], (to - there)[which[:cut]], to[which[:cut]], places)))
+        at, which = _common(at, key, many)
+        if not len(at) or len(levels) == longest:
+            return levels, np.unique(row[at]).tolist()
+        levels.append(_found(at, which, many))
         run[:] = -1
         run[at] = which
         at = at[room[at] > len(levels)]
@@ -150,6 +94,57 @@ def _levels(smalls: Sequence[Sequence[int]], bigs: Sequence[Sequence[int]], long
         key = run[at] * (which.max(initial=0) + 1) + run[at + 1]  # two runs that overlap make the longer one
 
 
+def _common(at: np.ndarray, key: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the places whose key stands below `many` and from there on too, and their keys, numbered."""
+    which = np.unique(key, return_inverse=True)[1]
+    cut = int(np.searchsorted(at, many))
+    here, there = (np.bincount(x, minlength=which.max(initial=-1) + 1) for x in (which[:cut], which[cut:]))
+    common = ((here > 0) & (there > 0))[which]
+    return at[common], which[common]
+
+
+def _found(at: np.ndarray, which: np.ndarray, many: int) -> tuple[np.ndarray, ...]:
+    """A level, as of `_levels`, of places of common runs and their numbers."""
+    cut = int(np.searchsorted(at, many))
+    n = np.bincount(which[cut:])
+    to = np.cumsum(n)
+    places = at[cut:][np.argsort(which[cut:], kind="stable")] - many
+    return tuple(x.astype(np.int32) for x in (at[:cut], (to - n)[which[:cut]], to[which[:cut]], places))
+
+
+def _longest(small: np.ndarray, big: np.ndarray) -> tuple[int, tuple[np.ndarray, ...]]:
+    """The length of the longest run that both have, and the level of that length: runs are doubled while there are common ones, then made
+    longer by the powers of two below. Work goes with the members and the logarithm of the length."""
+    many, n = len(small), len(small) + len(big)
+    room = np.concatenate([np.arange(many, 0, -1), np.arange(len(big), 0, -1)])
+
+    def longer(at, run, size, tail, more):
+        at = at[room[at] >= size + more]
+        at = at[tail[at + size] >= 0]
+        at, which = _common(at, run[at] * (n + 1) + tail[at + size], many)
+        run = np.full(n, -1)
+        run[at] = which
+        return at, run
+
+    at, which = _common(np.arange(n), np.concatenate([small, big]), many)
+    run = np.full(n, -1)
+    run[at] = which
+    powers, last, size = [], (at, run), 0
+    while len(last[0]):
+        powers.append(last)
+        size = 1 << (len(powers) - 1)
+        last = longer(*last, size, last[1], size)
+    if not powers:
+        return 0, ()
+    at, run = powers.pop()
+    while powers:
+        more = 1 << (len(powers) - 1)
+        last = longer(at, run, size, powers.pop()[1], more)
+        if len(last[0]):
+            (at, run), size = last, size + more
+    return size, _found(at, run[at], many)
+
+
 def _blocks_of_size(size: int, left: list, at: list, low: list, high: list, places: list, k: int, end: int, blocks: list) -> list:
     """Takes the runs of a size from what is left of a row, of which at[k:end] are candidates; returns what is left then."""
     out = []
@@ -169,14 +164,17 @@ def _blocks_of_size(size: int, left: list, at: list, low: list, high: list, plac
 
 
 def _long_blocks(small: Sequence[int], big: Sequence[int], whole: tuple[int, int, int, int], longest: int, blocks: list) -> list:
-    """The same for all runs of more than so many members: an automaton of what is left finds one."""
-    out, todo, from_small, from_big = [], [whole], whole[0], whole[2]
+    """The same for all runs of more than so many members: all longest ones of what is left at once, then those of each part that is left."""
+    out, todo, (from_small, _, from_big, _) = [], [whole], whole
+    small, big = np.array(small, np.int64), np.array(big, np.int64)
     while todo:
         a, b, c, d = todo.pop()
-        i, j, n = Automaton(big[c - from_big : d - from_big]).longest(small[a - from_small : b - from_small]) if min(b - a, d - c) > longest else (0, 0, 0)
-        if n > longest:
-            blocks.append((c + j, n))
-            todo += [(a, a + i, c, c + j), (a + i + n, b, c + j + n, d)]
+        size, level = _longest(small[a - from_small : b - from_small], big[c - from_big : d - from_big]) if min(b - a, d - c) > longest else (0, ())
+        if size > longest:
+            taken: list[tuple[int, int]] = []
+            parts = _blocks_of_size(size, [(0, b - a, 0, d - c)], *[x.tolist() for x in level], 0, len(level[0]), taken)
+            blocks += [(c + j, size) for j, _ in taken]
+            todo += [(a + i, a + j, c + k, c + m) for i, j, k, m in parts]
         elif a < b and c < d:
             out.append((a, b, c, d))
     return sorted(out)

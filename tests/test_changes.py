@@ -208,14 +208,17 @@ def test_blocks_of_many_rows_equal_the_plain_matcher(rows, longest):
     assert A.embed_blocks_each([a for a, _ in rows], [b for _, b in rows], longest).tolist() == want
 
 
-def test_blocks_cost_as_much_as_the_text_not_as_it_times_the_blocks(monkeypatch):
-    """Automata were made for every block, of many times the text's members (here 23 times)."""
-    big = [i * i % 101 for i in range(3000)]
-    small = [x if i % 7 else -1 for i, x in enumerate(big) if i % 5 < 3]
-    read, plain = [], A.Automaton
-    monkeypatch.setattr(A, "Automaton", lambda part: read.append(len(part)) or plain(part))
-    plain_blocks = difflib.SequenceMatcher(None, small, big, autojunk=False).get_matching_blocks()
-    assert A.embed_blocks(small, big) == [j for x in plain_blocks for j in range(x.b, x.b + x.size)] and sum(read) <= len(big)
+@pytest.mark.parametrize("every,part", [(7, 3), (50, 5)])
+def test_blocks_cost_as_much_as_the_text_not_as_it_times_the_blocks(monkeypatch, every, part):
+    """Short runs, and long ones of one length: automata were made for every block, of many times the text's members (here 23 and 30 times)."""
+    big = [i * i % 101 for i in range(3000)] if part < 5 else list(range(3000))
+    small = [x if i % every else -1 for i, x in enumerate(big) if i % 5 < part]
+    read = []
+    for name in ("Automaton", "_longest"):
+        plain = getattr(A, name, None)
+        monkeypatch.setattr(A, name, lambda *lists, plain=plain: read.append(sum(map(len, lists))) or plain(*lists), raising=False)
+    blocks = difflib.SequenceMatcher(None, small, big, autojunk=False).get_matching_blocks()
+    assert A.embed_blocks(small, big) == [j for x in blocks for j in range(x.b, x.b + x.size)] and sum(read) <= len(small) + len(big)
 
 
 def test_pieces_keep_rows_and_their_order(monkeypatch):
